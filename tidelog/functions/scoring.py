@@ -57,5 +57,5 @@ def share_rate(block_sec: float, half_life_sec: float) -> float:
     return 0.0 if math.isinf(half_life_sec) else 1.0 - 2.0 ** (-block_sec / half_life_sec)
 
 
-def age_weight(age: Column, half_life: float) -> Column:
-    return F.exp(F.lit(-math.log(2.0) / half_life) * age)
+def age_weight(age: Column, half_life: float | Column) -> Column:
+    return F.exp(-math.log(2.0) * age / half_life)
