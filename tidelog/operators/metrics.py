@@ -101,7 +101,7 @@ def with_overall(tally: DataFrame, keys: list[str], group: str, label: str = "ov
 def weighted_mean(value: Column, weight: Column) -> Column:
     """Mean over rows where both are present and finite; null when there is none."""
     ok = value.isNotNull() & ~F.isnan(value) & weight.isNotNull()
-    return F.sum(F.when(ok, value * weight)) / F.sum(F.when(ok, weight))
+    return F.try_divide(F.sum(F.when(ok, value * weight)), F.sum(F.when(ok, weight)))
 
 
 def comparison(per_day: DataFrame, by: list[str]) -> DataFrame:
@@ -136,7 +136,8 @@ def logit_margins(tally: DataFrame, keys: list[str]) -> DataFrame:
     z = sc.logit(F.col("p"))
     neg = F.col("n") - F.col("clicks")
     return tally.groupBy(*keys).agg(
-        (F.sum(F.col("clicks") * z) / F.sum("clicks") - F.sum(neg * z) / F.sum(neg)).alias("margin"),
+        (F.try_divide(F.sum(F.col("clicks") * z), F.sum("clicks"))
+         - F.try_divide(F.sum(neg * z), F.sum(neg))).alias("margin"),
         F.max(F.abs(z)).alias("max_abs_logit"),
         (F.sum(F.col("n") * F.abs(z)) / F.sum("n")).alias("mean_abs_logit"))
 

@@ -261,7 +261,7 @@ def cycle_length(series: DataFrame, min_period: int, max_period: int, min_histor
     right = mean.select(F.col("day").alias("d2"), F.col("j").alias("j2"), F.col("c").alias("c2"))
     prod = left.join(right, (F.col("d2") == F.col("day")) & (F.col("j2") == F.col("j") + F.col("lag")), "left")
     acf = prod.groupBy("day", "i", "lag").agg(
-        (F.sum(F.col("c") * F.col("c2")) / F.sum(F.col("c") * F.col("c"))).alias("acf"))
+        F.try_divide(F.sum(F.col("c") * F.col("c2")), F.sum(F.col("c") * F.col("c"))).alias("acf"))
     usable = acf.filter((F.col("i") - 1 >= need) & F.col("acf").isNotNull() & (F.col("lag") <= F.col("i") - 2))
     best = usable.groupBy("day").agg(F.max_by(F.struct("lag", "acf"), F.struct(
         F.round("acf", 10), -F.col("lag"))).alias("_b"))

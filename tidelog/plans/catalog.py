@@ -1,4 +1,5 @@
 """Imports every plan module so that the registry is complete."""
 
-from tidelog.plans import feature_queries, metric_queries, scans  # noqa: F401
+from tidelog.plans import feature_queries, history_queries, metric_queries, mixing_queries  # noqa: F401
+from tidelog.plans import scans, stat_queries  # noqa: F401
 from tidelog.plans.registry import ORACLES, QUERIES, SURVEY_IDS  # noqa: F401
