@@ -1,0 +1,381 @@
+"""Within-day calibration of a frozen prediction under delayed labels.
+
+The gradient of a logit-scale correction depends on the rows only through
+(block, maturity, z, n, clicks). Spark reduces the log to that table; the
+recursion of the state runs on it day by day and emits the state *used* in each
+block, which is joined back to the rows as a column expression. Rounding z to
+``Z_DIGITS`` bounds the table by the number of blocks, whatever the log's size.
+"""
+
+from __future__ import annotations
+
+import json
+import math
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidelog.functions import hashing as hs
+from tidelog.functions import scoring as sc
+from tidelog.functions import timeaxis as ta
+from tidelog.session import attach, literal_rows, running_total, settle
+
+Z_DIGITS = 12
+MAX_JOB_ROWS = 2_000_000
+
+
+@dataclass(frozen=True)
+class OpsConfig:
+    """Projected gradient on the intercept (and slope), restarted every day."""
+    name: str = "ops"
+    radius: float = 1.0
+    eta0: float = 0.1
+    decay_steps: bool = True
+    platt: bool = False
+    slope_lo: float = 0.2
+    slope_hi: float = 5.0
+    carry: float = 0.0
+
+
+@dataclass(frozen=True)
+class OnsConfig:
+    """Discounted online Newton step on (slope, intercept)."""
+    name: str = "persistent"
+    half_life_h: float = 4.0
+    ridge: float = 1e-2
+    eta: float = 1.0
+    slope_lo: float = 0.2
+    slope_hi: float = 5.0
+    radius: float = 0.25
+    learn_slope: bool = True
+    reset_daily: bool = False
+
+
+def block_stats(rows: DataFrame, block_sec: int, delay_sec: int, p: str = "q", z_digits: int = Z_DIGITS) -> DataFrame:
+    """(day, block, upd, z, n, clicks): all the replay needs. ``rows``: (day, sec, click, p) or tallies with n."""
+    sec = F.col("sec")
+    z = F.round(sc.logit(F.col(p)), z_digits).alias("z")
+    return rows.groupBy("day", ta.block_of(sec, block_sec).alias("block"),
+                        ta.update_block(sec, block_sec, delay_sec).alias("upd"), z).agg(
+        F.count("*").cast("double").alias("n"), F.sum("click").cast("double").alias("clicks"))
+
+
+def _sigmoid(z):
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0)))
+
+
+def ops_day(pdf: pd.DataFrame, configs: list[OpsConfig], start: np.ndarray) -> tuple[list[tuple], np.ndarray]:
+    """Replay one day for all configurations at once; returns the state path and the final intercepts."""
+    pdf = pdf.sort_values(["upd", "block", "z"], kind="stable")
+    upd, z, n, k = (pdf[c].to_numpy() for c in ("upd", "z", "n", "clicks"))
+    blocks = np.unique(pdf["block"].to_numpy())
+    day = int(pdf["day"].iloc[0])
+    radius = np.array([c.radius for c in configs])
+    eta0 = np.array([c.eta0 for c in configs])
+    slow = np.array([c.decay_steps for c in configs])
+    platt = np.array([c.platt for c in configs])
+    lo, hi = np.array([c.slope_lo for c in configs]), np.array([c.slope_hi for c in configs])
+    b = np.clip(start, -radius, radius)
+    a = np.ones(len(configs))
+    step, done, path = 0, 0, []
+    for block in blocks:
+        upto = int(np.searchsorted(upd, block, side="right"))
+        fresh = slice(done, upto)
+        total = float(n[fresh].sum())
+        path += [(c.name, day, int(block), float(a[i]), float(b[i]), step, total) for i, c in enumerate(configs)]
+        if total > 0:
+            step += 1
+            resid = _sigmoid(np.outer(a, z[fresh]) + b[:, None]) * n[fresh] - k[fresh]
+            eta = np.where(slow, eta0 / math.sqrt(step), eta0)
+            b = np.clip(b - eta * resid.sum(axis=1) / total, -radius, radius)
+            a = np.where(platt, np.clip(a - eta * (resid * z[fresh]).sum(axis=1) / total, lo, hi), a)
+        done = upto
+    return path, b
+
+
+OPS_PATH = "cfg string, day int, block int, a double, b double, step int, n_matured double"
+
+
+def ops_path(stats: DataFrame, configs: list[OpsConfig]) -> DataFrame:
+    """State used in every block: (cfg, day, block, a, b, step, n_matured).
+
+    Without carry-over days are independent groups. With carry-over the days
+    form a chain: days are replayed in jobs of bounded size and only the final
+    intercept of each configuration passes from one job to the next.
+    """
+    if any(c.carry for c in configs):
+        return _chained(stats, _OpsChain(configs), OPS_PATH)
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        path, _ = ops_day(pdf, configs, np.zeros(len(configs)))
+        return pd.DataFrame(path, columns=[c.split()[0] for c in OPS_PATH.split(", ")])
+
+    return stats.groupBy("day").applyInPandas(replay, OPS_PATH)
+
+
+class _OpsChain:
+    """Chain state of the intercept replay: the last intercept per configuration."""
+
+    def __init__(self, configs: list[OpsConfig]):
+        self.configs = configs
+        self.state = {"b": [0.0] * len(configs)}
+        self.tail_blocks = 0
+
+    def run(self, pdf: pd.DataFrame, state: dict, days: list[int]) -> tuple[list[tuple], dict]:
+        b, path = np.array(state["b"]), []
+        carry = np.array([c.carry for c in self.configs])
+        for day in days:
+            part, b = ops_day(pdf[pdf["day"] == day], self.configs, carry * b)
+            path += part
+        return path, {"b": b.tolist()}
+
+
+def _chained(stats: DataFrame, chain, schema: str) -> DataFrame:
+    """Run a stateful replay over consecutive days in jobs of at most MAX_JOB_ROWS aggregated rows.
+
+    The state handed over is a handful of numbers per configuration. Labels of
+    the previous day that mature after midnight are read again from the table.
+    """
+    spark = stats.sparkSession
+    stats = settle(stats)
+    sizes = sorted((r["day"], r["count"]) for r in stats.groupBy("day").count().collect())
+    chunks, rows = [], MAX_JOB_ROWS + 1
+    for day, size in sizes:
+        if rows + size > MAX_JOB_ROWS:
+            chunks.append([])
+            rows = 0
+        chunks[-1].append(day)
+        rows += size
+    names = [c.split()[0] for c in schema.split(", ")]
+    out, state, previous = None, chain.state, None
+    for days in chunks:
+        part = stats.filter(F.col("day").between(days[0], days[-1]))
+        if previous is not None and chain.tail_blocks:
+            late = stats.filter((F.col("day") == previous) & (F.col("block") >= chain.tail_blocks))
+            part = part.unionByName(late)
+
+        whole = part.withColumn("_chunk", F.lit(0)).groupBy("_chunk")
+        result = settle(whole.applyInPandas(_chunk_replay(chain, state, days, names), schema + ", _end string"))
+        if days is not chunks[-1]:
+            state = json.loads(result.filter("_end IS NOT NULL").select("_end").first()[0])
+        path = result.filter("_end IS NULL").drop("_end")
+        out = path if out is None else out.unionByName(path)
+        previous = days[-1]
+    return out if out is not None else spark.createDataFrame([], schema)
+
+
+def _chunk_replay(chain, state: dict, days: list[int], names: list[str]):
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        path, end = chain.run(pdf, state, days)
+        rows = [(*step, None) for step in path] + [(*[None] * len(names), json.dumps(end))]
+        return pd.DataFrame(rows, columns=[*names, "_end"], dtype=object)
+    return replay
+
+
+ONS_PATH = "cfg string, day int, block int, a double, b double, step int, clipped int"
+
+
+class _OnsChain:
+    """Chain state of the Newton replay: theta, curvature, counters, and the last day seen."""
+
+    def __init__(self, configs: list[OnsConfig], block_sec: int, delay_sec: int):
+        self.configs, self.block_sec, self.delay_sec = configs, block_sec, delay_sec
+        c = len(configs)
+        self.state = {"theta": [[1.0, 0.0]] * c, "A": [[[g.ridge, 0.0], [0.0, g.ridge]] for g in configs],
+                      "step": [0] * c, "clipped": [0] * c, "applied": None, "first": True}
+        self.tail_blocks = max(0, ta.blocks_per_day(block_sec) - 1 - math.ceil((block_sec + delay_sec) / block_sec))
+
+    def run(self, pdf: pd.DataFrame, state: dict, days: list[int]) -> tuple[list[tuple], dict]:
+        bs, ds, spd = self.block_sec, self.delay_sec, ta.SECONDS_PER_DAY
+        groups = {key: g.sort_values("z") for key, g in pdf.groupby(["day", "block"], sort=True)}
+        order = sorted(groups)
+        applied = tuple(state["applied"]) if state["applied"] else None
+        pending = [key for key in order if applied is None or key > applied]
+        theta, A = np.array(state["theta"], float), np.array(state["A"], float)
+        step, clipped = list(state["step"]), list(state["clipped"])
+        first, path = state["first"], []
+        chunk = set(days)
+
+        def apply(key):
+            g = groups[key]
+            z, n, k = g["z"].to_numpy(), g["n"].to_numpy(), g["clicks"].to_numpy()
+            for i, c in enumerate(self.configs):
+                resid = _sigmoid(theta[i, 0] * z + theta[i, 1]) * n - k
+                grad = np.array([(resid * z).sum() if c.learn_slope else 0.0, resid.sum()]) / n.sum()
+                gamma = 2.0 ** (-bs / (c.half_life_h * 3600.0))
+                A[i] = gamma * A[i] + np.outer(grad, grad) + (1.0 - gamma) * c.ridge * np.eye(2)
+                new = theta[i] - c.eta * np.linalg.solve(A[i] + 1e-12 * np.eye(2), grad)
+                boxed = np.array([np.clip(new[0], c.slope_lo, c.slope_hi) if c.learn_slope else 1.0,
+                                  np.clip(new[1], -c.radius, c.radius)])
+                clipped[i] += int(not np.array_equal(boxed, new))
+                step[i] += 1
+                theta[i] = boxed
+
+        for day in days:
+            for block in range(ta.blocks_per_day(bs)):
+                now = day * spd + block * bs
+                while pending and pending[0] < (day, block) and \
+                        pending[0][0] * spd + (pending[0][1] + 1) * bs + ds <= now:
+                    applied = pending.pop(0)
+                    apply(applied)
+                if block == 0 and not first:
+                    for i, c in enumerate(self.configs):
+                        if c.reset_daily:
+                            theta[i], A[i], step[i] = [1.0, 0.0], c.ridge * np.eye(2), 0
+                if (day, block) in groups and day in chunk:
+                    path += [(c.name, day, block, float(theta[i, 0]), float(theta[i, 1]), step[i], clipped[i])
+                             for i, c in enumerate(self.configs)]
+            first = False
+        end = {"theta": theta.tolist(), "A": A.tolist(), "step": step, "clipped": clipped,
+               "applied": [int(x) for x in applied] if applied else None, "first": first}
+        return path, end
+
+
+def ons_path(stats: DataFrame, configs: list[OnsConfig], block_sec: int, delay_sec: int) -> DataFrame:
+    """State used in every non-empty block: (cfg, day, block, a, b, step, clipped); whole blocks mature at once,
+    labels that arrive after midnight are used on the next day."""
+    merged = stats.groupBy("day", "block", "z").agg(F.sum("n").alias("n"), F.sum("clicks").alias("clicks"))
+    return _chained(merged, _OnsChain(configs, block_sec, delay_sec), ONS_PATH)
+
+
+def corrected(z: Column, a: Column, b: Column) -> Column:
+    return sc.sigmoid(a * z + b)
+
+
+def apply_path(rows: DataFrame, path: DataFrame, block_sec: int, p: str = "q", out: str = "p") -> DataFrame:
+    """Row predictions from the state used in the row's block."""
+    keyed = rows.withColumn("block", ta.block_of(F.col("sec"), block_sec))
+    joined = attach(keyed, path.select("cfg", "day", "block", "a", "b"), ["day", "block"], "inner")
+    return joined.withColumn(out, corrected(sc.logit(F.col(p)), F.col("a"), F.col("b"))).drop("a", "b")
+
+
+def scored_blocks(stats: DataFrame, path: DataFrame) -> DataFrame:
+    """(cfg, day, block, n, clicks, loss sum) of the corrected predictions, from the aggregated table."""
+    joined = stats.join(path.select("cfg", "day", "block", "a", "b"), ["day", "block"])
+    p = corrected(F.col("z"), F.col("a"), F.col("b"))
+    return joined.groupBy("cfg", "day", "block").agg(
+        F.sum("n").alias("n"), F.sum("clicks").alias("clicks"),
+        F.sum(sc.tally_loss(F.col("n"), F.col("clicks"), p)).alias("s"))
+
+
+def day_losses(scored: DataFrame, keys: list[str]) -> DataFrame:
+    return scored.groupBy(*keys, "day").agg((F.sum("s") / F.sum("n")).alias("loss"), F.sum("n").alias("n"))
+
+
+def newton_intercepts(tally: DataFrame, keys: list[str], radius: float = 1.0, rounds: int = 50) -> DataFrame:
+    """Best fixed intercept per key in hindsight: Newton steps, one aggregation per step for all keys.
+
+    ``tally``: (keys..., z, n, clicks). Keys are days or (day, slot) pairs, so
+    the driver holds one number per key.
+    """
+    spark = tally.sparkSession
+    tally = tally.persist()
+    schema = ", ".join(f"{k} int" for k in keys) + ", b double"
+    current = {tuple(r): 0.0 for r in tally.select(*keys).distinct().collect()}
+    moving = set(current)
+    for _ in range(rounds):
+        if not moving:
+            break
+        now = literal_rows(spark, [(*key, current[key]) for key in moving], schema)
+        p = sc.sigmoid(F.col("z") + F.col("b"))
+        steps = tally.join(F.broadcast(now), keys).groupBy(*keys, "b").agg(
+            (F.sum(F.col("n") * p - F.col("clicks")) / F.sum("n")).alias("g"),
+            (F.sum(F.col("n") * p * (1.0 - p)) / F.sum("n") + 1e-12).alias("h")).collect()
+        for r in steps:
+            key = tuple(r[k] for k in keys)
+            new = min(max(r["b"] - r["g"] / r["h"], -radius), radius)
+            if abs(new - r["b"]) < 1e-9:
+                moving.discard(key)
+            current[key] = new
+    tally.unpersist()
+    return literal_rows(spark, [(*key, b) for key, b in current.items()], schema)
+
+
+def slot_intercepts(tally: DataFrame, origins: DataFrame, radius: float = 1.0, min_rows: int = 50) -> DataFrame:
+    """One intercept per (day, slot), from strictly earlier days; slots with too little history get none.
+
+    ``tally``: (day, slot, z, n, clicks).
+    """
+    hist = tally.withColumnRenamed("day", "e").join(F.broadcast(origins.select("day")), F.col("e") < F.col("day"))
+    pooled = hist.groupBy("day", "slot", "z").agg(F.sum("n").alias("n"), F.sum("clicks").alias("clicks"))
+    enough = pooled.groupBy("day", "slot").agg(F.sum("n").alias("_n"), F.sum("clicks").alias("_k")).filter(
+        (F.col("_n") >= min_rows) & (F.col("_k") > 0) & (F.col("_k") < F.col("_n")))
+    return newton_intercepts(pooled.join(enough.select("day", "slot"), ["day", "slot"]), ["day", "slot"], radius)
+
+
+def shuffle_within_day(rows: DataFrame, payload: list[str], seed: int) -> DataFrame:
+    """Chronology placebo: every time slot of a day keeps its clock, the payload columns are dealt out by hash.
+
+    Both ranks are distributed running counts, so a very large day stays spread.
+    """
+    base = rows.withColumn("_one", F.lit(1).cast("long"))
+    mixed = hs.md5_int(F.concat_ws(":", F.lit(str(seed)), F.col("row_id").cast("string")))
+    by_time = running_total(base.select("day", "row_id", "sec", "_one"), ["day"],
+                            [F.col("sec"), F.col("row_id")], {"_r": "_one"}).drop("_one")
+    dealt = running_total(base.select("day", F.col("row_id").alias("from_row"), mixed.alias("_h"), *payload, "_one"),
+                          ["day"], [F.col("_h"), F.col("from_row")], {"_r": "_one"}).drop("_one", "_h")
+    return by_time.join(dealt, ["day", "_r"]).drop("_r")
+
+
+@dataclass(frozen=True)
+class ShareConfig:
+    """Delayed fixed share over three experts, sharing back to a prior that favours the first."""
+    name: str = "anchored"
+    eta: float = 10.0
+    half_life_h: float = 16.0
+    adaptive_mass: float = 0.5
+
+    def prior(self) -> list[float]:
+        m = min(max(self.adaptive_mass, 0.0), 1.0)
+        return [1.0 - m, m / 2.0, m / 2.0]
+
+
+SHARE_PATH = "cfg string, day int, block int, w0 double, w1 double, w2 double, n_updates int"
+
+
+def share_path(block_losses: DataFrame, configs: list[ShareConfig], block_sec: int, delay_sec: int) -> DataFrame:
+    """Weights used in every non-empty block: (cfg, day, block, w0, w1, w2, n_updates).
+
+    ``block_losses``: one row per (day, block) with the mean losses l0, l1, l2 of
+    the three experts, i.e. at most blocks-per-day rows for each day.
+    """
+    spd = ta.SECONDS_PER_DAY
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["day", "block"])
+        start = pdf["day"].to_numpy("int64") * spd + pdf["block"].to_numpy("int64") * block_sec
+        ready = start + block_sec + delay_sec
+        loss = pdf[["l0", "l1", "l2"]].to_numpy(float)
+        used = np.searchsorted(ready, start, side="right")
+        rows = []
+        for c in configs:
+            prior = np.array(c.prior())
+            rate = sc.share_rate(block_sec, c.half_life_h * 3600.0)
+            w = prior.copy()
+            path = [w]
+            for x in loss:
+                grown = w * np.exp(-c.eta * (x - x.min()))
+                total = grown.sum()
+                w = (1.0 - rate) * (grown / total if total > 0 else prior) + rate * prior
+                path.append(w)
+            rows += [(c.name, int(d), int(k), *map(float, path[u]), int(u))
+                     for d, k, u in zip(pdf["day"], pdf["block"], used)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in SHARE_PATH.split(", ")])
+
+    return block_losses.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(replay, SHARE_PATH)
+
+
+def weight_path_summary(path: DataFrame) -> DataFrame:
+    """Per configuration: blocks led by each expert, extreme and final weights, number of updates."""
+    top = F.greatest("w0", "w1", "w2")
+    last = F.struct("day", "block")
+    return path.groupBy("cfg").agg(
+        F.count_if(F.col("w0") == top).alias("led0"),
+        F.count_if((F.col("w1") == top) & (F.col("w0") < top)).alias("led1"),
+        F.count_if((F.col("w2") == top) & (F.col("w0") < top) & (F.col("w1") < top)).alias("led2"),
+        F.min(F.least("w0", "w1", "w2")).alias("w_min"), F.max(top).alias("w_max"),
+        *[F.max_by(f"w{i}", last).alias(f"final{i}") for i in range(3)],
+        F.max("n_updates").alias("n_updates"))

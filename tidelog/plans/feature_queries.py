@@ -58,20 +58,23 @@ def factorize_context(spark, d) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("col", "value", "n", "code", r6("norm"))
 
 
-def _sketch_sql() -> str:
+def sketch_cte(m: int, source: str = "imp", name: str = "sk") -> str:
+    """CTE with the unit-length signed sketch of every row of ``source``: row_id, c0..c(m-1)."""
     dims = []
-    for j in range(SKETCH_DIM):
-        terms = [f"CASE WHEN ('0x' || substr(md5('{c}=' || {c}), 18, 15))::BIGINT % {SKETCH_DIM} = {j} THEN "
+    for j in range(m):
+        terms = [f"CASE WHEN ('0x' || substr(md5('{c}=' || {c}), 18, 15))::BIGINT % {m} = {j} THEN "
                  f"(CASE WHEN ('0x' || substr(md5('{c}=' || {c}), 1, 1))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END) "
                  f"ELSE 0.0 END" for c in TOKEN_COLUMNS]
         dims.append(f"({' + '.join(terms)})::DOUBLE AS r{j}")
-    norm = "sqrt(" + " + ".join(f"r{j} * r{j}" for j in range(SKETCH_DIM)) + ")"
-    cols = ", ".join(f"round(r{j} / CASE WHEN nrm > 0 THEN nrm ELSE 1.0 END, 6) AS c{j}" for j in range(SKETCH_DIM))
-    return sql(f"SELECT row_id, {cols} FROM (SELECT *, {norm} AS nrm FROM (SELECT row_id, {', '.join(dims)} FROM imp))",
-               IMP)
+    norm = "sqrt(" + " + ".join(f"r{j} * r{j}" for j in range(m)) + ")"
+    cols = ", ".join(f"r{j} / CASE WHEN nrm > 0 THEN nrm ELSE 1.0 END AS c{j}" for j in range(m))
+    return (f"{name} AS (SELECT row_id, {cols} FROM (SELECT *, {norm} AS nrm FROM "
+            f"(SELECT row_id, {', '.join(dims)} FROM {source})))")
 
 
-@query("context_sketch", "F5", _sketch_sql())
+@query("context_sketch", "F5", sql(
+    "SELECT row_id, " + ", ".join(f"round(c{j}, 6) AS c{j}" for j in range(SKETCH_DIM)) + " FROM sk",
+    IMP, sketch_cte(SKETCH_DIM)))
 def context_sketch(spark, d) -> DataFrame:
     rows = fx.imp(spark, d).select("row_id", fe.signed_sketch(TOKEN_COLUMNS, SKETCH_DIM))
     return rows.select("row_id", *[r6(F.col("sketch")[j], f"c{j}") for j in range(SKETCH_DIM)])

@@ -42,16 +42,17 @@ mci AS (SELECT method, quantile_cont(s, 0.025) AS mlo, quantile_cont(s, 0.975) A
 
 
 @query("paired_bootstrap", "T1", sql("""
-SELECT d.method, count(*) AS days, round(avg(d.delta), 6) AS mean, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi
-FROM dd d JOIN ci USING (method) GROUP BY d.method""", *METH, DELTA, BOOT.format(stat="avg(x.delta)"), CI))
+SELECT a.method, a.days, round(a.mean, 6) AS mean, round(c.lo, 6) AS lo, round(c.hi, 6) AS hi
+FROM (SELECT method, count(*) AS days, avg(delta) AS mean FROM dd GROUP BY method) a JOIN ci c ON c.method = a.method""",
+    *METH, DELTA, BOOT.format(stat="avg(x.delta)"), CI))
 def paired_bootstrap(spark, d) -> DataFrame:
     out = ds.bootstrap_mean(deltas(spark, d), ["method"], n_boot=BOOTS)
     return out.select("method", F.col("days").cast("long").alias("days"), r6("mean"), r6("lo"), r6("hi"))
 
 
 @query("weighted_block_bootstrap", "T2", sql("""
-SELECT d.method, round(sum(log_loss * n) / sum(n), 6) AS mean, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi
-FROM dd d JOIN ci USING (method) GROUP BY d.method""",
+SELECT a.method, round(a.mean, 6) AS mean, round(c.lo, 6) AS lo, round(c.hi, 6) AS hi
+FROM (SELECT method, sum(log_loss * n) / sum(n) AS mean FROM dd GROUP BY method) a JOIN ci c ON c.method = a.method""",
     *METH, DELTA, BOOT.format(stat="sum(x.log_loss * x.n) / sum(x.n)"), CI))
 def weighted_block_bootstrap(spark, d) -> DataFrame:
     out = ds.bootstrap_weighted(deltas(spark, d), ["method"], "log_loss", "n", BOOTS)
@@ -59,16 +60,16 @@ def weighted_block_bootstrap(spark, d) -> DataFrame:
 
 
 @query("moving_block_bootstrap", "T3", sql("""
-SELECT d.method, round(avg(delta), 6) AS mean, round(any_value(mlo), 6) AS lo, round(any_value(mhi), 6) AS hi
-FROM dd d LEFT JOIN mci USING (method) GROUP BY d.method""", *METH, DELTA, MBB))
+SELECT a.method, round(a.mean, 6) AS mean, round(c.mlo, 6) AS lo, round(c.mhi, 6) AS hi
+FROM (SELECT method, avg(delta) AS mean FROM dd GROUP BY method) a LEFT JOIN mci c ON c.method = a.method""", *METH, DELTA, MBB))
 def moving_block_bootstrap(spark, d) -> DataFrame:
     out = ds.bootstrap_blocks(deltas(spark, d), ["method"], n_boot=BOOTS)
     return out.select("method", r6("mean"), r6("lo"), r6("hi"))
 
 
 @query("ratio_bootstrap", "T4", sql("""
-SELECT d.method, round(sum(log_loss) / sum(base_loss), 6) AS ratio, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi
-FROM dd d JOIN ci USING (method) GROUP BY d.method""",
+SELECT a.method, round(a.ratio, 6) AS ratio, round(c.lo, 6) AS lo, round(c.hi, 6) AS hi
+FROM (SELECT method, sum(log_loss) / sum(base_loss) AS ratio FROM dd GROUP BY method) a JOIN ci c ON c.method = a.method""",
     *METH, DELTA, BOOT.format(stat="sum(x.log_loss) / sum(x.base_loss)"), CI))
 def ratio_bootstrap(spark, d) -> DataFrame:
     out = ds.bootstrap_ratio(deltas(spark, d), ["method"], "log_loss", "base_loss", BOOTS)
@@ -141,12 +142,13 @@ def holm(spark, d) -> DataFrame:
 
 
 @query("day_summary", "T9", sql(f"""
-SELECT d.method, count(*) AS days, round(avg(delta), 6) AS mean, round(quantile_cont(delta, 0.5), 6) AS median,
-  round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi, round(any_value(mlo), 6) AS mbb_lo, round(any_value(mhi), 6) AS mbb_hi,
-  count(*) FILTER (delta < 0) AS won, round(max(delta), 6) AS worst,
-  round(any_value(lmin), 6) AS loo_min, round(any_value(lmax), 6) AS loo_max
-FROM (SELECT * REPLACE (round(delta, 10) AS delta) FROM dd) d JOIN ci USING (method) JOIN mci USING (method)
-JOIN (SELECT method, min(loo) AS lmin, max(loo) AS lmax FROM loo GROUP BY method) USING (method) GROUP BY d.method""",
+SELECT a.method, a.days, round(a.mean, 6) AS mean, round(a.med, 6) AS median, round(c.lo, 6) AS lo, round(c.hi, 6) AS hi,
+  round(m.mlo, 6) AS mbb_lo, round(m.mhi, 6) AS mbb_hi, a.won, round(a.worst, 6) AS worst,
+  round(l.lmin, 6) AS loo_min, round(l.lmax, 6) AS loo_max
+FROM (SELECT method, count(*) AS days, avg(delta) AS mean, quantile_cont(delta, 0.5) AS med, max(delta) AS worst,
+             count(*) FILTER (round(delta, 10) < 0) AS won FROM dd GROUP BY method) a
+JOIN ci c ON c.method = a.method JOIN mci m ON m.method = a.method
+JOIN (SELECT method, min(loo) AS lmin, max(loo) AS lmax FROM loo GROUP BY method) l ON l.method = a.method""",
     *METH, DELTA, BOOT.format(stat="avg(x.delta)"), CI, MBB, LOO))
 def day_summary(spark, d) -> DataFrame:
     rounded = deltas(spark, d).withColumn("delta", F.round("delta", 10))
@@ -157,10 +159,10 @@ def day_summary(spark, d) -> DataFrame:
 
 
 @query("paired_table", "T10", sql("""
-SELECT d.method, round(avg(log_loss), 6) AS mean_loss, round(avg(delta), 6) AS mean_gain, round(any_value(lo), 6) AS lo,
-  round(any_value(hi), 6) AS hi, any_value(won) AS won, any_value(lost) AS lost, any_value(tied) AS tied,
-  round(100 * avg(delta) / avg(base_loss), 6) AS rel_pct
-FROM dd d JOIN ci USING (method) JOIN wins USING (method) GROUP BY d.method""",
+SELECT a.method, round(a.ml, 6) AS mean_loss, round(a.md, 6) AS mean_gain, round(c.lo, 6) AS lo, round(c.hi, 6) AS hi,
+  w.won, w.lost, w.tied, round(100 * a.md / a.mb, 6) AS rel_pct
+FROM (SELECT method, avg(log_loss) AS ml, avg(delta) AS md, avg(base_loss) AS mb FROM dd GROUP BY method) a
+JOIN ci c ON c.method = a.method JOIN wins w ON w.method = a.method""",
     *METH, DELTA, BOOT.format(stat="avg(x.delta)"), CI, WINS))
 def paired_table(spark, d) -> DataFrame:
     rows = deltas(spark, d)
@@ -172,18 +174,18 @@ def paired_table(spark, d) -> DataFrame:
 
 
 # The four cells of the factorial: history rule x equal mixing.
-CELLS4 = {"none": "expanding", "mixed": "uniform5", "short": "roll3", "both": "roll7"}
-EFFECTS = {"mix_given_long": ("mixed", "none"), "mix_given_short": ("both", "short"),
-           "short_given_none": ("short", "none"), "short_given_mix": ("both", "mixed")}
+CELLS4 = {"c00": "expanding", "c01": "uniform5", "c10": "roll3", "c11": "roll7"}
+EFFECTS = {"mix_given_long": ("c01", "c00"), "mix_given_short": ("c11", "c10"),
+           "short_given_none": ("c10", "c00"), "short_given_mix": ("c11", "c01")}
 _EFF = " UNION ALL ".join(f"SELECT '{k}' AS method, day, {a} - {b} AS delta FROM w4" for k, (a, b) in EFFECTS.items())
-_EFF += " UNION ALL SELECT 'interaction', day, (both - short) - (mixed - none) FROM w4"
+_EFF += " UNION ALL SELECT 'interaction', day, (c11 - c10) - (c01 - c00) FROM w4"
 W4 = "w4 AS (SELECT day, " + ", ".join(f"max(log_loss) FILTER (method = '{m}') AS {c}" for c, m in CELLS4.items()) + " FROM pd GROUP BY day)"
 
 
 @query("factorial_2x2", "T11", sql("""
-SELECT d.method AS effect, round(avg(delta), 6) AS mean, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi,
-       count(*) FILTER (round(delta, 10) < 0) AS neg_days
-FROM dd d JOIN ci USING (method) GROUP BY d.method""", *METH, W4, f"""dd AS (SELECT *,
+SELECT a.method AS effect, round(a.mean, 6) AS mean, round(c.lo, 6) AS lo, round(c.hi, 6) AS hi, a.neg_days
+FROM (SELECT method, avg(delta) AS mean, count(*) FILTER (round(delta, 10) < 0) AS neg_days FROM dd GROUP BY method) a
+JOIN ci c ON c.method = a.method""", *METH, W4, f"""dd AS (SELECT *,
   row_number() OVER (PARTITION BY method ORDER BY day) - 1 AS j, count(*) OVER (PARTITION BY method) AS m FROM ({_EFF}))""",
     BOOT.format(stat="avg(x.delta)"), CI))
 def factorial_2x2(spark, d) -> DataFrame:
@@ -191,7 +193,7 @@ def factorial_2x2(spark, d) -> DataFrame:
     wide = fx.per_day(spark, d).groupBy("day").pivot("method", list(CELLS4.values())).agg(F.max("log_loss"))
     wide = wide.select("day", *[F.col(m).alias(c) for c, m in CELLS4.items()])
     effects = {k: F.col(a) - F.col(b) for k, (a, b) in EFFECTS.items()}
-    effects["interaction"] = (F.col("both") - F.col("short")) - (F.col("mixed") - F.col("none"))
+    effects["interaction"] = (F.col("c11") - F.col("c10")) - (F.col("c01") - F.col("c00"))
     rows = wide.select("day", F.inline(F.array(*[
         F.struct(F.lit(k).alias("effect"), v.alias("delta")) for k, v in effects.items()])))
     neg = rows.groupBy("effect").agg(F.count_if(F.round("delta", 10) < 0).alias("neg_days"))
