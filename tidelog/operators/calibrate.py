@@ -272,7 +272,7 @@ def newton_intercepts(tally: DataFrame, keys: list[str], radius: float = 1.0, ro
     the driver holds one number per key.
     """
     spark = tally.sparkSession
-    tally = tally.persist()
+    tally = settle(tally)
     schema = ", ".join(f"{k} int" for k in keys) + ", b double"
     current = {tuple(r): 0.0 for r in tally.select(*keys).distinct().collect()}
     moving = set(current)
@@ -290,7 +290,6 @@ def newton_intercepts(tally: DataFrame, keys: list[str], radius: float = 1.0, ro
             if abs(new - r["b"]) < 1e-9:
                 moving.discard(key)
             current[key] = new
-    tally.unpersist()
     return literal_rows(spark, [(*key, b) for key, b in current.items()], schema)
 
 

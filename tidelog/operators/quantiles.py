@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.session import literal_rows
+from tidelog.session import literal_rows, settle
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
@@ -22,7 +21,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     """
     spark = df.sparkSession
     kinds = dict(df.dtypes)
-    base = df.select(*keys, F.col(value).cast("double").alias("_v")).persist(StorageLevel.MEMORY_AND_DISK)
+    base = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    base = settle(base)
     totals = base.groupBy(*keys).agg(F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     found: dict[tuple, float] = {}
     open_: dict[tuple, dict] = {}
@@ -62,7 +62,6 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
                         state.update(lo=b)
                     break
                 seen += count
-    base.unpersist()
     out = {}
     for key, n in sizes.items():
         values = []
