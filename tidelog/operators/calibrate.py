@@ -99,21 +99,29 @@ def ops_day(pdf: pd.DataFrame, configs: list[OpsConfig], start: np.ndarray) -> t
 OPS_PATH = "cfg string, day int, block int, a double, b double, step int, n_matured double"
 
 
-def ops_path(stats: DataFrame, configs: list[OpsConfig]) -> DataFrame:
-    """State used in every block: (cfg, day, block, a, b, step, n_matured).
+def ops_path(stats: DataFrame, configs: list[OpsConfig], keys: list[str] | None = None) -> DataFrame:
+    """State used in every block: (cfg, day, block, a, b, step, n_matured), per string key if given.
 
     Without carry-over days are independent groups. With carry-over the days
     form a chain: days are replayed in jobs of bounded size and only the final
     intercept of each configuration passes from one job to the next.
     """
+    keys = keys or []
     if any(c.carry for c in configs):
+        if keys:
+            raise ValueError("carry-over replays one stream at a time")
         return _chained(stats, _OpsChain(configs), OPS_PATH)
+    names = [c.split()[0] for c in OPS_PATH.split(", ")]
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         path, _ = ops_day(pdf, configs, np.zeros(len(configs)))
-        return pd.DataFrame(path, columns=[c.split()[0] for c in OPS_PATH.split(", ")])
+        out = pd.DataFrame(path, columns=names)
+        for key in keys:
+            out[key] = pdf[key].iloc[0]
+        return out
 
-    return stats.groupBy("day").applyInPandas(replay, OPS_PATH)
+    schema = ", ".join([OPS_PATH, *[f"{k} string" for k in keys]])
+    return stats.groupBy(*keys, "day").applyInPandas(replay, schema)
 
 
 class _OpsChain:
