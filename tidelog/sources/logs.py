@@ -28,7 +28,11 @@ DELIMITED_SCHEMA = T.StructType([
 
 def events_log(spark: SparkSession, folder: str) -> DataFrame:
     """Second-resolution impression log with auction columns."""
-    raw = spark.read.parquet(f"{folder}/events.parquet")
+    return impressions(spark.read.parquet(f"{folder}/events.parquet"))
+
+
+def impressions(raw: DataFrame) -> DataFrame:
+    """Raw events (batch or stream) as impressions."""
     ts = F.col("ts")
     clicked = F.col("event_type").isin("click", "purchase")
     bought = (F.col("event_type") == "purchase").cast("int")
