@@ -17,14 +17,14 @@ def _sum(v: Column) -> Column:
 
 
 def day_arrays(df: DataFrame, keys: list[str], values: list[str], order: str = "day") -> DataFrame:
-    """One row per key: arrays of the values in day order, and their length ``m``."""
+    """One row per key: arrays of the values in day order, and their length ``_m``."""
     usable = df
     for v in values:
         usable = usable.filter(F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double")))
     seq = F.sort_array(F.collect_list(F.struct(order, *[F.col(v).cast("double").alias(v) for v in values])))
     grouped = usable.groupBy(*keys).agg(seq.alias("_s")) if keys else usable.agg(seq.alias("_s"))
     return grouped.select(*keys, *[F.col("_s").getField(v).alias(v) for v in values],
-                          F.size("_s").alias("m"))
+                          F.size("_s").alias("_m"))
 
 
 def draw(boot: Column, j: Column, size: Column) -> Column:
@@ -33,12 +33,12 @@ def draw(boot: Column, j: Column, size: Column) -> Column:
 
 
 def _resamples(arrays: DataFrame, n_boot: int) -> DataFrame:
-    return arrays.filter("m > 0").crossJoin(arrays.sparkSession.range(n_boot).withColumnRenamed("id", "_boot"))
+    return arrays.filter("_m > 0").crossJoin(arrays.sparkSession.range(n_boot).withColumnRenamed("id", "_boot"))
 
 
 def _pick(values: str) -> Column:
-    spots = F.sequence(F.lit(0), F.col("m") - 1)
-    return F.transform(spots, lambda j: F.element_at(values, draw(F.col("_boot"), j, F.col("m")) + 1))
+    spots = F.sequence(F.lit(0), F.col("_m") - 1)
+    return F.transform(spots, lambda j: F.element_at(values, draw(F.col("_boot"), j, F.col("_m")) + 1))
 
 
 def _interval(boots: DataFrame, keys: list[str], stat: str) -> DataFrame:
@@ -54,7 +54,7 @@ def bootstrap_mean(df: DataFrame, keys: list[str], value: str = "delta", n_boot:
     """Mean over days and its percentile interval under resampling of whole days."""
     arrays = day_arrays(df, keys, [value])
     boots = _resamples(arrays, n_boot).select(*keys, _mean(_pick(value)).alias("_stat"))
-    point = arrays.select(*keys, F.col("m").alias("days"), _mean(F.col(value)).alias("mean"))
+    point = arrays.select(*keys, F.col("_m").alias("days"), _mean(F.col(value)).alias("mean"))
     return _join(point, _interval(boots, keys, "_stat"), keys)
 
 
@@ -63,7 +63,7 @@ def bootstrap_ratio(df: DataFrame, keys: list[str], num: str, den: str, n_boot:
     arrays = day_arrays(df, keys, [num, den])
     boots = _resamples(arrays, n_boot).select(
         *keys, F.try_divide(_sum(_pick(num)), _sum(_pick(den))).alias("_stat"))
-    point = arrays.select(*keys, F.col("m").alias("days"),
+    point = arrays.select(*keys, F.col("_m").alias("days"),
                           F.try_divide(_sum(F.col(num)), _sum(F.col(den))).alias("ratio"))
     return _join(point, _interval(boots, keys, "_stat"), keys)
 
@@ -77,13 +77,13 @@ def bootstrap_blocks(df: DataFrame, keys: list[str], value: str = "delta", block
                      n_boot: int = 1000) -> DataFrame:
     """Moving-block bootstrap of consecutive days; null bounds below two blocks."""
     arrays = day_arrays(df, keys, [value])
-    enough = arrays.filter(F.col("m") >= 2 * block)
-    n_starts = F.col("m") - block + 1
-    starts = F.transform(F.sequence(F.lit(0), F.ceil(F.col("m") / block).cast("int") - 1),
+    enough = arrays.filter(F.col("_m") >= 2 * block)
+    n_starts = F.col("_m") - block + 1
+    starts = F.transform(F.sequence(F.lit(0), F.ceil(F.col("_m") / block).cast("int") - 1),
                          lambda j: draw(F.col("_boot"), j, n_starts))
-    taken = F.slice(F.flatten(F.transform(starts, lambda s: F.slice(F.col(value), s + 1, block))), F.lit(1), F.col("m"))
+    taken = F.slice(F.flatten(F.transform(starts, lambda s: F.slice(F.col(value), s + 1, block))), F.lit(1), F.col("_m"))
     boots = _resamples(enough, n_boot).select(*keys, _mean(taken).alias("_stat"))
-    point = arrays.select(*keys, F.col("m").alias("days"), _mean(F.col(value)).alias("mean"))
+    point = arrays.select(*keys, F.col("_m").alias("days"), _mean(F.col(value)).alias("mean"))
     interval = _interval(boots, keys, "_stat")
     return _join(point, interval, keys)
 
