@@ -16,7 +16,7 @@ HEADLINE = [
     "window_report", "rate_expert", "candidate_bank", "matured_bank", "day_metrics", "comparison_table",
     "adaptive_window", "arw_daily", "correctness_ema", "softmax_ema", "hedge_discounted", "fixed_share", "learn_alpha",
     "global_blend", "diff_forgetting", "context_gate", "multi_gate", "adaptive_persistence", "simplex_mix",
-    "block_tokens", "asof_history", "ops_block_predictions", "ons_stream", "anchored_share", "dualtime_online",
+    "block_tokens", "asof_history", "ops_block_predictions", "ons_stream", "anchored_share", "online_learner",
     "calibration_suite", "linear_frontier", "paced_auction", "paired_bootstrap", "rolling_origin", "nested_passes",
 ]
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import blocks as bl
 from tidelog.operators import checks as ck
-from tidelog.operators import dual as du
+from tidelog.operators import online as on
 from tidelog.operators import features as fe
 from tidelog.operators import history as hi
 from tidelog.operators import learners as le
@@ -80,21 +80,21 @@ def learner(spark):
                         "q": rng.uniform(0.2, 0.6, n), "campaign": rng.integers(0, 4, n)})
     pdf["click"] = (rng.random(n) < pdf["q"]).astype(int)
     rows = spark.createDataFrame(pdf).withColumn("sketch", fe.signed_sketch(["campaign"], 2))
-    return du.learner_rows(rows, 3600, 1800, 2)
+    return on.learner_rows(rows, 3600, 1800, 2)
 
 
 def test_block_jobs_equal_day_tasks(learner, monkeypatch):
-    a = {(r["day"], r["block"]): r["w"] for r in du.weight_path(learner, 3600, 4, 1.0).collect()}
+    a = {(r["day"], r["block"]): r["w"] for r in on.weight_path(learner, 3600, 4, 1.0).collect()}
     monkeypatch.setattr(du, "ONE_TASK_ROWS", 0)
-    b = {(r["day"], r["block"]): r["w"] for r in du.weight_path(learner, 3600, 4, 1.0).collect()}
+    b = {(r["day"], r["block"]): r["w"] for r in on.weight_path(learner, 3600, 4, 1.0).collect()}
     assert set(a) == set(b)
     for key in a:
         assert np.allclose(a[key], b[key], atol=1e-9) and np.linalg.norm(a[key]) <= 1 + 1e-9
 
 
 def test_learner_starts_at_the_frozen_prediction(learner):
-    path = du.weight_path(learner, 3600, 4, 1.0)
-    out = du.predict(learner, path, 4).join(learner.select("row_id", "z", "block"), "row_id").filter("block = 0").collect()
+    path = on.weight_path(learner, 3600, 4, 1.0)
+    out = on.predict(learner, path, 4).join(learner.select("row_id", "z", "block"), "row_id").filter("block = 0").collect()
     for r in out:
         assert abs(r["p"] - 1 / (1 + np.exp(-r["z"]))) < 1e-9
 

@@ -3,8 +3,10 @@
 The gradient of a logit-scale correction depends on the rows only through
 (block, maturity, z, n, clicks). Spark reduces the log to that table; the
 recursion of the state runs on it day by day and emits the state *used* in each
-block, which is joined back to the rows as a column expression. Rounding z to
-``Z_DIGITS`` bounds the table by the number of blocks, whatever the log's size.
+block, which is joined back to the rows as a column expression. A day's part of
+the table is counted before it goes to one task; where continuous predictions
+make it too large, z is rounded (for the gradient only, never for predictions)
+until the number of blocks times the number of z steps bounds it.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from tidelog.functions import timeaxis as ta
 from tidelog.session import attach, literal_rows, running_total, settle
 
 Z_DIGITS = 12
-MAX_JOB_ROWS = 2_000_000
+MAX_JOB_ROWS = 2_000_000  # aggregated rows one chained replay job may hold
+MAX_DAY_ROWS = 2_000_000  # aggregated rows one day may hold before z is rounded
 
 
 @dataclass(frozen=True)
@@ -63,6 +66,19 @@ def block_stats(rows: DataFrame, block_sec: int, delay_sec: int, p: str = "q", z
         F.count("*").cast("double").alias("n"), F.sum("click").cast("double").alias("clicks"))
 
 
+def bounded(stats: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Settled table in which no day exceeds MAX_DAY_ROWS, by rounding z to 4, 3 or 2 digits if it must be."""
+    cols = [c for c in stats.columns if c not in ("z", "n", "clicks")]
+    stats = settle(stats)
+    for digits in (4, 3, 2):
+        top = stats.groupBy(*(keys or []), "day").count().agg(F.max("count")).first()[0]
+        if top is None or top <= MAX_DAY_ROWS:
+            break
+        stats = settle(stats.groupBy(*cols, F.round("z", digits).alias("z")).agg(
+            F.sum("n").alias("n"), F.sum("clicks").alias("clicks")))
+    return stats
+
+
 def _sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0)))
 
@@ -121,7 +137,7 @@ def ops_path(stats: DataFrame, configs: list[OpsConfig], keys: list[str] | None
         return out
 
     schema = ", ".join([OPS_PATH, *[f"{k} string" for k in keys]])
-    return stats.groupBy(*keys, "day").applyInPandas(replay, schema)
+    return bounded(stats, keys).groupBy(*keys, "day").applyInPandas(replay, schema)
 
 
 class _OpsChain:
@@ -148,7 +164,7 @@ def _chained(stats: DataFrame, chain, schema: str) -> DataFrame:
     the previous day that mature after midnight are read again from the table.
     """
     spark = stats.sparkSession
-    stats = settle(stats)
+    stats = bounded(stats)
     sizes = sorted((r["day"], r["count"]) for r in stats.groupBy("day").count().collect())
     chunks, rows = [], MAX_JOB_ROWS + 1
     for day, size in sizes:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import scoring as sc
 from tidelog.functions import timeaxis as ta
-from tidelog.session import literal_rows
+from tidelog.session import literal_rows, settle
 
 # Nominal horizons in days, None = all earlier days.
 HORIZONS = {"roll1": 1, "roll3": 3, "roll7": 7, "roll14": 14, "expanding": None}
@@ -55,7 +55,8 @@ def effective_experts(bounds: DataFrame) -> DataFrame:
 def training_volume(day_counts: DataFrame, bounds: DataFrame) -> DataFrame:
     """Rows each rule trains on, from the per-day counts (one row per day)."""
     hist = day_counts.select(F.col("day").alias("e"), "n")
-    joined = bounds.join(hist, (F.col("e") >= F.col("lo")) & (F.col("e") < F.col("hi")), "left")
+    days = F.when(F.col("hi") > F.col("lo"), F.sequence(F.col("lo"), F.col("hi") - 1))
+    joined = bounds.withColumn("e", F.explode_outer(days)).join(hist, "e", "left")
     return joined.groupBy("day", "expert", "ord").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_train"))
 
 
@@ -173,6 +174,7 @@ def learn_forgetting(cells: DataFrame, keys: list[str], days: list[int], val_win
     probe; the driver keeps one bracket per day.
     """
     spark = cells.sparkSession
+    cells = settle(cells)
     ratio = (math.sqrt(5.0) - 1) / 2
     state = {}
     for t in days:

@@ -105,8 +105,9 @@ def fit_bank(tallies: DataFrame, bounds: DataFrame, columns: list[str], alpha: f
     fit is possible, instead of nothing.
     """
     tallies = settle(tallies)
-    hist = tallies.withColumnRenamed("day", "e")
-    rows = bounds.join(hist, (F.col("e") >= F.col("lo")) & (F.col("e") <= F.col("hi")))
+    # the range join as an equi-join: a window lists its days, the last one being the day to score
+    listed = bounds.withColumn("e", F.explode(F.sequence("lo", "hi")))
+    rows = tallies.withColumnRenamed("day", "e").join(listed, "e")
     if matured:
         rows = rows.filter((F.col("e") != F.col("hi") - 1) | F.col("early"))
     sizes = rows.groupBy("day", "lo", "hi").count().collect()

@@ -11,7 +11,7 @@ from tidelog.operators import features as fe
 from tidelog.operators import history as hi
 from tidelog.plans import fixtures as fx
 from tidelog.plans.registry import query, r6
-from tidelog.plans.sqlbase import BASE, DL, BANKL, EXPERTS, IMP, LONG, METH, lg, ll, sg, sql
+from tidelog.plans.sqlbase import BASE, EXPERTS, IMP, LONG, METH, lg, ll, sg, sql
 
 TOKEN_COLUMNS = ["campaign", "cat1", "grp"]
 CONTEXT_COLUMNS = ["campaign", "cat1"]

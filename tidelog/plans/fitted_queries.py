@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import scoring as sc
 from tidelog.functions import timeaxis as ta
 from tidelog.operators import calibrate as ca
-from tidelog.operators import dual as du
+from tidelog.operators import online as on
 from tidelog.operators import history as hi
 from tidelog.operators import learners as le
 from tidelog.operators import selection as se
@@ -138,19 +138,19 @@ def calib_ablations(spark, d) -> DataFrame:
     return out.groupBy("variant").agg(F.sum("n").cast("long").alias("n"), r6(F.sum("s") / F.sum("n"), "loss"))
 
 
-DUAL_M, DUAL_CROSS = 4, 8
+LEARNER_M, LEARNER_CROSS = 4, 8
 
 
 def _learner(spark, d) -> DataFrame:
-    return settle(du.learner_rows(wq.token_rows(spark, d, m=DUAL_M), wq.BLOCK, wq.DELAY, DUAL_M))
+    return settle(on.learner_rows(wq.token_rows(spark, d, m=LEARNER_M), wq.BLOCK, wq.DELAY, LEARNER_M))
 
 
-@query("dualtime_online", "C14")
-def dualtime_online(spark, d) -> DataFrame:
+@query("online_learner", "C14")
+def online_learner(spark, d) -> DataFrame:
     """Projected online gradient on context-by-history features: daily loss and final weight norm."""
     rows = _learner(spark, d)
-    path = settle(du.weight_path(rows, wq.BLOCK, DUAL_CROSS, 1.0))
-    scored = du.predict(rows, path, DUAL_CROSS)
+    path = settle(on.weight_path(rows, wq.BLOCK, LEARNER_CROSS, 1.0))
+    scored = on.predict(rows, path, LEARNER_CROSS)
     loss = scored.groupBy("day").agg(F.count("*").alias("n"), r6(F.avg(sc.log_loss(F.col("click"), F.col("p"))), "loss"))
     last = path.filter(F.col("block") == ta.blocks_per_day(wq.BLOCK) - 1)
     norm = F.sqrt(F.aggregate("w", F.lit(0.0), lambda acc, x: acc + x * x))
@@ -160,7 +160,7 @@ def dualtime_online(spark, d) -> DataFrame:
 @query("linear_adapter", "C15")
 def linear_adapter(spark, d) -> DataFrame:
     """Offset regression on past days: penalty by the one-standard-error rule on inner days, scored on held-out days."""
-    rows = du.feature_vectors(_learner(spark, d), DUAL_CROSS)
+    rows = on.feature_vectors(_learner(spark, d), LEARNER_CROSS)
     rows = settle(rows.select("row_id", "day", "click", "z", "phi")).withColumn("features", array_to_vector("phi"))
     parts = sp.holdout(rows.select("day").distinct(), 0.7)
     fit_days = sorted(r["day"] for r in parts.filter("part = 'fit'").collect())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import hashing as hs
 from tidelog.functions import scoring as sc
 from tidelog.operators import history as hi
+from tidelog.session import attach
 from tidelog.sources import logs
 
 WARMUP_DAYS = 3
@@ -42,7 +43,7 @@ def bank_rows(spark: SparkSession, folder: str, matured: bool = False) -> DataFr
     """Bank at row level: the log joined to the cell predictions of its day."""
     rates = hi.rate_bank(cells(spark, folder), ["campaign"], matured=matured)
     rates = rates.select("campaign", "day", *hi.WINDOW_ORDER)
-    return eligible(imp(spark, folder)).join(rates, ["campaign", "day"])
+    return attach(eligible(imp(spark, folder)), rates, ["campaign", "day"], "inner")
 
 
 def expert_tally(spark: SparkSession, folder: str, matured: bool = False) -> DataFrame:

@@ -12,7 +12,8 @@ from tidelog.operators import mixing as mx
 from tidelog.operators import splits as sp
 from tidelog.plans import fixtures as fx
 from tidelog.plans.registry import query, r6
-from tidelog.plans.sqlbase import BASE, CELLS, EXPERTS, IMP, LEN, LONG, RATES, ll, rates, sql
+from tidelog.plans.sqlbase import BASE, CELLS, EXPERTS, IMP, LEN, LONG, rates, sql
+from tidelog.session import settle
 
 _REG = ", ".join(f"('{e}', {i}, {LEN[e] if LEN[e] < 1000 else 'NULL'}, CAST(NULL AS INTEGER))"
                  for i, e in enumerate(EXPERTS))
@@ -127,7 +128,7 @@ def diff_forgetting_grid(spark, d) -> DataFrame:
 @query("diff_forgetting", "H10")
 def diff_forgetting(spark, d) -> DataFrame:
     """Learned forgetting rate, its half-life, and the loss of the refit on the prediction day."""
-    cells = fx.cells(spark, d).persist()
+    cells = settle(fx.cells(spark, d))
     days = [r["day"] for r in cells.select("day").distinct().filter(F.col("day") >= 6).collect()]
     learned = hi.learn_forgetting(cells, ["campaign"], sorted(days))
     rates_ = hi.forgetting_rates(cells, ["campaign"], learned)

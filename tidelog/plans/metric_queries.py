@@ -13,7 +13,7 @@ from tidelog.operators import metrics as me
 from tidelog.operators import splits as sp
 from tidelog.plans import fixtures as fx
 from tidelog.plans.registry import query, r6
-from tidelog.plans.sqlbase import BASE, BANKL, IMP, METH, REC, SEEDED, lg, ll, rates, sql
+from tidelog.plans.sqlbase import BASE, BANKL, METH, REC, SEEDED, lg, ll, rates, sql
 from tidelog.session import literal_rows
 
 ECE_SQL = """ece AS (

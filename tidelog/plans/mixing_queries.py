@@ -13,7 +13,7 @@ from tidelog.operators import splits as sp
 from tidelog.plans import fixtures as fx
 from tidelog.plans.metric_queries import INNER
 from tidelog.plans.registry import query, r6
-from tidelog.plans.sqlbase import BANK, BANKL, BASE, CELLS, EXPERTS, IMP, LONG, ll, rates, sql
+from tidelog.plans.sqlbase import BANKL, BASE, EXPERTS, LONG, ll, sql
 from tidelog.session import literal_rows
 
 K = len(EXPERTS)

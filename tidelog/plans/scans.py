@@ -12,7 +12,7 @@ from tidelog.operators import history as hi
 from tidelog.operators import splits as sp
 from tidelog.plans import fixtures as fx
 from tidelog.plans.registry import query, r6
-from tidelog.plans.sqlbase import BASE, IMP, METH, SEED, SEEDED, sql
+from tidelog.plans.sqlbase import BASE, IMP, METH, SEEDED, sql
 from tidelog.session import ensure_checkpoint_dir, running_total
 from tidelog.sources import logs, sinks
 

@@ -20,7 +20,7 @@ from tidelog.plans import within_queries as wq
 from tidelog.plans.history_queries import BOUNDS, REG, _bounds
 from tidelog.plans.metric_queries import INNER
 from tidelog.plans.registry import query, r6
-from tidelog.plans.sqlbase import BANKL, BASE, EXPERTS, IMP, LONG, METH, SEEDED, lg, ll, sg, sql
+from tidelog.plans.sqlbase import BANKL, BASE, EXPERTS, IMP, LONG, METH, SEEDED, ll, sg, sql
 
 
 def _days(spark, d) -> DataFrame:
@@ -83,7 +83,6 @@ def mixture_daily(spark, d) -> DataFrame:
         F.sum("n").alias("n"), F.sum(sc.tally_loss(F.col("n"), F.col("clicks"), F.col("p"))).alias("s"))
 
 
-_HP = " + ".join(f"max(coalesce(h.w, 0.2)) FILTER (h.expert = '{e}') * b.{e}" for e in EXPERTS)
 HMIX = f"""hwf AS (SELECT g.day, g.eta, g.half_life, {', '.join(f"coalesce(max(w) FILTER (expert = '{e}'), 0.2) AS w_{e}" for e in EXPERTS)}
   FROM (SELECT DISTINCT day, eta, half_life FROM hl) g LEFT JOIN hw USING (day, eta, half_life) GROUP BY g.day, g.eta, g.half_life),
 hp AS (SELECT w.eta, w.half_life, b.day, b.sec, b.click, {' + '.join(f'w.w_{e} * b.{e}' for e in EXPERTS)} AS p

@@ -11,7 +11,7 @@ from tidelog.operators import history as hi
 from tidelog.operators import metrics as me
 from tidelog.plans import fixtures as fx
 from tidelog.plans.registry import query, r6
-from tidelog.plans.sqlbase import EXPERTS, METH, SEEDED, ll, sql
+from tidelog.plans.sqlbase import METH, SEEDED, ll, sql
 
 BASELINE = "expanding"
 BOOTS = 1000

@@ -10,11 +10,10 @@ from tidelog.functions import timeaxis as ta
 from tidelog.operators import blocks as bl
 from tidelog.operators import calibrate as ca
 from tidelog.operators import features as fe
-from tidelog.operators import history as hi
 from tidelog.plans import fixtures as fx
 from tidelog.plans.feature_queries import TOKEN_COLUMNS, sketch_cte
 from tidelog.plans.registry import query, r6
-from tidelog.plans.sqlbase import BASE, IMP, lg, ll, sg, sql
+from tidelog.plans.sqlbase import BASE, lg, ll, sg, sql
 
 BLOCK, DELAY = 3600, 1800
 M = 2  # sketch dimension of the tokens
