@@ -85,7 +85,7 @@ def learner(spark):
 
 def test_block_jobs_equal_day_tasks(learner, monkeypatch):
     a = {(r["day"], r["block"]): r["w"] for r in on.weight_path(learner, 3600, 4, 1.0).collect()}
-    monkeypatch.setattr(du, "ONE_TASK_ROWS", 0)
+    monkeypatch.setattr(on, "ONE_TASK_ROWS", 0)
     b = {(r["day"], r["block"]): r["w"] for r in on.weight_path(learner, 3600, 4, 1.0).collect()}
     assert set(a) == set(b)
     for key in a:

@@ -69,6 +69,11 @@ def cell_counts(imp: DataFrame, keys: list[str], delay_sec: int = ta.LABEL_DELAY
         F.sum(F.when(tail, F.col("click")).otherwise(0)).alias("k_tail"))
 
 
+def roll_up(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Coarser cells from finer ones, so that both come from one pass over the log."""
+    return counted.groupBy(*keys, "day").agg(*[F.sum(c).alias(c) for c in ("n", "clicks", "n_tail", "k_tail")])
+
+
 def smoothed(clicks: Column, n: Column, prior: float = PRIOR_RATE, strength: float = PRIOR_STRENGTH) -> Column:
     return (clicks + prior * strength) / (n + strength)
 

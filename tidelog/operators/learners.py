@@ -69,6 +69,18 @@ def fit_window(tallies: DataFrame, day: int, lo: int, columns: list[str], half_l
     return None if model is None else predict_mllib(model, tallies.filter(F.col("day") == day), columns, width)
 
 
+def fit_windows(tallies: DataFrame, day: int, rules: dict[str, tuple[int, float | None]], columns: list[str],
+                alpha: float = ALPHA, width: int = HASH_WIDTH, threads: int = 4) -> dict[str, DataFrame]:
+    """Fits of one day under several rules {name: (lo, half_life)}, submitted from a few driver threads."""
+    def one(rule):
+        lo, half_life = rule
+        return fit_window(tallies, day, lo, columns, half_life, alpha, width)
+
+    with ThreadPoolExecutor(threads) as pool:
+        fitted = dict(zip(rules, pool.map(one, rules.values())))
+    return {name: scored for name, scored in fitted.items() if scored is not None}
+
+
 def _one_hot(pdf: pd.DataFrame, columns: list[str]) -> np.ndarray:
     parts = []
     for c in columns:

@@ -12,8 +12,11 @@ TRAIN_FRAC = 60 / 116
 DEV_FRAC = 21 / 116
 
 
-def day_axis(imp: DataFrame) -> DataFrame:
-    return imp.groupBy("day").agg(F.count("*").alias("n"), F.sum("click").alias("clicks"))
+def day_axis(log: DataFrame) -> DataFrame:
+    """(day, n, clicks) from the log, or from daily cell counts when those exist already."""
+    if "n" in log.columns:
+        return log.groupBy("day").agg(F.sum("n").alias("n"), F.sum("clicks").alias("clicks"))
+    return log.groupBy("day").agg(F.count("*").alias("n"), F.sum("click").alias("clicks"))
 
 
 def dev_test(days: DataFrame, warmup: int, test_frac: float) -> DataFrame:

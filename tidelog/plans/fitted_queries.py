@@ -33,14 +33,10 @@ def tallies(spark, d) -> DataFrame:
 @query("fit_predict", "H6")
 def fit_predict(spark, d) -> DataFrame:
     """All eight history rules fitted for the last day of the log, with the loss of each."""
-    rows = tallies(spark, d).persist()
     day, out = fx.LAST_DAY, None
-    rules = [(e, 0 if h is None else max(0, day - h), None) for e, h in hi.HORIZONS.items()]
-    rules += [(e, 0, float(h)) for e, h in hi.HALF_LIVES.items()]
-    for name, lo, half_life in rules:
-        scored = le.fit_window(rows, day, lo, TOKEN_COLUMNS, half_life, width=WIDTH)
-        if scored is None:
-            continue
+    rules = {e: (0 if h is None else max(0, day - h), None) for e, h in hi.HORIZONS.items()}
+    rules |= {e: (0, float(h)) for e, h in hi.HALF_LIVES.items()}
+    for name, scored in le.fit_windows(settle(tallies(spark, d)), day, rules, TOKEN_COLUMNS, width=WIDTH).items():
         part = scored.agg(F.sum("n").alias("n"), r6(F.sum(sc.tally_loss(F.col("n"), F.col("clicks"), F.col("p")))
                                                     / F.sum("n"), "loss")).withColumn("expert", F.lit(name))
         out = part if out is None else out.unionByName(part)
@@ -190,7 +186,7 @@ def nested_passes(spark, d) -> DataFrame:
     Every stage is one table over (origin, configuration); the next stage only
     sees the choice, and choices rest on labels matured by the origin.
     """
-    days = sp.day_axis(fx.imp(spark, d))
+    days = sp.day_axis(fx.cells(spark, d))
     pairs = settle(sp.inner_days(days, days.filter(F.col("day") >= fx.FIRST_TEST), 3, fx.FIRST_ELIGIBLE)
                    .select("origin", "inner_day"))
     early = ta.matured_by_midnight(F.col("sec"))

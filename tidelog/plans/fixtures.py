@@ -22,8 +22,8 @@ SEED_FRACTION = 0.8
 METHODS = [*hi.WINDOW_ORDER, "uniform5"]
 
 
-def imp(spark: SparkSession, folder: str) -> DataFrame:
-    return logs.events_log(spark, folder)
+def imp(spark: SparkSession, folder: str, first_day: int | None = None) -> DataFrame:
+    return logs.events_log(spark, folder, first_day)
 
 
 def cells(spark: SparkSession, folder: str, keys: list[str] | None = None) -> DataFrame:
@@ -43,7 +43,7 @@ def bank_rows(spark: SparkSession, folder: str, matured: bool = False) -> DataFr
     """Bank at row level: the log joined to the cell predictions of its day."""
     rates = hi.rate_bank(cells(spark, folder), ["campaign"], matured=matured)
     rates = rates.select("campaign", "day", *hi.WINDOW_ORDER)
-    return attach(eligible(imp(spark, folder)), rates, ["campaign", "day"], "inner")
+    return attach(imp(spark, folder, FIRST_ELIGIBLE), rates, ["campaign", "day"], "inner")
 
 
 def expert_tally(spark: SparkSession, folder: str, matured: bool = False) -> DataFrame:
@@ -51,12 +51,20 @@ def expert_tally(spark: SparkSession, folder: str, matured: bool = False) -> Dat
     return hi.long_bank(wide, hi.WINDOW_ORDER, ["campaign", "day", "n", "clicks"])
 
 
+def with_rates(counted: DataFrame, matured: bool = False) -> DataFrame:
+    """Finer tallies of the eligible days with their campaign's rates; the log is aggregated once for both."""
+    rates = hi.rate_bank(hi.roll_up(counted, ["campaign"]), ["campaign"], matured=matured)
+    return eligible(counted).join(rates.select("campaign", "day", *hi.WINDOW_ORDER), ["campaign", "day"])
+
+
 def method_tally(spark: SparkSession, folder: str, **extra) -> DataFrame:
     """The five experts and their equal mix, as tallies per (method, day, campaign, extra columns)."""
-    log = imp(spark, folder)
-    counted = hi.cell_counts(log.withColumns(extra) if extra else log, ["campaign", *extra])
-    rates = hi.rate_bank(cells(spark, folder), ["campaign"]).select("campaign", "day", *hi.WINDOW_ORDER)
-    wide = hi.uniform_mix(eligible(counted).join(rates, ["campaign", "day"]), hi.WINDOW_ORDER)
+    if extra:
+        counted = hi.cell_counts(imp(spark, folder).withColumns(extra), ["campaign", *extra])
+        wide = with_rates(counted)
+    else:
+        wide = wide_cells(spark, folder)
+    wide = hi.uniform_mix(wide, hi.WINDOW_ORDER)
     keep = ["campaign", "day", "n", "clicks", *extra]
     return hi.long_bank(wide, METHODS, keep).withColumnRenamed("expert", "method")
 

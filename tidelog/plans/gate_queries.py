@@ -42,12 +42,8 @@ PERIODIC_GATE = ga.GateSpec("periodic", "multi", MULTI + _at("sin_phase", "cos_p
 def feature_rows(spark, d, matured: bool = False) -> DataFrame:
     """Tallies per (day, campaign, cat1, maturity) with every gate input; identical rows are counted, not repeated."""
     log = fx.imp(spark, d).withColumn("early", ta.matured_by_midnight(F.col("sec")))
-    counted = fx.eligible(log).groupBy("day", *KEYS).agg(
-        F.count("*").alias("n"), F.sum("click").alias("clicks"),
-        F.max((F.col("grp") == "B").cast("int")).alias("grp01"))
-    cells = fx.cells(spark, d)
-    rate = hi.rate_bank(cells, ["campaign"], matured=matured).select("campaign", "day", *EXPERTS)
-    rows = counted.join(rate, ["campaign", "day"])
+    log = log.withColumn("grp01", (F.col("grp") == "B").cast("int"))
+    rows = fx.with_rates(hi.cell_counts(log, [*KEYS, "grp01"]), matured)
     losses = fx.day_losses(hi.long_bank(rows, EXPERTS, ["day", "n", "clicks"]))
     rows = fe.multi_features(rows, fe.previous_day(losses, "expert", EXPERTS), EXPERTS, fx.LAST_DAY)
     period = mx.cycle_length(losses.filter(F.col("expert") == hi.LONG), 3, 7, min_acf=0.1) \
@@ -224,7 +220,7 @@ def beta_sweep(spark, d) -> DataFrame:
     specs = [ga.PersistSpec(f"b{b:.2f}", columns=MULTI + CONTEXT, experts=ALL, adaptive=False, fixed_beta=b)
              for b in (0.0, 0.25, 0.5, 0.75, 1.0)]
     trace = _trace(spark, _persist(spark, d, specs))
-    days = sp.day_axis(fx.imp(spark, d)).select("day", "n")
+    days = sp.day_axis(fx.cells(spark, d)).select("day", "n")
     return sweep_report(trace.select("method", "day", "loss").join(days, "day"))
 
 

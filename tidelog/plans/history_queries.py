@@ -25,11 +25,11 @@ BOUNDS = """bounds AS (SELECT d.day, r.expert, r.ord,
 
 
 def _bounds(spark, d) -> DataFrame:
-    return hi.history_bounds(sp.day_axis(fx.imp(spark, d)).select("day"), hi.expert_registry(spark))
+    return hi.history_bounds(sp.day_axis(fx.cells(spark, d)).select("day"), hi.expert_registry(spark))
 
 
 def _volume(spark, d, names: list[str]) -> DataFrame:
-    days = sp.day_axis(fx.imp(spark, d))
+    days = sp.day_axis(fx.cells(spark, d))
     out = hi.training_volume(days, _bounds(spark, d).filter(F.col("expert").isin(names)))
     return out.select("day", "expert", "n_train")
 
@@ -67,7 +67,7 @@ SELECT d.day, r.expert, r.ord, CAST(r.win AS DOUBLE) AS window_days, CAST(r.hl A
 FROM (SELECT DISTINCT day FROM imp WHERE day >= 4) d CROSS JOIN reg r""", IMP, REG))
 def build_candidates(spark, d) -> DataFrame:
     """Every (prediction day, rule) pair to be fitted."""
-    days = fx.eligible(sp.day_axis(fx.imp(spark, d))).select("day")
+    days = fx.eligible(sp.day_axis(fx.cells(spark, d))).select("day")
     return days.crossJoin(F.broadcast(hi.expert_registry(spark))).select(
         "day", "expert", "ord", F.col("window_days").cast("double").alias("window_days"), "half_life")
 
@@ -117,7 +117,7 @@ SELECT t, eta, round(loss, 6) AS loss FROM (
 def diff_forgetting_grid(spark, d) -> DataFrame:
     """Held-out loss of each forgetting rate on the last three history days, for every prediction day."""
     cells = fx.cells(spark, d)
-    days = sp.day_axis(fx.imp(spark, d)).filter(F.col("day") >= 6)
+    days = sp.day_axis(fx.cells(spark, d)).filter(F.col("day") >= 6)
     etas = sp.grid(spark, eta=ETA_GRID).select("eta")
     targets = days.crossJoin(F.broadcast(etas)).select(
         F.col("day").alias("t"), (F.col("day") - 3).alias("upto"), "eta")
@@ -147,7 +147,7 @@ JOIN (SELECT expert, sum(loss * n) / sum(n) AS loss FROM dl WHERE day >= 22 GROU
 def validation_selected(spark, d) -> DataFrame:
     """Fixed window with the lowest dev loss, and what it costs on the locked test days."""
     losses = fx.day_losses(fx.expert_tally(spark, d))
-    roles = sp.dev_test(sp.day_axis(fx.imp(spark, d)), fx.WARMUP_DAYS, fx.TEST_FRAC)
+    roles = sp.dev_test(sp.day_axis(fx.cells(spark, d)), fx.WARMUP_DAYS, fx.TEST_FRAC)
     chosen = mx.select_on(roles.filter("role = 'dev'").select("day"), losses, [])
     test = losses.join(roles.filter("role = 'test'"), "day").groupBy("expert").agg(
         (F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("test_loss"))
@@ -163,7 +163,7 @@ FROM dl d""", *LONG))
 def window_report(spark, d) -> DataFrame:
     """Daily loss of each history window, the dev-selected window and the hindsight best window."""
     losses = fx.day_losses(fx.expert_tally(spark, d))
-    roles = sp.dev_test(sp.day_axis(fx.imp(spark, d)), fx.WARMUP_DAYS, fx.TEST_FRAC)
+    roles = sp.dev_test(sp.day_axis(fx.cells(spark, d)), fx.WARMUP_DAYS, fx.TEST_FRAC)
     chosen = mx.select_on(roles.filter("role = 'dev'").select("day"), losses, []).select(
         F.col("expert").alias("_chosen"))
     best = dg.best_per(losses, ["day"]).select("day", F.col("expert").alias("_best"))

@@ -130,7 +130,7 @@ def matured_iw_loss(spark, d) -> DataFrame:
     tally = fx.method_tally(spark, d, early=early).filter(F.col("method") != "uniform5")
     daily = tally.groupBy("day", "early", "method").agg(
         F.sum("n").alias("n"), F.sum(sc.tally_loss(F.col("n"), F.col("clicks"), F.col("p"))).alias("s"))
-    days = sp.day_axis(fx.imp(spark, d))
+    days = sp.day_axis(fx.cells(spark, d))
     pairs = sp.inner_days(days, days.filter(F.col("day") >= fx.FIRST_TEST), 3, fx.FIRST_ELIGIBLE)
     lag = F.when(F.col("early"), 1).otherwise(2)
     used = pairs.join(daily, (F.col("inner_day") == F.col("day")) & (F.col("day") + lag <= F.col("origin")))

@@ -64,7 +64,7 @@ SELECT origin, expert, round(l, 6) AS loss FROM (
          row_number() OVER (PARTITION BY t.origin ORDER BY round(sum(d.loss * d.n) / sum(d.n), 10), d.ord) AS r
   FROM inner3 t JOIN dl d ON d.day = t.inner_day GROUP BY t.origin, d.expert, d.ord) WHERE r = 1""", *LONG, INNER))
 def best_fixed_inner(spark, d) -> DataFrame:
-    days = sp.day_axis(fx.imp(spark, d))
+    days = sp.day_axis(fx.cells(spark, d))
     inner = sp.inner_days(days, days.filter(F.col("day") >= fx.FIRST_TEST), 3, fx.FIRST_ELIGIBLE)
     out = mx.select_on(inner.select("origin", F.col("inner_day").alias("day")), _losses(spark, d), ["origin"])
     return out.select("origin", "expert", r6("loss"))
@@ -131,10 +131,9 @@ def adaptive_window(spark, d) -> DataFrame:
 
 def _matured_losses(spark, d) -> DataFrame:
     """Day losses on the labels that had arrived by midnight."""
-    early = fx.imp(spark, d).filter(ta.matured_by_midnight(F.col("sec")))
-    counted = fx.eligible(hi.cell_counts(early, ["campaign"]))
-    rate = hi.rate_bank(fx.cells(spark, d), ["campaign"]).select("campaign", "day", *EXPERTS)
-    return fx.day_losses(hi.long_bank(counted.join(rate, ["campaign", "day"]), EXPERTS, ["day", "n", "clicks"]))
+    log = fx.imp(spark, d).withColumn("early", ta.matured_by_midnight(F.col("sec")))
+    seen = fx.with_rates(hi.cell_counts(log, ["campaign", "early"])).filter("early")
+    return fx.day_losses(hi.long_bank(seen, EXPERTS, ["day", "n", "clicks"]))
 
 
 @query("arw_daily", "M4", _tournament_sql(

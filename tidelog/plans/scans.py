@@ -216,13 +216,13 @@ def group_split(spark, d) -> DataFrame:
 
 @query("day_slice", "P10", sql("SELECT row_id, sec, click FROM imp WHERE day = 12", IMP))
 def day_slice(spark, d) -> DataFrame:
-    return fx.imp(spark, d).filter(F.col("day") == 12).select("row_id", "sec", "click")
+    return logs.events_log(spark, d, 12, 12).select("row_id", "sec", "click")
 
 
 @query("day_role", "P11", sql("""
 SELECT i.day, CASE WHEN i.day < 16 THEN 'train' WHEN i.day < 21 THEN 'dev' ELSE 'test' END AS role,
        count(*) AS n, round(avg(click), 6) AS ctr FROM imp i GROUP BY i.day""", IMP))
 def day_role(spark, d) -> DataFrame:
-    days = sp.day_axis(fx.imp(spark, d))
+    days = sp.day_axis(fx.cells(spark, d))
     return days.join(sp.three_way(days, warmup=4), "day").select(
         "day", "role", "n", r6(F.col("clicks") / F.col("n"), "ctr"))

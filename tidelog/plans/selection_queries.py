@@ -24,7 +24,7 @@ from tidelog.plans.sqlbase import BANKL, BASE, EXPERTS, IMP, LONG, METH, SEEDED,
 
 
 def _days(spark, d) -> DataFrame:
-    return sp.day_axis(fx.imp(spark, d))
+    return sp.day_axis(fx.cells(spark, d))
 
 
 def _origins(days: DataFrame) -> DataFrame:
@@ -76,9 +76,7 @@ def mixture_daily(spark, d) -> DataFrame:
     """Daily loss sums of every mixture configuration, split by label maturity."""
     weights = mq.hedge_weights(spark, d)
     log = fx.imp(spark, d).withColumn("early", ta.matured_by_midnight(F.col("sec")))
-    counted = fx.eligible(hi.cell_counts(log, ["campaign", "early"]))
-    rate = hi.rate_bank(fx.cells(spark, d), ["campaign"]).select("campaign", "day", *EXPERTS)
-    mixed = mx.mix(counted.join(rate, ["campaign", "day"]), weights, EXPERTS, "p")
+    mixed = mx.mix(fx.with_rates(hi.cell_counts(log, ["campaign", "early"])), weights, EXPERTS, "p")
     return mixed.groupBy("eta", "half_life", "day", "early").agg(
         F.sum("n").alias("n"), F.sum(sc.tally_loss(F.col("n"), F.col("clicks"), F.col("p"))).alias("s"))
 

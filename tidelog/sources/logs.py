@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +27,23 @@ DELIMITED_SCHEMA = T.StructType([
 ])
 
 
-def events_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Second-resolution impression log with auction columns."""
-    return impressions(spark.read.parquet(f"{folder}/events.parquet"))
+def events_log(spark: SparkSession, folder: str, first_day: int | None = None,
+               last_day: int | None = None) -> DataFrame:
+    """Second-resolution impression log with auction columns.
+
+    Day bounds are stated on the raw timestamp, so they reach the Parquet scan.
+    """
+    raw = spark.read.parquet(f"{folder}/events.parquet")
+    if first_day is not None:
+        raw = raw.filter(F.col("ts") >= _midnight(first_day, raw))
+    if last_day is not None:
+        raw = raw.filter(F.col("ts") < _midnight(last_day + 1, raw))
+    return impressions(raw)
+
+
+def _midnight(day: int, raw: DataFrame):
+    at = datetime.fromisoformat(EVENTS_ORIGIN) + timedelta(days=day)
+    return F.lit(str(at)).cast(raw.schema["ts"].dataType)
 
 
 def impressions(raw: DataFrame) -> DataFrame:
