@@ -42,6 +42,16 @@ def test_no_fit_on_one_class_or_empty_history(spark):
     assert le.fit_window(t, 1, 0, ["c"]) is None
 
 
+def test_golden_section_finds_a_minimum():
+    assert abs(le.golden_section(lambda x: (x - 0.7) ** 2, 0.0, 3.0, 20) - 0.7) < 1e-3
+
+
+def test_forgetting_fit_needs_history(tallies):
+    assert le.fit_forgetting(tallies, 4, ["c", "g"]) is None
+    eta, scored = le.fit_forgetting(tallies, 4, ["c", "g"], val_window=2, evaluations=3, width=2 ** 8)
+    assert 0.0 <= eta <= 3.0 and scored.filter("p IS NULL").count() == 0
+
+
 def test_rate_bank_windows_by_hand(spark):
     cells = spark.createDataFrame([("a", 0, 10, 4, 2, 1), ("a", 1, 5, 0, 1, 0), ("a", 3, 2, 2, 0, 0)],
                                   "campaign string, day int, n long, clicks long, n_tail long, k_tail long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.history import NOMINAL_DAYS
@@ -12,7 +12,7 @@ from tidelog.session import literal_rows
 TIE_DIGITS = 10
 
 
-def ranked_key(loss: str = "loss"):
+def ranked_key(loss: str = "loss") -> Column:
     return F.round(F.col(loss), TIE_DIGITS)
 
 
@@ -22,7 +22,7 @@ def best_per(losses: DataFrame, keys: list[str], name: str = "expert", loss: str
     return losses.groupBy(*keys).agg(pick.alias("_b")).select(*keys, f"_b.{name}", f"_b.{loss}")
 
 
-def nominal_days(name) -> F.Column:
+def nominal_days(name: Column) -> Column:
     pairs = [x for k, v in NOMINAL_DAYS.items() for x in (F.lit(k), F.lit(v))]
     return F.element_at(F.create_map(*pairs), name)
 

@@ -17,7 +17,9 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.functions import scoring as sc
 from tidelog.operators.features import HASH_WIDTH, hashed_vector
+from tidelog.operators.history import ETA_BOUNDS
 from tidelog.session import settle
 
 ALPHA = 1e-4
@@ -69,6 +71,54 @@ def fit_window(tallies: DataFrame, day: int, lo: int, columns: list[str], half_l
     return None if model is None else predict_mllib(model, tallies.filter(F.col("day") == day), columns, width)
 
 
+def fit_forgetting(tallies: DataFrame, day: int, columns: list[str], val_window: int = 3, evaluations: int = 12,
+                   alpha: float = ALPHA, width: int = HASH_WIDTH) -> tuple[float, DataFrame] | None:
+    """Learned forgetting rate with the fitted model: (eta, scored day), or None with too little history.
+
+    Golden-section search on the loss of the last ``val_window`` history days;
+    every evaluation is one weighted distributed fit on the days before them.
+    The final fit uses all history.
+    """
+    hist = sorted(r["day"] for r in tallies.filter(F.col("day") < day).select("day").distinct().collect())
+    if len(hist) < 2 * val_window:
+        return None
+    cut = hist[-val_window]
+    train, held = tallies.filter(F.col("day") < cut), tallies.filter(F.col("day").between(cut, day - 1))
+
+    def weight(eta: float) -> Column:
+        return F.exp(-eta * (F.lit(day) - F.col("day")))
+
+    def loss(eta: float) -> float:
+        model = fit_mllib(train, columns, weight(eta), alpha, width)
+        if model is None:
+            return float("inf")
+        scored = predict_mllib(model, held, columns, width)
+        return scored.agg(F.sum(sc.tally_loss(F.col("n"), F.col("clicks"), F.col("p"))) / F.sum("n")).first()[0]
+
+    eta = golden_section(loss, *ETA_BOUNDS, evaluations)
+    model = fit_mllib(tallies.filter(F.col("day") < day), columns, weight(eta), alpha, width)
+    if model is None:
+        return None
+    return eta, predict_mllib(model, tallies.filter(F.col("day") == day), columns, width)
+
+
+def golden_section(f, lo: float, hi: float, evaluations: int) -> float:
+    """Minimiser of a one-dimensional function after a fixed number of evaluations."""
+    ratio = (5.0 ** 0.5 - 1) / 2
+    a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
+    fa, fb = f(a), f(b)
+    for _ in range(evaluations - 2):
+        if fa <= fb:
+            hi, b, fb = b, a, fa
+            a = hi - ratio * (hi - lo)
+            fa = f(a)
+        else:
+            lo, a, fa = a, b, fb
+            b = lo + ratio * (hi - lo)
+            fb = f(b)
+    return a if fa <= fb else b
+
+
 def fit_windows(tallies: DataFrame, day: int, rules: dict[str, tuple[int, float | None]], columns: list[str],
                 alpha: float = ALPHA, width: int = HASH_WIDTH, threads: int = 4) -> dict[str, DataFrame]:
     """Fits of one day under several rules {name: (lo, half_life)}, submitted from a few driver threads."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,16 @@ def fit_predict(spark, d) -> DataFrame:
     return out
 
 
+@query("forgetting_fit", "H10")
+def forgetting_fit(spark, d) -> DataFrame:
+    """Forgetting rate learned with the fitted model for the last day, its half-life, and the day's loss."""
+    eta, scored = le.fit_forgetting(settle(tallies(spark, d)), fx.LAST_DAY, TOKEN_COLUMNS, width=WIDTH)
+    loss = F.sum(sc.tally_loss(F.col("n"), F.col("clicks"), F.col("p"))) / F.sum("n")
+    return scored.agg(F.sum("n").alias("n"), r6(loss, "loss")).select(
+        F.lit(fx.LAST_DAY).alias("t"), F.round(F.lit(eta), 6).alias("eta"),
+        F.round(F.lit(float(np.log(2.0) / eta) if eta > 1e-9 else None).cast("double"), 6).alias("half_life"), "n", "loss")
+
+
 def _fitted(spark, d, matured: bool) -> DataFrame:
     bounds = fx.eligible(_bounds(spark, d))
     fits = le.fit_bank(tallies(spark, d), bounds.select("day", "lo", "hi").distinct(), TOKEN_COLUMNS,

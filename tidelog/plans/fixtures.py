@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidelog.functions import hashing as hs
 from tidelog.functions import scoring as sc
 from tidelog.operators import history as hi
-from tidelog.session import attach
+from tidelog.plans.registry import SHARED
+from tidelog.session import attach, settle
 from tidelog.sources import logs
 
 WARMUP_DAYS = 3
@@ -26,8 +27,12 @@ def imp(spark: SparkSession, folder: str, first_day: int | None = None) -> DataF
     return logs.events_log(spark, folder, first_day)
 
 
-def cells(spark: SparkSession, folder: str, keys: list[str] | None = None) -> DataFrame:
-    return hi.cell_counts(imp(spark, folder), keys or ["campaign"])
+def cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily counts per campaign. The log is aggregated once per query; every later use reads the small table."""
+    key = ("cells", folder)
+    if key not in SHARED:
+        SHARED[key] = settle(hi.cell_counts(imp(spark, folder), ["campaign"]))
+    return SHARED[key]
 
 
 def eligible(df: DataFrame) -> DataFrame:
@@ -53,6 +58,7 @@ def expert_tally(spark: SparkSession, folder: str, matured: bool = False) -> Dat
 
 def with_rates(counted: DataFrame, matured: bool = False) -> DataFrame:
     """Finer tallies of the eligible days with their campaign's rates; the log is aggregated once for both."""
+    counted = settle(counted)
     rates = hi.rate_bank(hi.roll_up(counted, ["campaign"]), ["campaign"], matured=matured)
     return eligible(counted).join(rates.select("campaign", "day", *hi.WINDOW_ORDER), ["campaign", "day"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +14,20 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 SURVEY_IDS: dict[str, str] = {}
 
+# Tables settled by the running query and shared by its parts; emptied when a query starts.
+SHARED: dict[tuple, DataFrame] = {}
+
 
 def query(name: str, survey_id: str, sql: str | None = None):
     def register(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"query {name!r} registered twice")
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            SHARED.clear()
+            return fn(spark, folder)
+
+        QUERIES[name] = run
         SURVEY_IDS[name] = survey_id
         if sql is not None:
             ORACLES[name] = sql

@@ -12,7 +12,7 @@ from tidelog.plans import fixtures as fx
 from tidelog.plans import within_queries as wq
 from tidelog.plans.registry import query, r6
 from tidelog.plans.sqlbase import BASE, IMP, ll, sql
-from tidelog.session import settle
+from tidelog.session import attach
 from tidelog.sources import logs
 from tidelog.streaming import jobs
 
@@ -29,7 +29,7 @@ def impressions(spark, d) -> DataFrame:
 def frozen(spark, d) -> DataFrame:
     """Stream joined to the predictions frozen at the start of each day (a static table)."""
     rate = hi.rate_bank(fx.cells(spark, d), ["campaign"]).select("campaign", "day", *hi.WINDOW_ORDER)
-    return fx.eligible(impressions(spark, d)).join(settle(rate), ["campaign", "day"])
+    return attach(fx.eligible(impressions(spark, d)), rate, ["campaign", "day"], "inner")
 
 
 def _z(spark, d) -> DataFrame:
