@@ -67,18 +67,18 @@ al AS (SELECT method, sum(cost) * 0.25 AS budget, sum(cost) * 0.25 / count(DISTI
 SELECT r.method, r.day, round(coalesce(sum(cost) FILTER (cum <= allowance), 0), 4) AS spend, count(*) FILTER (cum <= allowance) AS impressions,
   CAST(coalesce(sum(click) FILTER (cum <= allowance), 0) AS BIGINT) AS clicks,
   CAST(coalesce(sum(conversion) FILTER (cum <= allowance), 0) AS BIGINT) AS conversions,
-  round(any_value(allowance) - coalesce(sum(cost) FILTER (cum <= allowance), 0), 4) AS allowance_after
+  round(any_value(allowance) - coalesce(sum(cost) FILTER (cum <= allowance), 0), 8) AS allowance_after
 FROM rk r JOIN al a ON a.method = r.method GROUP BY r.method, r.day""", *BASE, REC, BID, RANK))
 def paced_auction(spark, d) -> DataFrame:
     rows = bids(spark, d)
     out = au.paced_auction(au.ranked_by_efficiency(rows, ["method"]), ["method"], au.daily_allowance(rows, ["method"], 0.25))
-    return out.select("method", "day", r4("spend"), "impressions", "clicks", "conversions", r4("allowance_after"))
+    return out.select("method", "day", r4("spend"), "impressions", "clicks", "conversions", F.round("allowance_after", 8).alias("allowance_after"))
 
 
 @query("paced_auction_carry", "B2", sql("""
 SELECT c.method, c.day, round(spent, 4) AS spend, (SELECT count(*) FROM rk r WHERE r.method = c.method AND r.day = c.day AND r.cum <= c.spent + 1e-9) AS impressions,
   CAST(coalesce((SELECT sum(click) FROM rk r WHERE r.method = c.method AND r.day = c.day AND r.cum <= c.spent + 1e-9), 0) AS BIGINT) AS clicks,
-  round(left_over, 4) AS allowance_after
+  round(left_over, 8) AS allowance_after
 FROM cr c WHERE c.day >= 22""", *BASE, REC, BID, RANK, """
 cr AS (SELECT method, allowance, CAST(21 AS INTEGER) AS day, 0.0::DOUBLE AS spent, 0.0::DOUBLE AS left_over FROM al
   UNION ALL SELECT method, allowance, CAST(day + 1 AS INTEGER), spent, now - spent FROM (
@@ -89,7 +89,7 @@ def paced_auction_carry(spark, d) -> DataFrame:
     rows = bids(spark, d)
     out = au.paced_auction_carry(au.ranked_by_efficiency(rows, ["method"]), ["method"],
                                  au.daily_allowance(rows, ["method"], 0.25))
-    return out.select("method", "day", r4("spend"), "impressions", "clicks", r4("allowance_after"))
+    return out.select("method", "day", r4("spend"), "impressions", "clicks", F.round("allowance_after", 8).alias("allowance_after"))
 
 
 @query("outcome_sums", "B3", sql("""
