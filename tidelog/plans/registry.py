@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.session import ship_package
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -24,6 +26,7 @@ def query(name: str, survey_id: str, sql: str | None = None):
             raise ValueError(f"query {name!r} registered twice")
         @functools.wraps(fn)
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
             SHARED.clear()
             return fn(spark, folder)
 
