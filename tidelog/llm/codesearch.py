@@ -125,11 +125,11 @@ def op8(vectors: DataFrame) -> DataFrame:
 
 SQL = """
 with coded as (
-  select vec_id, list_transform(embedding, x -> x > 0) as code from embeddings
+  select vec_id, [x > 0 for x in embedding] as code from embeddings
   where vec_id is not null and embedding is not null),
 pairs as (
   select q.vec_id as query_id, n.vec_id as neighbor_id,
-    cast(len(list_filter(range(1, 65), i -> q.code[i] <> n.code[i])) as bigint) as distance
+    cast(len([i for i in range(1, 65) if q.code[i] <> n.code[i]]) as bigint) as distance
   from coded q join coded n on q.vec_id % 100 = 0 and q.vec_id <> n.vec_id),
 ranked as (
   select *, row_number() over (partition by query_id order by distance, neighbor_id) as rank from pairs)
