@@ -13,10 +13,12 @@ one for every 170 bytes. Three steps, each exact:
    more whose occurrences differ in the byte to the left is a maximal repeat,
    put out with all its occurrences.
 
-An anchor with more than ``SHARD_UNITS`` different units (a passage that many
-texts surround) would make a shard too large; its windows are counted by hash
-over all tasks instead, with the same result. Hashes are 64 bits and compared
-only within one anchor.
+Equal windows have their anchor at the same offset, so a shard's suffixes are
+sorted offset by offset, a bounded number at a time. An anchor with more than
+``SHARD_UNITS`` different units (a passage that very many texts surround) would
+still make a shard too large; its windows are counted by hash over all tasks
+instead, with the same result. Hashes are 64 bits and compared only within one
+anchor.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ from tidelog.llm.common import ready, stash
 
 LENGTH = 400
 ANCHOR = 64
-SHARD_UNITS = 256
+SHARD_UNITS = 4096
+SORTED_AT_ONCE = 1 << 14
 CHUNK = 1 << 21
 UNIT = "d long, place long, h long, u long"
 LOW = np.uint64(0xFFFFFFFF)
@@ -85,12 +88,14 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1:width - 1 + n])
 
 
-def unit_runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR
-              ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, anchor hash, unit hash) of the units of texts laid end to end; ``ends`` are their ends."""
+def unit_runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """(first window, windows, bytes before the anchor, anchor hash, unit hash) of the units of texts laid end to end.
+
+    ``ends`` are the ends of the texts.
+    """
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
-        return none, none, none, none
+        return none, none, none, none, none
     prints = Prints(data)
     at = np.arange(len(data) - anchor + 1)
     grams = prints.of(at, at + anchor)
@@ -107,22 +112,29 @@ def unit_runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, anchor:
     new[1:] &= ~inside[:-1] | (picked[1:] != picked[:-1])
     first = p[new]
     if not len(first):
-        return none, none, none, none
+        return none, none, none, none, none
     stop = np.flatnonzero(inside & np.append(~inside[1:] | new[1:], True))
     windows = stop - first + 1
     h = grams[picked[first]]
-    shape = ((picked[first] - first) << 32 | windows).astype(np.uint64)
+    lead = picked[first] - first
+    shape = (lead << 32 | windows).astype(np.uint64)
     u = mixed(prints.of(first, stop + length) ^ mixed(shape))
-    return first, windows, h.view(np.int64), u.view(np.int64)
+    return first, windows, lead, h.view(np.int64), u.view(np.int64)
+
+
+#: A place packs the unit's first window (32 bits), its windows and the bytes before its anchor (9 each), and a mark (14).
+FIELD, MARK_BITS = 9, 14
 
 
 def check(raw: bytes) -> int:
-    """20 bits of the text, which tell rows with the same id apart."""
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=3).digest(), "little") & 0xFFFFF
+    """The mark: a few bits of the text, which tell rows with the same id apart."""
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=2).digest(), "little") & (1 << MARK_BITS) - 1
 
 
-def placed(start: int, windows: int, mark: int) -> int:
-    return start << 32 | windows << 20 | mark
+def unpacked(place: int) -> tuple[int, int, int, int]:
+    """(first window, windows, bytes before the anchor, mark)."""
+    ones = (1 << FIELD) - 1
+    return place >> 32, place >> MARK_BITS + FIELD & ones, place >> MARK_BITS & ones, place & (1 << MARK_BITS) - 1
 
 
 def _units(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -131,11 +143,11 @@ def _units(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         """parts: (id, mark, where the part starts in its text, bytes)."""
         data = np.frombuffer(b"".join(x[3] for x in parts), dtype=np.uint8)
         ends = np.cumsum([len(x[3]) for x in parts])
-        first, windows, h, u = unit_runs(data, ends, length)
+        first, windows, lead, h, u = unit_runs(data, ends, length)
         own = np.searchsorted(ends, first, side="right")
         begin = np.concatenate([[0], ends[:-1]])
         ids, marks, shift = (np.array([x[i] for x in parts], dtype=np.int64) for i in range(3))
-        place = (first - begin[own] + shift[own]) << 32 | windows << 20 | marks[own]
+        place = (first - begin[own] + shift[own]) << 32 | windows << MARK_BITS + FIELD | lead << MARK_BITS | marks[own]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[own], place, h, u)], ["d", "place", "h", "u"])
 
     parts, size = [], 0
@@ -156,32 +168,79 @@ def _units(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield told(parts)
 
 
-def maximal_repeats(texts: list[bytes], windows: list[int], length: int = LENGTH
-                    ) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(repeat length, occurrences (text, start)) of the maximal repeats among the first windows of the texts.
+def suffix_arrays(texts: list[bytes], windows: list[int], leads: list[int]) -> Iterator[list[tuple[bytes, int, int]]]:
+    """Sorted suffixes (bytes, text, start) of the first windows of the texts.
 
-    The suffixes that start in a window are sorted; a stack holds the open
-    common-prefix intervals while the array is read once. An interval is put out
-    when it closes, if it is long enough and the bytes before its occurrences
-    differ (a start has no byte before it and differs from all).
+    ``leads``: bytes before the anchor. Suffixes whose anchor lies equally far
+    ahead come together, as many offsets at a time as SORTED_AT_ONCE allows.
     """
-    suffixes = sorted((text[at:], i, at) for i, text in enumerate(texts) for at in range(windows[i]))
-    stack: list[tuple[int, int]] = []  # (common prefix, first position) of open intervals, longer ones on top
+    by_offset: dict[int, list[tuple[int, int]]] = {}
+    for i, (n, lead) in enumerate(zip(windows, leads, strict=True)):
+        for at in range(n):
+            by_offset.setdefault(lead - at, []).append((i, at))
+    held: list[tuple[int, int]] = []
+    for _, starts in sorted(by_offset.items()):
+        if len(starts) > 1:
+            held += starts
+            if len(held) >= SORTED_AT_ONCE:
+                yield sorted((texts[i][at:], i, at) for i, at in held)
+                held = []
+    if held:
+        yield sorted((texts[i][at:], i, at) for i, at in held)
+
+
+def maximal_repeats(texts: list[bytes], suffixes: list[tuple[bytes, int, int]], length: int = LENGTH
+                    ) -> Iterator[tuple[int, int, int]]:
+    """(repeat length, first, after the last): the maximal repeats of a suffix array, each a run of all its occurrences.
+
+    A stack holds the open common-prefix intervals while the array is read once,
+    each with the byte to the left that its occurrences share so far, or None if
+    they differ (a text's start has none and differs from all). An interval is
+    put out when it closes, inner ones first, if its left bytes differ.
+    """
+    def before(position: int) -> int | None:
+        _, i, at = suffixes[position]
+        return texts[i][at - 1] if at else None
+
+    stack: list[list] = []  # [common prefix, first position, shared byte to the left], longer prefixes on top
     for position in range(1, len(suffixes) + 1):
         common = 0
         if position < len(suffixes):
             a, b = suffixes[position - 1][0], suffixes[position][0]
             if a[:length] == b[:length]:
                 common = _common(a, b)
-        left = position - 1
+        first, left = position - 1, before(position - 1)
         while stack and stack[-1][0] > common:
-            size, left = stack.pop()
-            places = [(i, at) for _, i, at in suffixes[left:position]]
-            before = {texts[i][at - 1] if at else -1 - k for k, (i, at) in enumerate(places)}
-            if len(before) > 1:
-                yield size, places
-        if common >= length and (not stack or stack[-1][0] < common):
-            stack.append((common, left))
+            size, first, shared = stack.pop()
+            left = shared if shared == left else None
+            if left is None:
+                yield size, first, position
+        if common >= length:
+            if stack and stack[-1][0] == common:
+                if stack[-1][2] != left:
+                    stack[-1][2] = None
+            else:
+                stack.append([common, first, left])
+
+
+def covered(texts: list[bytes], windows: list[int], leads: list[int], length: int = LENGTH) -> list[list[tuple[int, int]]]:
+    """For each text the merged spans that its occurrences of maximal repeats cover."""
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for suffixes in suffix_arrays(texts, windows, leads):
+        onward = list(range(len(suffixes) + 1))  # the next suffix that no inner, longer repeat has
+        for size, first, after in maximal_repeats(texts, suffixes, length):
+            position = first
+            while position < after:
+                if onward[position] == position:
+                    _, i, at = suffixes[position]
+                    spans[i].append((at, at + size))
+                    onward[position] = after
+                    position += 1
+                else:
+                    further = onward[position]
+                    onward[position] = max(further, after)
+                    position = further
+    return [merged(own, len(text)) for own, text in zip(spans, texts, strict=True)]
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -202,15 +261,10 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     names = ["d", "mark", "start", "stop"]
 
     def solved(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
-        out = []
-        texts, windows = [r[4] for r in rows], [r[2] >> 20 & 0xFFF for r in rows]
-        for size, places in maximal_repeats(texts, windows, length):
-            for i, at in places:
-                _, d, place, alone, _ = rows[i]
-                if alone:
-                    start = (place >> 32) + at
-                    out.append((d, place & 0xFFFFF, start, start + size))
-        return sorted(set(out))
+        shapes = [unpacked(r[2]) for r in rows]
+        found = covered([r[4] for r in rows], [x[1] for x in shapes], [x[2] for x in shapes], length)
+        return [(row[1], mark, start + a, start + b) for row, (start, _, _, mark), own in zip(rows, shapes, found, strict=True)
+                if row[3] for a, b in own]
 
     held: list[tuple] = []
     for batch in batches:
@@ -235,9 +289,12 @@ def _regions(texts: pd.Series, wanted: pd.Series, length: int) -> pd.Series:
     for text, places in zip(texts, wanted, strict=True):
         raw = text.encode()
         mark = check(raw)
-        out.append([{"place": w["place"], "h": w["h"], "alone": w["alone"],
-                     "raw": raw[w["place"] >> 32:(w["place"] >> 32) + (w["place"] >> 20 & 0xFFF) + length - 1]}
-                    for w in places if w["place"] & 0xFFFFF == mark])
+        found = []
+        for w in places:
+            start, windows, _, own = unpacked(w["place"])
+            if own == mark:
+                found.append({**w, "raw": raw[start:start + windows + length - 1]})
+        out.append(found)
     return pd.Series(out)
 
 
@@ -250,17 +307,17 @@ def _window_hashes(raws: pd.Series, length: int) -> pd.Series:
     return pd.Series(out)
 
 
-REGION = "array<struct<place:bigint,h:bigint,alone:boolean,raw:binary>>"
+REGION = "array<struct<place:bigint,h:bigint,alone:boolean,wide:boolean,raw:binary>>"
 
 
 def repeated_spans(texts: DataFrame, candidates: DataFrame, length: int = LENGTH,
                    shard_units: int = SHARD_UNITS) -> DataFrame:
     """(d, mark, start, stop): spans whose union is every byte that a repeated window covers.
 
-    ``texts`` (d, text) holds the documents of ``candidates``, the units whose anchor occurs more than once.
+    ``candidates`` are the units of ``texts`` (d, text) whose anchor occurs more than once.
     """
-    mark, start, windows = F.col("place").bitwiseAND(F.lit(0xFFFFF)), F.shiftright("place", 32), \
-        F.shiftright("place", 20).bitwiseAND(F.lit(0xFFF))
+    mark, start = F.col("place").bitwiseAND(F.lit((1 << MARK_BITS) - 1)), F.shiftright("place", 32)
+    windows = F.shiftright("place", MARK_BITS + FIELD).bitwiseAND(F.lit((1 << FIELD) - 1))
     classes = stash(candidates.groupBy("h", "u").agg(
         F.count("*").alias("copies"), F.min(F.struct("d", "place")).alias("one")))
     whole = candidates.join(classes.where("copies > 1").select("h", "u"), ["h", "u"], "left_semi").select(
@@ -279,17 +336,15 @@ def repeated_spans(texts: DataFrame, candidates: DataFrame, length: int = LENGTH
     def hashes(raws: pd.Series) -> pd.Series:
         return _window_hashes(raws, length)
 
-    def with_text(part: DataFrame) -> DataFrame:
-        per_doc = part.groupBy("d").agg(F.collect_list(F.struct("place", "h", "alone")).alias("wanted"))
-        return texts.join(per_doc, "d").select("d", F.explode(regions("text", "wanted")).alias("r")).select(
-            "r.h", "d", "r.place", "r.alone", "r.raw").dropDuplicates(["h", "d", "place"])
+    per_doc = needed.groupBy("d").agg(F.collect_list(F.struct("place", "h", "alone", "wide")).alias("wanted"))
+    cut = stash(texts.join(per_doc, "d").select("d", F.explode(regions("text", "wanted")).alias("r")).select(
+        "r.h", "d", "r.place", "r.alone", "r.wide", "r.raw"))
 
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sharded = with_text(needed.where("not wide")).repartition(n, "h").sortWithinPartitions("h").mapInArrow(
-        lambda batches: _shards(batches, length), "d long, mark long, start long, stop long")
+    sharded = cut.where("not wide").select("h", "d", "place", "alone", "raw").repartition(n, "h").sortWithinPartitions(
+        "h").mapInArrow(lambda batches: _shards(batches, length), "d long, mark long, start long, stop long")
 
-    windowed = with_text(needed.where("wide")).select(
-        "h", "d", "place", "alone", F.posexplode(hashes("raw")).alias("i", "w"))
+    windowed = cut.where("wide").select("h", "d", "place", "alone", F.posexplode(hashes("raw")).alias("i", "w"))
     twice = windowed.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "w")
     counted = windowed.where("alone").join(twice, ["h", "w"], "left_semi").select(
         "d", mark.alias("mark"), (start + F.col("i")).alias("start"), (start + F.col("i") + length).alias("stop"))
@@ -351,11 +406,13 @@ def cut_bytes(text: str, found: str) -> Column:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-         shard_units: int = SHARD_UNITS) -> tuple[DataFrame, DataFrame]:
-    """(documents with a repeated anchor: id, d, text, found; ids d of those documents).
+         shard_units: int = SHARD_UNITS) -> DataFrame:
+    """(id, text, found) for each row of ``docs``; a null text is empty.
 
-    ``found`` is an array of (mark, start, stop) and goes to ``cut_bytes`` or
-    ``cut_digest`` with the text. All other documents hold no repeat.
+    ``found`` is an array of (mark, start, stop), or null, and goes to
+    ``cut_bytes`` or ``cut_digest`` with the text. Rows are documents of their own
+    even if they share an id. An empty table gives an empty one. Other columns
+    are not read.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("d"),
                         F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -363,31 +420,17 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         lambda batches: _units(batches, length), UNIT))
     often = units.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     candidates = stash(units.join(often, "h", "left_semi"))
-    ids = stash(candidates.select("d").distinct())
-    texts = stash(plain.join(ids, "d", "left_semi"))
-    spans = repeated_spans(texts.select("d", "text"), candidates, length, shard_units)
+    spans = repeated_spans(plain.select("d", "text"), candidates, length, shard_units)
     per_doc = spans.groupBy("d").agg(F.collect_list(F.struct("mark", "start", "stop")).alias("found"))
-    return texts.join(per_doc, "d", "left"), ids
+    return plain.join(per_doc, "d", "left").select("id", "text", "found")
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(id, spans, kept) of the rows of ``docs`` that may hold repeats: their maximal removed runs and remaining bytes."""
-    found, _ = find(docs, id_col, text_col, **options)
+    """(id, spans, kept) of each row of ``docs``: its maximal removed runs and its remaining bytes."""
+    found = find(docs, id_col, text_col, **options)
     return found.select(F.col("id").alias(id_col), cut_bytes("text", "found").alias("c")).select(id_col, "c.*")
 
 
 def op10(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row; a null text is empty.
-
-    Rows are documents of their own even if they share an id: their windows
-    repeat each other where their texts do. Other columns are not read.
-    """
-    docs = docs.select("doc_id", "text")
-    found, ids = find(docs)
-    cut = found.select(F.col("id").alias("doc_id"), cut_digest("text", "found").alias("c")).select("doc_id", "c.*")
-    text = F.coalesce("text", F.lit(""))
-    rest = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("d"),
-                       F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
-    untouched = rest.join(ids, "d", "left_anti").select(
-        "doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256")
-    return cut.union(untouched)
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
+    return find(docs).select(F.col("id").alias("doc_id"), cut_digest("text", "found").alias("c")).select("doc_id", "c.*")
