@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -60,17 +61,16 @@ def shapes(text: str) -> Column:
     return F.pandas_udf(_shapes, "array<double>")(F.col(text))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def fit(shaped: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         label_col: str = "quality") -> tuple[list[float], float, float]:
-    """(weights, intercept, share of good labels) over all labelled documents.
+    """(weights, intercept, share of good labels) over all labelled rows of ``shaped`` (id, shape).
 
     Null labels and labels without a document count for nothing. With no labels,
     or with one kind only, the text gives no evidence: zero weights.
     """
-    told = labels.select(F.col(id_col).alias("_i"), F.col(label_col).cast("double").alias("label")).where(
-        "_i is not null and label is not null").dropDuplicates(["_i"])
-    found = ready(docs).select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).join(told, "_i")
-    rows = stash(found.select("label", shapes("_t").alias("shape")))
+    told = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).where(
+        "id is not null and label is not null").dropDuplicates(["id"])
+    rows = stash(shaped.select("id", "shape").join(told, "id").select("label", "shape"))
     n, good = rows.agg(F.count("*"), F.sum("label")).first()
     if not n or good in (0, n):
         return [0.0] * len(NAMES), 0.0, 0.5
@@ -97,55 +97,79 @@ def _strength(groups: DataFrame, mean: Column) -> float:
     return float(min(max(level / total / between - 1, STRENGTH[0]), STRENGTH[1]))
 
 
-def judge(docs: DataFrame, labels: DataFrame, site: Column, path: Column, id_col: str = "doc_id",
-          text_col: str = "text", label_col: str = "quality", prefix: str = "") -> DataFrame:
-    """``docs`` with columns evidence, site_rate, path_rate, quality (named with ``prefix``).
+def _described(docs: DataFrame, site: Column, path: Column, text_col: str, prefix: str) -> DataFrame:
+    return ready(docs).withColumns({
+        f"{prefix}shape": shapes(text_col), f"{prefix}site": F.coalesce(site.cast("string"), F.lit("\0")),
+        f"{prefix}path": F.coalesce(path.cast("string"), F.lit("\0"))})
 
-    ``quality`` is the posterior probability that the document is good. Null
-    sites and paths are groups of their own. An empty table stays empty. Rows
-    are neither lost nor repeated, whatever their ids.
+
+def learn(docs: DataFrame, labels: DataFrame, site: Column, path: Column, id_col: str = "doc_id", text_col: str = "text",
+          label_col: str = "quality") -> tuple[DataFrame, Callable[[DataFrame, str], DataFrame]]:
+    """(id, shape, site, path of each row; a function that judges rows that have these columns under a prefix).
+
+    The texts are read once. Beyond that, only shapes and grouped sums move.
     """
-    weights, intercept, share = fit(docs, labels, id_col, text_col, label_col)
-    names = {n: f"{prefix}{n}" for n in ("shape", "site", "path", "evidence", "site_rate", "path_rate", "quality")}
-    linear = F.lit(intercept)
-    for i, weight in enumerate(weights):
-        linear = linear + F.lit(weight) * F.col(names["shape"])[i]
-    scored = ready(docs).withColumn(names["shape"], shapes(text_col)).withColumns({
-        names["site"]: F.coalesce(site.cast("string"), F.lit("\0")),
-        names["path"]: F.coalesce(path.cast("string"), F.lit("\0")),
-        names["evidence"]: 1 / (1 + F.exp(-linear))}).drop(names["shape"])
-
-    paths = stash(scored.groupBy(F.col(names["site"]).alias("_site"), F.col(names["path"]).alias("_path")).agg(
-        F.count("*").alias("n"), F.sum(names["evidence"]).alias("s")))
-    sites = paths.groupBy("_site").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    described = _described(docs.select(id_col, text_col, site.alias("_site"), path.alias("_path")), F.col("_site"),
+                           F.col("_path"), text_col, "_q_")
+    shaped = stash(described.select(F.col(id_col).alias("id"), *[F.col(f"_q_{c}").alias(c) for c in ("shape", "site", "path")]))
+    weights, intercept, share = fit(shaped, labels, id_col, label_col)
+
+    def evidence(shape: str) -> Column:
+        linear = F.lit(intercept)
+        for i, weight in enumerate(weights):
+            linear = linear + F.lit(weight) * F.col(shape)[i]
+        return 1 / (1 + F.exp(-linear))
+
+    paths = stash(shaped.groupBy("site", "path").agg(F.count("*").alias("n"), F.sum(evidence("shape")).alias("s")))
+    sites = paths.groupBy("site").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total, good = sites.agg(F.sum("n"), F.sum("s")).first()
     overall = min(max(good / total, FLOOR), 1 - FLOOR) if total else 0.5
     weight = _strength(sites, F.lit(overall))
-    sites = stash(sites.select("_site", ((F.col("s") + weight * overall) / (F.col("n") + weight)).alias("_site_rate")))
-    within = paths.join(sites, "_site")
-    inner = _strength(within, F.col("_site_rate"))
-
-    own, n, s = F.col(names["evidence"]), F.col("_n"), F.col("_s")
-    rate = (s - own + inner * F.col("_site_rate")) / (n - 1 + inner)
-    bounded = F.least(F.greatest(rate, F.lit(FLOOR)), F.lit(1 - FLOOR))
-    told = F.least(F.greatest(own, F.lit(1e-9)), F.lit(1 - 1e-9))
-    posterior = _logit(told) - math.log(share / (1 - share)) + _logit(bounded)
-    groups = stash(within.select(F.col("_site").alias(names["site"]), F.col("_path").alias(names["path"]),
-                                 F.col("n").alias("_n"), F.col("s").alias("_s"), "_site_rate"))
-    return scored.join(groups, [names["site"], names["path"]], "left").withColumns({
-        names["site_rate"]: F.col("_site_rate"), names["path_rate"]: bounded,
-        names["quality"]: 1 / (1 + F.exp(-posterior))}).drop("_n", "_s", "_site_rate")
+    sites = sites.select("site", ((F.col("s") + weight * overall) / (F.col("n") + weight)).alias("site_rate"))
+    groups = stash(paths.join(sites, "site"))
+    inner = _strength(groups, F.col("site_rate"))
+
+    def judged(rows: DataFrame, prefix: str) -> DataFrame:
+        own, n, s = (F.col(f"{prefix}{c}") for c in ("evidence", "n", "s"))
+        rate = (s - own + inner * F.col(f"{prefix}site_rate")) / (n - 1 + inner)
+        bounded = F.least(F.greatest(rate, F.lit(FLOOR)), F.lit(1 - FLOOR))
+        told = F.least(F.greatest(own, F.lit(1e-9)), F.lit(1 - 1e-9))
+        posterior = _logit(told) - math.log(share / (1 - share)) + _logit(bounded)
+        sums = groups.select(*[F.col(c).alias(f"{prefix}{c}") for c in groups.columns])
+        return rows.withColumn(f"{prefix}evidence", evidence(f"{prefix}shape")).join(
+            sums, [f"{prefix}site", f"{prefix}path"], "left").withColumns({
+                f"{prefix}path_rate": bounded, f"{prefix}quality": 1 / (1 + F.exp(-posterior))}).drop(
+            *[f"{prefix}{c}" for c in ("n", "s", "shape")])
+
+    return shaped, judged
+
+
+def judge(docs: DataFrame, labels: DataFrame, site: Column, path: Column, prefix: str = "_q_", text_col: str = "text",
+          **options) -> DataFrame:
+    """``docs`` with columns evidence, site_rate, path_rate, quality (and site, path), named with ``prefix``.
+
+    ``quality`` is the posterior probability that the document is good. No column
+    of ``docs`` may start with ``prefix``. Null sites and paths are groups of
+    their own. An empty table stays empty. Rows are neither lost nor repeated,
+    whatever their ids.
+    """
+    _, judged = learn(docs, labels, site, path, text_col=text_col, **options)
+    return judged(_described(docs, site, path, text_col, prefix), prefix)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, site: Column, path: Column, threshold: float = 0.5,
               **options) -> DataFrame:
     """The rows of ``docs`` whose posterior reaches ``threshold``; columns as they were."""
-    judged = judge(docs, labels, site, path, prefix="_q_", **options)
-    return judged.where(F.col("_q_quality") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = "_q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    judged = judge(docs, labels, site, path, prefix=prefix, **options)
+    return judged.where(F.col(f"{prefix}quality") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, evidence, site_rate, path_rate, quality, kept; the site is the source, the path its language section."""
-    judged = judge(docs.select("doc_id", "text", "source", "lang"), labels, F.col("source"), F.col("lang"), prefix="_q_")
-    return judged.select("doc_id", *[F.round(f"_q_{c}", 9).alias(c) for c in (
-        "evidence", "site_rate", "path_rate", "quality")], (F.col("_q_quality") >= 0.5).alias("kept"))
+    shaped, judged = learn(docs.select("doc_id", "text", "source", "lang"), labels, F.col("source"), F.col("lang"))
+    rows = judged(shaped, "")
+    return rows.select(F.col("id").alias("doc_id"), *[F.round(c, 9).alias(c) for c in (
+        "evidence", "site_rate", "path_rate", "quality")], (F.col("quality") >= 0.5).alias("kept"))
