@@ -47,3 +47,12 @@ def text_of(col: str = "text") -> Column:
 def ascii_lower(text: str) -> str:
     """A-Z to a-z, all else untouched. Lone surrogates cannot occur in a Spark string."""
     return text.encode().lower().decode()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name

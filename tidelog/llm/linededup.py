@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import BLANKS, ascii_lower, ready, stash
+from tidelog.llm.common import BLANKS, ascii_lower, free_name, ready, stash
 
 LEAST_CHARS = 20
 LEAST_DOCS = 3
@@ -243,12 +243,13 @@ def digested(text: Column, drop: Column) -> Column:
     return F.pandas_udf(_digested, "n_lines long, n_dropped long, kept_sha256 string")(text, drop)
 
 
-def rewrite(docs: DataFrame, index: LineIndex, result: Column, id_col: str = "doc_id",
-            least_docs: int = LEAST_DOCS, out: str = "_lines") -> DataFrame:
-    """``docs`` with the struct ``out`` = ``result``, a function of the text and of the column ``_drop``."""
-    drops = stash(to_drop(index, least_docs)).select(F.col("doc_id").alias("_holder"), F.col("drop").alias("_drop"))
-    joined = docs.join(drops, F.col(id_col) == F.col("_holder"), "left")
-    return joined.withColumn(out, result).drop("_holder", "_drop")
+def rewrite(docs: DataFrame, index: LineIndex, result: Callable[[Column, Column], Column], id_col: str = "doc_id",
+            text_col: str = "text", least_docs: int = LEAST_DOCS, out: str = "lines") -> DataFrame:
+    """``docs`` with the struct ``out`` = ``result`` of the text and of the keys that its lines lose."""
+    holder, drop = free_name(docs, "holder"), free_name(docs, "drop")
+    drops = stash(to_drop(index, least_docs)).select(F.col("doc_id").alias(holder), F.col("drop").alias(drop))
+    joined = docs.join(drops, F.col(id_col) == F.col(holder), "left")
+    return joined.withColumn(out, result(F.col(text_col), F.col(drop))).drop(holder, drop)
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
@@ -260,13 +261,14 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A null text stays null. Texts of which no line is left become empty.
     """
-    done = rewrite(docs, build(docs, id_col, text_col), stripped(F.col(text_col), F.col("_drop")), id_col)
-    kept = F.when(F.col(text_col).isNotNull(), F.col("_lines.kept"))
+    out = free_name(docs, "lines")
+    done = rewrite(docs, build(docs, id_col, text_col), stripped, id_col, text_col, out=out)
+    kept = F.when(F.col(text_col).isNotNull(), F.col(out)["kept"])
     return done.withColumn(text_col, kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 for each row; rows that share a doc_id count as one document."""
     docs = docs.select("doc_id", "text")
-    done = rewrite(docs, build(docs), digested(F.col("text"), F.col("_drop")))
-    return done.select("doc_id", "_lines.n_lines", "_lines.n_dropped", "_lines.kept_sha256")
+    done = rewrite(docs, build(docs), digested)
+    return done.select("doc_id", "lines.n_lines", "lines.n_dropped", "lines.kept_sha256")
