@@ -81,29 +81,34 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, id_c
                                    for j, part in enumerate(parts)]))
 
     table = stash(index.select(dealt(F.col("code")).alias("s"), "code", "ids").select("s.*", "code", "ids"))
-    open_queries = stash(asked.select(F.col("code").alias("query")).distinct())
+    # worst: no code farther than this can be in the answer any more
+    open_queries = stash(asked.select(F.col("code").alias("query")).distinct().withColumn("worst", F.lit(bits)))
     widest = max(size for _, size in parts)
     held = None
     done = []
     for radius in range(widest + 1):
-        flips = F.expr(f"filter(sequence(0, {(1 << widest) - 1}), x -> bit_count(x) = {radius})")
-        probes = open_queries.select("query", dealt(F.col("query")).alias("s")).select(
-            "query", "s.segment", F.explode(flips).alias("flip"), "s.value").select(
-            "query", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
-        met = probes.join(table, ["segment", "value"]).select("query", "code", "ids").dropDuplicates(["query", "code"])
-        near = met.select("query", "code", F.explode("ids").alias("id"), _distance("query", "code").alias("distance"))
+        flips = F.lit([x for x in range(1 << widest) if x.bit_count() == radius])
+        probes = open_queries.select("query", "worst", dealt(F.col("query")).alias("s")).select(
+            "query", "worst", "s.segment", "s.value", F.explode(flips).alias("flip")).select(
+            "query", "worst", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+        # the probes are many times their queries: never a side to broadcast
+        met = probes.hint("merge").join(table, ["segment", "value"]).withColumn("distance", _distance("query", "code"))
+        fresh = met.where("distance <= worst").dropDuplicates(["query", "code"])
+        near = fresh.select("query", "code", F.explode("ids").alias("id"), "distance")
         if held is not None:
             near = near.union(held).dropDuplicates(["query", "code", "id"])
         best = stash(_least_ids(near, ["query"], [F.col("distance"), F.col("id"), F.col("code")], k + 1))
         # a segment narrower than the radius has shown all its values already
-        reach = sum(min(radius, size) + 1 for _, size in parts) - 1
-        if radius >= widest:
-            reach = bits
-        state = best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("worst"))
-        complete = stash(state.where((F.col("n") >= wanted) & (F.col("worst") <= reach) | F.lit(radius >= widest)).select("query"))
+        reach = bits if radius >= widest else sum(min(radius, size) + 1 for _, size in parts) - 1
+        state = best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
+        state = open_queries.join(state, "query", "left").select(
+            "query", F.when(F.col("n") >= wanted, F.col("far")).otherwise(F.lit(bits)).alias("worst"),
+            (F.coalesce(F.col("n") >= wanted, F.lit(False)) & (F.col("far") <= reach) | F.lit(radius >= widest)).alias("over"))
+        state = stash(state)
+        complete = state.where("over").select("query")
         done.append(best.join(complete, "query", "left_semi"))
-        open_queries = stash(open_queries.join(complete, "query", "left_anti"))
         held = best.join(complete, "query", "left_anti")
+        open_queries = state.where("not over").select("query", "worst")
         if not open_queries.limit(1).count():
             break
     answers = done[0]
