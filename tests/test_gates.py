@@ -94,19 +94,6 @@ PERSIST = [ga.PersistSpec("a", columns=(0, 1, 2, 3), experts=(0, 1, 2)),
            ga.PersistSpec("x", columns=(0, 1, 2, 3), experts=(0, 1, 2), per_example=True, beta_var=0.5, per_group=True)]
 
 
-def test_one_task_equals_one_job_per_gradient(table, monkeypatch):
-    small = ga.train_gates(table, SPECS)
-    trace = ga.train_persistence(table, PERSIST, STATE)
-    monkeypatch.setattr(ga, "ONE_TASK_ROWS", 0)
-    large = ga.train_gates(table, SPECS)
-    again = ga.train_persistence(table, PERSIST, STATE)
-    for day in small:
-        for a, b in zip(small[day], large[day]):
-            assert np.allclose(a, b, atol=1e-9)
-    for a, b in zip(trace, again):
-        assert abs(a["beta"] - b["beta"]) < 1e-9 and np.allclose(a["pi"], b["pi"], atol=1e-9)
-
-
 def test_first_day_is_neutral_and_the_future_does_not_leak(spark, table):
     deployed = ga.train_gates(table, SPECS)
     assert all(not t.any() for t in deployed[0])
@@ -136,26 +123,51 @@ def test_fixed_half_persistence_with_uniform_gate_stays_uniform(table):
     assert worst < 1e-12
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
-def test_simplex_weights_follow_the_definition(spark, monkeypatch, limit):
-    monkeypatch.setattr(ga, "ONE_TASK_ROWS", limit)
+def test_simplex_weights_follow_the_definition(spark):
     rng = np.random.default_rng(1)
-    good = rng.uniform(0.1, 0.9, 60).round(2)
-    pdf = pd.DataFrame({"good": good, "bad": 1 - good, "n": 100, "clicks": (100 * good).round().astype(int)})
-    got = ga.fit_simplex(spark.createDataFrame(pdf), ["good", "bad"], max_iter=40)
-    p = np.repeat(pdf[["good", "bad"]].to_numpy(), 100, axis=0)
-    y = np.concatenate([np.r_[np.ones(k), np.zeros(100 - k)] for k in pdf["clicks"]])
-    w, before = np.full(2, 0.5), np.inf
-    for t in range(1, 41):
-        m = np.clip(p @ w, 1e-12, 1 - 1e-12)
-        g = (p * (m - y)[:, None]).mean(axis=0)
-        w = w * np.exp(-4.0 / np.sqrt(t) * (g - g.min()))
-        w = w / w.sum()
-        loss = -(y * np.log(m) + (1 - y) * np.log(1 - m)).mean()
-        if abs(before - loss) < 1e-9:
-            break
-        before = loss
-    assert np.allclose(got, w, atol=1e-9) and got[0] > got[1]
+    frames = []
+    for origin in (3, 4):
+        good = rng.uniform(0.1, 0.9, 60).round(2)
+        frames.append(pd.DataFrame({"origin": origin, "good": good, "bad": 1 - good, "n": 100,
+                                    "clicks": (100 * good).round().astype(int)}))
+    fitted = ga.fit_simplex(spark.createDataFrame(pd.concat(frames)), ["good", "bad"], "origin", max_iter=40)
+    for pdf in frames:
+        got = fitted[int(pdf["origin"].iloc[0])]
+        p = np.repeat(pdf[["good", "bad"]].to_numpy(), 100, axis=0)
+        y = np.concatenate([np.r_[np.ones(k), np.zeros(100 - k)] for k in pdf["clicks"]])
+        w, before = np.full(2, 0.5), np.inf
+        for t in range(1, 41):
+            m = np.clip(p @ w, 1e-12, 1 - 1e-12)
+            g = (p * (m - y)[:, None]).mean(axis=0)
+            w = w * np.exp(-4.0 / np.sqrt(t) * g)
+            w = w / w.sum()
+            loss = -(y * np.log(m) + (1 - y) * np.log(1 - m)).mean()
+            if abs(before - loss) < 1e-9:
+                break
+            before = loss
+        assert np.allclose(got, w, atol=1e-9) and got[0] > got[1]
+
+
+def test_available_inputs_leave_out_the_tail_that_has_not_arrived(spark):
+    """The tail of day 1 is unknown on day 2 and known on day 3."""
+    rows = [(d, early, 10, k) for d, early, k in ((0, True, 4), (0, False, 2), (1, True, 5), (1, False, 1), (2, True, 3),
+                                                  (2, False, 3), (3, True, 2))]
+    df = spark.createDataFrame(rows, "day int, early boolean, n long, clicks long").select(
+        "*", *[F.lit(0.2 + 0.1 * i).alias(e) for i, e in enumerate(gq.EXPERTS)])
+    flipped = df.withColumn("clicks", F.when((F.col("day") == 1) & ~F.col("early"), F.col("n") - F.col("clicks"))
+                            .otherwise(F.col("clicks")))
+    a, b = ({r["day"]: r for r in gq.available_inputs(x, 3).collect()} for x in (df, flipped))
+    assert a[1] == b[1] and a[2] == b[2] and a[3]["loss_jump"] != b[3]["loss_jump"]
+    assert a[2]["recent_ctr"] == 0.5 and a[1]["recent_ctr"] == 0.4 and a[0]["recent_ctr"] == 0.0
+
+
+def test_time_only_persistence_knows_the_time_on_the_first_day(table):
+    spec = [ga.PersistSpec("t", columns=(0,), experts=(0, 1, 2), state=(8,))]
+    late = {d: {**row, "norm_t": 0.5 + d / 8} for d, row in STATE.items()}
+    first = ga.train_persistence(table, spec, late)
+    plain = ga.train_persistence(table, spec, STATE)
+    assert abs(first[0]["beta"] - plain[0]["beta"]) < 1e-12  # the weight of the time is still zero
+    assert abs(first[1]["beta"] - plain[1]["beta"]) > 1e-9
 
 
 def test_near_global_variant_has_almost_no_spread(spark, sf):

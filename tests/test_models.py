@@ -93,13 +93,19 @@ def learner(spark):
     return on.learner_rows(rows, 3600, 1800, 2)
 
 
-def test_block_jobs_equal_day_tasks(learner, monkeypatch):
-    a = {(r["day"], r["block"]): r["w"] for r in on.weight_path(learner, 3600, 4, 1.0).collect()}
-    monkeypatch.setattr(on, "ONE_TASK_ROWS", 0)
-    b = {(r["day"], r["block"]): r["w"] for r in on.weight_path(learner, 3600, 4, 1.0).collect()}
-    assert set(a) == set(b)
-    for key in a:
-        assert np.allclose(a[key], b[key], atol=1e-9) and np.linalg.norm(a[key]) <= 1 + 1e-9
+def test_block_jobs_follow_the_definition(learner):
+    got = {(r["day"], r["block"]): np.array(r["w"]) for r in on.weight_path(learner, 3600, 4, 1.0).collect()}
+    pdf = learner.toPandas()
+    for day, part in pdf.groupby("day"):
+        phi, w, step = on._phi(part, 4), np.zeros_like(got[(day, 0)]), 0
+        for block in range(24):
+            assert np.allclose(got[(day, block)], w, atol=1e-9) and np.linalg.norm(w) <= 1 + 1e-9
+            new = (part["upd"] == block).to_numpy()
+            if new.any():
+                step += 1
+                resid = 1 / (1 + np.exp(-(part["z"].to_numpy()[new] + phi[new] @ w))) - part["click"].to_numpy()[new]
+                w = w - phi[new].T @ resid / new.sum() / np.sqrt(step)
+                w = w / max(1.0, np.linalg.norm(w))
 
 
 def test_learner_starts_at_the_frozen_prediction(learner):

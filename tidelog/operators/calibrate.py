@@ -1,18 +1,17 @@
 """Within-day calibration of a frozen prediction under delayed labels.
 
 The gradient of a logit-scale correction depends on the rows only through
-(block, maturity, z, n, clicks). Spark reduces the log to that table; the
-recursion of the state runs on it day by day and emits the state *used* in each
-block, which is joined back to the rows as a column expression. A day's part of
-the table is counted before it goes to one task; where continuous predictions
-make it too large, z is rounded (for the gradient only, never for predictions)
-until the number of blocks times the number of z steps bounds it.
+(block, maturity, z, n, clicks). Spark reduces the log to that table and sorts
+it by the order in which labels arrive; the recursion reads it as a stream of
+batches, holds one state and the sums of the block at hand, and emits the state
+*used* in each block, which is joined back to the rows as a column expression.
+z is exact and no day is ever held in memory, whatever its size.
 """
 
 from __future__ import annotations
 
-import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +25,6 @@ from tidelog.functions import timeaxis as ta
 from tidelog.session import attach, literal_rows, running_total, settle
 
 Z_DIGITS = 12
-MAX_JOB_ROWS = 2_000_000  # aggregated rows one chained replay job may hold
-MAX_DAY_ROWS = 2_000_000  # aggregated rows one day may hold before z is rounded
 
 
 @dataclass(frozen=True)
@@ -66,50 +63,62 @@ def block_stats(rows: DataFrame, block_sec: int, delay_sec: int, p: str = "q", z
         F.count("*").cast("double").alias("n"), F.sum("click").cast("double").alias("clicks"))
 
 
-def bounded(stats: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Settled table in which no day exceeds MAX_DAY_ROWS, by rounding z to 4, 3 or 2 digits if it must be."""
-    cols = [c for c in stats.columns if c not in ("z", "n", "clicks")]
-    stats = settle(stats)
-    for digits in (4, 3, 2):
-        top = stats.groupBy(*(keys or []), "day").count().agg(F.max("count")).first()[0]
-        if top is None or top <= MAX_DAY_ROWS:
-            break
-        stats = settle(stats.groupBy(*cols, F.round("z", digits).alias("z")).agg(
-            F.sum("n").alias("n"), F.sum("clicks").alias("clicks")))
-    return stats
-
-
 def _sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0)))
 
 
-def ops_day(pdf: pd.DataFrame, configs: list[OpsConfig], start: np.ndarray) -> tuple[list[tuple], np.ndarray]:
-    """Replay one day for all configurations at once; returns the state path and the final intercepts."""
-    pdf = pdf.sort_values(["upd", "block", "z"], kind="stable")
-    upd, z, n, k = (pdf[c].to_numpy() for c in ("upd", "z", "n", "clicks"))
-    blocks = np.unique(pdf["block"].to_numpy())
-    day = int(pdf["day"].iloc[0])
-    radius = np.array([c.radius for c in configs])
-    eta0 = np.array([c.eta0 for c in configs])
-    slow = np.array([c.decay_steps for c in configs])
-    platt = np.array([c.platt for c in configs])
-    lo, hi = np.array([c.slope_lo for c in configs]), np.array([c.slope_hi for c in configs])
-    b = np.clip(start, -radius, radius)
-    a = np.ones(len(configs))
-    step, done, path = 0, 0, []
-    for block in blocks:
-        upto = int(np.searchsorted(upd, block, side="right"))
-        fresh = slice(done, upto)
-        total = float(n[fresh].sum())
-        path += [(c.name, day, int(block), float(a[i]), float(b[i]), step, total) for i, c in enumerate(configs)]
-        if total > 0:
-            step += 1
-            resid = _sigmoid(np.outer(a, z[fresh]) + b[:, None]) * n[fresh] - k[fresh]
-            eta = np.where(slow, eta0 / math.sqrt(step), eta0)
-            b = np.clip(b - eta * resid.sum(axis=1) / total, -radius, radius)
-            a = np.where(platt, np.clip(a - eta * (resid * z[fresh]).sum(axis=1) / total, lo, hi), a)
-        done = upto
-    return path, b
+def _calendar(stats: DataFrame, keys: list[str]) -> dict[tuple, list[int]]:
+    """Non-empty blocks of every (keys..., day): at most blocks-per-day numbers for each day."""
+    found = stats.select(*keys, "day", "block").distinct().collect()
+    out: dict[tuple, list[int]] = {}
+    for r in sorted(found, key=lambda r: r["block"]):
+        out.setdefault((*[r[k] for k in keys], r["day"]), []).append(r["block"])
+    return out
+
+
+def _runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Neighbouring rows with equal ``by``, batch by batch; a run that spans batches comes in parts."""
+    for pdf in batches:
+        if len(pdf):
+            codes = pdf[by].to_numpy(dtype=object)
+            cuts = np.flatnonzero((codes[1:] != codes[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(pdf)]):
+                yield tuple(codes[lo]), pdf.iloc[lo:hi]
+
+
+class _OpsState:
+    """State of all configurations within one day: intercepts, slopes, and the gradient sums of the step at hand."""
+
+    def __init__(self, configs: list[OpsConfig], start: np.ndarray):
+        self.configs = configs
+        self.radius = np.array([c.radius for c in configs])
+        self.eta0 = np.array([c.eta0 for c in configs])
+        self.slow = np.array([c.decay_steps for c in configs])
+        self.platt = np.array([c.platt for c in configs])
+        self.lo, self.hi = np.array([c.slope_lo for c in configs]), np.array([c.slope_hi for c in configs])
+        self.a, self.b, self.step = np.ones(len(configs)), np.clip(start, -self.radius, self.radius), 0
+        self._empty()
+
+    def _empty(self) -> None:
+        self.total, self.db, self.da = 0.0, np.zeros(len(self.configs)), np.zeros(len(self.configs))
+
+    def add(self, z, n, k) -> None:
+        resid = _sigmoid(np.outer(self.a, z) + self.b[:, None]) * n - k
+        self.total += float(n.sum())
+        self.db += resid.sum(axis=1)
+        self.da += (resid * z).sum(axis=1)
+
+    def rows(self, head: tuple, block: int) -> list[tuple]:
+        return [(*head, c.name, int(block), float(self.a[i]), float(self.b[i]), self.step, self.total)
+                for i, c in enumerate(self.configs)]
+
+    def move(self) -> None:
+        if self.total > 0:
+            self.step += 1
+            eta = np.where(self.slow, self.eta0 / math.sqrt(self.step), self.eta0)
+            self.b = np.clip(self.b - eta * self.db / self.total, -self.radius, self.radius)
+            self.a = np.where(self.platt, np.clip(self.a - eta * self.da / self.total, self.lo, self.hi), self.a)
+        self._empty()
 
 
 OPS_PATH = "cfg string, day int, block int, a double, b double, step int, n_matured double"
@@ -118,91 +127,70 @@ OPS_PATH = "cfg string, day int, block int, a double, b double, step int, n_matu
 def ops_path(stats: DataFrame, configs: list[OpsConfig], keys: list[str] | None = None) -> DataFrame:
     """State used in every block: (cfg, day, block, a, b, step, n_matured), per string key if given.
 
-    Without carry-over days are independent groups. With carry-over the days
-    form a chain: days are replayed in jobs of bounded size and only the final
-    intercept of each configuration passes from one job to the next.
+    A label counts for the first non-empty block at or after its update block.
+    Without carry-over days are independent and stream side by side. With
+    carry-over the days are one chain by definition and stream in order through
+    one task, which holds one state and one batch.
     """
     keys = keys or []
-    if any(c.carry for c in configs):
-        if keys:
-            raise ValueError("carry-over replays one stream at a time")
-        return _chained(stats, _OpsChain(configs), OPS_PATH)
-    names = [c.split()[0] for c in OPS_PATH.split(", ")]
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        path, _ = ops_day(pdf, configs, np.zeros(len(configs)))
-        out = pd.DataFrame(path, columns=names)
-        for key in keys:
-            out[key] = pdf[key].iloc[0]
-        return out
-
+    chained = any(c.carry for c in configs)
+    if chained and keys:
+        raise ValueError("carry-over replays one stream at a time")
+    stats = settle(stats)
+    blocks = _calendar(stats, keys)
+    carry = np.array([c.carry for c in configs])
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        end = np.zeros(len(configs))
+        state, day, at = None, None, 0
+        out: list[tuple] = []
+
+        def close(upto: int | None) -> None:
+            """Emit the blocks before ``upto`` (all, at the end of the day); each takes the labels gathered so far."""
+            nonlocal at
+            own = blocks[day]
+            while at < len(own) and (upto is None or own[at] < upto):
+                out.extend(state.rows(day, own[at]))
+                state.move()
+                at += 1
+
+        for key, part in _runs(batches, [*keys, "day", "upd"]):
+            if key[:-1] != day:
+                if state is not None:
+                    close(None)
+                    end = state.b
+                if out:
+                    yield _path_frame(out, keys)
+                    out = []
+                day, at = key[:-1], 0
+                state = _OpsState(configs, carry * end if chained else np.zeros(len(configs)))
+            close(key[-1])
+            if at < len(blocks[day]):  # labels due after the day's last block are never used
+                state.add(*(part[c].to_numpy() for c in ("z", "n", "clicks")))
+        if state is not None:
+            close(None)
+            yield _path_frame(out, keys)
+
+    order = [*keys, "day", "upd", "block", "z"]
+    laid = stats.coalesce(1) if chained else stats.repartition(*[F.col(k) for k in [*keys, "day"]])
     schema = ", ".join([OPS_PATH, *[f"{k} string" for k in keys]])
-    return bounded(stats, keys).groupBy(*keys, "day").applyInPandas(replay, schema)
+    return laid.sortWithinPartitions(*order).select(*order, "n", "clicks").mapInPandas(replay, schema)
 
 
-class _OpsChain:
-    """Chain state of the intercept replay: the last intercept per configuration."""
+def _path_frame(rows: list[tuple], keys: list[str]) -> pd.DataFrame:
+    names = [*keys, "day", "cfg", "block", "a", "b", "step", "n_matured"]
+    return pd.DataFrame(rows, columns=names)[[*[c.split()[0] for c in OPS_PATH.split(", ")], *keys]]
 
-    def __init__(self, configs: list[OpsConfig]):
-        self.configs = configs
-        self.state = {"b": [0.0] * len(configs)}
-        self.tail_blocks = 0
-
-    def run(self, pdf: pd.DataFrame, state: dict, days: list[int]) -> tuple[list[tuple], dict]:
-        b, path = np.array(state["b"]), []
-        carry = np.array([c.carry for c in self.configs])
-        for day in days:
-            part, b = ops_day(pdf[pdf["day"] == day], self.configs, carry * b)
-            path += part
-        return path, {"b": b.tolist()}
-
-
-def _chained(stats: DataFrame, chain, schema: str) -> DataFrame:
-    """Run a stateful replay over consecutive days in jobs of at most MAX_JOB_ROWS aggregated rows.
 
-    The state handed over is a handful of numbers per configuration. Labels of
-    the previous day that mature after midnight are read again from the table.
-    """
-    spark = stats.sparkSession
-    stats = bounded(stats)
-    sizes = sorted((r["day"], r["count"]) for r in stats.groupBy("day").count().collect())
-    chunks, rows = [], MAX_JOB_ROWS + 1
-    for day, size in sizes:
-        if rows + size > MAX_JOB_ROWS:
-            chunks.append([])
-            rows = 0
-        chunks[-1].append(day)
-        rows += size
-    names = [c.split()[0] for c in schema.split(", ")]
-    out, state, previous = None, chain.state, None
-    for days in chunks:
-        part = stats.filter(F.col("day").between(days[0], days[-1]))
-        if previous is not None and chain.tail_blocks:
-            late = stats.filter((F.col("day") == previous) & (F.col("block") >= chain.tail_blocks))
-            part = part.unionByName(late)
-
-        whole = part.withColumn("_chunk", F.lit(0)).groupBy("_chunk")
-        result = settle(whole.applyInPandas(_chunk_replay(chain, state, days, names), schema + ", _end string"))
-        if days is not chunks[-1]:
-            state = json.loads(result.filter("_end IS NOT NULL").select("_end").first()[0])
-        path = result.filter("_end IS NULL").drop("_end")
-        out = path if out is None else out.unionByName(path)
-        previous = days[-1]
-    return out if out is not None else spark.createDataFrame([], schema)
-
-
-def _chunk_replay(chain, state: dict, days: list[int], names: list[str]):
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        path, end = chain.run(pdf, state, days)
-        rows = [(*step, None) for step in path] + [(*[None] * len(names), json.dumps(end))]
-        return pd.DataFrame(rows, columns=[*names, "_end"], dtype=object)
-    return replay
+def ons_sums(theta: np.ndarray, z, n, k, c: OnsConfig) -> np.ndarray:
+    """Gradient sums of rows (slope, intercept) and their weight."""
+    resid = _sigmoid(theta[0] * z + theta[1]) * n - k
+    return np.array([(resid * z).sum() if c.learn_slope else 0.0, resid.sum(), n.sum()])
 
 
-def ons_step(theta: np.ndarray, curve: np.ndarray, z, n, k, c: OnsConfig, block_sec: int):
+def ons_step(theta: np.ndarray, curve: np.ndarray, sums: np.ndarray, c: OnsConfig, block_sec: int):
     """One delayed Newton step on a matured block; returns theta, curvature and whether the box was hit."""
-    resid = _sigmoid(theta[0] * z + theta[1]) * n - k
-    grad = np.array([(resid * z).sum() if c.learn_slope else 0.0, resid.sum()]) / n.sum()
+    grad = sums[:2] / sums[2]
     gamma = 2.0 ** (-block_sec / (c.half_life_h * 3600.0))
     curve = gamma * curve + np.outer(grad, grad) + (1.0 - gamma) * c.ridge * np.eye(2)
     new = theta - c.eta * np.linalg.solve(curve + 1e-12 * np.eye(2), grad)
@@ -214,60 +202,78 @@ def ons_step(theta: np.ndarray, curve: np.ndarray, z, n, k, c: OnsConfig, block_
 ONS_PATH = "cfg string, day int, block int, a double, b double, step int, clipped int"
 
 
-class _OnsChain:
-    """Chain state of the Newton replay: theta, curvature, counters, and the last day seen."""
-
-    def __init__(self, configs: list[OnsConfig], block_sec: int, delay_sec: int):
-        self.configs, self.block_sec, self.delay_sec = configs, block_sec, delay_sec
-        c = len(configs)
-        self.state = {"theta": [[1.0, 0.0]] * c, "A": [[[g.ridge, 0.0], [0.0, g.ridge]] for g in configs],
-                      "step": [0] * c, "clipped": [0] * c, "applied": None, "first": True}
-        self.tail_blocks = max(0, ta.blocks_per_day(block_sec) - 1 - math.ceil((block_sec + delay_sec) / block_sec))
-
-    def run(self, pdf: pd.DataFrame, state: dict, days: list[int]) -> tuple[list[tuple], dict]:
-        bs, ds, spd = self.block_sec, self.delay_sec, ta.SECONDS_PER_DAY
-        groups = {key: g.sort_values("z") for key, g in pdf.groupby(["day", "block"], sort=True)}
-        order = sorted(groups)
-        applied = tuple(state["applied"]) if state["applied"] else None
-        pending = [key for key in order if applied is None or key > applied]
-        theta, A = np.array(state["theta"], float), np.array(state["A"], float)
-        step, clipped = list(state["step"]), list(state["clipped"])
-        first, path = state["first"], []
-        chunk = set(days)
-
-        def apply(key):
-            g = groups[key]
-            z, n, k = g["z"].to_numpy(), g["n"].to_numpy(), g["clicks"].to_numpy()
-            for i, c in enumerate(self.configs):
-                theta[i], A[i], hit = ons_step(theta[i], A[i], z, n, k, c, bs)
-                clipped[i] += int(hit)
-                step[i] += 1
-
-        for day in days:
-            for block in range(ta.blocks_per_day(bs)):
-                now = day * spd + block * bs
-                while pending and pending[0] < (day, block) and \
-                        pending[0][0] * spd + (pending[0][1] + 1) * bs + ds <= now:
-                    applied = pending.pop(0)
-                    apply(applied)
-                if block == 0 and not first:
-                    for i, c in enumerate(self.configs):
-                        if c.reset_daily:
-                            theta[i], A[i], step[i] = [1.0, 0.0], c.ridge * np.eye(2), 0
-                if (day, block) in groups and day in chunk:
-                    path += [(c.name, day, block, float(theta[i, 0]), float(theta[i, 1]), step[i], clipped[i])
-                             for i, c in enumerate(self.configs)]
-            first = False
-        end = {"theta": theta.tolist(), "A": A.tolist(), "step": step, "clipped": clipped,
-               "applied": [int(x) for x in applied] if applied else None, "first": first}
-        return path, end
-
-
 def ons_path(stats: DataFrame, configs: list[OnsConfig], block_sec: int, delay_sec: int) -> DataFrame:
-    """State used in every non-empty block: (cfg, day, block, a, b, step, clipped); whole blocks mature at once,
-    labels that arrive after midnight are used on the next day."""
-    merged = stats.groupBy("day", "block", "z").agg(F.sum("n").alias("n"), F.sum("clicks").alias("clicks"))
-    return _chained(merged, _OnsChain(configs, block_sec, delay_sec), ONS_PATH)
+    """State used in every non-empty block: (cfg, day, block, a, b, step, clipped).
+
+    Whole blocks mature at once; labels that arrive after midnight are used on
+    the next day. The chain of blocks is sequential by definition: the sorted
+    table streams through one task, which holds one state and one batch.
+    """
+    spd, names = ta.SECONDS_PER_DAY, [c.split()[0] for c in ONS_PATH.split(", ")]
+    merged = settle(stats.groupBy("day", "block", "z").agg(F.sum("n").alias("n"), F.sum("clicks").alias("clicks")))
+    steps = sorted((d, b) for (d,), own in _calendar(merged, []).items() for b in own)
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        theta, A = np.tile([1.0, 0.0], (len(configs), 1)), np.array([c.ridge * np.eye(2) for c in configs])
+        count, clipped = [0] * len(configs), [0] * len(configs)
+        days = sorted({d for d, _ in steps})
+        shown, today = 0, days[0] if days else None
+        sums = np.zeros((len(configs), 3))
+
+        def show(before: float) -> list[tuple]:
+            """Rows of the blocks that start before ``before``, with the state they use."""
+            nonlocal shown, today
+            rows = []
+            while shown < len(steps) and steps[shown][0] * spd + steps[shown][1] * block_sec < before:
+                day, block = steps[shown]
+                turn(day)
+                rows += [(c.name, day, block, float(theta[i, 0]), float(theta[i, 1]), count[i], clipped[i])
+                         for i, c in enumerate(configs)]
+                shown += 1
+            return rows
+
+        def turn(day: int) -> None:
+            """Start a later day: configurations that restart daily do."""
+            nonlocal today
+            if day != today:
+                today = day
+                for i, c in enumerate(configs):
+                    if c.reset_daily:
+                        theta[i], A[i], count[i] = [1.0, 0.0], c.ridge * np.eye(2), 0
+
+        def finish() -> None:
+            for i, c in enumerate(configs):
+                theta[i], A[i], hit = ons_step(theta[i], A[i], sums[i], c, block_sec)
+                clipped[i] += int(hit)
+                count[i] += 1
+            sums[:] = 0.0
+
+        def due(key: tuple[int, int]) -> int:
+            return key[0] * spd + (key[1] + 1) * block_sec + delay_sec
+
+        last = None
+        for key, part in _runs(batches, ["day", "block"]):
+            if key != last:
+                if last is not None:
+                    finish()
+                rows = show(due(key))
+                for day in days:  # a block due after midnight is used by the day that has begun
+                    if day > today and day * spd < due(key):
+                        turn(day)
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
+                last = key
+            z, n, k = (part[c].to_numpy() for c in ("z", "n", "clicks"))
+            for i, c in enumerate(configs):
+                sums[i] += ons_sums(theta[i], z, n, k, c)
+        if last is not None:
+            finish()
+        rows = show(float("inf"))
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    laid = merged.coalesce(1).sortWithinPartitions("day", "block", "z")
+    return laid.select("day", "block", "z", "n", "clicks").mapInPandas(replay, ONS_PATH)
 
 
 def corrected(z: Column, a: Column, b: Column) -> Column:

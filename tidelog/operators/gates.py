@@ -8,7 +8,6 @@ same features can come in as one tally row (n, clicks).
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -165,11 +164,6 @@ def gate_table(rows: DataFrame, x: list[Column], p: list[Column], keys: list[str
     return settle(laid).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-# Up to this many (counted) table rows the whole replay runs inside one task; beyond it every
-# gradient is a distributed job. The arithmetic is the same.
-ONE_TASK_ROWS = 200_000
-
-
 @dataclass(frozen=True)
 class Slice:
     """Rows of one update: a day, optionally its early part only, optionally with the tail of the day before."""
@@ -185,11 +179,6 @@ class Slice:
             cond = cond | ((F.col("day") == self.tail_of) & ~F.col("early"))
         return cond
 
-    def mask(self, pdf: pd.DataFrame) -> np.ndarray:
-        day, early = pdf["day"].to_numpy(), pdf["early"].to_numpy(bool)
-        keep = (day == self.day) & (early if self.early_only else True)
-        return keep if self.tail_of is None else keep | ((day == self.tail_of) & ~early)
-
 
 def _accumulate(total: dict, work, specs, x, p, n, k, g) -> None:
     for i, spec in enumerate(specs):
@@ -232,31 +221,10 @@ def _job_runner(table: DataFrame):
     return run
 
 
-def _task_runner(pdf: pd.DataFrame):
-    """The same sums on a table that fits one task."""
-    x, p, n, k, g = _arrays(pdf)
-
-    def run(rows: Slice, work, specs) -> list[dict[str, np.ndarray]]:
-        at = rows.mask(pdf)
-        total: dict[tuple[int, str], np.ndarray] = {}
-        if at.any():
-            _accumulate(total, work, specs, x[at], p[at], n[at], k[at], g[at])
-        return _collect(total, specs)
-    return run
-
-
 def _replay(table: DataFrame, loop):
-    """Run ``loop(days, run)`` in one task when the counted table is small, else with one job per gradient."""
-    if table.count() > ONE_TASK_ROWS:
-        days = sorted(r["day"] for r in table.select("day").distinct().collect())
-        return loop(days, _job_runner(table))
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        result = loop([int(d) for d in np.unique(pdf["day"])], _task_runner(pdf))
-        return pd.DataFrame({"state": [pickle.dumps(result)]})
-
-    one = table.select("day", "n", "clicks", "grp01", "early", "x", "p").withColumn("_all", F.lit(0))
-    return pickle.loads(one.groupBy("_all").applyInPandas(whole, "state binary").first()["state"])
+    """Run ``loop(days, run)`` with one job per gradient, whatever the size of the table."""
+    days = sorted(r["day"] for r in table.select("day").distinct().collect())
+    return loop(days, _job_runner(table))
 
 
 def _sums(specs, thetas):
@@ -312,7 +280,8 @@ def predict_gates(table: DataFrame, specs: list[GateSpec], deployed: dict[int, l
             out = pdf[["day", *keys, "n", "clicks"]].copy()
             day = pdf["day"].to_numpy()
             for i, s in enumerate(specs):
-                mixed, weights = np.zeros(len(pdf)), [None] * len(pdf)
+                width = 2 if s.kind == "pair" else len(s.experts)
+                mixed, weights = np.zeros(len(pdf)), np.zeros((len(pdf), width))
                 for d in np.unique(day):
                     at = np.flatnonzero(day == d)
                     theta = deployed[int(d)][i]
@@ -323,9 +292,8 @@ def predict_gates(table: DataFrame, specs: list[GateSpec], deployed: dict[int, l
                     else:
                         w = _softmax(x1 @ theta.reshape(-1, pp.shape[1]))
                     mixed[at] = (w * pp).sum(axis=1)
-                    for j, r in zip(at, w):
-                        weights[j] = r.tolist()
-                out[f"p_{s.name}"], out[f"w_{s.name}"] = mixed, weights
+                    weights[at] = w
+                out[f"p_{s.name}"], out[f"w_{s.name}"] = mixed, list(weights)
             yield out[[c.split()[0] for c in schema.split(", ")]]
 
     return table.select("day", *keys, "n", "clicks", "x", "p").mapInPandas(task, schema)
@@ -375,8 +343,9 @@ def _persist_loop(days: list[int], run, specs: list[PersistSpec], state: dict[in
             row = state[day]
             mean_m = par[i]["m"].mean(axis=0) if s.per_group else par[i]["m"]
             gap = 0.0 if last_q[i] is None else float(np.abs(last_q[i] - mean_m).sum())
-            full = np.zeros(STATE_SIZE) if previous is None else np.array(
-                [*row["losses"], row["disagreement"], row["ctr"], moved[i], row["norm_t"], row["jump"], gap])
+            full = np.array([*row["losses"], row["disagreement"], row["ctr"], moved[i], row["norm_t"], row["jump"], gap])
+            if previous is None and s.state is None:  # nothing is known yet; chosen inputs (the time) are
+                full = np.zeros(STATE_SIZE)
             inputs.append(np.append(full if s.state is None else full[list(s.state)], 1.0))
             par[i]["logit"] = float(inputs[i] @ par[i]["r"])
         today = Slice(day)
@@ -457,45 +426,32 @@ def predict_persistence(table: DataFrame, trace: list[dict], keys: list[str]) ->
     return table.select("day", *keys, "n", "clicks", "grp01", "x", "p").mapInPandas(task, schema)
 
 
-def fit_simplex(tally: DataFrame, experts: list[str], max_iter: int = 300, lr: float = 4.0,
-                tol: float = 1e-9) -> np.ndarray:
-    """Constant simplex weights by exponentiated gradient; one aggregation of K sums per step.
+def fit_simplex(tally: DataFrame, experts: list[str], by: str, max_iter: int = 300, rate: float = 4.0,
+                tol: float = 1e-9) -> dict[int, np.ndarray]:
+    """Constant simplex weights of each group ``by``, fitted by exponentiated gradient.
 
-    ``tally``: (n, clicks, one column per expert). Stops when the loss moves by less than ``tol``.
+    ``tally``: (by, n, clicks, one column per expert). Weights are the softmax of
+    accumulated steps. One job reads the distinct rows once for all groups that
+    still move; a group rests when its loss moves by less than ``tol``.
     """
     k = len(experts)
-    distinct = settle(tally.groupBy(*experts).agg(
+    rows = settle(tally.groupBy(by, *experts).agg(
         F.sum("n").cast("double").alias("n"), F.sum("clicks").cast("double").alias("clicks"))).persist()
-    def descend(sums) -> np.ndarray:
-        w, before = np.full(k, 1.0 / k), np.inf
-        for t in range(1, max_iter + 1):
-            total = sums(w)
-            if total[0] == 0:
-                break
-            g = total[2:] / total[0]
-            w = w * np.exp(-lr / np.sqrt(t) * (g - g.min()))
-            w = w / w.sum() if w.sum() > 0 else np.full(k, 1.0 / k)
-            now = total[1] / total[0]
-            if abs(before - now) < tol:
-                break
-            before = now
-        return w
-
-    if distinct.count() > ONE_TASK_ROWS:
-        def job(w):
-            parts = distinct.mapInPandas(_simplex_task(w, experts), "sums array<double>").collect()
-            return sum((np.array(r["sums"]) for r in parts), np.zeros(2 + k))
-
-        fitted = descend(job)
-        distinct.unpersist()
-        return fitted
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"w": [descend(lambda w: _simplex_sums(pdf, w, experts)).tolist()]})
-
-    one = distinct.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(whole, "w array<double>").collect()
-    distinct.unpersist()
-    return np.array(one[0]["w"]) if one else np.full(k, 1.0 / k)
+    scores = {r[by]: np.zeros(k) for r in rows.where("n > 0").select(by).distinct().collect()}
+    moving, losses = dict.fromkeys(scores, True), dict.fromkeys(scores, np.inf)
+    for step in range(1, max_iter + 1):
+        weights = {g: _softmax(z[None, :])[0] for g, z in scores.items() if moving[g]}
+        if not weights:
+            break
+        told = rows.mapInPandas(_simplex_task(weights, experts, by), "grp long, sums array<double>").groupBy("grp").agg(
+            F.array(*[F.sum(F.col("sums")[i]) for i in range(k + 2)]).alias("sums")).collect()
+        for row in told:
+            weight, loss, *slopes = row["sums"]
+            scores[row["grp"]] = scores[row["grp"]] - rate / np.sqrt(step) * np.array(slopes) / weight
+            moving[row["grp"]] = abs(losses[row["grp"]] - loss / weight) >= tol
+            losses[row["grp"]] = loss / weight
+    rows.unpersist()
+    return {g: _softmax(z[None, :])[0] for g, z in scores.items()}
 
 
 def _simplex_sums(pdf: pd.DataFrame, w: np.ndarray, experts: list[str]) -> np.ndarray:
@@ -506,10 +462,12 @@ def _simplex_sums(pdf: pd.DataFrame, w: np.ndarray, experts: list[str]) -> np.nd
     return np.concatenate([[n.sum(), loss], p.T @ (n * mixed - k)])
 
 
-def _simplex_task(w: np.ndarray, experts: list[str]):
+def _simplex_task(weights: dict[int, np.ndarray], experts: list[str], by: str):
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(2 + len(experts))
+        total: dict[int, np.ndarray] = {}
         for pdf in batches:
-            total += _simplex_sums(pdf, w, experts)
-        yield pd.DataFrame({"sums": [total.tolist()]})
+            for group, part in pdf.groupby(by):
+                if group in weights:
+                    total[group] = total.get(group, 0.0) + _simplex_sums(part, weights[group], experts)
+        yield pd.DataFrame({"grp": list(total), "sums": [v.tolist() for v in total.values()]})
     return task

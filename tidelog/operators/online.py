@@ -17,9 +17,6 @@ from tidelog.operators import blocks as bl
 from tidelog.operators.features import interaction_matrix, sign_matrix
 from tidelog.session import attach, literal_rows, settle
 
-# Days up to this many rows are replayed inside one task; beyond it every block is one job over all days.
-ONE_TASK_ROWS = 200_000
-
 
 def learner_rows(rows: DataFrame, block_sec: int, delay_sec: int, m: int) -> DataFrame:
     """(row_id, day, block, upd, click, z, a, s): context and the summary of the last matured block.
@@ -58,29 +55,15 @@ PATH = "day int, block int, w array<double>"
 
 
 def weight_path(table: DataFrame, block_sec: int, cross: int, radius: float) -> DataFrame:
-    """Weights used in every block of every day; zero until the first labels mature."""
+    """Weights used in every block of every day; zero until the first labels mature.
+
+    Days are independent, so one job per block moves all of them together.
+    """
     n_blocks = ta.blocks_per_day(block_sec)
-    sizes = table.groupBy("day").count().collect()
-    if max((r["count"] for r in sizes), default=0) <= ONE_TASK_ROWS:
-        def one_day(pdf: pd.DataFrame) -> pd.DataFrame:
-            phi, z, y, upd = _phi(pdf, cross), pdf["z"].to_numpy(), pdf["click"].to_numpy(), pdf["upd"].to_numpy()
-            w, step, out = np.zeros(phi.shape[1]), 0, []
-            for block in range(n_blocks):
-                out.append((int(pdf["day"].iloc[0]), block, w.tolist()))
-                new = upd == block
-                if new.any():
-                    step += 1
-                    resid = _sigmoid(z[new] + phi[new] @ w) - y[new]
-                    w = _advance(w, phi[new].T @ resid / new.sum(), step, radius)
-            return pd.DataFrame(out, columns=["day", "block", "w"])
-
-        return table.groupBy("day").applyInPandas(one_day, PATH)
-
-    # Days are independent, so one job per block moves all of them together.
     spark = table.sparkSession
     cached = settle(table.repartitionByRange("upd", "day", "row_id")).persist(StorageLevel.MEMORY_AND_DISK)
     width = len(cached.select("a").first()["a"]) + len(cached.select("s").first()["s"]) + 1 + cross
-    w = {r["day"]: np.zeros(width) for r in sizes}
+    w = {r["day"]: np.zeros(width) for r in cached.select("day").distinct().collect()}
     step = dict.fromkeys(w, 0)
     path = []
     for block in range(n_blocks):

@@ -19,7 +19,7 @@ AUCTION = ["row_id", "day", "click", "conversion", "attribution", "cost", "cpo"]
 
 def bids(spark, d) -> DataFrame:
     """Test rows of every method with auction columns."""
-    wide = hi.uniform_mix(fx.bank_rows(spark, d).filter(F.col("day") >= fx.FIRST_TEST), hi.WINDOW_ORDER)
+    wide = hi.uniform_mix(fx.bank_rows(spark, d).filter(F.col("day") >= fx.first_test(spark, d)), hi.WINDOW_ORDER)
     return hi.long_bank(wide, fx.METHODS, AUCTION).withColumnRenamed("expert", "method").drop("ord")
 
 
@@ -27,7 +27,7 @@ def r4(c: str, name: str | None = None):
     return F.round(F.col(c), 4).alias(name or c)
 
 
-BID = "bid AS (SELECT * FROM rec WHERE day >= 22)"
+BID = "bid AS (SELECT * FROM rec WHERE day >= (SELECT test_from FROM day_bounds))"
 
 
 def frontier_ctes(table: str = "bid", key: str = "method", name: str = "fr") -> list[str]:
@@ -79,12 +79,12 @@ def paced_auction(spark, d) -> DataFrame:
 SELECT c.method, c.day, round(spent, 4) AS spend, (SELECT count(*) FROM rk r WHERE r.method = c.method AND r.day = c.day AND r.cum <= c.spent + 1e-9) AS impressions,
   CAST(coalesce((SELECT sum(click) FROM rk r WHERE r.method = c.method AND r.day = c.day AND r.cum <= c.spent + 1e-9), 0) AS BIGINT) AS clicks,
   round(left_over, 8) AS allowance_after
-FROM cr c WHERE c.day >= 22""", *BASE, REC, BID, RANK, """
+FROM cr c WHERE c.day >= (SELECT test_from FROM day_bounds)""", *BASE, REC, BID, RANK, """
 cr AS (SELECT method, allowance, CAST(21 AS INTEGER) AS day, 0.0::DOUBLE AS spent, 0.0::DOUBLE AS left_over FROM al
   UNION ALL SELECT method, allowance, CAST(day + 1 AS INTEGER), spent, now - spent FROM (
     SELECT c.method, c.allowance, c.day, c.left_over + c.allowance AS now,
       coalesce((SELECT max(r.cum) FROM rk r WHERE r.method = c.method AND r.day = c.day + 1 AND r.cum <= c.left_over + c.allowance), 0) AS spent
-    FROM cr c WHERE c.day < 29))""", recursive=True))
+    FROM cr c WHERE c.day < (SELECT last_day FROM day_bounds)))""", recursive=True))
 def paced_auction_carry(spark, d) -> DataFrame:
     rows = bids(spark, d)
     out = au.paced_auction_carry(au.ranked_by_efficiency(rows, ["method"]), ["method"],
@@ -116,7 +116,7 @@ att AS (SELECT g.method, t.fraction, t.target, CASE WHEN p.ns IS NULL THEN p.cli
 
 
 def _targets(spark, d) -> DataFrame:
-    total = fx.imp(spark, d).filter(F.col("day") >= fx.FIRST_TEST).agg(F.sum("cost").alias("_t"))
+    total = fx.imp(spark, d).filter(F.col("day") >= fx.first_test(spark, d)).agg(F.sum("cost").alias("_t"))
     fr = literal_rows(spark, [(f,) for f in FRACTIONS], "fraction double")
     return fr.crossJoin(total).select("fraction", (F.col("fraction") * F.col("_t")).alias("target"))
 
@@ -149,7 +149,7 @@ REFB = """refb AS (SELECT row_id, day, click, conversion, attribution, cost, cpo
 
 @query("reference_bidders", "B6", sql("""
 SELECT bidder, CAST(step AS INTEGER) AS step, round(spend, 4) AS spend, impressions, clicks FROM fr""",
-    *BASE, "one AS (SELECT *, expanding AS p FROM bank WHERE day >= 22)", REFB, *frontier_ctes("refb", "bidder")))
+    *BASE, "one AS (SELECT *, expanding AS p FROM bank WHERE day >= (SELECT test_from FROM day_bounds))", REFB, *frontier_ctes("refb", "bidder")))
 def reference_bidders(spark, d) -> DataFrame:
     one = bids(spark, d).filter(F.col("method") == "expanding").drop("method")
     fr = au.linear_frontier(au.reference_bidders(one), ["bidder"])
@@ -180,7 +180,7 @@ def bidding_eval(spark, d) -> DataFrame:
         r4("_spend", "paced_spend"), "paced_clicks", r6(F.col("_spend") / F.col("_total"), "share_of_spend"))
 
 
-SBID = "sbid AS (SELECT * FROM srec WHERE day >= 22 AND method IN ('expanding', 'uniform5'))"
+SBID = "sbid AS (SELECT * FROM srec WHERE day >= (SELECT test_from FROM day_bounds) AND method IN ('expanding', 'uniform5'))"
 
 
 @query("value_paired_table", "B8", sql("""
@@ -188,7 +188,7 @@ SELECT d.fraction, round(avg(d.u - d.e), 4) AS mean_gain, round(100 * (sum(d.u)
        count(*) FILTER (round(d.u - d.e, 6) > 0) AS seeds_won, count(*) AS n_seeds FROM (
   SELECT seed, fraction, max(v) FILTER (method = 'uniform5') AS u, max(v) FILTER (method = 'expanding') AS e FROM sat GROUP BY seed, fraction) d
 GROUP BY d.fraction""", *SEEDED, SBID, *frontier_ctes("sbid", "seed, method"),
-    f"""stg AS (SELECT c.seed, f.f AS fraction, f.f * c.c AS target FROM (SELECT seed, sum(cost) AS c FROM simp WHERE day >= 22 GROUP BY seed) c
+    f"""stg AS (SELECT c.seed, f.f AS fraction, f.f * c.c AS target FROM (SELECT seed, sum(cost) AS c FROM simp WHERE day >= (SELECT test_from FROM day_bounds) GROUP BY seed) c
       CROSS JOIN (VALUES {', '.join(f'({f}::DOUBLE)' for f in FRACTIONS)}) f(f))""",
     """spt AS (SELECT seed, method, spend, clicks, lead(spend) OVER w AS ns, lead(clicks) OVER w AS nc FROM fr
        WINDOW w AS (PARTITION BY seed, method ORDER BY spend, step))""",
@@ -199,7 +199,7 @@ def value_paired_table(spark, d) -> DataFrame:
     log = fx.seeded(fx.imp(spark, d))
     rate = hi.rate_bank(hi.cell_counts(log, ["seed", "campaign"]), ["seed", "campaign"])
     rate = rate.select("seed", "campaign", "day", *hi.WINDOW_ORDER)
-    test = log.filter(F.col("day") >= fx.FIRST_TEST)
+    test = log.filter(F.col("day") >= fx.first_test(spark, d))
     wide = hi.uniform_mix(test.join(rate, ["seed", "campaign", "day"]), hi.WINDOW_ORDER)
     rows = hi.long_bank(wide, ["expanding", "uniform5"], ["seed", *AUCTION]).withColumnRenamed("expert", "method")
     fr = au.linear_frontier(rows, ["seed", "method"])

@@ -115,14 +115,14 @@ def _recent(spark, d) -> DataFrame:
 @query("gate_features_2", "F9", sql("""
 SELECT b.row_id, b.day, round(b.roll3, 6) AS roll3, round(b.expanding, 6) AS expanding,
        round(abs(b.roll3 - b.expanding), 6) AS abs_diff, round(b.roll3 - b.expanding, 6) AS diff,
-       round(b.day / 29.0::DOUBLE, 6) AS norm_t, round(recent_roll3, 6) AS recent_roll3,
+       round(b.day / (SELECT last_day FROM day_bounds)::DOUBLE, 6) AS norm_t, round(recent_roll3, 6) AS recent_roll3,
        round(recent_expanding, 6) AS recent_expanding, round(b.campaign / 9.0::DOUBLE, 6) AS ctx_campaign,
        round(b.cat1 / 7.0::DOUBLE, 6) AS ctx_cat1
 FROM bank b JOIN recent r ON r.day = b.day""", *LONG, PREV))
 def gate_features_2(spark, d) -> DataFrame:
     rows = fe.max_normalised(fx.bank_rows(spark, d), CONTEXT_COLUMNS).select(
         "row_id", "day", "roll3", "expanding", "ctx_campaign", "ctx_cat1")
-    out = fe.pair_features(rows, _recent(spark, d), hi.SHORT, hi.LONG, fx.LAST_DAY)
+    out = fe.pair_features(rows, _recent(spark, d), hi.SHORT, hi.LONG, fx.last_day(spark, d))
     return out.select("row_id", "day", *[r6(c) for c in out.columns if c not in ("row_id", "day")])
 
 
@@ -131,14 +131,14 @@ _SPREAD = f"greatest({', '.join('b.' + e for e in EXPERTS)}) - least({', '.join(
 
 @query("gate_features_k", "F10", sql(f"""
 SELECT b.row_id, b.day, {', '.join(f'round(b.{e}, 6) AS {e}' for e in EXPERTS)},
-       round({_SPREAD}, 6) AS spread, round(b.day / 29.0::DOUBLE, 6) AS norm_t,
+       round({_SPREAD}, 6) AS spread, round(b.day / (SELECT last_day FROM day_bounds)::DOUBLE, 6) AS norm_t,
        {', '.join(f'round(recent_{e}, 6) AS recent_{e}' for e in EXPERTS)},
        round(b.campaign / 9.0::DOUBLE, 6) AS ctx_campaign, round(b.cat1 / 7.0::DOUBLE, 6) AS ctx_cat1
 FROM bank b JOIN recent r ON r.day = b.day""", *LONG, PREV))
 def gate_features_k(spark, d) -> DataFrame:
     rows = fe.max_normalised(fx.bank_rows(spark, d), CONTEXT_COLUMNS).select(
         "row_id", "day", *hi.WINDOW_ORDER, "ctx_campaign", "ctx_cat1")
-    out = fe.multi_features(rows, _recent(spark, d), hi.WINDOW_ORDER, fx.LAST_DAY)
+    out = fe.multi_features(rows, _recent(spark, d), hi.WINDOW_ORDER, fx.last_day(spark, d))
     return out.select("row_id", "day", *[r6(c) for c in out.columns if c not in ("row_id", "day")])
 
 
@@ -148,7 +148,7 @@ META = ["roll3", "expanding", "uniform5"]
 @query("meta_features", "F11", sql(f"""
 SELECT b.row_id, b.day, {', '.join(f'round(b.{e}, 6) AS {e}' for e in META)},
        round(greatest(b.roll3, b.expanding, b.uniform5) - least(b.roll3, b.expanding, b.uniform5), 6) AS spread,
-       round(b.day / 29.0::DOUBLE, 6) AS norm_t,
+       round(b.day / (SELECT last_day FROM day_bounds)::DOUBLE, 6) AS norm_t,
        {', '.join(f"round(coalesce((SELECT log_loss FROM pd WHERE method = '{e}' AND pd.day = b.day - 1), 0), 6) AS recent_{e}" for e in META)}
 FROM bank b""", *METH))
 def meta_features(spark, d) -> DataFrame:
@@ -156,7 +156,7 @@ def meta_features(spark, d) -> DataFrame:
     losses = fx.day_losses(fx.method_tally(spark, d).filter(F.col("method").isin(META)), by="method")
     recent = fe.previous_day(losses, "method", META)
     rows = hi.uniform_mix(fx.bank_rows(spark, d), hi.WINDOW_ORDER).select("row_id", "day", *META)
-    out = fe.multi_features(rows, recent, META, fx.LAST_DAY)
+    out = fe.multi_features(rows, recent, META, fx.last_day(spark, d))
     return out.select("row_id", "day", *[r6(c) for c in out.columns if c not in ("row_id", "day")])
 
 
@@ -166,11 +166,11 @@ SELECT r.day, {', '.join(f'round(recent_{e}, 6) AS recent_{e}' for e in EXPERTS)
   round(coalesce((SELECT avg(click) FROM bank b WHERE b.day = p.prev), 0), 6) AS recent_ctr,
   round(coalesce((SELECT max(abs(x.loss - y.loss)) FROM dl x JOIN dl y ON y.expert = x.expert
                   AND y.day = (SELECT max(day) FROM days WHERE day < p.prev) WHERE x.day = p.prev), 0), 6) AS loss_jump,
-  round(CASE WHEN p.prev IS NULL THEN 0 ELSE r.day / 29.0::DOUBLE END, 6) AS norm_t
+  round(CASE WHEN p.prev IS NULL THEN 0 ELSE r.day / (SELECT last_day FROM day_bounds)::DOUBLE END, 6) AS norm_t
 FROM recent r JOIN prevday p ON p.day = r.day""", *LONG, PREV))
 def persist_state(spark, d) -> DataFrame:
     out = fe.persistence_state(fx.wide_cells(spark, d), fx.day_losses(fx.expert_tally(spark, d)), "expert",
-                               hi.WINDOW_ORDER, hi.SHORT, hi.LONG, fx.LAST_DAY)
+                               hi.WINDOW_ORDER, hi.SHORT, hi.LONG, fx.last_day(spark, d))
     return out.select("day", *[r6(c) for c in out.columns if c != "day"])
 
 
@@ -206,14 +206,14 @@ def cross_phi(spark, d) -> DataFrame:
 
 
 @query("ema_half_life", "F14", sql("""
-SELECT day, round(exp(-ln(2.0) / 1 * (29 - day)), 6) AS w1, round(exp(-ln(2.0) / 3 * (29 - day)), 6) AS w3,
-       round(exp(-ln(2.0) / 7 * (29 - day)), 6) AS w7, round(avg(click) * pow(2, -1.0 / 3), 6) AS kept,
+SELECT day, round(exp(-ln(2.0) / 1 * ((SELECT last_day FROM day_bounds) - day)), 6) AS w1, round(exp(-ln(2.0) / 3 * ((SELECT last_day FROM day_bounds) - day)), 6) AS w3,
+       round(exp(-ln(2.0) / 7 * ((SELECT last_day FROM day_bounds) - day)), 6) AS w7, round(avg(click) * pow(2, -1.0 / 3), 6) AS kept,
        round(avg(click) * (1 - pow(2, -900.0 / 57600)), 6) AS shared
 FROM imp GROUP BY day""", IMP))
 def ema_half_life(spark, d) -> DataFrame:
     """Decay weights by age, the per-step keep factor, and the per-block share rate, on daily click rates."""
     daily = fx.imp(spark, d).groupBy("day").agg(F.avg("click").alias("ctr"))
-    age = fx.LAST_DAY - F.col("day")
+    age = fx.last_day(spark, d) - F.col("day")
     return daily.select("day", *[r6(sc.age_weight(age, h), f"w{h}") for h in (1, 3, 7)],
                         r6(F.col("ctr") * sc.keep_per_step(3), "kept"),
                         r6(F.col("ctr") * sc.share_rate(900, 16 * 3600), "shared"))

@@ -34,7 +34,7 @@ def tallies(spark, d) -> DataFrame:
 @query("fit_predict", "H6")
 def fit_predict(spark, d) -> DataFrame:
     """All eight history rules fitted for the last day of the log, with the loss of each."""
-    day, out = fx.LAST_DAY, None
+    day, out = fx.last_day(spark, d), None
     rules = {e: (0 if h is None else max(0, day - h), None) for e, h in hi.HORIZONS.items()}
     rules |= {e: (0, float(h)) for e, h in hi.HALF_LIVES.items()}
     for name, scored in le.fit_windows(settle(tallies(spark, d)), day, rules, TOKEN_COLUMNS, width=WIDTH).items():
@@ -47,10 +47,10 @@ def fit_predict(spark, d) -> DataFrame:
 @query("forgetting_fit", "H10")
 def forgetting_fit(spark, d) -> DataFrame:
     """Forgetting rate learned with the fitted model for the last day, its half-life, and the day's loss."""
-    eta, scored = le.fit_forgetting(settle(tallies(spark, d)), fx.LAST_DAY, TOKEN_COLUMNS, width=WIDTH)
+    eta, scored = le.fit_forgetting(settle(tallies(spark, d)), fx.last_day(spark, d), TOKEN_COLUMNS, width=WIDTH)
     loss = F.sum(sc.tally_loss(F.col("n"), F.col("clicks"), F.col("p"))) / F.sum("n")
     return scored.agg(F.sum("n").alias("n"), r6(loss, "loss")).select(
-        F.lit(fx.LAST_DAY).alias("t"), F.round(F.lit(eta), 6).alias("eta"),
+        F.lit(fx.last_day(spark, d)).alias("t"), F.round(F.lit(eta), 6).alias("eta"),
         F.round(F.lit(float(np.log(2.0) / eta) if eta > 1e-9 else None).cast("double"), 6).alias("half_life"), "n", "loss")
 
 
@@ -198,7 +198,7 @@ def nested_passes(spark, d) -> DataFrame:
     sees the choice, and choices rest on labels matured by the origin.
     """
     days = sp.day_axis(fx.cells(spark, d))
-    pairs = settle(sp.inner_days(days, days.filter(F.col("day") >= fx.FIRST_TEST), 3, fx.FIRST_ELIGIBLE)
+    pairs = settle(sp.inner_days(days, days.filter(F.col("day") >= fx.first_test(spark, d)), 3, fx.FIRST_ELIGIBLE)
                    .select("origin", "inner_day"))
     early = ta.matured_by_midnight(F.col("sec"))
     log = fx.eligible(fx.imp(spark, d)).withColumn("early", early)

@@ -15,9 +15,6 @@ from tidelog.sources import logs
 WARMUP_DAYS = 3
 TEST_FRAC = 0.3
 FIRST_ELIGIBLE = WARMUP_DAYS + 1
-# 30 days of log: days 4..29 are eligible, the last round(26 * 0.3) = 8 are the locked test.
-FIRST_TEST = 22
-LAST_DAY = 29
 SEEDS = [0, 1, 2]
 SEED_FRACTION = 0.8
 METHODS = [*hi.WINDOW_ORDER, "uniform5"]
@@ -35,6 +32,20 @@ def cells(spark: SparkSession, folder: str) -> DataFrame:
     return SHARED[key]
 
 
+def last_day(spark: SparkSession, folder: str) -> int:
+    """The log's last day; one aggregation over the log's time column for each query."""
+    key = ("last_day", folder)
+    if key not in SHARED:
+        SHARED[key] = logs.events_log(spark, folder).agg(F.max("day")).first()[0] or 0
+    return SHARED[key]
+
+
+def first_test(spark: SparkSession, folder: str) -> int:
+    """First day of the locked test: the last share of the eligible days, at least one."""
+    last = last_day(spark, folder)
+    return last - max(1, round((last - WARMUP_DAYS) * TEST_FRAC)) + 1
+
+
 def eligible(df: DataFrame) -> DataFrame:
     return df.filter(F.col("day") >= FIRST_ELIGIBLE)
 

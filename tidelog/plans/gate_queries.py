@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import scoring as sc
@@ -18,6 +18,8 @@ from tidelog.plans.registry import query, r6
 from tidelog.plans.sqlbase import EXPERTS
 from tidelog.session import literal_rows
 
+# The published grid of smoothness penalties.
+SMOOTH_GRID = [0.0, 1e-4, 3e-4, 1e-3, 3e-3, 1e-2, 3e-2]
 KEYS = ["campaign", "cat1", "early"]
 # Positions in x: predictions, spread, time, recent losses, pair features, phase, context.
 X_NAMES = [*EXPERTS, "spread", "norm_t", *[f"recent_{e}" for e in EXPERTS], "abs_diff", "diff", "sin_phase",
@@ -39,15 +41,46 @@ STIFF_GATE = ga.GateSpec("stiff", "multi", MULTI + CONTEXT, ALL, smooth=0.1)
 PERIODIC_GATE = ga.GateSpec("periodic", "multi", MULTI + _at("sin_phase", "cos_phase") + CONTEXT, ALL)
 
 
+def available_inputs(rows: DataFrame, last_day: int) -> DataFrame:
+    """Day-level inputs from labels that have arrived when the day starts, one row per calendar day.
+
+    The latest earlier day counts without its late tail if it is yesterday and
+    whole otherwise; the day before it is always whole. Without a label that has
+    arrived, an input is zero.
+    """
+    n, k, early = F.col("n"), F.col("clicks"), F.col("early")
+    gap = F.abs(F.col(hi.SHORT) - F.col(hi.LONG))
+
+    def ratio(value, part):
+        return F.try_divide(F.sum(F.when(part, value)), F.sum(F.when(part, n)))
+
+    daily = rows.groupBy("day").agg(*[ratio(v, part).alias(f"{name}_{side}") for side, part in (
+        ("all", F.lit(True)), ("early", early)) for name, v in [
+        *[(e, sc.tally_loss(n, k, F.col(e))) for e in EXPERTS], ("dis", n * gap), ("ctr", k)]])
+    order = Window.orderBy("day")  # one row per calendar day
+    yesterday = F.lag("day").over(order) == F.col("day") - 1
+
+    def last(name):
+        return F.coalesce(F.when(yesterday, F.lag(f"{name}_early").over(order)).otherwise(
+            F.lag(f"{name}_all").over(order)), F.lit(0.0))
+
+    jump = F.greatest(*[F.abs(last(e) - F.lag(f"{e}_all", 2).over(order)) for e in EXPERTS])
+    return daily.select("day", *[last(e).alias(f"recent_{e}") for e in EXPERTS], last("dis").alias("recent_disagreement"),
+                        last("ctr").alias("recent_ctr"), F.coalesce(jump, F.lit(0.0)).alias("loss_jump"),
+                        (F.col("day") / max(last_day, 1)).alias("norm_t"))
+
+
 def feature_rows(spark, d, matured: bool = False) -> DataFrame:
     """Tallies per (day, campaign, cat1, maturity) with every gate input; identical rows are counted, not repeated."""
     log = fx.imp(spark, d).withColumn("early", ta.matured_by_midnight(F.col("sec")))
     log = log.withColumn("grp01", (F.col("grp") == "B").cast("int"))
     rows = fx.with_rates(hi.cell_counts(log, [*KEYS, "grp01"]), matured)
     losses = fx.day_losses(hi.long_bank(rows, EXPERTS, ["day", "n", "clicks"]))
-    rows = fe.multi_features(rows, fe.previous_day(losses, "expert", EXPERTS), EXPERTS, fx.LAST_DAY)
-    period = mx.cycle_length(losses.filter(F.col("expert") == hi.LONG), 3, 7, min_acf=0.1) \
-        .select("day", "period")
+    last = fx.last_day(spark, d)
+    recent = fe.previous_day(losses, "expert", EXPERTS) if not matured else \
+        available_inputs(rows, last).select("day", *[f"recent_{e}" for e in EXPERTS])
+    rows = fe.multi_features(rows, recent, EXPERTS, last)
+    period = mx.cycle_length(losses.filter(F.col("expert") == hi.LONG), 3, 25).select("day", "period")
     rows = rows.join(period, "day")
     sin, cos = sc.phase(F.col("day"), F.col("period"))
     diff = F.col(hi.SHORT) - F.col(hi.LONG)
@@ -112,7 +145,7 @@ def stacked_gate(spark, d) -> DataFrame:
     losses = daily(flat.withColumnsRenamed({b: f"p_{b}" for b in base}), base).withColumnRenamed("method", "expert") \
         .withColumn("ord", F.lit(0))
     recent = fe.previous_day(losses, "expert", base)
-    rows = fe.max_normalised(fe.multi_features(flat, recent, base, fx.LAST_DAY), ["campaign", "cat1"])
+    rows = fe.max_normalised(fe.multi_features(flat, recent, base, fx.last_day(spark, d)), ["campaign", "cat1"])
     diff = F.col("pair") - F.col("multi")
     rows = rows.withColumns({"abs_diff": F.abs(diff), "diff": diff, "grp01": F.lit(0), "early": F.lit(True)})
     names = [*base, "spread", "norm_t", *[f"recent_{b}" for b in base], "abs_diff", "diff", "ctx_campaign", "ctx_cat1"]
@@ -129,12 +162,18 @@ def stacked_gate(spark, d) -> DataFrame:
     return daily(stacked, ["stack2", "stack3"]).select("method", "day", "n", r6("loss"))
 
 
-def day_states(rows: DataFrame) -> dict[int, dict]:
+def day_states(rows: DataFrame, last_day: int, matured: bool = False) -> dict[int, dict]:
     """Day-level inputs of the persistence logit, one row per calendar day."""
+    if matured:
+        return _states(available_inputs(rows, last_day), last_day)
     losses = fx.day_losses(hi.long_bank(rows, EXPERTS, ["day", "n", "clicks"]))
-    out = fe.persistence_state(rows, losses, "expert", EXPERTS, hi.SHORT, hi.LONG, fx.LAST_DAY)
+    out = fe.persistence_state(rows, losses, "expert", EXPERTS, hi.SHORT, hi.LONG, last_day)
+    return _states(out, last_day)
+
+
+def _states(out: DataFrame, last_day: int) -> dict[int, dict]:
     return {r["day"]: {"losses": [r[f"recent_{e}"] for e in EXPERTS], "disagreement": r["recent_disagreement"],
-                       "ctr": r["recent_ctr"], "jump": r["loss_jump"], "norm_t": r["norm_t"]} for r in out.collect()}
+                       "ctr": r["recent_ctr"], "jump": r["loss_jump"], "norm_t": r["day"] / max(last_day, 1)} for r in out.collect()}
 
 
 def _trace(spark, trace: list[dict]) -> DataFrame:
@@ -155,7 +194,7 @@ def persist_variants() -> list[ga.PersistSpec]:
 def _persist(spark, d, specs) -> list[dict]:
     t = table(spark, d)
     rows = t.select("day", "n", "clicks", *[F.col("p")[i].alias(e) for e, i in P_INDEX.items()])
-    return ga.train_persistence(t, specs, day_states(rows))
+    return ga.train_persistence(t, specs, day_states(rows, fx.last_day(spark, d)))
 
 
 @query("adaptive_persistence", "M15")
@@ -187,46 +226,50 @@ def group_beta_gap(spark, d) -> DataFrame:
 def persistence_matured(spark, d) -> DataFrame:
     """The gate on matured labels only: midnight's tail joins the next day's update."""
     t = table(spark, d, matured=True)
-    rows = t.filter("early").select("day", "n", "clicks", *[F.col("p")[i].alias(e) for e, i in P_INDEX.items()])
+    rows = t.select("day", "n", "clicks", "early", *[F.col("p")[i].alias(e) for e, i in P_INDEX.items()])
     spec = ga.PersistSpec("matured", columns=MULTI + CONTEXT, experts=ALL, matured=True)
-    return _trace(spark, ga.train_persistence(t, [spec], day_states(rows)))
+    return _trace(spark, ga.train_persistence(t, [spec], day_states(rows, fx.last_day(spark, d), matured=True)))
 
 
 @query("simplex_mix", "M18")
 def simplex_mix(spark, d) -> DataFrame:
-    """Constant expert weights fitted on the inner days of the last origin, and the origin's loss."""
+    """Constant expert weights of every origin, fitted on its three inner days, and the origin's loss."""
     wide = fx.wide_cells(spark, d)
-    inner = wide.filter(F.col("day").between(fx.LAST_DAY - 3, fx.LAST_DAY - 1))
-    w = ga.fit_simplex(inner, EXPERTS)
-    p = sum((F.lit(float(v)) * F.col(e) for v, e in zip(w, EXPERTS)), F.lit(0.0))
-    today = wide.filter(F.col("day") == fx.LAST_DAY)
-    return today.groupBy("day").agg(
-        F.sum("n").alias("n"), r6(F.sum(sc.tally_loss(F.col("n"), F.col("clicks"), p)) / F.sum("n"), "loss"),
-        *[F.round(F.lit(float(v)), 6).alias(f"w_{e}") for v, e in zip(w, EXPERTS)])
+    days = sp.day_axis(fx.cells(spark, d))
+    origins = fx.eligible(days.select("day"))
+    inner = sp.inner_days(days, origins, 3, fx.FIRST_ELIGIBLE).select("origin", F.col("inner_day").alias("day"))
+    fitted = ga.fit_simplex(wide.join(F.broadcast(inner), "day"), EXPERTS, "origin")
+    weights = literal_rows(spark, [(o, *map(float, w)) for o, w in sorted(fitted.items())],
+                           "day int, " + ", ".join(f"w_{e} double" for e in EXPERTS))
+    p = sum((F.col(f"w_{e}") * F.col(e) for e in EXPERTS), F.lit(0.0))
+    shown = wide.join(F.broadcast(weights), "day")
+    return shown.groupBy("day", *[f"w_{e}" for e in EXPERTS]).agg(
+        F.sum("n").alias("n"), r6(F.sum(sc.tally_loss(F.col("n"), F.col("clicks"), p)) / F.sum("n"), "loss")).select(
+        "day", "n", "loss", *[r6(f"w_{e}") for e in EXPERTS])
 
 
 @query("smooth_sweep", "M20")
 def smooth_sweep(spark, d) -> DataFrame:
     """Softmax gate over a grid of smoothness penalties: loss per period, best per period and overall."""
-    grid = [0.0, 1e-3, 1e-2, 0.1, 1.0]
+    grid = SMOOTH_GRID
     specs = [ga.GateSpec(f"smooth_{i}", "multi", MULTI + CONTEXT, ALL, smooth=g) for i, g in enumerate(grid)]
     _, out = _fit(spark, d, specs)
-    return sweep_report(daily(out, [s.name for s in specs]))
+    return sweep_report(daily(out, [s.name for s in specs]), fx.first_test(spark, d))
 
 
 @query("beta_sweep", "M20")
 def beta_sweep(spark, d) -> DataFrame:
     """Fixed persistence over a grid, all replayed in the same jobs."""
     specs = [ga.PersistSpec(f"b{b:.2f}", columns=MULTI + CONTEXT, experts=ALL, adaptive=False, fixed_beta=b)
-             for b in (0.0, 0.25, 0.5, 0.75, 1.0)]
+             for b in (i / 20 for i in range(21))]
     trace = _trace(spark, _persist(spark, d, specs))
     days = sp.day_axis(fx.cells(spark, d)).select("day", "n")
-    return sweep_report(trace.select("method", "day", "loss").join(days, "day"))
+    return sweep_report(trace.select("method", "day", "loss").join(days, "day"), fx.first_test(spark, d))
 
 
-def sweep_report(losses: DataFrame) -> DataFrame:
+def sweep_report(losses: DataFrame, first_test: int) -> DataFrame:
     """Per regime (dev, test): loss, excess over the regime's best; and the worst excess of each setting."""
-    regime = F.when(F.col("day") >= fx.FIRST_TEST, "test").otherwise("dev").alias("regime")
+    regime = F.when(F.col("day") >= first_test, "test").otherwise("dev").alias("regime")
     per = losses.groupBy("method", regime).agg(me.weighted_mean(F.col("loss"), F.col("n")).alias("loss"))
     best = per.groupBy("regime").agg(F.min("loss").alias("_best"),
                                      F.min_by("method", F.struct(F.round("loss", 10), "method")).alias("oracle"))

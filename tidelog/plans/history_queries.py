@@ -141,9 +141,9 @@ def diff_forgetting(spark, d) -> DataFrame:
 
 @query("validation_selected", "M1", sql("""
 SELECT expert, round(dev_loss, 6) AS dev_loss, round(t.loss, 6) AS test_loss FROM (
-  SELECT expert, ord, sum(loss * n) / sum(n) AS dev_loss FROM dl WHERE day < 22 GROUP BY expert, ord
+  SELECT expert, ord, sum(loss * n) / sum(n) AS dev_loss FROM dl WHERE day < (SELECT test_from FROM day_bounds) GROUP BY expert, ord
   ORDER BY round(sum(loss * n) / sum(n), 10), ord LIMIT 1)
-JOIN (SELECT expert, sum(loss * n) / sum(n) AS loss FROM dl WHERE day >= 22 GROUP BY expert) t USING (expert)""", *LONG))
+JOIN (SELECT expert, sum(loss * n) / sum(n) AS loss FROM dl WHERE day >= (SELECT test_from FROM day_bounds) GROUP BY expert) t USING (expert)""", *LONG))
 def validation_selected(spark, d) -> DataFrame:
     """Fixed window with the lowest dev loss, and what it costs on the locked test days."""
     losses = fx.day_losses(fx.expert_tally(spark, d))
@@ -155,8 +155,8 @@ def validation_selected(spark, d) -> DataFrame:
 
 
 @query("window_report", "H1,M1,W1,A2", sql("""
-SELECT d.day, d.expert, d.n, round(d.loss, 6) AS loss, CASE WHEN d.day >= 22 THEN 'test' ELSE 'dev' END AS role,
-       d.expert = (SELECT expert FROM dl WHERE day < 22 GROUP BY expert, ord
+SELECT d.day, d.expert, d.n, round(d.loss, 6) AS loss, CASE WHEN d.day >= (SELECT test_from FROM day_bounds) THEN 'test' ELSE 'dev' END AS role,
+       d.expert = (SELECT expert FROM dl WHERE day < (SELECT test_from FROM day_bounds) GROUP BY expert, ord
                    ORDER BY round(sum(loss * n) / sum(n), 10), ord LIMIT 1) AS dev_selected,
        row_number() OVER (PARTITION BY d.day ORDER BY d.rl, d.ord) = 1 AS hindsight_best
 FROM dl d""", *LONG))

@@ -82,9 +82,9 @@ def group_metrics(spark, d) -> DataFrame:
 @query("comparison_table", "A7", sql("""
 SELECT method, CAST(sum(n) AS BIGINT) AS n, count(*) AS days, round(sum(log_loss * n) / sum(n), 6) AS log_loss,
        round(sum(brier * n) / sum(n), 6) AS brier, round(avg(pr_auc), 6) AS pr_auc, round(avg(roc_auc), 6) AS roc_auc
-FROM pd JOIN auc USING (method, day) JOIN ap USING (method, day) WHERE day >= 22 GROUP BY method""", *FULL))
+FROM pd JOIN auc USING (method, day) JOIN ap USING (method, day) WHERE day >= (SELECT test_from FROM day_bounds) GROUP BY method""", *FULL))
 def comparison_table(spark, d) -> DataFrame:
-    tally = fx.method_tally(spark, d).filter(F.col("day") >= fx.FIRST_TEST)
+    tally = fx.method_tally(spark, d).filter(F.col("day") >= fx.first_test(spark, d))
     per_day = me.mean_losses(tally, ["method", "day"]).join(
         me.ranking_metrics(tally, ["method", "day"]), ["method", "day"])
     return me.comparison(per_day, ["method"]).select(
@@ -110,7 +110,7 @@ def pooled_and_daily(spark, d) -> DataFrame:
     return out.select("method", *[r6(c) for c in ("iw_log_loss", "daily_mean", "worst_day", "median_day")])
 
 
-INNER = """origins AS (SELECT DISTINCT day AS origin FROM imp WHERE day >= 22),
+INNER = """origins AS (SELECT DISTINCT day AS origin FROM imp WHERE day >= (SELECT test_from FROM day_bounds)),
 inner3 AS (SELECT origin, inner_day, recency FROM (
   SELECT o.origin, d.day AS inner_day, row_number() OVER (PARTITION BY o.origin ORDER BY d.day DESC) AS recency
   FROM origins o JOIN (SELECT DISTINCT day FROM imp WHERE day >= 4) d ON d.day < o.origin) WHERE recency <= 3)"""
@@ -131,7 +131,7 @@ def matured_iw_loss(spark, d) -> DataFrame:
     daily = tally.groupBy("day", "early", "method").agg(
         F.sum("n").alias("n"), F.sum(sc.tally_loss(F.col("n"), F.col("clicks"), F.col("p"))).alias("s"))
     days = sp.day_axis(fx.cells(spark, d))
-    pairs = sp.inner_days(days, days.filter(F.col("day") >= fx.FIRST_TEST), 3, fx.FIRST_ELIGIBLE)
+    pairs = sp.inner_days(days, days.filter(F.col("day") >= fx.first_test(spark, d)), 3, fx.FIRST_ELIGIBLE)
     lag = F.when(F.col("early"), 1).otherwise(2)
     used = pairs.join(daily, (F.col("inner_day") == F.col("day")) & (F.col("day") + lag <= F.col("origin")))
     return used.groupBy("origin", F.col("method").alias("expert")).agg(
@@ -196,12 +196,12 @@ def seed_average_wide(spark, d) -> DataFrame:
 
 
 CONSOL = """pseed AS (SELECT method, seed, sum(log_loss * n) / sum(n) AS log_loss, sum(brier * n) / sum(n) AS brier,
-                      CASE WHEN day >= 22 THEN 'test' ELSE 'dev' END AS role
+                      CASE WHEN day >= (SELECT test_from FROM day_bounds) THEN 'test' ELSE 'dev' END AS role
                FROM spd GROUP BY ALL)"""
 
 
 def _per_seed(spark, d) -> DataFrame:
-    role = F.when(F.col("day") >= fx.FIRST_TEST, "test").otherwise("dev").alias("role")
+    role = F.when(F.col("day") >= fx.first_test(spark, d), "test").otherwise("dev").alias("role")
     n = F.col("n")
     return fx.per_day_seed(spark, d).groupBy("method", "ord", "seed", role).agg(
         me.weighted_mean(F.col("log_loss"), n).alias("log_loss"), me.weighted_mean(F.col("brier"), n).alias("brier"))
@@ -236,9 +236,9 @@ def ablation_table(spark, d) -> DataFrame:
 @query("count_distinct_windows", "A17", sql("""
 SELECT count(DISTINCT method) AS n_windows, count(*) AS days FROM (
   SELECT day, method, row_number() OVER (PARTITION BY day ORDER BY round(log_loss, 10), ord) AS r
-  FROM pd WHERE day >= 22 AND method <> 'uniform5') WHERE r = 1""", *METH))
+  FROM pd WHERE day >= (SELECT test_from FROM day_bounds) AND method <> 'uniform5') WHERE r = 1""", *METH))
 def count_distinct_windows(spark, d) -> DataFrame:
-    losses = fx.day_losses(fx.expert_tally(spark, d)).filter(F.col("day") >= fx.FIRST_TEST)
+    losses = fx.day_losses(fx.expert_tally(spark, d)).filter(F.col("day") >= fx.first_test(spark, d))
     best = dg.best_per(losses, ["day"])
     return best.agg(F.countDistinct("expert").alias("n_windows"), F.count("*").alias("days"))
 
@@ -266,9 +266,9 @@ SELECT count(*) AS days, round(avg(CASE WHEN m < a THEN 1.0 ELSE 0.0 END), 6) AS
        round(avg(CASE WHEN m < b THEN 1.0 ELSE 0.0 END), 6) AS beats_second,
        round(avg(CASE WHEN m < a AND m < b THEN 1.0 ELSE 0.0 END), 6) AS beats_both
 FROM (SELECT day, max(log_loss) FILTER (method = 'uniform5') AS m, max(log_loss) FILTER (method = 'expanding') AS a,
-             max(log_loss) FILTER (method = 'roll7') AS b FROM pd WHERE day >= 22 GROUP BY day)""", *METH))
+             max(log_loss) FILTER (method = 'roll7') AS b FROM pd WHERE day >= (SELECT test_from FROM day_bounds) GROUP BY day)""", *METH))
 def share_beats_controls(spark, d) -> DataFrame:
-    wide = fx.per_day(spark, d).filter(F.col("day") >= fx.FIRST_TEST).groupBy("day").pivot(
+    wide = fx.per_day(spark, d).filter(F.col("day") >= fx.first_test(spark, d)).groupBy("day").pivot(
         "method", ["uniform5", "expanding", "roll7"]).agg(F.max("log_loss"))
     a, b = F.col("uniform5") < F.col("expanding"), F.col("uniform5") < F.col("roll7")
 
@@ -281,9 +281,9 @@ def share_beats_controls(spark, d) -> DataFrame:
 
 @query("stationary_downside", "A21", sql("""
 SELECT method, round(l - (SELECT min(l) FROM t WHERE method <> 'uniform5'), 6) AS downside FROM t""",
-    *METH, "t AS (SELECT method, sum(log_loss * n) / sum(n) AS l FROM pd WHERE day >= 22 GROUP BY method)"))
+    *METH, "t AS (SELECT method, sum(log_loss * n) / sum(n) AS l FROM pd WHERE day >= (SELECT test_from FROM day_bounds) GROUP BY method)"))
 def stationary_downside(spark, d) -> DataFrame:
-    per = fx.per_day(spark, d).filter(F.col("day") >= fx.FIRST_TEST).groupBy("method").agg(
+    per = fx.per_day(spark, d).filter(F.col("day") >= fx.first_test(spark, d)).groupBy("method").agg(
         me.weighted_mean(F.col("log_loss"), F.col("n")).alias("l"))
     best = per.filter(F.col("method").isin(hi.WINDOW_ORDER)).agg(F.min("l").alias("best"))
     return per.crossJoin(best).select("method", r6(F.col("l") - F.col("best"), "downside"))

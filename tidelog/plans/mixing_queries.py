@@ -65,7 +65,7 @@ SELECT origin, expert, round(l, 6) AS loss FROM (
   FROM inner3 t JOIN dl d ON d.day = t.inner_day GROUP BY t.origin, d.expert, d.ord) WHERE r = 1""", *LONG, INNER))
 def best_fixed_inner(spark, d) -> DataFrame:
     days = sp.day_axis(fx.cells(spark, d))
-    inner = sp.inner_days(days, days.filter(F.col("day") >= fx.FIRST_TEST), 3, fx.FIRST_ELIGIBLE)
+    inner = sp.inner_days(days, days.filter(F.col("day") >= fx.first_test(spark, d)), 3, fx.FIRST_ELIGIBLE)
     out = mx.select_on(inner.select("origin", F.col("inner_day").alias("day")), _losses(spark, d), ["origin"])
     return out.select("origin", "expert", r6("loss"))
 
@@ -109,7 +109,7 @@ _LOG20 = "ln(2 / 0.1)"
 @query("adaptive_window", "M3", _tournament_sql(
     f"""SELECT day, expert, count(*) AS b, round(avg({ll('click', 'p')}), 10) AS mu,
         round(avg({ll('click', 'p')} * {ll('click', 'p')}), 10) AS sq FROM bankl GROUP BY day, expert""",
-    LADDER, f"(SELECT max({ll('click', 'p')}) + 1e-6 FROM bankl WHERE day < 22)",
+    LADDER, f"(SELECT max({ll('click', 'p')}) + 1e-6 FROM bankl WHERE day < (SELECT test_from FROM day_bounds))",
     f"CASE WHEN size < 2 THEN M ELSE sd * sqrt(2 * {_LOG20} / size) + 8 * M * {_LOG20} / (3 * (size - 1)) END",
     3, None, [*BASE, BANKL]))
 def adaptive_window(spark, d) -> DataFrame:
@@ -124,7 +124,7 @@ def adaptive_window(spark, d) -> DataFrame:
         top.append(F.max(F.greatest(F.when(k > 0, hit), F.when(n > k, miss))))
     stats = wide.groupBy("day").agg(F.sum("n").alias("b"), F.array(*mu).alias("mu"), F.array(*sq).alias("sq"),
                                     F.greatest(*top).alias("_max"))
-    bound = stats.filter(F.col("day") < fx.FIRST_TEST).agg((F.max("_max") + 1e-6).alias("_bound"))
+    bound = stats.filter(F.col("day") < fx.first_test(spark, d)).agg((F.max("_max") + 1e-6).alias("_bound"))
     limit = bound.collect()[0]["_bound"]
     return mx.tournament(stats.drop("_max"), LADDER, mx.sample_psi(0.1), F.lit(limit)).select("day", "expert")
 
@@ -251,18 +251,21 @@ def global_blend(spark, d) -> DataFrame:
     return out.select("day", "alpha", "alpha_oracle", r6("loss"), r6("headroom"))
 
 
+HISTORY = 14
+
+
 @query("period_detect", "M19", sql("""
-SELECT d.day, CAST(CASE WHEN b.acf >= 0.1 THEN b.lag END AS DOUBLE) AS period, round(b.acf, 6) AS acf FROM s d LEFT JOIN (
+SELECT d.day, CAST(CASE WHEN b.acf >= 0.3 THEN b.lag END AS DOUBLE) AS period, round(b.acf, 6) AS acf FROM s d LEFT JOIN (
   SELECT *, row_number() OVER (PARTITION BY day ORDER BY round(acf, 10) DESC, lag) AS r FROM a) b
   ON b.day = d.day AND b.r = 1""", *LONG,
   "s AS (SELECT day, loss, row_number() OVER (ORDER BY day) AS i FROM dl WHERE expert = 'expanding')",
   """c AS (SELECT t.day, t.i AS n1, x.i AS j, x.loss - avg(x.loss) OVER (PARTITION BY t.day) AS c
        FROM s t JOIN s x ON x.i < t.i)""",
   """a AS (SELECT c.day, CAST(g.lag AS INTEGER) AS lag, sum(c.c * z.c) / (SELECT sum(q.c * q.c) FROM c q WHERE q.day = c.day) AS acf
-       FROM c CROSS JOIN range(3, 8) g(lag) JOIN c z ON z.day = c.day AND z.j = c.j + g.lag
-       WHERE c.n1 - 1 >= 14 GROUP BY c.day, g.lag)"""))
+       FROM c CROSS JOIN range(3, 26) g(lag) JOIN c z ON z.day = c.day AND z.j = c.j + g.lag
+       WHERE c.n1 - 1 >= 14 AND g.lag <= c.n1 - 2 GROUP BY c.day, g.lag)"""))
 def period_detect(spark, d) -> DataFrame:
     """Cycle of the long window's loss, from strictly earlier days."""
     series = _losses(spark, d).filter(F.col("expert") == hi.LONG)
-    out = mx.cycle_length(series, 3, 7, min_acf=0.1)
+    out = mx.cycle_length(series, 3, 25, HISTORY)
     return out.select("day", F.col("period").cast("double").alias("period"), r6("acf"))

@@ -97,12 +97,12 @@ def sink_tables(spark, d) -> DataFrame:
 
 @query("sink_predictions", "S8", sql("""
 SELECT day AS origin, seed, count(*) AS n, round(sum(expanding), 6) AS sum_p, CAST(0 AS BIGINT) AS misaligned
-FROM sbank WHERE day >= 22 GROUP BY day, seed""", *SEEDED))
+FROM sbank WHERE day >= (SELECT test_from FROM day_bounds) GROUP BY day, seed""", *SEEDED))
 def sink_predictions(spark, d) -> DataFrame:
     """Predictions of the test origins by (origin, seed), reloaded and aligned row by row with the log."""
     log = fx.seeded(fx.imp(spark, d))
     rates = hi.rate_bank(hi.cell_counts(log, ["seed", "campaign"]), ["seed", "campaign"])
-    scored = log.filter(F.col("day") >= fx.FIRST_TEST).join(
+    scored = log.filter(F.col("day") >= fx.first_test(spark, d)).join(
         rates.select("seed", "campaign", "day", "expanding"), ["seed", "campaign", "day"])
     path = scratch(spark, "predictions")
     sinks.write_partitions(scored.select("row_id", F.col("day").alias("origin"), "seed",
@@ -110,7 +110,7 @@ def sink_predictions(spark, d) -> DataFrame:
     back = sinks.read_cells(spark, path).select("row_id", F.col("origin").cast("int").alias("origin"),
                                                 F.col("seed").cast("int").alias("seed"), "p")
     key = F.concat_ws(":", "seed", "row_id").alias("key")
-    bad = sinks.misaligned(back.select(key), log.filter(F.col("day") >= fx.FIRST_TEST).select(key), "key")
+    bad = sinks.misaligned(back.select(key), log.filter(F.col("day") >= fx.first_test(spark, d)).select(key), "key")
     n_bad = bad.agg(F.count("*").alias("misaligned"))
     out = back.groupBy("origin", "seed").agg(F.count("*").alias("n"), r6(F.sum("p"), "sum_p"))
     return out.crossJoin(n_bad)

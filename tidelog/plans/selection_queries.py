@@ -27,20 +27,20 @@ def _days(spark, d) -> DataFrame:
     return sp.day_axis(fx.cells(spark, d))
 
 
-def _origins(days: DataFrame) -> DataFrame:
-    return days.filter(F.col("day") >= fx.FIRST_TEST)
+def _origins(spark, d, days: DataFrame) -> DataFrame:
+    return days.filter(F.col("day") >= fx.first_test(spark, d))
 
 
 def _pairs(spark, d) -> DataFrame:
     days = _days(spark, d)
-    return sp.inner_days(days, _origins(days), 3, fx.FIRST_ELIGIBLE).select("origin", "inner_day")
+    return sp.inner_days(days, _origins(spark, d, days), 3, fx.FIRST_ELIGIBLE).select("origin", "inner_day")
 
 
 # ---- splits -------------------------------------------------------------------------------------
 
 @query("compute_splits", "O1", sql("""
-SELECT CAST(day AS INTEGER) AS day, CASE WHEN day > 29 - round_even((29 - 3) * 0.3, 0) THEN 'test' ELSE 'dev' END AS role
-FROM range(4, 30) r(day) WHERE day <= (SELECT max(day) FROM imp)""", IMP))
+SELECT CAST(day AS INTEGER) AS day, CASE WHEN day >= (SELECT test_from FROM day_bounds) THEN 'test' ELSE 'dev' END AS role
+FROM (SELECT unnest(range(4, last_day + 1)) AS day FROM day_bounds)""", IMP))
 def compute_splits(spark, d) -> DataFrame:
     return sp.dev_test(_days(spark, d), fx.WARMUP_DAYS, fx.TEST_FRAC)
 
@@ -56,7 +56,7 @@ def make_split(spark, d) -> DataFrame:
 @query("inner_days", "O3", sql("SELECT origin, inner_day, CAST(recency AS INTEGER) AS recency FROM inner3", IMP, INNER))
 def inner_days(spark, d) -> DataFrame:
     days = _days(spark, d)
-    return sp.inner_days(days, _origins(days), 3, fx.FIRST_ELIGIBLE)
+    return sp.inner_days(days, _origins(spark, d, days), 3, fx.FIRST_ELIGIBLE)
 
 
 @query("adapter_split", "O4", sql("""
@@ -118,9 +118,9 @@ def _losses(spark, d) -> DataFrame:
 
 @query("hindsight_best_window", "W1", sql("""
 SELECT day, expert, round(loss, 6) AS loss FROM (
-  SELECT *, row_number() OVER (PARTITION BY day ORDER BY rl, ord) AS r FROM dl WHERE day >= 22) WHERE r = 1""", *LONG))
+  SELECT *, row_number() OVER (PARTITION BY day ORDER BY rl, ord) AS r FROM dl WHERE day >= (SELECT test_from FROM day_bounds)) WHERE r = 1""", *LONG))
 def hindsight_best_window(spark, d) -> DataFrame:
-    best = dg.best_per(_losses(spark, d).filter(F.col("day") >= fx.FIRST_TEST), ["day"])
+    best = dg.best_per(_losses(spark, d).filter(F.col("day") >= fx.first_test(spark, d)), ["day"])
     return best.select("day", "expert", r6("loss"))
 
 
@@ -149,10 +149,10 @@ def oracle_horizon(spark, d) -> DataFrame:
 
 
 @query("best_fixed_horizon", "W3", sql("""
-SELECT expert, round(avg(loss), 6) AS loss FROM dl WHERE day >= 22 GROUP BY expert, ord
+SELECT expert, round(avg(loss), 6) AS loss FROM dl WHERE day >= (SELECT test_from FROM day_bounds) GROUP BY expert, ord
 ORDER BY round(avg(loss), 10), ord LIMIT 1""", *LONG))
 def best_fixed_horizon(spark, d) -> DataFrame:
-    mean = _losses(spark, d).filter(F.col("day") >= fx.FIRST_TEST).groupBy("expert", "ord").agg(F.avg("loss").alias("loss"))
+    mean = _losses(spark, d).filter(F.col("day") >= fx.first_test(spark, d)).groupBy("expert", "ord").agg(F.avg("loss").alias("loss"))
     return dg.best_per(mean, []).select("expert", r6("loss"))
 
 
@@ -302,9 +302,9 @@ def effective_weights(spark, d) -> DataFrame:
 @query("oracle_persistence_share", "W16", sql("""
 SELECT count(*) AS days, round(avg(CASE WHEN round(h, 10) < round(l, 10) THEN 1.0 ELSE 0.0 END), 6) AS high_share FROM (
   SELECT day, max(log_loss) FILTER (method = 'uniform5') AS h, max(log_loss) FILTER (method = 'roll7') AS l
-  FROM pd WHERE day >= 22 GROUP BY day)""", *METH))
+  FROM pd WHERE day >= (SELECT test_from FROM day_bounds) GROUP BY day)""", *METH))
 def oracle_persistence_share(spark, d) -> DataFrame:
-    wide = fx.per_day(spark, d).filter(F.col("day") >= fx.FIRST_TEST).groupBy("day").pivot(
+    wide = fx.per_day(spark, d).filter(F.col("day") >= fx.first_test(spark, d)).groupBy("day").pivot(
         "method", ["uniform5", "roll7"]).agg(F.round(F.first("log_loss"), 10))
     return wide.agg(F.count("*").alias("days"),
                     r6(F.avg(F.when(F.col("uniform5") < F.col("roll7"), 1.0).otherwise(0.0)), "high_share"))
@@ -319,14 +319,14 @@ CROSS JOIN (VALUES (0, 20.0::DOUBLE), (1, 60.0), (2, 200.0)) e(i, eta) CROSS JOI
 def full_grid(spark, d) -> DataFrame:
     """Every configuration for every origin."""
     g = sp.grid(spark, eta=[20.0, 60.0, 200.0], half_life=[3.0, 5.0, 10.0])
-    return _origins(_days(spark, d)).select(F.col("day").alias("origin")).crossJoin(F.broadcast(g))
+    return _origins(spark, d, _days(spark, d)).select(F.col("day").alias("origin")).crossJoin(F.broadcast(g))
 
 
 @query("mixture_grid", "G2", sql(f"""
 SELECT eta, half_life, round(l, 6) AS dev_loss, row_number() OVER (ORDER BY round(l, 10), eta, half_life) = 1 AS selected
-FROM (SELECT eta, half_life, avg({ll('click', 'p')}) AS l FROM hp WHERE day < 22 GROUP BY eta, half_life)""", *MIXTURE))
+FROM (SELECT eta, half_life, avg({ll('click', 'p')}) AS l FROM hp WHERE day < (SELECT test_from FROM day_bounds) GROUP BY eta, half_life)""", *MIXTURE))
 def mixture_grid(spark, d) -> DataFrame:
-    dev = mixture_daily(spark, d).filter(F.col("day") < fx.FIRST_TEST).groupBy("eta", "half_life").agg(
+    dev = mixture_daily(spark, d).filter(F.col("day") < fx.first_test(spark, d)).groupBy("eta", "half_life").agg(
         (F.sum("s") / F.sum("n")).alias("dev_loss"))
     best = se.lowest(dev.withColumn("_k", F.lit(1)), ["_k"], "dev_loss", ["eta", "half_life"])
     keyed = best.select("eta", "half_life", F.lit(True).alias("_s"))
@@ -343,11 +343,11 @@ SELECT cfg, round(l, 6) AS loss, round(worst, 6) AS worst, CAST(steps AS BIGINT)
        row_number() OVER (ORDER BY round(l, 6), steps, radius, round(worst, 8), cfg) AS place
 FROM (SELECT cfg, radius, sum(l * n) / sum(n) AS l, max(l) AS worst, sum(steps) AS steps FROM (
   SELECT p.cfg, c.radius, b.day, count(*) AS n, avg({ll('b.click', sg('p.a * b.z + p.b'))}) AS l, max(p.step) AS steps
-  FROM bq b JOIN path p ON p.day = b.day AND p.block = b.block JOIN cfgs c ON c.cfg = p.cfg WHERE b.day < 22 GROUP BY p.cfg, c.radius, b.day)
+  FROM bq b JOIN path p ON p.day = b.day AND p.block = b.block JOIN cfgs c ON c.cfg = p.cfg WHERE b.day < (SELECT test_from FROM day_bounds) GROUP BY p.cfg, c.radius, b.day)
   GROUP BY cfg, radius)""", *BASE, wq.q_cte(), *wq.ops_ctes(GRID_OPS), recursive=True))
 def calib_grid(spark, d) -> DataFrame:
     """Calibration grid on the dev days, ordered by rounded loss, updates, radius, worst day."""
-    st = wq.stats(spark, d).filter(F.col("day") < fx.FIRST_TEST)
+    st = wq.stats(spark, d).filter(F.col("day") < fx.first_test(spark, d))
     path = ca.ops_path(st, GRID_OPS)
     days = ca.day_losses(ca.scored_blocks(st, path), ["cfg"])
     steps = path.groupBy("cfg", "day").agg(F.max("step").alias("steps"))
@@ -359,7 +359,7 @@ def calib_grid(spark, d) -> DataFrame:
     return table.select("cfg", r6("loss"), r6("worst"), "updates", F.row_number().over(order).cast("long").alias("place"))
 
 
-DEVSEED = """ds AS (SELECT seed, method, ord, sum(log_loss * n) / sum(n) AS loss, max(log_loss) AS worst FROM spd WHERE day < 22 GROUP BY seed, method, ord),
+DEVSEED = """ds AS (SELECT seed, method, ord, sum(log_loss * n) / sum(n) AS loss, max(log_loss) AS worst FROM spd WHERE day < (SELECT test_from FROM day_bounds) GROUP BY seed, method, ord),
 mm AS (SELECT method, ord, round(avg(loss), 10) AS ml, round(avg(worst), 10) AS mw FROM ds GROUP BY method, ord)"""
 
 
@@ -367,7 +367,7 @@ mm AS (SELECT method, ord, round(avg(loss), 10) AS ml, round(avg(worst), 10) AS
 SELECT method, round(ml, 6) AS mean_loss, round(mw, 6) AS mean_worst,
   row_number() OVER (ORDER BY ml - (SELECT min(ml) FROM mm) < 1e-6 DESC, mw, ord) = 1 AS selected FROM mm""", *SEEDED, DEVSEED))
 def select_mean_across_seeds(spark, d) -> DataFrame:
-    dev = fx.per_day_seed(spark, d).filter(F.col("day") < fx.FIRST_TEST).groupBy("seed", "method", "ord").agg(
+    dev = fx.per_day_seed(spark, d).filter(F.col("day") < fx.first_test(spark, d)).groupBy("seed", "method", "ord").agg(
         (F.sum(F.col("log_loss") * F.col("n")) / F.sum("n")).alias("loss"), F.max("log_loss").alias("worst"))
     out = se.select_across_seeds(dev, ["method"], "ord")
     return out.select("method", r6("mean_loss"), r6("mean_worst"), "selected")
@@ -388,14 +388,16 @@ def one_se_rule(spark, d) -> DataFrame:
 
 
 FLOOR = 2e-4
-GATE = """gt AS (SELECT method, ord, sum(log_loss * n) / sum(n) AS l, max(log_loss) AS w FROM pd WHERE day < 22 GROUP BY method, ord),
-ge AS (SELECT g.method, g.ord, g.l, g.l < b.l - 2e-4 AS beats_long, g.l < s.l AS beats_short, g.w <= b.w AS safe FROM gt g
+GATE = """gt AS (SELECT method, ord, sum(log_loss * n) / sum(n) AS l, max(log_loss) AS w,
+  CASE WHEN count(*) > 1 THEN stddev_samp(log_loss) / sqrt(count(*)) ELSE 0 END AS se FROM pd WHERE day < (SELECT test_from FROM day_bounds) GROUP BY method, ord),
+ge AS (SELECT g.method, g.ord, g.l, g.se, g.l < b.l - 2e-4 AS beats_long, g.l < s.l AS beats_short, g.w <= b.w AS safe FROM gt g
   JOIN gt b ON b.method = 'expanding' JOIN gt s ON s.method = 'roll1')"""
 
 
 def _gated(spark, d) -> DataFrame:
-    dev = fx.per_day(spark, d).filter(F.col("day") < fx.FIRST_TEST).groupBy("method", "ord").agg(
-        (F.sum(F.col("log_loss") * F.col("n")) / F.sum("n")).alias("loss"), F.max("log_loss").alias("worst"))
+    dev = fx.per_day(spark, d).filter(F.col("day") < fx.first_test(spark, d)).groupBy("method", "ord").agg(
+        (F.sum(F.col("log_loss") * F.col("n")) / F.sum("n")).alias("loss"), F.max("log_loss").alias("worst"),
+        F.when(F.count("*") > 1, F.stddev_samp("log_loss") / F.sqrt(F.count("*"))).otherwise(0.0).alias("se"))
     ref = dev.agg(*[F.max(F.when(F.col("method") == m, F.col(c))).alias(a) for m, c, a in
                     (("expanding", "loss", "_ll"), ("roll1", "loss", "_sl"), ("expanding", "worst", "_lw"))])
     return se.gates(dev.crossJoin(F.broadcast(ref)), {
@@ -409,17 +411,29 @@ def gated_eligibility(spark, d) -> DataFrame:
     return _gated(spark, d).select("method", r6("loss"), "beats_long", "beats_short", "safe", "eligible")
 
 
-@query("locked_test_gate", "G9", sql("""
-SELECT p.method, p.day, round(p.log_loss, 6) AS log_loss, e.method IS NOT NULL AS open FROM pd p
-LEFT JOIN (SELECT method FROM ge WHERE beats_short ORDER BY round(l, 10), ord LIMIT 1) e ON e.method = p.method
-WHERE p.day >= 22 AND (e.method IS NOT NULL OR p.method = 'expanding')""", *METH, GATE))
+@query("locked_test_gate", "G9", sql(f"""
+SELECT p.method, p.day, round(p.log_loss, 6) AS log_loss, e.method IS NOT NULL AS open,
+       CASE WHEN e.method IS NOT NULL THEN abs(g.gain) >= {FLOOR} END AS material
+FROM pd p LEFT JOIN win e ON e.method = p.method LEFT JOIN gain g ON g.method = p.method
+WHERE p.day >= (SELECT test_from FROM day_bounds) AND (e.method IS NOT NULL OR p.method = 'expanding')""", *METH, GATE,
+    "el AS (SELECT * FROM ge WHERE beats_long AND beats_short AND safe)",
+    """win AS (SELECT method FROM el WHERE round(l, 10) <= (SELECT round(l + se, 10) FROM el ORDER BY round(l, 10), ord LIMIT 1)
+         ORDER BY ord LIMIT 1)""",
+    """gain AS (SELECT a.method, avg(a.log_loss - b.log_loss) AS gain FROM pd a JOIN pd b ON b.day = a.day AND b.method = 'expanding'
+         WHERE a.day >= (SELECT test_from FROM day_bounds) GROUP BY a.method)"""))
 def locked_test_gate(spark, d) -> DataFrame:
-    """Test days of the dev winner only, beside the long window it is compared with."""
-    gated = _gated(spark, d).filter("beats_short").withColumn("_k", F.lit(1))
-    winner = se.lowest(gated, ["_k"], "loss", ["ord"]).select("method", F.lit(True).alias("open"))
-    test = fx.per_day(spark, d).filter(F.col("day") >= fx.FIRST_TEST).join(winner, "method", "left")
-    return test.filter("open OR method = 'expanding'").select(
-        "method", "day", r6("log_loss"), F.coalesce("open", F.lit(False)).alias("open"))
+    """Test days of the simplest method within one standard error of the best that clears every gate, if one does,
+    beside the long window; ``material`` tells whether its mean difference reaches the floor."""
+    eligible = _gated(spark, d).filter("eligible").withColumn("_k", F.lit(1))
+    best = se.lowest(eligible, ["_k"], "loss", ["ord"]).select("_k", F.round(F.col("loss") + F.col("se"), 10).alias("_limit"))
+    near = eligible.join(best, "_k").filter(F.round("loss", 10) <= F.col("_limit"))
+    winner = near.groupBy("_k").agg(F.min_by("method", "ord").alias("method")).select("method", F.lit(True).alias("open"))
+    test = fx.per_day(spark, d).filter(F.col("day") >= fx.first_test(spark, d))
+    long = test.filter(F.col("method") == hi.LONG).select("day", F.col("log_loss").alias("_long"))
+    gain = test.join(long, "day").groupBy("method").agg(F.avg(F.col("log_loss") - F.col("_long")).alias("_gain"))
+    shown = test.join(winner, "method", "left").join(gain, "method").filter("open OR method = 'expanding'")
+    return shown.select("method", "day", r6("log_loss"), F.coalesce("open", F.lit(False)).alias("open"),
+                        F.when(F.col("open"), F.abs(F.col("_gain")) >= FLOOR).alias("material"))
 
 
 @query("grid_per_origin", "G8", sql("""
@@ -449,11 +463,11 @@ def origin_manifest(spark, d) -> DataFrame:
 @query("noninferiority_margin", "G11", sql(f"""
 SELECT round(0.1 * abs(avg({ll('b.click', sg('p.a * b.z + p.b'))}) - avg({ll('b.click', sg('b.z'))})), 8) AS margin,
        round(avg({ll('b.click', sg('p.a * b.z + p.b'))}), 6) AS l_ops, round(avg({ll('b.click', sg('b.z'))}), 6) AS l_q
-FROM bq b JOIN path p ON p.day = b.day AND p.block = b.block WHERE p.cfg = 'platt' AND b.day < 22""",
+FROM bq b JOIN path p ON p.day = b.day AND p.block = b.block WHERE p.cfg = 'platt' AND b.day < (SELECT test_from FROM day_bounds)""",
     *BASE, wq.q_cte(), *wq.ops_ctes(wq.OPS_CONFIGS), recursive=True))
 def noninferiority_margin(spark, d) -> DataFrame:
     """A tenth of the gain of the calibrated over the frozen prediction on the dev days."""
-    st = wq.stats(spark, d).filter(F.col("day") < fx.FIRST_TEST)
+    st = wq.stats(spark, d).filter(F.col("day") < fx.first_test(spark, d))
     ops = ca.scored_blocks(st, ca.ops_path(st, wq.OPS_CONFIGS[1:2])).agg((F.sum("s") / F.sum("n")).alias("l_ops"))
     q = st.agg((F.sum(sc.tally_loss(F.col("n"), F.col("clicks"), sc.sigmoid(F.col("z")))) / F.sum("n")).alias("l_q"))
     return ops.crossJoin(q).select(F.round(0.1 * F.abs(F.col("l_ops") - F.col("l_q")), 8).alias("margin"),

@@ -31,7 +31,10 @@ IMP = """imp AS (
          user_id % 10 AS campaign,
          CAST(json_extract_string(props, '$.k') AS BIGINT) % 8 AS cat1,
          CASE WHEN user_id % 10 < 5 THEN 'A' ELSE 'B' END AS grp
-  FROM events)"""
+  FROM events),
+day_bounds AS (
+  SELECT max(day) AS last_day, CAST(max(day) - greatest(1, round_even((max(day) - 3) * 0.3, 0)) + 1 AS INTEGER) AS test_from
+  FROM imp)"""
 
 CELLS = """cells AS (
   SELECT campaign, day, count(*) AS n, CAST(sum(click) AS BIGINT) AS k,

@@ -165,8 +165,8 @@ def ons_blocks(rows: DataFrame, config: ca.OnsConfig, block_sec: int, delay_sec:
                         s.update(theta=[1.0, 0.0], A=[[config.ridge, 0.0], [0.0, config.ridge]], step=0)
                         reset = False
                     _, z, n, k = s["wait"].pop(0)
-                    theta, curve, _ = ca.ons_step(np.array(s["theta"]), np.array(s["A"]), np.array(z), np.array(n),
-                                                  np.array(k), config, block_sec)
+                    sums = ca.ons_sums(np.array(s["theta"]), np.array(z), np.array(n), np.array(k), config)
+                    theta, curve, _ = ca.ons_step(np.array(s["theta"]), np.array(s["A"]), sums, config, block_sec)
                     s.update(theta=theta.tolist(), A=curve.tolist(), step=s["step"] + 1)
                 if reset:
                     s.update(theta=[1.0, 0.0], A=[[config.ridge, 0.0], [0.0, config.ridge]], step=0)
