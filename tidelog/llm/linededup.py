@@ -248,7 +248,8 @@ def rewrite(docs: DataFrame, index: LineIndex, result: Callable[[Column, Column]
     """``docs`` with the struct ``out`` = ``result`` of the text and of the keys that its lines lose."""
     holder, drop = free_name(docs, "holder"), free_name(docs, "drop")
     drops = stash(to_drop(index, least_docs)).select(F.col("doc_id").alias(holder), F.col("drop").alias(drop))
-    joined = docs.join(drops, F.col(id_col) == F.col(holder), "left")
+    # merged at every size: what is dropped grows with the documents, so it is never a side to broadcast
+    joined = docs.hint("merge").join(drops, F.col(id_col) == F.col(holder), "left")
     return joined.withColumn(out, result(F.col(text_col), F.col(drop))).drop(holder, drop)
 
 
