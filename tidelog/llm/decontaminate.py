@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import ready
+from tidelog.llm.common import free_name, ready
 
 RATE = 0.1
 LEAST_CHARS = 16
@@ -207,9 +207,7 @@ def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows whose text holds an item; all columns as they were."""
-    scratch = "_leaks"
-    while scratch in docs.columns:
-        scratch += "_"
+    scratch = free_name(docs, "leaks")
     return leaks(docs, items, text_col, out=scratch, **options).where(F.size(scratch) == 0).drop(scratch)
 
 

@@ -418,7 +418,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
                         F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     units = stash(ready(plain).where(F.octet_length("text") >= length).select("d", "text").mapInArrow(
         lambda batches: _units(batches, length), UNIT))
-    often = units.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written first: a join of two plain shuffles is one that adaptive execution can split at a hot anchor
+    often = stash(units.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     candidates = stash(units.join(often, "h", "left_semi"))
     spans = repeated_spans(plain.select("d", "text"), candidates, length, shard_units)
     per_doc = spans.groupBy("d").agg(F.collect_list(F.struct("mark", "start", "stop")).alias("found"))
