@@ -198,13 +198,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one with the least id."""
-    groups = near_duplicates(docs, id_col, text_col)
-    gone = stash(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(gone, id_col, "left_anti")
-
-
 def op5(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
