@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, over whole tables."""
+"""The registered queries of the operators, over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import (codesearch, decontaminate, langid, licenses, linededup, packing, pii, quality, repeats,
-                         simhash)
+from tidelog.llm import (codesearch, decontaminate, importance, langid, licenses, linededup, packing, pii, quality,
+                         repeats, simhash)
 from tidelog.llm.common import table
 from tidelog.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -58,3 +58,8 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_repeats")
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.op10(table(spark, sf_dir, "documents"))
+
+
+@query("op11_importance", importance.SQL)
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.op11(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
