@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import (codesearch, decontaminate, importance, langid, licenses, linededup, packing, pii, quality,
+from tidelog.llm import (bursttrie, codesearch, decontaminate, importance, langid, licenses, linededup, packing, pii, quality,
                          repeats, simhash)
 from tidelog.llm.common import table
 from tidelog.llm.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -63,3 +63,8 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_importance", importance.SQL)
 def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.op11(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_conversation_trie", bursttrie.SQL)
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bursttrie.op12(table(spark, sf_dir, "conversations"))
