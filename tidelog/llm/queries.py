@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import (bursttrie, codesearch, decontaminate, importance, langid, licenses, linededup, packing, pii, quality,
+from tidelog.llm import (bursttrie, codesearch, decontaminate, egojoin, importance, langid, licenses, linededup, packing, pii, quality,
                          repeats, simhash)
 from tidelog.llm.common import table
 from tidelog.llm.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -68,3 +68,8 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_conversation_trie", bursttrie.SQL)
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bursttrie.op12(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_embedding_near_dedup", egojoin.SQL)
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return egojoin.op13(table(spark, sf_dir, "embeddings"))
