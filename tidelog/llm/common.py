@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWNED: list[list[DataFrame]] = []
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and return the table that was written.
 
     Cuts lineage like a checkpoint and survives lost executors, but stays
-    columnar and compressed. The folder goes when the application ends.
+    columnar and compressed. The folder goes with ``drop``, with the scope that
+    is open, or at the latest when the application ends.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -30,7 +36,44 @@ def stash(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     written = sc._jvm.org.apache.hadoop.fs.Path(path)
     written.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(written)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    if _OWNED:
+        _OWNED[-1].append(out)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more; the driver then lets go of finished shuffles too."""
+    for df in tables:
+        path = getattr(df, "stash_path", None)
+        if path is None:
+            continue
+        sc = df.sparkSession.sparkContext
+        written = sc._jvm.org.apache.hadoop.fs.Path(path)
+        written.getFileSystem(sc._jsc.hadoopConfiguration()).delete(written, True)
+        df.stash_path = None
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """Owns the tables that are written inside it and deletes them at its end, but for those put into the list it gives."""
+    kept: list[DataFrame] = []
+    _OWNED.append([])
+    try:
+        yield kept
+    finally:
+        own = _OWNED.pop()
+        if _OWNED:
+            _OWNED[-1].extend(df for df in own if any(df is k for k in kept))
+        drop(*[df for df in own if not any(df is k for k in kept)])
+
+
+def join_counted(rows: DataFrame, few: DataFrame, on: list[str], how: str, most: int = 100_000) -> DataFrame:
+    """Join with a written table, broadcast only when it counts at most ``most`` rows; beyond that a shuffle join."""
+    return rows.join(F.broadcast(few) if few.limit(most + 1).count() <= most else few, on, how)
 
 
 def ready(df: DataFrame) -> DataFrame:

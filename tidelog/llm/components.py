@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import stash
+from tidelog.llm.common import drop, stash
 
 
 def _least_neighbour(links: DataFrame) -> DataFrame:
@@ -42,7 +42,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = None
     while True:
-        links = stash(_small_star(_large_star(links)))
+        last, links = links, stash(_small_star(_large_star(links)))
+        drop(last)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
