@@ -13,7 +13,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidelog.llm import bursttrie, egojoin, importance
+from tidelog.llm import bursttrie, codesearch, egojoin, importance
 from tidelog.llm.common import table
 
 
@@ -260,3 +260,46 @@ def test_sql_twins(spark, sf, sql, run, tables):
         con.sql(f"create view {name} as select * from '{sf}/{name}.parquet'")
     want = con.sql(sql)
     assert rows(run(lambda name: table(spark, sf, name)), *want.columns) == Counter(want.fetchall())
+
+
+# --- exact search in codes
+
+def test_code_search_of_repeated_ids_and_clashing_columns(spark):
+    """An id with many near codes takes one place; ids that ask or answer with several codes are as near as the nearest."""
+    rng = np.random.default_rng(9)
+    rows_ = [(i, (rng.integers(0, 2, 16) * 2 - 1).astype(float).tolist()) for i in range(40)]
+    base = rows_[0][1]
+    for b in range(12):  # one other id close by with a dozen codes
+        rows_.append((77, [-x if i == b else x for i, x in enumerate(base)]))
+    rows_ += [(0, base), (5, base), (78, base), (78, base), (None, base), (90, None), (0, [-x for x in base])]
+    rows_ += [(200 + i, base) for i in range(15)]
+    df = spark.createDataFrame([(i, v, 0, 1, "q", 2) for i, v in rows_], "vec_id long, embedding array<double>, rank int, worst int, query string, segment int")
+    codes = [(i, np.array([x > 0 for x in v])) for i, v in rows_ if i is not None and v is not None]
+    for k, parts in ((5, None), (5, codesearch.cut(16, 4)), (20, codesearch.cut(16, 2))):
+        want = Counter()
+        for q in {i for i, _ in codes if i % 5 == 0}:
+            near = {}
+            for a, x in codes:
+                for b, y in codes:
+                    if a == q and b != q:
+                        near[b] = min(near.get(b, 99), int((x != y).sum()))
+            for rank, (b, d) in enumerate(sorted(near.items(), key=lambda e: (e[1], e[0]))[:k], 1):
+                want[q, rank, b, d] += 1
+        got = codesearch.top_k(df, df.where("vec_id % 5 = 0"), k=k, bits=16, parts=parts)
+        assert rows(got, "query_id", "rank", "neighbor_id", "distance") == want
+    assert codesearch.top_k(df, df.where("vec_id < 0"), k=3, bits=16).collect() == []
+
+
+def test_steps_of_a_cut_cover_every_code():
+    """After each step, every code that no segment met is farther than the step says."""
+    rng = np.random.default_rng(2)
+    parts = codesearch.cut(40, 3)
+    assert sum(n for _, n in parts) == 40 and {a // 32 == (a + n - 1) // 32 for a, n in parts} == {True}
+    codes = rng.integers(0, 2, (3000, 40)) * (rng.random((3000, 1)) < 0.9) * (rng.random((3000, 40)) < rng.random((3000, 1)))
+    weights = np.array([codes[:, a:a + n].sum(axis=1) for a, n in parts])
+    radius = np.full(len(parts), -1)
+    for r, grown, reach in codesearch.steps(parts):
+        radius[grown] = r
+        missed = (weights > radius[:, None]).all(axis=0)
+        assert not missed.any() or codes[missed].sum(axis=1).min() > reach
+    assert reach == 40
