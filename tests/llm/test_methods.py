@@ -1,6 +1,10 @@
 """Properties of the methods themselves."""
 
+import hashlib
+import math
 import random
+import re
+from collections import Counter
 
 import brute
 import test_nearsets
@@ -69,6 +73,41 @@ def test_line_index_is_reversible(spark, edge):
     assert state(linededup.insert(whole, first))[:2] == state(whole)[:2]
 
 
+def test_filters_decide_which_keys_meet_the_exact_tables(spark, sf, monkeypatch):
+    """With filters only repeated keys are looked up; without them all are; the index and what it drops are the same."""
+    docs = table(spark, sf, "documents")
+    with_, without = (linededup.build(docs, use_filters=on) for on in (True, False))
+    assert state(with_)[:2] == state(without)[:2]
+    asked = [sum(counts.where("known").count() for _, counts in i.segments) for i in (with_, without)]
+    repeated = linededup._all([c for _, c in with_.segments]).groupBy("shard", "key").count().where("count > 1").count()
+    every = sum(counts.count() for _, counts in with_.segments)
+    assert 0 < repeated <= asked[0] < 0.5 * asked[1] and asked[1] == every
+    drops = [{r["doc_id"]: {bytes(k) for k in r["drop"]} for r in linededup.to_drop(i).collect()} for i in (with_, without)]
+    assert drops[0] == drops[1] and drops[0]
+    plain = linededup.Cuckoo.__contains__
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 20)
+    many = linededup.insert(linededup.empty_index(spark, 1), docs)
+    assert many.shards > 1 and {k: v for k, v in state(many)[0].items()} == state(with_)[0]
+    assert max(len(t.tables) for t in state(many)[2]) <= 2 and plain is linededup.Cuckoo.__contains__
+
+
+def test_a_filter_that_errs_changes_nothing(spark, edge):
+    """Filters of one bucket report almost every key: inserting, deleting and what is dropped stay exact."""
+    docs = edge.where("doc_id is not null")
+    first, second = docs.where("doc_id <= 6"), docs.where("doc_id > 6")
+    marks = {bytes([i]) * 16 for i in range(1, 200)}
+    held = linededup.Cuckoo(b"", 16)
+    for k in marks:
+        held.add(k)
+    blob = spark.createDataFrame([(s, held.blob()) for s in range(3)], linededup.FILTERS)
+    start = linededup.LineIndex(3, linededup.empty_index(spark, 3).segments, blob)
+    index = linededup.insert(linededup.insert(start, first), second)
+    want = linededup.insert(linededup.empty_index(spark, 3), docs)
+    assert state(index)[:2] == state(want)[:2]
+    back = linededup.delete(index, second.select("doc_id"))
+    assert state(linededup.insert(back, second))[:2] == state(want)[:2]
+
+
 def test_cuckoo_grows_and_forgets():
     keys = [random.Random(i).randbytes(16) for i in range(4000)]
     f = linededup.Cuckoo()
@@ -145,6 +184,63 @@ def test_maximal_repeats_by_definition():
         assert got == want
 
 
+def brute_terms(docs, reach, generalise, remove):
+    """(entity, term) -> (disclosure, action), by counting documents one by one."""
+    total, held, both, having = max(2, len(docs)), Counter(), Counter(), Counter()
+    for _, text in docs:
+        text = text or ""
+        spans = brute.base_pii(text)
+        words = [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+        having.update({w[0] for w in words})
+        names, pairs = set(), set()
+        for kind, a, b in spans:
+            value = text[a:b].lower()
+            digits = "".join(c for c in value if c in "0123456789")
+            own = {"email": [value, "@" + value.split("@")[-1]], "ip": [value, value[:value.rindex(".") + 1] if "." in value else ""],
+                   "card": [digits, digits[:6] + "-"], "phone": [digits, digits[:5] + "-"]}[kind]
+            names |= {f"{kind}:{x}" for x in own}
+            left = sum(w[1] < a for w in words)
+            right = sum(w[1] < b for w in words)
+            for i, (w, s, e) in enumerate(words):
+                if left - reach <= i < right + reach and not any(s < y and e > x for _, x, y in spans):
+                    pairs |= {(f"{kind}:{x}", w) for x in own}
+        held.update(names)
+        both.update(pairs)
+    out = {}
+    for (e, t), n in both.items():
+        m, content = min(held[e], having[t]), math.log(total / held[e])
+        if content > 0:
+            told = n / (n + 1) * m / (m + 1) * (1 + math.log(n / having[t]) / content)
+            if told >= generalise:
+                out[e, t] = (round(told, 9), "remove" if told >= remove else "generalise")
+    return out
+
+
+@pytest.mark.parametrize("source", ["table", "edge", "made"])
+def test_disclosure_is_that_of_counted_documents(spark, sf, edge, source):
+    """PMI over IC, discounted, for all pairs of an entity and a term near it; spans stand wherever a telling term stands."""
+    rng = random.Random(6)
+    made = [(i, " ".join(rng.choice(["kim", "lee", "ann", "oak", "elm", "x@mail.org", "y@mail.org", "10.0.0.7", "10.0.0.9"])
+                         for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    df = {"table": table(spark, sf, "documents"), "edge": edge, "made": spark.createDataFrame(made, "doc_id long, text string")}[source]
+    docs = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+    options = {"reach": 4, "generalise": 0.2, "remove": 0.4}
+    want = brute_terms(docs, 4, 0.2, 0.4)
+    plain = df.select("doc_id", pii.text_of("text").alias("text"))
+    scanned = pii.stash(plain.mapInArrow(pii._scan, pii.SCANNED))
+    got = {(r["entity"], r["term"]): (round(r["disclosure"], 9), r["action"]) for r in pii.disclosing(plain.select("text"), scanned, **options).collect()}
+    assert got == want and (want or source == "edge")
+    strict = {}
+    for (_, t), (_, act) in want.items():
+        strict[t] = max(strict.get(t, ""), act)  # remove is the later word
+    for r in pii.found_in(df, **options).select("print", "places").distinct().collect():
+        text = next(t or "" for _, t in docs if hashlib.md5((t or "").encode()).hexdigest() == r["print"])
+        terms = {(p["start"], p["end"], p["action"] == "remove") for p in r["places"] if p["kind"] == 4}
+        spans = brute.base_pii(text)
+        assert terms == {(*m.span(), strict[m[0].lower()] == "remove") for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)
+                         if m[0].lower() in strict and not any(m.start() < y and m.end() > x for _, x, y in spans)}
+
+
 def test_terms_that_give_an_entity_away(spark):
     rng = random.Random(2)
     fill = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "theta"]
@@ -152,17 +248,18 @@ def test_terms_that_give_an_entity_away(spark):
     def noise(n=8):
         return " ".join(rng.choice(fill) for _ in range(n))
 
-    docs = [(i, f"{noise()} kingfisher jane.doe@example.com {noise()}") for i in range(6)]
+    docs = [(i, f"{noise()} kingfisher {noise()} jane.doe@example.com {noise()}") for i in range(8)]
+    docs += [(None, f"{noise()} harbour bob@example.org {noise()}") for i in range(2)]
     docs += [(100 + i, noise(20)) for i in range(200)]
-    docs += [(900 + i, "copied marker bob@example.com end") for i in range(5)]
-    out = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    for i in range(6):
-        text = docs[i][1]
-        terms = [text[int(a):int(b)] for k, a, b in (s.split(":") for s in out[i].split(",")) if k == "term"]
-        assert terms == ["kingfisher"]
-        assert "[term] [email]" in pii.sanitised(text, out[i]) and "jane" not in pii.sanitised(text, out[i])
-    assert all(out[100 + i] == "" for i in range(200))
-    assert all("term" not in out[900 + i] for i in range(5))  # copies of one text are one witness
+    docs += [(300, "the Kingfisher sings"), (300, None), (None, "harbour kingfisher")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = [(r["doc_id"], r["spans"], r["actions"]) for r in pii.find(df).collect()]
+    assert len(rows) == len(docs) and (300, "term:4:14", "remove:4:14") in rows and (300, "", "") in rows
+    assert (None, "term:0:7,term:8:18", "email:0:7,remove:8:18") in rows
+    assert all(spans == "" for i, spans, _ in rows if i is not None and 100 <= i < 300)
+    clean = sorted(r["text"] for r in pii.sanitise(df).collect())
+    assert len(clean) == len(docs) and not any(x in t.lower() for t in clean for x in ("kingfisher", "harbour", "jane", "bob"))
+    assert "the sings" in clean and "[email term]" in clean and sum("[email]" in t for t in clean) == 10
 
 
 def test_pii_spans_of_hard_texts():

@@ -1,14 +1,20 @@
 """Personal data: patterns find it, corpus co-occurrence finds the words that give it away.
 
-Four kinds of values are found by pattern. Every value is a protected entity.
-Words within ``WINDOW`` words of an occurrence are its context; a word t that
-stands beside entity e tells ``PMI(t; e) / IC(e)`` of what naming e would tell:
-1 + log p(e | t) / IC(e), with p(e | t) from all documents. Terms at or above
-``GENERALISE`` are generalised, at or above ``REMOVE`` removed, wherever they
-stand in a context of that entity. A pair must be seen in at least ``SUPPORT``
-different texts, so copies of one text prove nothing. Statistics run over all
-documents; contexts are linear in the occurrences, never a product of a
-document's terms and entities.
+Four kinds of values are found by pattern. Every value is a protected entity,
+and so is the level that many values share: a mail domain, a network, a card
+issuer, a dialling prefix. Words within ``REACH`` words of a value co-occur with
+its entities, once a document. Naming a term t tells ``PMI(t; e) / IC(e)`` of
+what naming e would tell: 1 + log p(e | t) / IC(e), with p(e | t) and IC(e) from
+all documents. Few observations prove little, so this share is discounted by
+both / (both + 1) times m / (m + 1), where ``both`` documents hold t beside e
+and m is the smaller of all holders of e and all of t. There is no other floor:
+entities are left out only where the discount alone keeps every term below the
+threshold. Terms at or above ``GENERALISE`` are generalised, at or above
+``REMOVE`` removed, wherever they stand in any document.
+
+Contexts are linear in the values, never a product of a document's terms and
+entities. Counts and marks of terms come from passes over the texts that know
+the wanted terms by a bit filter of fixed size; a join makes them exact.
 """
 
 from __future__ import annotations
@@ -19,19 +25,21 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import ready, stash
+from tidelog.llm.common import ready, scope, stash, text_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW = 5
-SUPPORT = 3
-GENERALISE = 0.75
-REMOVE = 0.9
+REACH = 50
+GENERALISE = 0.4
+REMOVE = 0.7
 FLUSH = 400_000
+FILTER_BITS = 24
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -91,147 +99,280 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
 
-def entity(text: str, span: Span) -> str:
-    """A value's name: its kind and its lower-cased characters without separators."""
-    value = text[span[1]:span[2]]
-    return f"{span[0]}:{value.lower() if span[0] in ('email', 'ip') else _digits(value)}"
+def entities(text: str, span: Span) -> list[str]:
+    """A value's name (kind and lower-cased characters without separators) and the name of the level it shares with others."""
+    kind, value = span[0], text[span[1]:span[2]].lower()
+    if kind == "email":
+        return [f"email:{value}", f"email:@{value.rpartition('@')[2]}"]
+    if kind == "ip":
+        return [f"ip:{value}", f"ip:{value.rpartition('.')[0]}."]
+    digits = _digits(value)
+    return [f"{kind}:{digits}", f"{kind}:{digits[:6 if kind == 'card' else 5]}-"]
 
 
-def contexts(text: str, spans: list[Span], window: int = WINDOW) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words around each span, but for those that a span covers."""
-    if not spans:
-        return []
-    words = [(m.group(), m.start(), m.end()) for m in WORD.finditer(text)]
+def free_words(text: str, spans: list[Span]) -> list[tuple[str, int, int]]:
+    """(word, start, end) of all words, lower-cased; the word is empty where a span covers part of it."""
+    words = [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(text)]
     starts = [w[1] for w in words]
-    covered = set()
     for _, start, end in spans:
         i = max(0, bisect_left(starts, start) - 1)
         while i < len(words) and words[i][1] < end:
             if words[i][2] > start:
-                covered.add(i)
+                words[i] = ("", *words[i][1:])
             i += 1
-    out = []
+    return words
+
+
+def contexts(text: str, spans: list[Span], reach: int = REACH) -> set[tuple[str, str]]:
+    """(entity, term) for the terms within ``reach`` words of a value; words that a value covers are no terms."""
+    words = free_words(text, spans)
+    starts = [w[1] for w in words]
+    out = set()
     for span in spans:
-        name = entity(text, span)
         left, right = bisect_left(starts, span[1]), bisect_left(starts, span[2])
-        near = [*range(max(0, left - window), left), *range(right, min(len(words), right + window))]
-        out += [(name, words[i][0].lower(), words[i][1], words[i][2]) for i in near if i not in covered]
+        near = {w[0] for w in words[max(0, left - reach):right + reach]} - {""}
+        out |= {(name, term) for name in entities(text, span) for term in near}
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> the document's own results and its contexts."""
-    span = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in range(0, batch.num_rows, 512):
-            rows = batch.slice(part, 512)
-            results, around, prints = [], [], []
-            for text in rows.column(1).to_pylist():
-                spans = base_spans(text)
-                results.append(spans)
-                found = contexts(text, spans) if spans else []
-                around.append([dict(zip(("entity", "term", "start", "end"), c, strict=True)) for c in found])
-                prints.append(hashlib.md5(text.encode()).hexdigest() if spans else None)
-            counts = [Counter(kind for kind, _, _ in spans) for spans in results]
-            texts = [written(spans) for spans in results]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0).cast(pa.int64()), *[pa.array([c[k] for c in counts], pa.int64()) for k in KINDS[:4]],
-                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]), pa.array(texts),
-                 pa.array(prints, pa.string()), pa.array(around, pa.list_(span))],
-                ["doc_id", *[f"n_{k}" for k in KINDS[:4]], "base_sha256", "base", "print", "contexts"])
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> the document's own results and the names of its entities."""
+    for rows in _parts(batches):
+        texts = rows.column(1).to_pylist()
+        results = [base_spans(t) for t in texts]
+        counts = [Counter(kind for kind, _, _ in spans) for spans in results]
+        lists = [written(spans) for spans in results]
+        yield pa.RecordBatch.from_arrays(
+            [rows.column(0).cast(pa.int64()), *[pa.array([c[k] for c in counts], pa.int64()) for k in KINDS[:4]],
+             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in lists]), pa.array(lists),
+             pa.array([hashlib.md5(t.encode()).hexdigest() for t in texts]),
+             pa.array([sorted({e for s in spans for e in entities(t, s)}) for t, spans in zip(texts, results, strict=True)],
+                      pa.list_(pa.string()))],
+            ["doc_id", *[f"n_{k}" for k in KINDS[:4]], "base_sha256", "base", "print", "entities"])
 
 
 SCANNED = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
-           "print string, contexts array<struct<entity:string,term:string,start:bigint,end:bigint>>")
+           "print string, entities array<string>")
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) -> (term, n): in how many of the task's documents a term stands, summed where it is read."""
-    sums: Counter[str] = Counter()
+def _place(term: str) -> int:
+    return xxhash.xxh64_intdigest(term.encode(), 7) >> 64 - FILTER_BITS
 
-    def told() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), pa.array(sums.values(), pa.int64())],
-                                          ["term", "n"])
 
-    for batch in batches:
-        for part in range(0, batch.num_rows, 512):
-            for text in batch.column(0).slice(part, 512).to_pylist():
-                sums.update(set(WORD.findall((text or "").lower())))
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _parts(batches, 1 << 14):
+        yield pa.RecordBatch.from_arrays([pa.array([_place(t) for t in rows.column(0).to_pylist()], pa.int64())], ["place"])
+
+
+def _filter(names: DataFrame) -> bytes:
+    """A bit for each place of a name (one column): fixed size, put together by aggregation."""
+    bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
+    seen = np.zeros(1 << FILTER_BITS >> 6, dtype=np.int64)
+    for r in ready(names).mapInArrow(_placed, "place long").groupBy(F.floor(F.col("place") / 64).alias("word")).agg(
+            F.bit_or(bit).alias("bits")).collect():
+        seen[r["word"]] = r["bits"]
+    return seen.tobytes()
+
+
+class Held:
+    """Whether the filter may hold a name; answers are kept, since words repeat."""
+
+    def __init__(self, bits: bytes) -> None:
+        self.bits, self.known = bits, {}
+
+    def __call__(self, name: str) -> bool:
+        out = self.known.get(name)
+        if out is None:
+            place = _place(name)
+            out = bool(self.bits[place >> 3] >> (place & 7) & 1)
+            if len(self.known) > FLUSH:
+                self.known.clear()
+            self.known[name] = out
+        return out
+
+
+def _pairs(texts: DataFrame, wanted: bytes, reach: int) -> DataFrame:
+    """(entity, term, both): in how many of a task's documents they co-occur, for entities the filter may hold."""
+    sent = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Counter[tuple[str, str]] = Counter()
+        held = Held(sent.value)
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in sums], pa.string()) for i in (0, 1)),
+                                               pa.array(sums.values(), pa.int64())], ["entity", "term", "both"])
+
+        for rows in _parts(batches):
+            for text in rows.column(0).to_pylist():
+                spans = base_spans(text)
+                if any(held(e) for s in spans for e in entities(text, s)):
+                    sums.update(c for c in contexts(text, spans, reach) if held(c[0]))
             if len(sums) > FLUSH:
                 yield told()
                 sums.clear()
-    yield told()
-
-
-def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str = "text", support: int = SUPPORT,
-               generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(entity, term, disclosure, action) of the terms that give an entity away."""
-    pairs = scanned.select("print", F.explode("contexts").alias("c")).select(
-        "print", F.col("c.entity").alias("entity"), F.col("c.term").alias("term"))
-    seen = pairs.groupBy("entity", "term", "print").agg(F.count("*").alias("copies"))
-    # a document counts once however often the pair stands in it
-    per_text = scanned.where("print is not null").groupBy("print").agg(F.count("*").alias("docs"))
-    joint = seen.join(per_text, "print").groupBy("entity", "term").agg(
-        F.count("*").alias("texts"), F.sum("docs").alias("both")).where(F.col("texts") >= support)
-    joint = stash(joint)
-    entities = scanned.select("doc_id", "print", F.explode(F.array_distinct("contexts.entity")).alias("entity")).groupBy(
-        "entity").agg(F.count("*").alias("holders"))
-    terms = ready(docs).select(text_col).mapInArrow(_frequencies, "term string, n long")
-    wanted = terms.join(joint.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("docs"))
-    total = docs.count()
-    known = joint.join(entities, "entity").join(wanted, "term")
-    given = F.least(F.lit(1.0), F.col("both") / F.col("docs"))
-    content = F.log(F.lit(float(max(total, 2))) / F.col("holders"))
-    return known.select("entity", "term", F.when(content > 0, 1 + F.log(given) / content).alias("disclosure")).where(
+        yield told()
+
+    return texts.mapInArrow(paired, "entity string, term string, both long")
+
+
+def _term_docs(texts: DataFrame, wanted: bytes) -> DataFrame:
+    """(term, n): in how many of a task's documents a term stands, for terms the filter may hold."""
+    sent = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Counter[str] = Counter()
+        held = Held(sent.value)
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), pa.array(sums.values(), pa.int64())],
+                                              ["term", "n"])
+
+        for rows in _parts(batches):
+            for text in rows.column(0).to_pylist():
+                sums.update(t for t in set(WORD.findall(text.lower())) if held(t))
+            if len(sums) > FLUSH:
+                yield told()
+                sums.clear()
+        yield told()
+
+    return texts.mapInArrow(counted, "term string, n long")
+
+
+def _marks(texts: DataFrame, wanted: bytes) -> DataFrame:
+    """(print, term, start, end): every place of a term the filter may hold, outside values; a row a text and term place."""
+    sent = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held(sent.value)
+        for rows in _parts(batches, 128):
+            out: list[tuple[str, str, int, int]] = []
+            for text in rows.column(0).to_pylist():
+                if any(map(held, set(WORD.findall(text.lower())))):
+                    name = hashlib.md5(text.encode()).hexdigest()
+                    out += [(name, *w) for w in free_words(text, base_spans(text)) if w[0] and held(w[0])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(
+                (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["print", "term", "start", "end"])
+
+    return texts.mapInArrow(marked, "print string, term string, start long, end long")
+
+
+def disclosing(texts: DataFrame, scanned: DataFrame, reach: int = REACH, generalise: float = GENERALISE,
+               remove: float = REMOVE) -> DataFrame:
+    """(entity, term, disclosure, action), written: the terms that give an entity away."""
+    total = float(max(scanned.count(), 2))
+    found = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("holders"))
+    # both and m are at most the holders: below this many, no term can reach the threshold
+    found = stash(found.where((F.col("holders") / (F.col("holders") + 1)) ** 2 >= generalise))
+    joint = stash(_pairs(texts, _filter(found.select("entity")), reach).groupBy("entity", "term").agg(
+        F.sum("both").alias("both")).where(F.col("both") / (F.col("both") + 1) >= generalise).join(found, "entity"))
+    docs = _term_docs(texts, _filter(joint.select("term").distinct())).groupBy("term").agg(F.sum("n").alias("docs"))
+    least = F.least("holders", "docs")
+    trust = F.col("both") / (F.col("both") + 1) * least / (least + 1)
+    content = F.log(F.lit(total) / F.col("holders"))
+    share = F.when(content > 0, trust * (1 + F.log(F.col("both") / F.col("docs")) / content))
+    return stash(joint.join(docs, "term").select("entity", "term", share.alias("disclosure")).where(
         F.col("disclosure") >= generalise).withColumn(
-        "action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise"))
+        "action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+PLACES = "array<struct<start:bigint,kind:int,end:bigint,action:string>>"
 
-    ``spans`` holds the base spans and spans of kind ``term``, by start, then
-    kind. A null text is empty. A null doc_id keeps its row and its base spans.
-    Rows that share a doc_id share the term spans of that id. An empty table
-    gives an empty table. Other columns of ``docs`` are not read.
+
+def marked_texts(texts: DataFrame, scanned: DataFrame, **options) -> DataFrame:
+    """(print, terms), written: the places of disclosing terms in each different text that holds one.
+
+    A term's action is the strictest it has for any entity; a generalised term
+    becomes the kind of the entity that it tells most about.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = stash(ready(plain).mapInArrow(_scan, SCANNED))
-    telling = stash(disclosing(plain, scanned, **options))
-    placed = scanned.where("size(contexts) > 0").select("doc_id", F.explode("contexts").alias("c")).select("doc_id", "c.*")
-    terms = placed.join(telling.select("entity", "term"), ["entity", "term"]).groupBy("doc_id").agg(
-        F.array_sort(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end"))).alias("terms"))
+    telling = disclosing(texts, scanned, **options)
+    best = F.max(F.struct("disclosure", F.split("entity", ":")[0].alias("kind"), "action")).alias("best")
+    terms = stash(telling.groupBy("term").agg(best).select("term", F.when(
+        F.col("best.action") == "remove", "remove").otherwise(F.col("best.kind")).alias("action")))
+    places = _marks(texts, _filter(terms.select("term"))).join(terms, "term")
+    return stash(places.groupBy("print").agg(F.array_sort(F.collect_set(F.struct(
+        "start", F.lit(4).alias("kind"), "end", "action"))).alias("terms")))
+
+
+def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc_id, counts, base_sha256, base, print, spans of all kinds with the terms' actions) for each row of ``docs``."""
+    with scope() as kept:
+        plain = ready(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+        scanned = stash(plain.mapInArrow(_scan, SCANNED))
+        terms = marked_texts(plain.select("text"), scanned, **options)
+        kept += [scanned, terms]
     kinds = F.array(*[F.lit(k) for k in KINDS])
     base = F.transform(F.filter(F.split("base", ","), lambda s: s != ""), lambda s: F.struct(
         F.split(s, ":")[1].cast("long").alias("start"),
         (F.array_position(kinds, F.split(s, ":")[0]) - 1).cast("int").alias("kind"),
-        F.split(s, ":")[2].cast("long").alias("end")))
-    every = F.array_sort(F.concat(base, F.coalesce("terms", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))))
-    joined = F.array_join(F.transform(every, lambda s: F.concat_ws(
-        ":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return scanned.join(terms, "doc_id", "left").select(
-        "doc_id", *[f"n_{k}" for k in KINDS[:4]], "base_sha256",
-        F.when(F.col("terms").isNull(), F.col("base")).otherwise(joined).alias("spans"))
+        F.split(s, ":")[2].cast("long").alias("end"), F.lit(None).cast("string").alias("action")))
+    every = F.array_sort(F.concat(base, F.coalesce("terms", F.array().cast(PLACES))))
+    return scanned.join(terms, "print", "left").select(
+        "doc_id", *[f"n_{k}" for k in KINDS[:4]], "base_sha256", "base", "print", every.alias("places"))
+
 
+def _listed(with_action: bool) -> F.Column:
+    """The places as text: kind:start:end, or the action and place of the terms alone."""
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    rows = F.filter("places", lambda s: s["action"].isNotNull()) if with_action else F.col("places")
+    name = (lambda s: s["action"]) if with_action else (lambda s: F.element_at(kinds, s["kind"] + 1))
+    return F.array_join(F.transform(rows, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-def sanitised(text: str | None, spans: str) -> str:
-    """The text with every span replaced by its kind in brackets; overlapping spans become one, named after the first."""
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, actions.
+
+    ``spans`` holds the base spans and spans of kind ``term``, by start, then
+    kind. ``actions`` holds remove:start:end for a term to be cut, and
+    kind:start:end for one that becomes the word for what it tells about. A
+    null text is empty. What is found depends on a row's text and the corpus
+    alone: null and repeated ids keep their rows and their own spans, equal
+    texts have equal spans. An empty table gives an empty table. Other columns
+    of ``docs`` are not read.
+    """
+    return found_in(docs, id_col, text_col, **options).select(
+        "doc_id", *[f"n_{k}" for k in KINDS[:4]], "base_sha256", _listed(False).alias("spans"), _listed(True).alias("actions"))
+
+
+def sanitised(text: str | None, spans: str, actions: str = "") -> str:
+    """The text with every value replaced by its kind in brackets, terms generalised to ``[kind term]`` or cut.
+
+    Overlapping values become one, named after the first. A cut term takes one
+    of the blanks around it along.
+    """
     text, out, at = text or "", [], 0
+    acts = {(int(s), int(e)): k for k, s, e in (x.split(":") for x in actions.split(",") if x)}
     for kind, start, end in ((k, int(s), int(e)) for k, s, e in (x.split(":") for x in spans.split(",") if x)):
         if start >= at:
-            out += [text[at:start], f"[{kind}]"]
+            act = acts.get((start, end), "") if kind == "term" else ""
+            out.append(text[at:start])
+            if act != "remove":
+                out.append(f"[{act} term]" if act else f"[{kind}]")
+            elif out[-1].endswith(" ") and text[end:end + 1] in ("", " "):
+                out[-1] = out[-1][:-1]
         at = max(at, end)
     return "".join([*out, text[at:]])
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, text) of the rows of ``docs`` with their spans replaced; ids must be unique and not null."""
+    """(doc_id, text) of each row of ``docs``, sanitised; rows are matched by their text, so ids may repeat or be null.
+
+    A null text becomes empty.
+    """
     @F.pandas_udf("string")
-    def replaced(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([sanitised(t, s) for t, s in zip(texts, spans, strict=True)])
+    def replaced(texts: pd.Series, spans: pd.Series, actions: pd.Series) -> pd.Series:
+        return pd.Series([sanitised(t, s, a) for t, s, a in zip(texts, spans, actions, strict=True)])
 
-    found = find(docs, id_col, text_col, **options).select(F.col("doc_id").alias(id_col), "spans")
-    return docs.join(found, id_col).select(id_col, replaced(F.col(text_col), F.col("spans")).alias(text_col))
+    found = found_in(docs, id_col, text_col, **options).select("print", _listed(False).alias("spans"), _listed(True).alias("actions"))
+    rows = docs.select(F.col(id_col), text_of(text_col).alias(text_col)).withColumn("print", F.md5(text_col))
+    return rows.join(found.dropDuplicates(["print"]), "print").select(
+        id_col, replaced(F.col(text_col), F.col("spans"), F.col("actions")).alias(text_col))
 
 
 def op6(docs: DataFrame) -> DataFrame:
