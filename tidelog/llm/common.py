@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tidelog.session import ensure_checkpoint_dir, ship_package
 
+TEXT_ROWS = 1000
+
 #: White space as the line and word contracts define it (ASCII only).
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -77,8 +79,15 @@ def join_counted(rows: DataFrame, few: DataFrame, on: list[str], how: str, most:
 
 
 def ready(df: DataFrame) -> DataFrame:
-    """``df``, with this package on the executors: called before Python functions of it run there."""
-    ship_package(df.sparkSession)
+    """``df``, with this package on the executors: called before Python functions of it run there.
+
+    Whole texts go to Python in batches of at most TEXT_ROWS rows, so that what
+    a worker and the transfer hold stays small; a lower setting is left as it is.
+    """
+    spark, rows = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    ship_package(spark)
+    if not 0 < int(spark.conf.get(rows)) <= TEXT_ROWS:
+        spark.conf.set(rows, TEXT_ROWS)
     return df
 
 
