@@ -246,21 +246,28 @@ def _term_docs(texts: DataFrame, wanted: bytes) -> DataFrame:
 
 
 def _marks(texts: DataFrame, wanted: bytes) -> DataFrame:
-    """(print, term, start, end): every place of a term the filter may hold, outside values; a row a text and term place."""
+    """(print, places): for each text that holds them, the places (term, start, end) of terms the filter may hold, outside values."""
     sent = texts.sparkSession.sparkContext.broadcast(wanted)
+    kind = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Held(sent.value)
         for rows in _parts(batches, 128):
-            out: list[tuple[str, str, int, int]] = []
+            prints, places = [], []
             for text in rows.column(0).to_pylist():
-                if any(map(held, set(WORD.findall(text.lower())))):
-                    name = hashlib.md5(text.encode()).hexdigest()
-                    out += [(name, *w) for w in free_words(text, base_spans(text)) if w[0] and held(w[0])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(
-                (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["print", "term", "start", "end"])
+                hits = {t for t in set(WORD.findall(text.lower())) if held(t)}
+                if not hits:
+                    continue
+                found = [(w, *m.span()) for m in WORD.finditer(text) if (w := m.group().lower()) in hits]
+                spans = base_spans(text)
+                if spans:
+                    found = [f for f in found if not any(f[1] < end and f[2] > start for _, start, end in spans)]
+                if found:
+                    prints.append(hashlib.md5(text.encode()).hexdigest())
+                    places.append([dict(zip(("term", "start", "end"), f, strict=True)) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.string()), pa.array(places, kind)], ["print", "places"])
 
-    return texts.mapInArrow(marked, "print string, term string, start long, end long")
+    return texts.mapInArrow(marked, "print string, places array<struct<term:string,start:bigint,end:bigint>>")
 
 
 def disclosing(texts: DataFrame, scanned: DataFrame, reach: int = REACH, generalise: float = GENERALISE,
@@ -295,7 +302,9 @@ def marked_texts(texts: DataFrame, scanned: DataFrame, **options) -> DataFrame:
     best = F.max(F.struct("disclosure", F.split("entity", ":")[0].alias("kind"), "action")).alias("best")
     terms = stash(telling.groupBy("term").agg(best).select("term", F.when(
         F.col("best.action") == "remove", "remove").otherwise(F.col("best.kind")).alias("action")))
-    places = _marks(texts, _filter(terms.select("term"))).join(terms, "term")
+    # copies of a text have the same places: one of them is joined
+    once = _marks(texts, _filter(terms.select("term"))).dropDuplicates(["print"])
+    places = once.select("print", F.explode("places").alias("at")).select("print", "at.*").join(terms, "term")
     return stash(places.groupBy("print").agg(F.array_sort(F.collect_set(F.struct(
         "start", F.lit(4).alias("kind"), "end", "action"))).alias("terms")))
 
