@@ -2,8 +2,9 @@
 
 Vectors become binary codes: the sign of each component. Equal codes are one
 row of the index, with the least ids that any answer can need. A code is cut
-into segments. A query first asks every segment for its own value; then one
-segment at a time for the values one bit farther away than before. A code that
+into segments. A query first asks every segment for its own value, then for
+the values one bit farther away than before: one segment at a time, or all
+together where that takes few probes. A code that
 no segment met differs by more than its radius in each, so after every step the
 sum of (radius + 1) over the segments, less one, is a distance within which
 nothing is missing: once the k-th verified distance is that near, the query
@@ -24,6 +25,8 @@ from tidelog.llm.common import scope, stash
 
 #: What a probe costs, against comparing a code that it meets.
 PROBE = 4.0
+#: Segments grow together while their probes of one radius are at most this many.
+FEW = 512
 
 
 def code_of(vector: Column, bits: int) -> Column:
@@ -60,13 +63,13 @@ def cut(bits: int, parts: int) -> list[tuple[int, int]]:
 def steps(parts: list[tuple[int, int]]) -> Iterator[tuple[int, list[int], int]]:
     """(radius, segments that grow to it, distance within which nothing is missing then)."""
     sizes = [size for _, size in parts]
-    yield 0, list(range(len(parts))), len(parts) - 1
-    for radius in range(1, max(sizes) + 1):
-        for j, size in enumerate(sizes):
-            if radius <= size:
-                grown = [min(radius if i <= j else radius - 1, n) for i, n in enumerate(sizes)]
-                # a segment at its full size has shown all its values, and with it all codes
-                yield radius, [j], sum(sizes) if any(r == n for r, n in zip(grown, sizes, strict=True)) else sum(r + 1 for r in grown) - 1
+    for radius in range(max(sizes) + 1):
+        growing = [j for j, size in enumerate(sizes) if radius <= size]
+        together = sum(math.comb(sizes[j], radius) for j in growing) <= FEW
+        for turn in [growing] if together else [[j] for j in growing]:
+            grown = [min(radius if i <= turn[-1] else radius - 1, n) for i, n in enumerate(sizes)]
+            # a segment at its full size has shown all its values, and with it all codes
+            yield radius, turn, sum(sizes) if any(r == n for r, n in zip(grown, sizes, strict=True)) else sum(r + 1 for r in grown) - 1
 
 
 def segments(bits: int, codes: int, k: int = 10) -> list[tuple[int, int]]:
@@ -147,10 +150,13 @@ def _answers(rows: DataFrame, queries: DataFrame, k: int, bits: int, id_col: str
     open_queries = stash(asked.select(F.col("code").alias("query")).distinct().withColumn("worst", F.lit(bits)))
     held, done = None, []
     for radius, grown, reach in steps(parts):
-        probes = open_queries.select("query", "worst", dealt(F.col("query"), grown).alias("s")).select("query", "worst", "s.*")
-        if radius:
-            near = _probes(radius, parts[grown[0]][1], table.where(F.col("segment") == grown[0]).select("value").distinct())
-            probes = probes.select("query", "worst", "segment", F.explode(near).alias("value"))
+        own = open_queries.select("query", "worst", dealt(F.col("query"), grown).alias("s")).select("query", "worst", "s.*")
+        probes = own if not radius else None
+        for size in sorted({parts[j][1] for j in grown}) if radius else []:
+            alike = [j for j in grown if parts[j][1] == size]
+            near = _probes(radius, size, table.where(F.col("segment").isin(alike)).select("value").distinct())
+            more = own.where(F.col("segment").isin(alike)).select("query", "worst", "segment", F.explode(near).alias("value"))
+            probes = more if probes is None else probes.union(more)
         # the probes are many times their queries: never a side to broadcast
         own = table.where(F.col("segment").isin(grown))
         met = probes.hint("merge").join(own, (probes["segment"] == own["segment"]) & (probes["value"] == own["value"]) & (
