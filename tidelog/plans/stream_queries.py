@@ -20,10 +20,8 @@ BLOCK, DELAY = wq.BLOCK, wq.DELAY
 
 
 def impressions(spark, d) -> DataFrame:
-    """The event log as a stream of impressions."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    raw = jobs.file_stream(spark, d, "events.parquet", schema)
-    return logs.impressions(raw).withColumn("ts", F.col("ts").cast("timestamp"))
+    """The event log, one file or a folder of parts, as a stream of impressions in event order."""
+    return jobs.replay(logs.events_log(spark, d).select("row_id", "day", "sec", "click", "campaign", "cat1", "grp"))
 
 
 def frozen(spark, d) -> DataFrame:
@@ -34,12 +32,15 @@ def frozen(spark, d) -> DataFrame:
 
 def _z(spark, d) -> DataFrame:
     rows = frozen(spark, d)
-    return rows.select("row_id", "day", "sec", "click", F.round(sc.logit(F.col("expanding")), 12).alias("z"))
+    return rows.select("at", "row_id", "day", "sec", "click", F.round(sc.logit(F.col("expanding")), 12).alias("z"))
 
 
 @query("stream_scan", "S11", sql("SELECT row_id, day, sec, click, campaign FROM imp", IMP))
 def stream_scan(spark, d) -> DataFrame:
-    return jobs.drain(impressions(spark, d).select("row_id", "day", "sec", "click", "campaign"), "append")
+    """The raw files as they lie, in the order they came."""
+    path = f"{d}/events.parquet"
+    raw = jobs.file_stream(spark, path, spark.read.parquet(path).schema, files_per_trigger=64)
+    return jobs.drain(logs.impressions(raw).select("row_id", "day", "sec", "click", "campaign"), "append")
 
 
 @query("stream_block_tokens", "ST1", sql(f"""
@@ -47,7 +48,7 @@ SELECT day, block, count(*) AS n, round(avg(click), 6) AS mean_y, round(avg(q),
        round(avg({ll('click', 'q')}), 6) AS mean_loss FROM bq GROUP BY day, block""", *BASE, wq.q_cte()))
 def stream_block_tokens(spark, d) -> DataFrame:
     rows = frozen(spark, d).withColumn("q", F.col("expanding"))
-    out = jobs.drain(jobs.windowed_tokens(rows, BLOCK, "1 hour"), "update", ["day", "block"])
+    out = jobs.drain(jobs.windowed_tokens(rows, BLOCK), "update", ["day", "block"])
     return out.select("day", "block", "n", r6("mean_y"), r6("mean_q"), r6("mean_r"), r6("mean_loss"))
 
 
@@ -79,7 +80,7 @@ def stream_ons(spark, d) -> DataFrame:
 SELECT day, block, round(w0, 6) AS w0, round(w1, 6) AS w1, round(w2, 6) AS w2, CAST(n_updates AS INTEGER) AS n_updates
 FROM wpath WHERE cfg = 'anchored'""", *BASE, *wq.share_ctes(wq._ANCHOR_LOSS), recursive=True))
 def stream_fixed_share(spark, d) -> DataFrame:
-    rows = frozen(spark, d).select(F.lit("log").alias("stream"), "row_id", "day", "sec", "click",
+    rows = frozen(spark, d).select(F.lit("log").alias("stream"), "at", "row_id", "day", "sec", "click",
                                    *[F.col(e).alias(f"p{i}") for i, e in enumerate(wq.ANCHORS)])
     out = jobs.drain(jobs.share_blocks(rows, wq.SHARE_CONFIGS[0], BLOCK, DELAY), "append")
     return out.select("day", "block", r6("w0"), r6("w1"), r6("w2"), "n_updates")
@@ -90,5 +91,5 @@ SELECT day, count(*) AS n, CAST(sum(click) AS BIGINT) AS clicks, round(avg({ll('
        round(avg((expanding - click) * (expanding - click)), 6) AS brier FROM bank GROUP BY day""", *BASE))
 def stream_day_metrics(spark, d) -> DataFrame:
     rows = frozen(spark, d).withColumn("q", F.col("expanding"))
-    out = jobs.drain(jobs.windowed_day_metrics(rows, "1 hour"), "update", ["day"])
+    out = jobs.drain(jobs.windowed_day_metrics(rows), "update", ["day"])
     return out.select("day", "n", "clicks", r6("log_loss"), r6("brier"))

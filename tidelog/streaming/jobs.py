@@ -1,42 +1,112 @@
 """Structured Streaming versions of the within-day operators.
 
 Each job reads the log in arrival order and gives the batch operator's result.
-Micro-batches bound what one task sees (``maxFilesPerTrigger``); the state kept
-between them is a few numbers per key plus the labels that have not matured.
+A log may be one file or a folder of any number of parts; ``replay`` lays it out
+in event order, one slice per micro-batch. Rows are first summed up by block in
+a windowed aggregation, which closes a block once the watermark has passed it;
+what the keyed state then sees are a block's sums, not its rows. State is kept
+in typed variables: a value for the parameters, a list for the labels that have
+not matured. A day's state is cleared by a timer once the day is over. Rows
+behind the watermark are dropped and counted (``Drained.late``).
 """
 
 from __future__ import annotations
 
-import json
+import math
+import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from tidelog.functions import scoring as sc
 from tidelog.functions import timeaxis as ta
 from tidelog.operators import calibrate as ca
 from tidelog.session import ensure_checkpoint_dir
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def file_stream(spark: SparkSession, folder: str, file_glob: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-            .option("pathGlobFilter", file_glob).parquet(folder))
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
-def drain(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """Run a stream over all available input and return its result table.
+
+def _scratch(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/streams/{uuid.uuid4().hex}"
+
+
+def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
+    """Parquet as a stream: one file, or all files below a folder, oldest first."""
+    fs, at = _file_system(spark, path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if fs.getFileStatus(at).isDirectory():
+        return reader.option("recursiveFileLookup", "true").parquet(path)
+    return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+
+
+def event_time(day: Column, sec: Column) -> Column:
+    return F.timestamp_seconds(day.cast("long") * ta.SECONDS_PER_DAY + sec)
+
+
+def replay(log: DataFrame, slices: int | None = None, files_per_trigger: int = 1, lateness: str = "1 second",
+           in_order: bool = True) -> DataFrame:
+    """A finite log (row_id, day, sec, ...) as a stream with the event time ``at`` and its watermark.
+
+    The log is written in slices by range of (day, sec, row_id); modification
+    times follow the slices, so micro-batches come in event order however the
+    log was partitioned. A last file holds one row two days after the end: it
+    moves the watermark past all real rows, and its own block never closes.
+    With ``in_order`` false the slices arrive in reverse, as a late log would.
+    """
+    spark = log.sparkSession
+    folder = f"{_scratch(spark)}/log"
+    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["day", "sec", "row_id"]
+    log.repartitionByRange(n, *order).sortWithinPartitions(*order).write.parquet(folder)
+    written = spark.read.schema(log.schema).parquet(folder)
+    last = written.agg(F.max("day")).first()[0]
+    fs, at = _file_system(spark, folder)
+    files = sorted((f.getPath() for f in fs.listStatus(at) if f.getPath().getName().endswith(".parquet")), key=lambda p: p.getName())
+    if not in_order:
+        files.reverse()
+    if last is not None:
+        beat = written.where(F.col("day") == last).limit(1).withColumn("day", (F.col("day") + 2).cast(log.schema["day"].dataType))
+        beat.coalesce(1).write.mode("append").parquet(folder)
+        known = {p.getName() for p in files}
+        files += [f.getPath() for f in fs.listStatus(at) if f.getPath().getName().endswith(".parquet") and f.getPath().getName() not in known]
+    start = int(time.time() * 1000) - 1000 * (len(files) + 1)
+    for i, path in enumerate(files):
+        fs.setTimes(path, start + 1000 * i, -1)
+    rows = file_stream(spark, folder, log.schema, files_per_trigger)
+    return rows.withColumn("at", event_time(F.col("day"), F.col("sec"))).withWatermark("at", lateness)
+
+
+@dataclass
+class Drained:
+    """What a drained stream reports: its micro-batches, the rows dropped behind the watermark, the state rows left."""
+
+    batches: int = 0
+    late: int = 0
+    state_rows: int = 0
+
+
+def drain(stream: DataFrame, mode: str, keys: list[str] | None = None, report: Drained | None = None) -> DataFrame:
+    """Run a stream over all available input and return its result table; no input gives an empty one.
 
     Every micro-batch is written under its own id, so a retried batch overwrites
     itself; with ``keys`` the newest row of each key counts.
     """
     spark = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/streams/{uuid.uuid4().hex}"
+    base = _scratch(spark)
+    schema = stream.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
@@ -44,172 +114,285 @@ def drain(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFr
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state")
              .trigger(availableNow=True).foreachBatch(write).start())
     query.awaitTermination()
-    table = spark.read.parquet(f"{base}/out")
+    if report is not None:
+        progress = query.recentProgress
+        report.batches = len(progress)
+        report.late = sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+        report.state_rows = sum(op["numRowsTotal"] for op in progress[-1]["stateOperators"]) if progress else 0
+    fs, at = _file_system(spark, f"{base}/out")
+    if not fs.exists(at):
+        return spark.createDataFrame([], schema)
+    table = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{base}/out")
     if keys is None:
         return table.drop("batch")
     newest = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
     return table.withColumn("_r", F.row_number().over(newest)).filter("_r = 1").drop("_r", "batch")
 
 
-def windowed_tokens(rows: DataFrame, block_sec: int, lateness: str) -> DataFrame:
-    """Scalar token fields per tumbling block: rows (ts, day, click, q) -> (day, block, ...)."""
+def _window(block_sec: int) -> Column:
+    if ta.SECONDS_PER_DAY % block_sec:
+        raise ValueError(f"blocks of {block_sec} seconds do not divide the day")
+    return F.window("at", f"{block_sec} seconds")
+
+
+def windowed_tokens(rows: DataFrame, block_sec: int) -> DataFrame:
+    """Scalar token fields per tumbling block: rows (at, day, click, q) -> (day, block, ...)."""
     q, y = sc.clip(F.col("q"), sc.LOGIT_CLIP), F.col("click")
-    blocks = rows.withWatermark("ts", lateness).groupBy(F.window("ts", f"{block_sec} seconds"), "day")
+    blocks = rows.groupBy(_window(block_sec), "day")
     out = blocks.agg(F.count("*").alias("n"), F.avg(y).alias("mean_y"), F.avg(q).alias("mean_q"),
                      F.avg(y - q).alias("mean_r"), F.avg(sc.log_loss(y, q)).alias("mean_loss"))
     return out.select("day", ta.block_of(ta.sec_in_day(F.col("window.start")), block_sec).alias("block"),
                       "n", "mean_y", "mean_q", "mean_r", "mean_loss")
 
 
-def windowed_day_metrics(rows: DataFrame, lateness: str) -> DataFrame:
-    days = rows.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day"), "day")
+def windowed_day_metrics(rows: DataFrame) -> DataFrame:
+    days = rows.groupBy(F.window("at", "1 day"), "day")
     y, p = F.col("click"), F.col("q")
     return days.agg(F.count("*").alias("n"), F.sum("click").alias("clicks"), F.avg(sc.log_loss(y, p)).alias("log_loss"),
                     F.avg((p - y) * (p - y)).alias("brier")).drop("window")
 
 
-def _stateful(rows: DataFrame, key: str, out_schema: str, step: Callable[[object, pd.DataFrame, dict | None],
-                                                                        tuple[list[tuple], dict]]) -> DataFrame:
-    """Keyed fold over micro-batches; the state is one JSON document per key."""
-    names = [c.split()[0] for c in out_schema.split(", ")]
+def _closed_blocks(rows: DataFrame, keys: list[str], block_sec: int, sums: list[Column], by: list[Column] | None = None) -> DataFrame:
+    """A block's sums per key, once the watermark has closed it; ``closed`` carries the event time on."""
+    block = ta.block_of(F.col("sec"), block_sec).alias("block")
+    return rows.groupBy(_window(block_sec), *keys, block, *(by or [])).agg(*sums).withColumn(
+        "closed", F.window_time("window")).drop("window")
+
 
-    def run(key_value, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
+def _keyed(rows: DataFrame, key: str, processor: StatefulProcessor, out_schema: str) -> DataFrame:
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return rows.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=out_schema, outputMode="Append", timeMode="EventTime")
+
+
+class _Blocks(StatefulProcessor):
+    """What the block processors share: a value, a list of waiting sums, blocks handed on in order."""
+
+    out: list[str]
+    value: str
+    waiting: str
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.params = handle.getValueState("params", self.value)
+        self.queue = handle.getListState("queue", self.waiting)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts = [p for p in rows if len(p)]
         if not parts:
             return
-        pdf = pd.concat(parts).sort_values(["day", "sec", "row_id"])
-        before = json.loads(state.get[0]) if state.exists else None
-        out, after = step(key_value[0], pdf, before)
-        state.update((json.dumps(after),))
+        pdf = pd.concat(parts)
+        state = tuple(self.params.get()) if self.params.exists() else None
+        queue = [tuple(w) for w in self.queue.get()] if self.queue.exists() else []
+        out: list[tuple] = []
+        for (day, block), own in pdf.groupby(["day", "block"], sort=True):
+            state, queue = self.block(key[0], int(day), int(block), own, state, queue, out)
+        self.params.update(state)
+        if queue:
+            self.queue.put(queue)
+        else:
+            self.queue.clear()
+        self.arm(key[0], timerValues)
         if out:
-            yield pd.DataFrame(out, columns=names)
-
-    return rows.groupBy(key).applyInPandasWithState(run, out_schema, "doc string", "append", GroupStateTimeout.NoTimeout)
+            yield pd.DataFrame(out, columns=self.out)
+
+    def arm(self, key, timerValues) -> None:
+        """Set the timer that ends this key's state, if it ends."""
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.params.clear()
+        self.queue.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _OpsBlocks(_Blocks):
+    out = ["day", "block", "a", "b", "step"]
+    value = "a double, b double, step int, block int"
+    waiting = "upd int, z double, n double, clicks double"
+
+    def __init__(self, config: ca.OpsConfig):
+        self.config = config
+
+    def block(self, key, day, block, own, state, queue, out):
+        a, b, step, at = state or (1.0, 0.0, 0, -1)
+        c = self.config
+        ripe = [w for w in queue if w[0] <= at] if at >= 0 else []
+        if ripe:
+            queue = [w for w in queue if w[0] > at]
+            _, z, n, k = (np.array(x, dtype=float) for x in zip(*ripe, strict=True))
+            step += 1
+            eta = c.eta0 / math.sqrt(step) if c.decay_steps else c.eta0
+            resid = n / (1.0 + np.exp(-np.clip(a * z + b, -30, 30))) - k
+            db, da = resid.sum() / n.sum(), (resid * z).sum() / n.sum()
+            b = float(np.clip(b - eta * db, -c.radius, c.radius))
+            if c.platt:
+                a = float(np.clip(a - eta * da, c.slope_lo, c.slope_hi))
+        out.append((day, block, a, b, step))
+        queue = queue + [(int(u), float(z), float(n), float(k)) for u, z, n, k in own[["upd", "z", "n", "clicks"]].itertuples(index=False)]
+        return (a, b, step, block), queue
+
+    def arm(self, key, timerValues) -> None:
+        end = (int(key) + 1) * ta.SECONDS_PER_DAY * 1000
+        self.handle.registerTimer(max(end, timerValues.getCurrentWatermarkInMs() + 1))
 
 
 def ops_blocks(rows: DataFrame, config: ca.OpsConfig, block_sec: int, delay_sec: int) -> DataFrame:
-    """Block calibration, one key per day: emits the state used in each block when its first row arrives.
+    """Block calibration, one key per day: emits the state used in each block when the block closes.
 
-    ``rows``: (row_id, day, sec, click, z).
+    ``rows``: (at, row_id, day, sec, click, z). A day's state goes at its midnight.
     """
-    def step(day, pdf, before):
-        s = before or {"a": 1.0, "b": 0.0, "step": 0, "block": -1, "wait": []}
-        out = []
-        pdf = pdf.assign(block=np.minimum(pdf["sec"] // block_sec, ta.blocks_per_day(block_sec) - 1),
-                         upd=-(-(pdf["sec"] + delay_sec) // block_sec) - 1)
-        for block, rows_ in pdf.groupby("block", sort=True):
-            if block > s["block"]:
-                if s["block"] >= 0:
-                    new = [w for w in s["wait"] if w[0] <= s["block"]]
-                    s["wait"] = [w for w in s["wait"] if w[0] > s["block"]]
-                    if new:
-                        z, y = np.array([w[1] for w in new]), np.array([w[2] for w in new])
-                        s["step"] += 1
-                        eta = config.eta0 / np.sqrt(s["step"]) if config.decay_steps else config.eta0
-                        resid = 1.0 / (1.0 + np.exp(-np.clip(s["a"] * z + s["b"], -30, 30))) - y
-                        s["b"] = float(np.clip(s["b"] - eta * resid.mean(), -config.radius, config.radius))
-                        if config.platt:
-                            s["a"] = float(np.clip(s["a"] - eta * (resid * z).mean(), config.slope_lo, config.slope_hi))
-                s["block"] = int(block)
-                out.append((int(day), int(block), s["a"], s["b"], s["step"]))
-            s["wait"] += [[int(u), float(z), int(y)] for u, z, y in zip(rows_["upd"], rows_["z"], rows_["click"])]
-        return out, s
-
-    return _stateful(rows, "day", "day int, block int, a double, b double, step int", step)
-
-
-def ops_events(rows: DataFrame, config: ca.OpsConfig, delay_sec: int) -> DataFrame:
-    """One update per matured label: emits every row's prediction. ``rows``: (row_id, day, sec, click, z)."""
-    def step(day, pdf, before):
-        s = before or {"a": 1.0, "b": 0.0, "step": 0, "wait": []}
-        out, wait, head = [], s["wait"], 0
-        for row, sec, y, z in zip(pdf["row_id"], pdf["sec"], pdf["click"], pdf["z"]):
+    upd = ta.update_block(F.col("sec"), block_sec, delay_sec).alias("upd")
+    sums = [F.count("*").cast("double").alias("n"), F.sum("click").cast("double").alias("clicks")]
+    cells = _closed_blocks(rows, ["day"], block_sec, sums, [upd, F.col("z")])
+    # a second copy of the day stays among the values, the first is the key
+    return _keyed(cells.withColumn("key_day", F.col("day")), "key_day", _OpsBlocks(config),
+                  "day int, block int, a double, b double, step int")
+
+
+class _OpsEvents(StatefulProcessor):
+    """Rows wait until the watermark has passed them, labels until they are mature."""
+
+    def __init__(self, config: ca.OpsConfig, delay_sec: int):
+        self.config, self.delay = config, delay_sec
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.params = handle.getValueState("params", "a double, b double, step int")
+        self.rows = handle.getListState("rows", "sec int, row_id long, click int, z double")
+        self.labels = handle.getListState("labels", "ready int, z double, click int")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            if len(pdf):
+                self.rows.appendList([(int(s), int(r), int(y), float(z)) for s, r, y, z in pdf[
+                    ["sec", "row_id", "click", "z"]].itertuples(index=False)])
+                last = (int(key[0]) * ta.SECONDS_PER_DAY + int(pdf["sec"].max())) * 1000
+                self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs() + 1))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        c, passed = self.config, timerValues.getCurrentWatermarkInMs() / 1000 - int(key[0]) * ta.SECONDS_PER_DAY
+        every = sorted(tuple(r) for r in self.rows.get()) if self.rows.exists() else []
+        due = [r for r in every if r[0] <= passed]
+        a, b, step = self.params.get() if self.params.exists() else (1.0, 0.0, 0)
+        wait = [tuple(w) for w in self.labels.get()] if self.labels.exists() else []
+        out, head = [], 0
+        for sec, row, y, z in due:
             while head < len(wait) and wait[head][0] <= sec:
                 _, wz, wy = wait[head]
                 head += 1
-                s["step"] += 1
-                eta = config.eta0 / np.sqrt(s["step"]) if config.decay_steps else config.eta0
-                resid = 1.0 / (1.0 + np.exp(-np.clip(s["a"] * wz + s["b"], -30, 30))) - wy
-                s["b"] = float(np.clip(s["b"] - eta * resid, -config.radius, config.radius))
-                if config.platt:
-                    s["a"] = float(np.clip(s["a"] - eta * resid * wz, config.slope_lo, config.slope_hi))
-            out.append((int(row), int(day), float(1.0 / (1.0 + np.exp(-np.clip(s["a"] * z + s["b"], -30, 30))))))
-            wait.append([int(sec) + delay_sec, float(z), int(y)])
-        s["wait"] = wait[head:]
-        return out, s
+                step += 1
+                eta = c.eta0 / math.sqrt(step) if c.decay_steps else c.eta0
+                resid = 1.0 / (1.0 + math.exp(-min(30.0, max(-30.0, a * wz + b)))) - wy
+                b = min(c.radius, max(-c.radius, b - eta * resid))
+                if c.platt:
+                    a = min(c.slope_hi, max(c.slope_lo, a - eta * resid * wz))
+            out.append((row, int(key[0]), 1.0 / (1.0 + math.exp(-min(30.0, max(-30.0, a * z + b))))))
+            wait.append((sec + self.delay, z, y))
+        over = passed >= ta.SECONDS_PER_DAY
+        for state, left in ((self.rows, every[len(due):]), (self.labels, wait[head:])):
+            if over or not left:
+                state.clear()
+            else:
+                state.put(left)
+        if over:
+            self.params.clear()
+        else:
+            self.params.update((a, b, step))
+            if due and len(due) == len(every):  # nothing waits for another timer: the day's end is the next
+                self.handle.registerTimer(max((int(key[0]) + 1) * ta.SECONDS_PER_DAY * 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["row_id", "day", "p"])
 
-    return _stateful(rows, "day", "row_id long, day int, p double", step)
+    def close(self) -> None:
+        pass
 
 
-def _block_stream(pdf: pd.DataFrame, block_sec: int) -> pd.DataFrame:
-    return pdf.assign(block=np.minimum(pdf["sec"] // block_sec, ta.blocks_per_day(block_sec) - 1))
+def ops_events(rows: DataFrame, config: ca.OpsConfig, delay_sec: int) -> DataFrame:
+    """One update per matured label: emits every row's prediction. ``rows``: (at, row_id, day, sec, click, z).
+
+    Rows are taken in event order once the watermark has passed them, whatever order they came in.
+    """
+    return _keyed(rows.select("at", "day", "sec", "row_id", "click", "z"), "day", _OpsEvents(config, delay_sec),
+                  "row_id long, day int, p double")
+
+
+class _OnsBlocks(_Blocks):
+    out = ["stream", "day", "block", "a", "b", "step"]
+    value = "a double, b double, a00 double, a01 double, a11 double, step int, day int, block int"
+    waiting = "ready long, z double, n double, clicks double"
+
+    def __init__(self, config: ca.OnsConfig, block_sec: int, delay_sec: int):
+        self.config, self.block_sec, self.delay = config, block_sec, delay_sec
+
+    def block(self, key, day, block, own, state, queue, out):
+        c = self.config
+        fresh = (1.0, 0.0, c.ridge, 0.0, c.ridge, 0)
+        a, b, a00, a01, a11, step = state[:6] if state else fresh
+        midnight = day * ta.SECONDS_PER_DAY
+        start = midnight + block * self.block_sec
+        reset = c.reset_daily and state is not None and state[6] < day
+        ripe = [w for w in queue if w[0] <= start]
+        for ready in sorted({w[0] for w in ripe}):
+            if reset and ready > midnight:
+                a, b, a00, a01, a11, step = fresh
+                reset = False
+            z, n, k = (np.array(x) for x in list(zip(*[w for w in ripe if w[0] == ready], strict=True))[1:])
+            theta = np.array([a, b])
+            sums = ca.ons_sums(theta, z, n, k, c)
+            theta, curve, _ = ca.ons_step(theta, np.array([[a00, a01], [a01, a11]]), sums, c, self.block_sec)
+            (a, b), (a00, a01, a11), step = map(float, theta), map(float, (curve[0, 0], curve[0, 1], curve[1, 1])), step + 1
+        if reset:
+            a, b, a00, a01, a11, step = fresh
+        out.append((str(key), day, block, a, b, step))
+        queue = [w for w in queue if w[0] > start] + [
+            (start + self.block_sec + self.delay, float(z), float(n), float(k)) for z, n, k in own[["z", "n", "clicks"]].itertuples(index=False)]
+        return (a, b, a00, a01, a11, step, day, block), queue
 
 
 def ons_blocks(rows: DataFrame, config: ca.OnsConfig, block_sec: int, delay_sec: int) -> DataFrame:
     """Newton calibration carried across days, one key per stream: emits the state used in each block.
 
-    ``rows``: (stream, row_id, day, sec, click, z). Waiting blocks are kept as (z, n, clicks) lists.
+    ``rows``: (at, stream, row_id, day, sec, click, z). The keyed state reads one
+    row for each block and distinct z; labels wait as such rows until mature.
     """
-    def step(stream, pdf, before):
-        s = before or {"theta": [1.0, 0.0], "A": [[config.ridge, 0.0], [0.0, config.ridge]], "step": 0,
-                       "at": None, "wait": []}
-        out = []
-        for (day, block), rows_ in _block_stream(pdf, block_sec).groupby(["day", "block"], sort=True):
-            now = [int(day), int(block)]
-            if s["at"] is None or now > s["at"]:
-                start = now[0] * ta.SECONDS_PER_DAY + now[1] * block_sec
-                reset = config.reset_daily and s["at"] is not None and s["at"][0] < now[0]
-                midnight = now[0] * ta.SECONDS_PER_DAY
-                while s["wait"] and s["wait"][0][0] <= start:
-                    if reset and s["wait"][0][0] > midnight:
-                        s.update(theta=[1.0, 0.0], A=[[config.ridge, 0.0], [0.0, config.ridge]], step=0)
-                        reset = False
-                    _, z, n, k = s["wait"].pop(0)
-                    sums = ca.ons_sums(np.array(s["theta"]), np.array(z), np.array(n), np.array(k), config)
-                    theta, curve, _ = ca.ons_step(np.array(s["theta"]), np.array(s["A"]), sums, config, block_sec)
-                    s.update(theta=theta.tolist(), A=curve.tolist(), step=s["step"] + 1)
-                if reset:
-                    s.update(theta=[1.0, 0.0], A=[[config.ridge, 0.0], [0.0, config.ridge]], step=0)
-                s["at"] = now
-                s["wait"].append([start + block_sec + delay_sec, [], [], []])
-                out.append((str(stream), *now, *s["theta"], s["step"]))
-            counted = rows_.groupby("z")["click"].agg(["size", "sum"])
-            s["wait"][-1][1] += [float(v) for v in counted.index]
-            s["wait"][-1][2] += [float(v) for v in counted["size"]]
-            s["wait"][-1][3] += [float(v) for v in counted["sum"]]
-        return out, s
-
-    return _stateful(rows, "stream", "stream string, day int, block int, a double, b double, step int", step)
+    sums = [F.count("*").cast("double").alias("n"), F.sum("click").cast("double").alias("clicks")]
+    cells = _closed_blocks(rows, ["stream", "day"], block_sec, sums, [F.col("z")])
+    return _keyed(cells, "stream", _OnsBlocks(config, block_sec, delay_sec),
+                  "stream string, day int, block int, a double, b double, step int")
+
+
+class _ShareBlocks(_Blocks):
+    out = ["stream", "day", "block", "w0", "w1", "w2", "n_updates"]
+    value = "w0 double, w1 double, w2 double, n int"
+    waiting = "ready long, n double, l0 double, l1 double, l2 double"
+
+    def __init__(self, config: ca.ShareConfig, block_sec: int, delay_sec: int):
+        self.config, self.block_sec, self.delay = config, block_sec, delay_sec
+
+    def block(self, key, day, block, own, state, queue, out):
+        prior = np.array(self.config.prior())
+        rate = sc.share_rate(self.block_sec, self.config.half_life_h * 3600.0)
+        *w, n = state or (*prior.tolist(), 0)
+        start = day * ta.SECONDS_PER_DAY + block * self.block_sec
+        for _, rows, *losses in sorted(q for q in queue if q[0] <= start):
+            w = ca.share_step(np.array(w), np.array(losses) / rows, prior, self.config.eta, rate).tolist()
+            n += 1
+        out.append((str(key), day, block, *w, n))
+        sums = own[["n", "l0", "l1", "l2"]].sum()
+        queue = [q for q in queue if q[0] > start] + [(start + self.block_sec + self.delay, *map(float, sums))]
+        return (*w, n), queue
 
 
 def share_blocks(rows: DataFrame, config: ca.ShareConfig, block_sec: int, delay_sec: int) -> DataFrame:
     """Delayed fixed share over three predictions, one key per stream: emits the weights used in each block.
 
-    ``rows``: (stream, row_id, day, sec, click, p0, p1, p2).
+    ``rows``: (at, stream, row_id, day, sec, click, p0, p1, p2). The keyed state reads one row a block.
     """
-    prior = np.array(config.prior())
-    rate = sc.share_rate(block_sec, config.half_life_h * 3600.0)
-
-    def step(stream, pdf, before):
-        s = before or {"w": prior.tolist(), "n": 0, "at": None, "wait": []}
-        out = []
-        for (day, block), rows_ in _block_stream(pdf, block_sec).groupby(["day", "block"], sort=True):
-            now = [int(day), int(block)]
-            if s["at"] is None or now > s["at"]:
-                start = now[0] * ta.SECONDS_PER_DAY + now[1] * block_sec
-                while s["wait"] and s["wait"][0][0] <= start:
-                    _, n, sums = s["wait"].pop(0)
-                    s["w"] = ca.share_step(np.array(s["w"]), np.array(sums) / n, prior, config.eta, rate).tolist()
-                    s["n"] += 1
-                s["at"] = now
-                s["wait"].append([start + block_sec + delay_sec, 0, [0.0, 0.0, 0.0]])
-                out.append((str(stream), *now, *s["w"], s["n"]))
-            y = rows_["click"].to_numpy()
-            p = np.clip(rows_[["p0", "p1", "p2"]].to_numpy(), sc.LOSS_CLIP, 1 - sc.LOSS_CLIP)
-            loss = -(y[:, None] * np.log(p) + (1 - y[:, None]) * np.log(1 - p)).sum(axis=0)
-            s["wait"][-1][1] += len(rows_)
-            s["wait"][-1][2] = [a + float(b) for a, b in zip(s["wait"][-1][2], loss)]
-        return out, s
-
-    schema = "stream string, day int, block int, w0 double, w1 double, w2 double, n_updates int"
-    return _stateful(rows, "stream", schema, step)
+    sums = [F.count("*").cast("double").alias("n"), *[
+        F.sum(sc.log_loss(F.col("click"), F.col(f"p{i}"))).alias(f"l{i}") for i in range(3)]]
+    return _keyed(_closed_blocks(rows, ["stream", "day"], block_sec, sums), "stream", _ShareBlocks(config, block_sec, delay_sec),
+                  "stream string, day int, block int, w0 double, w1 double, w2 double, n_updates int")
