@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,6 +11,7 @@ from tidelog.operators import online as on
 from tidelog.operators import features as fe
 from tidelog.operators import history as hi
 from tidelog.operators import learners as le
+from tidelog.operators import logistic as lo
 from tidelog.sources import logs, sinks
 
 
@@ -22,14 +25,63 @@ def tallies(spark):
     return le.feature_tallies(spark.createDataFrame(pdf), ["c", "g"], ["early"])
 
 
-def test_task_fit_equals_distributed_fit(spark, tallies, monkeypatch):
-    bounds = spark.createDataFrame([(4, 0, 4), (3, 2, 3)], "day int, lo int, hi int")
-    small = le.fit_bank(tallies, bounds, ["c", "g"], alpha=1e-2).toPandas()
-    monkeypatch.setattr(le, "ONE_TASK_ROWS", 0)
-    large = le.fit_bank(tallies, bounds, ["c", "g"], alpha=1e-2, width=2 ** 10).toPandas()
-    both = small.merge(large, on=["day", "lo", "hi", "c", "g"])
-    assert len(both) == len(small) == len(large)
-    assert np.allclose(both["p_x"], both["p_y"], atol=1e-3) and (both["n_train_x"] == both["n_train_y"]).all()
+def newton(x, n, k, weight, alpha):
+    """Dense second-order fit of the objective; the last column of x is the intercept."""
+    total, ridge = (n * weight).sum(), alpha * n[weight > 0].sum() / (n * weight).sum() * np.eye(x.shape[1])
+    ridge[-1, -1] = 0
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        curve = (x.T * (weight * n * p * (1 - p))) @ x / total + ridge
+        w = w - np.linalg.solve(curve + 1e-12 * np.eye(len(w)), x.T @ (weight * (n * p - k)) / total + ridge @ w)
+    return w
+
+
+def dense(pdf, columns):
+    return np.hstack([*[pd.get_dummies(pdf[c]).reindex(columns=sorted(pdf[c].unique())).to_numpy(float) for c in columns], np.ones((len(pdf), 1))])
+
+
+@pytest.mark.parametrize("group", [4_000_000, 1])
+def test_all_windows_at_once_equal_dense_fits(spark, tallies, monkeypatch, group):
+    """Windows, decayed rules and the width of a group change nothing: every fit is the optimum of its own objective."""
+    monkeypatch.setattr(lo, "GROUP_VALUES", group)
+    pdf = tallies.toPandas()
+    x, n, k = dense(pdf, ["c", "g"]), pdf["n"].to_numpy(float), pdf["clicks"].to_numpy(float)
+
+    def want(day, weight, alpha):
+        w = newton(x, n, k, weight, alpha)
+        test = (pdf["day"] == day).to_numpy()
+        return {(c, g): p for c, g, p in zip(pdf["c"][test], pdf["g"][test], 1 / (1 + np.exp(-x[test] @ w)), strict=True)}
+
+    bounds = spark.createDataFrame([(4, 0, 4), (3, 2, 3), (4, 3, 4)], "day int, lo int, hi int")
+    got = le.fit_bank(tallies, bounds, ["c", "g"], alpha=1e-2).toPandas()
+    for day, low, high in [(4, 0, 4), (3, 2, 3), (4, 3, 4)]:
+        past = ((pdf["day"] >= low) & (pdf["day"] < high)).to_numpy(float)
+        mine = got[(got["day"] == day) & (got["lo"] == low)]
+        assert len(mine) == 6 and (mine["n_train"] == (n * past).sum()).all()
+        for (c, g), p in want(day, past, 1e-2).items():
+            assert abs(mine[(mine["c"] == c) & (mine["g"] == g)]["p"].iloc[0] - p) < 1e-4
+    ruled = le.fit_rules(tallies, [2, 4], {"w2": (2, None), "d1": (None, 1.0)}, ["c", "g"]).toPandas()
+    for day in (2, 4):
+        age = day - pdf["day"].to_numpy()
+        for name, weight in (("w2", ((age > 0) & (age <= 2)).astype(float)), ("d1", np.where(age > 0, 0.5 ** age, 0.0))):
+            mine = ruled[(ruled["day"] == day) & (ruled["rule"] == name)]
+            for (c, g), p in want(day, weight, le.ALPHA).items():
+                assert abs(mine[(mine["c"] == c) & (mine["g"] == g)]["p"].iloc[0] - p) < 1e-4
+
+
+def test_wide_hashes_with_many_values(spark):
+    """More distinct values than a piece of sums holds, hashed at 2^18, against a dense fit."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"day": rng.integers(0, 2, 3000), "c": [f"v{i}" for i in rng.integers(0, 700, 3000)], "click": rng.integers(0, 2, 3000)})
+    t = le.feature_tallies(spark.createDataFrame(pdf), ["c"])
+    got = le.fit_bank(t, spark.createDataFrame([(1, 0, 1)], "day int, lo int, hi int"), ["c"], alpha=1e-3).toPandas()
+    rows = t.toPandas()
+    rows["at"] = [int(hashlib.md5(f"c={v}".encode()).hexdigest()[17:], 16) % 2 ** 18 for v in rows["c"]]  # a few values share a position
+    x, n, k = dense(rows, ["at"]), rows["n"].to_numpy(float), rows["clicks"].to_numpy(float)
+    w = newton(x, n, k, (rows["day"] == 0).to_numpy(float), 1e-3)
+    want = dict(zip(rows["c"], 1 / (1 + np.exp(-x @ w)), strict=True))
+    assert len(got) == (rows["day"] == 1).sum() and max(abs(p - want[c]) for c, p in zip(got["c"], got["p"], strict=True)) < 1e-4
 
 
 def test_no_fit_on_one_class_or_empty_history(spark):
@@ -39,17 +91,42 @@ def test_no_fit_on_one_class_or_empty_history(spark):
     assert {r["day"] for r in le.fit_bank(t, bounds, ["c"]).collect()} == {2}
     prior = {r["day"]: r["p"] for r in le.fit_bank(t, bounds, ["c"], matured=True, prior_fallback=True).collect()}
     assert prior[0] == 0.5 and prior[1] == 0.0
-    assert le.fit_window(t, 1, 0, ["c"]) is None
-
+    ruled = {r["day"]: r["p"] for r in le.fit_rules(t, [0, 1, 2], {"all": (None, None)}, ["c"]).collect()}
+    assert ruled[0] is None and ruled[1] is None and abs(ruled[2] - 2 / 9) < 1e-4
+    assert le.fit_bank(t.limit(0), bounds, ["c"]).collect() == []
 
-def test_golden_section_finds_a_minimum():
-    assert abs(le.golden_section(lambda x: (x - 0.7) ** 2, 0.0, 3.0, 20) - 0.7) < 1e-3
 
-
-def test_forgetting_fit_needs_history(tallies):
-    assert le.fit_forgetting(tallies, 4, ["c", "g"]) is None
-    eta, scored = le.fit_forgetting(tallies, 4, ["c", "g"], val_window=2, evaluations=3, width=2 ** 8)
-    assert 0.0 <= eta <= 3.0 and scored.filter("p IS NULL").count() == 0
+def test_matured_windows_leave_out_the_tail(spark):
+    rows = [(0, "a", True, 10, 5), (0, "a", False, 10, 0), (1, "a", True, 10, 9), (1, "a", False, 10, 1), (2, "a", True, 4, 1)]
+    t = spark.createDataFrame(rows, "day int, c string, early boolean, n long, clicks long")
+    bounds = spark.createDataFrame([(2, 0, 2)], "day int, lo int, hi int")
+    r = le.fit_bank(t, bounds, ["c"], matured=True).first()
+    assert r["n_train"] == 30 and abs(r["p"] - 14 / 30) < 1e-4
+
+
+def test_golden_sections_find_all_minima():
+    at = np.array([0.7, 2.2, 0.0])
+    got = le.golden_sections(lambda x: (x - at) ** 2, np.zeros(3), np.full(3, 3.0), 22)
+    assert np.abs(got - at).max() < 1e-3
+
+
+def test_forgetting_for_every_day(tallies):
+    """A row for each day, nulls where history is short; the rate found beats a grid on the held-out days."""
+    table, scored = le.fit_forgetting(tallies, [0, 1, 4], ["c", "g"], val_window=2, evaluations=10)
+    rows = {r["t"]: r for r in table.collect()}
+    assert set(rows) == {0, 1, 4} and rows[0]["eta"] is None and rows[1]["eta"] is None and 0 <= rows[4]["eta"] <= 3
+    assert {r["t"] for r in scored.collect()} == {4} and scored.filter("p IS NULL").count() == 0
+    pdf = tallies.toPandas()
+    x, n, k = dense(pdf, ["c", "g"]), pdf["n"].to_numpy(float), pdf["clicks"].to_numpy(float)
+    day = pdf["day"].to_numpy()
+
+    def loss(eta):
+        w = newton(x, n, k, np.where(day < 2, np.exp(-eta * (4 - day)), 0.0), le.ALPHA)
+        held = (day >= 2) & (day < 4)
+        p = 1 / (1 + np.exp(-x[held] @ w))
+        return -(k[held] * np.log(p) + (n - k)[held] * np.log(1 - p)).sum() / n[held].sum()
+
+    assert loss(rows[4]["eta"]) <= min(map(loss, np.linspace(0, 3, 13))) + 2e-4  # the loss is not quite unimodal
 
 
 def test_rate_bank_windows_by_hand(spark):

@@ -1,30 +1,24 @@
 """Click models fitted on history windows.
 
-The objective is the weighted mean log loss plus alpha/2 * ||w||^2 without the
-intercept. Impressions with equal features are one tally row with a weight, so
-a fit reads counts, not the log.
+Every rule is a weight for each day of the log, and all windows of all days are
+fitted together (``logistic``), at any size. Impressions with equal features are
+one tally row with a weight, so a fit reads counts, not the log.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import math
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions import scoring as sc
-from tidelog.operators.features import HASH_WIDTH, hashed_vector
+from tidelog.operators import logistic as lo
+from tidelog.operators.features import HASH_WIDTH
 from tidelog.operators.history import ETA_BOUNDS
-from tidelog.session import settle
 
-ALPHA = 1e-4
-# Windows up to this many tally rows are fitted inside one task each; larger ones by MLlib.
-ONE_TASK_ROWS = 100_000
+ALPHA = lo.ALPHA
 
 
 def feature_tallies(log: DataFrame, columns: list[str], extra: list[str] | None = None) -> DataFrame:
@@ -33,192 +27,117 @@ def feature_tallies(log: DataFrame, columns: list[str], extra: list[str] | None
     return log.groupBy("day", *cast, *(extra or [])).agg(F.count("*").alias("n"), F.sum("click").alias("clicks"))
 
 
-def labelled(tallies: DataFrame, weight: Column) -> DataFrame:
-    """Tally rows as two weighted examples (label 1 and 0)."""
-    pair = F.array(F.struct(F.lit(1.0).alias("label"), (F.col("clicks") * weight).alias("weight")),
-                   F.struct(F.lit(0.0).alias("label"), ((F.col("n") - F.col("clicks")) * weight).alias("weight")))
-    return tallies.select("*", F.inline(pair)).filter("weight > 0")
+def window_weights(ex: lo.Examples, windows: list[tuple[int, int]], matured: bool = False) -> np.ndarray:
+    """(days, 2, fits): 1 on days [lo, hi); ``matured`` leaves out the late labels of day hi - 1."""
+    out = np.zeros((len(ex.days), 2, len(windows)))
+    for f, (low, high) in enumerate(windows):
+        out[(ex.days >= low) & (ex.days < high), :, f] = 1.0
+        if matured:
+            out[ex.days == high - 1, 1, f] = 0.0
+    return out
 
 
-def fit_mllib(train: DataFrame, columns: list[str], weight: Column, alpha: float = ALPHA, width: int = HASH_WIDTH):
-    """One distributed L2 logistic regression; None without rows or with one class.
+def aged_weights(ex: lo.Examples, targets: list[int], rates: np.ndarray, upto: list[int]) -> np.ndarray:
+    """(days, 2, fits): exp(-rate * age) on the days before ``upto``, aged from the target day."""
+    out = np.zeros((len(ex.days), 2, len(targets)))
+    for f, (day, rate, cut) in enumerate(zip(targets, rates, upto, strict=True)):
+        past = ex.days < cut
+        out[past, :, f] = np.exp(-rate * (day - ex.days[past]))[:, None]
+    return out
 
-    MLlib divides by the weight sum, so alpha is rescaled by rows / weights to
-    keep the penalty of an unweighted fit.
-    """
-    rows = labelled(train, weight)
-    s = rows.agg(F.countDistinct("label").alias("c"), F.sum("weight").alias("w")).collect()[0]
-    if s["c"] < 2:
-        return None
-    n = train.agg(F.sum("n")).collect()[0][0]
-    lr = LogisticRegression(regParam=alpha * n / s["w"], elasticNetParam=0.0, standardization=False, maxIter=100,
-                            weightCol="weight", featuresCol="features", labelCol="label")
-    return lr.fit(hashed_vector(rows.select("label", "weight", *columns), columns, width))
-
-
-def predict_mllib(model, rows: DataFrame, columns: list[str], width: int = HASH_WIDTH) -> DataFrame:
-    scored = model.transform(hashed_vector(rows, columns, width))
-    return scored.select(*rows.columns, vector_to_array("probability")[1].alias("p"))
-
-
-def fit_window(tallies: DataFrame, day: int, lo: int, columns: list[str], half_life: float | None = None,
-               alpha: float = ALPHA, width: int = HASH_WIDTH) -> DataFrame | None:
-    """Fit on days [lo, day) and score the day; null when nothing can be fitted."""
-    train = tallies.filter((F.col("day") >= lo) & (F.col("day") < day))
-    age = F.lit(day) - F.col("day")
-    weight = F.lit(1.0) if half_life is None else F.exp(-np.log(2.0) / half_life * age)
-    model = fit_mllib(train, columns, weight, alpha, width)
-    return None if model is None else predict_mllib(model, tallies.filter(F.col("day") == day), columns, width)
-
-
-def fit_forgetting(tallies: DataFrame, day: int, columns: list[str], val_window: int = 3, evaluations: int = 12,
-                   alpha: float = ALPHA, width: int = HASH_WIDTH) -> tuple[float, DataFrame] | None:
-    """Learned forgetting rate with the fitted model: (eta, scored day), or None with too little history.
-
-    Golden-section search on the loss of the last ``val_window`` history days;
-    every evaluation is one weighted distributed fit on the days before them.
-    The final fit uses all history.
-    """
-    hist = sorted(r["day"] for r in tallies.filter(F.col("day") < day).select("day").distinct().collect())
-    if len(hist) < 2 * val_window:
-        return None
-    cut = hist[-val_window]
-    train, held = tallies.filter(F.col("day") < cut), tallies.filter(F.col("day").between(cut, day - 1))
-
-    def weight(eta: float) -> Column:
-        return F.exp(-eta * (F.lit(day) - F.col("day")))
-
-    def loss(eta: float) -> float:
-        model = fit_mllib(train, columns, weight(eta), alpha, width)
-        if model is None:
-            return float("inf")
-        scored = predict_mllib(model, held, columns, width)
-        return scored.agg(F.sum(sc.tally_loss(F.col("n"), F.col("clicks"), F.col("p"))) / F.sum("n")).first()[0]
-
-    eta = golden_section(loss, *ETA_BOUNDS, evaluations)
-    model = fit_mllib(tallies.filter(F.col("day") < day), columns, weight(eta), alpha, width)
-    if model is None:
-        return None
-    return eta, predict_mllib(model, tallies.filter(F.col("day") == day), columns, width)
-
-
-def golden_section(f, lo: float, hi: float, evaluations: int) -> float:
-    """Minimiser of a one-dimensional function after a fixed number of evaluations."""
-    ratio = (5.0 ** 0.5 - 1) / 2
-    a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
-    fa, fb = f(a), f(b)
-    for _ in range(evaluations - 2):
-        if fa <= fb:
-            hi, b, fb = b, a, fa
-            a = hi - ratio * (hi - lo)
-            fa = f(a)
-        else:
-            lo, a, fa = a, b, fb
-            b = lo + ratio * (hi - lo)
-            fb = f(b)
-    return a if fa <= fb else b
-
-
-def fit_windows(tallies: DataFrame, day: int, rules: dict[str, tuple[int, float | None]], columns: list[str],
-                alpha: float = ALPHA, width: int = HASH_WIDTH, threads: int = 4) -> dict[str, DataFrame]:
-    """Fits of one day under several rules {name: (lo, half_life)}, submitted from a few driver threads."""
-    def one(rule):
-        lo, half_life = rule
-        return fit_window(tallies, day, lo, columns, half_life, alpha, width)
-
-    with ThreadPoolExecutor(threads) as pool:
-        fitted = dict(zip(rules, pool.map(one, rules.values())))
-    return {name: scored for name, scored in fitted.items() if scored is not None}
-
-
-def _one_hot(pdf: pd.DataFrame, columns: list[str]) -> np.ndarray:
-    parts = []
-    for c in columns:
-        codes, values = pd.factorize(pdf[c])
-        parts.append(np.eye(len(values))[codes])
-    return np.hstack([*parts, np.ones((len(pdf), 1))])
-
-
-def newton_logistic(x: np.ndarray, n: np.ndarray, k: np.ndarray, alpha: float) -> np.ndarray:
-    """Same objective as the distributed fit; the last column of x is the intercept."""
-    total = n.sum()
-    ridge = alpha * np.eye(x.shape[1])
-    ridge[-1, -1] = 1e-12
-    w = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (n * p - k) / total + ridge @ w
-        step = np.linalg.solve((x.T * (n * p * (1 - p))) @ x / total + ridge, grad)
-        w = w - step
-        if np.abs(step).max() < 1e-10:
-            break
-    return w
+
+def _both_classes(ex: lo.Examples, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Training rows and clicks of each fit, and whether both classes are there."""
+    used = (weights > 0).astype(float)
+    n, k = (np.einsum("dlf,dl->f", used, x) for x in (ex.n, ex.clicks))
+    return n, k, (k > 0) & (k < n)
 
 
 def fit_bank(tallies: DataFrame, bounds: DataFrame, columns: list[str], alpha: float = ALPHA,
-             matured: bool = False, prior_fallback: bool = False, threads: int = 4,
-             width: int = HASH_WIDTH) -> DataFrame:
+             matured: bool = False, prior_fallback: bool = False, width: int = HASH_WIDTH) -> DataFrame:
     """Predictions of every distinct (day, lo, hi) window: (day, lo, hi, columns..., early, n, clicks, p, n_train).
 
-    ``bounds``: distinct windows. Windows whose counted size fits a task are
-    grouped-map fits running side by side; the rest are MLlib fits submitted
-    from a few driver threads. ``matured`` drops the previous day's tail;
-    ``prior_fallback`` predicts the window's own rate (0.5 if empty) where no
-    fit is possible, instead of nothing.
+    ``matured`` drops the previous day's tail; ``prior_fallback`` predicts the
+    window's own rate (0.5 if empty) where no fit is possible, instead of nothing.
+    """
+    windows = sorted((r["day"], r["lo"], r["hi"]) for r in bounds.select("day", "lo", "hi").distinct().collect())
+    ex = lo.examples(tallies, columns, width)
+    weights = window_weights(ex, [w[1:] for w in windows], matured)
+    n, k, able = _both_classes(ex, weights)
+    scored = lo.predictions(ex, lo.minimise(ex, weights, alpha), [w[0] for w in windows], able)
+    prior = [float(b / a) if a else 0.5 for a, b in zip(n, k, strict=True)]
+    table = lo.fit_table(tallies.sparkSession, [(f, *w, prior[f], int(n[f])) for f, w in enumerate(windows)],
+                         "fit int, day int, lo int, hi int, prior double, n_train long")
+    out = scored.join(F.broadcast(table), "fit")
+    out = out.withColumn("p", F.coalesce("p", "prior")) if prior_fallback else out.where("p is not null")
+    return out.select("day", "lo", "hi", *columns, "early", "n", "clicks", "p", "n_train")
+
+
+def fit_rules(tallies: DataFrame, days: list[int], rules: dict[str, tuple[int | None, float | None]], columns: list[str],
+              alpha: float = ALPHA, width: int = HASH_WIDTH) -> DataFrame:
+    """(day, rule, columns..., early, n, clicks, p) for every day and rule {name: (window days, half-life)}.
+
+    p is null for a rule that has no rows, or one class only, before a day.
+    """
+    ex = lo.examples(tallies, columns, width)
+    fits = [(day, name) for day in days for name in rules]
+    weights = np.zeros((len(ex.days), 2, len(fits)))
+    for f, (day, name) in enumerate(fits):
+        window, half_life = rules[name]
+        past = (ex.days < day) & (ex.days >= (day - window if window else ex.days.min(initial=0)))
+        weights[past, :, f] = (np.ones(past.sum()) if half_life is None else np.exp(-math.log(2.0) / half_life * (day - ex.days[past])))[:, None]
+    scored = lo.predictions(ex, lo.minimise(ex, weights, alpha), [d for d, _ in fits], _both_classes(ex, weights)[2])
+    table = lo.fit_table(tallies.sparkSession, [(f, *x) for f, x in enumerate(fits)], "fit int, day int, rule string")
+    return scored.join(F.broadcast(table), "fit").drop("fit")
+
+
+def golden_sections(f, lo_: np.ndarray, hi_: np.ndarray, evaluations: int) -> np.ndarray:
+    """Minimisers of many one-dimensional functions; ``f`` takes a probe for each of them and evaluates all at once."""
+    ratio = (5.0 ** 0.5 - 1) / 2
+    low, high = lo_.astype(float).copy(), hi_.astype(float).copy()
+    a, b = high - ratio * (high - low), low + ratio * (high - low)
+    fa, fb = f(a), f(b)
+    for _ in range(evaluations - 2):
+        left = fa <= fb
+        high, low = np.where(left, b, high), np.where(left, low, a)
+        probe = np.where(left, high - ratio * (high - low), low + ratio * (high - low))
+        value = f(probe)
+        a, b, fa, fb = np.where(left, probe, b), np.where(left, a, probe), np.where(left, value, fb), np.where(left, fa, value)
+    return np.where(fa <= fb, a, b)
+
+
+def fit_forgetting(tallies: DataFrame, days: list[int], columns: list[str], val_window: int = 3, evaluations: int = 12,
+                   alpha: float = ALPHA, width: int = HASH_WIDTH) -> tuple[DataFrame, DataFrame]:
+    """Learned forgetting rate with the fitted model for every day: (t, eta, half_life), and (t, columns..., early, n, clicks, p).
+
+    One golden-section search for each day, all probes of a round fitted
+    together: a weighted fit on the days before the last ``val_window`` days
+    with rows, its loss on those. The final fit uses all history. A day with
+    fewer than 2 * val_window days of history, or one class in them, has nulls.
     """
-    tallies = settle(tallies)
-    # the range join as an equi-join: a window lists its days, the last one being the day to score
-    listed = bounds.withColumn("e", F.explode(F.sequence("lo", "hi")))
-    rows = tallies.withColumnRenamed("day", "e").join(listed, "e")
-    if matured:
-        rows = rows.filter((F.col("e") != F.col("hi") - 1) | F.col("early"))
-    sizes = rows.groupBy("day", "lo", "hi").count().collect()
-    big = [(r["day"], r["lo"], r["hi"]) for r in sizes if r["count"] > ONE_TASK_ROWS]
-    out_cols = ["day", "lo", "hi", *columns, "early", "n", "clicks", "p", "n_train"]
-    schema = ("day int, lo int, hi int, " + ", ".join(f"{c} string" for c in columns)
-              + ", early boolean, n long, clicks long, p double, n_train long")
-
-    def small(pdf: pd.DataFrame) -> pd.DataFrame:
-        past = (pdf["e"] < pdf["hi"]).to_numpy()
-        test = pdf[~past].copy()
-        n, k = pdf["n"].to_numpy(float), pdf["clicks"].to_numpy(float)
-        seen, hit = n[past].sum(), k[past].sum()
-        if 0 < hit < seen:
-            x = _one_hot(pdf, columns)
-            w = newton_logistic(x[past], n[past], k[past], alpha)
-            test["p"] = 1.0 / (1.0 + np.exp(-np.clip(x[~past] @ w, -30, 30)))
-        elif prior_fallback:
-            test["p"] = hit / seen if seen else 0.5
-        else:
-            return pd.DataFrame(columns=out_cols)
-        test["n_train"] = int(seen)
-        return test[out_cols]
-
-    fits = rows
-    for day, lo, hi in big:
-        fits = fits.filter((F.col("day") != day) | (F.col("lo") != lo) | (F.col("hi") != hi))
-    done = fits.groupBy("day", "lo", "hi").applyInPandas(small, schema)
-    if not big:
-        return done
-
-    def large(window: tuple[int, int, int]) -> DataFrame:
-        day, lo, hi = window
-        mine = rows.filter((F.col("day") == day) & (F.col("lo") == lo) & (F.col("hi") == hi))
-        train, test = mine.filter(F.col("e") < hi), mine.filter(F.col("e") == hi)
-        total = train.agg(F.sum("n").alias("n"), F.sum("clicks").alias("k")).collect()[0]
-        model = fit_mllib(train, columns, F.lit(1.0), alpha, width)
-        if model is not None:
-            scored = predict_mllib(model, test, columns, width)
-        elif prior_fallback:
-            scored = test.withColumn("p", F.lit(total["k"] / total["n"] if total["n"] else 0.5))
-        else:
-            scored = test.withColumn("p", F.lit(None).cast("double")).limit(0)
-        return scored.withColumn("n_train", F.lit(total["n"] or 0).cast("long")).select(*out_cols)
-
-    with ThreadPoolExecutor(threads) as pool:
-        for part in pool.map(large, big):
-            done = done.unionByName(part)
-    return done
+    spark = tallies.sparkSession
+    ex = lo.examples(tallies, columns, width)
+    past = {t: ex.days[ex.days < t] for t in days}
+    cuts = {t: int(h[-val_window]) for t, h in past.items() if len(h) >= 2 * val_window}
+    weights = aged_weights(ex, list(cuts), np.zeros(len(cuts)), list(cuts.values()))
+    able = [t for t, ok in zip(cuts, _both_classes(ex, weights)[2], strict=True) if ok]
+    upto = [cuts[t] for t in able]
+    held = np.zeros((len(ex.days), 2, len(able)))
+    for f, t in enumerate(able):
+        held[(ex.days >= cuts[t]) & (ex.days < t), :, f] = 1.0
+    warm: list[np.ndarray | None] = [None]
+
+    def loss(rates: np.ndarray) -> np.ndarray:
+        warm[0] = lo.minimise(ex, aged_weights(ex, able, rates, upto), alpha, warm[0], tol=1e-5)
+        return lo.losses(ex, held, warm[0])
+
+    low, high = (np.full(len(able), x) for x in ETA_BOUNDS)
+    eta = golden_sections(loss, low, high, evaluations) if able else np.zeros(0)
+    params = lo.minimise(ex, aged_weights(ex, able, eta, able), alpha, warm[0])
+    found = {t: (float(e), math.log(2.0) / float(e) if e > 1e-9 else None) for t, e in zip(able, eta, strict=True)}
+    table = lo.fit_table(spark, [(t, *found.get(t, (None, None))) for t in days], "t int, eta double, half_life double")
+    names = lo.fit_table(spark, list(enumerate(able)), "fit int, t int")
+    return table, lo.predictions(ex, params, able).join(F.broadcast(names), "fit").drop("fit")
 
 
 def fit_adapter(rows: DataFrame, reg: float):

@@ -23,7 +23,7 @@ from tidelog.plans.registry import query, r6
 from tidelog.plans.sqlbase import EXPERTS
 from tidelog.session import settle
 
-WIDTH = 2 ** 12
+WIDTH = 2 ** 18
 
 
 def tallies(spark, d) -> DataFrame:
@@ -33,25 +33,22 @@ def tallies(spark, d) -> DataFrame:
 
 @query("fit_predict", "H6")
 def fit_predict(spark, d) -> DataFrame:
-    """All eight history rules fitted for the last day of the log, with the loss of each."""
-    day, out = fx.last_day(spark, d), None
-    rules = {e: (0 if h is None else max(0, day - h), None) for e, h in hi.HORIZONS.items()}
-    rules |= {e: (0, float(h)) for e, h in hi.HALF_LIVES.items()}
-    for name, scored in le.fit_windows(settle(tallies(spark, d)), day, rules, TOKEN_COLUMNS, width=WIDTH).items():
-        part = scored.agg(F.sum("n").alias("n"), r6(F.sum(sc.tally_loss(F.col("n"), F.col("clicks"), F.col("p")))
-                                                    / F.sum("n"), "loss")).withColumn("expert", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """All eight history rules fitted for every eligible day, with the loss of each; null where a rule has nothing to fit."""
+    days = [r["day"] for r in fx.eligible(sp.day_axis(fx.cells(spark, d))).select("day").collect()]
+    rules = {e: (h, None) for e, h in hi.HORIZONS.items()} | {e: (None, float(h)) for e, h in hi.HALF_LIVES.items()}
+    scored = le.fit_rules(tallies(spark, d), sorted(days), rules, TOKEN_COLUMNS, width=WIDTH)
+    return scored.groupBy("day", F.col("rule").alias("expert")).agg(
+        F.sum("n").alias("n"), r6(F.sum(sc.tally_loss(F.col("n"), F.col("clicks"), F.col("p"))) / F.sum("n"), "loss"))
 
 
 @query("forgetting_fit", "H10")
 def forgetting_fit(spark, d) -> DataFrame:
-    """Forgetting rate learned with the fitted model for the last day, its half-life, and the day's loss."""
-    eta, scored = le.fit_forgetting(settle(tallies(spark, d)), fx.last_day(spark, d), TOKEN_COLUMNS, width=WIDTH)
+    """Forgetting rate learned with the fitted model for every day, its half-life, and the day's loss; nulls where history is short."""
+    days = sorted(r["day"] for r in sp.day_axis(fx.cells(spark, d)).select("day").collect())
+    rates, scored = le.fit_forgetting(tallies(spark, d), days, TOKEN_COLUMNS, width=WIDTH)
     loss = F.sum(sc.tally_loss(F.col("n"), F.col("clicks"), F.col("p"))) / F.sum("n")
-    return scored.agg(F.sum("n").alias("n"), r6(loss, "loss")).select(
-        F.lit(fx.last_day(spark, d)).alias("t"), F.round(F.lit(eta), 6).alias("eta"),
-        F.round(F.lit(float(np.log(2.0) / eta) if eta > 1e-9 else None).cast("double"), 6).alias("half_life"), "n", "loss")
+    by_day = scored.groupBy("t").agg(F.sum("n").alias("n"), r6(loss, "loss"))
+    return rates.join(by_day, "t", "left").select("t", r6("eta"), r6("half_life"), "n", "loss")
 
 
 def _fitted(spark, d, matured: bool) -> DataFrame:
