@@ -248,8 +248,8 @@ def test_terms_that_give_an_entity_away(spark):
     def noise(n=8):
         return " ".join(rng.choice(fill) for _ in range(n))
 
-    docs = [(i, f"{noise()} kingfisher {noise()} jane.doe@example.com {noise()}") for i in range(8)]
-    docs += [(None, f"{noise()} harbour bob@example.org {noise()}") for i in range(2)]
+    docs = [(i, f"{noise()} kingfisher {noise()} jane.doe@example.com {noise()}") for i in range(14)]
+    docs += [(None, f"{noise()} harbour bob@example.org {noise()}") for i in range(4)]
     docs += [(100 + i, noise(20)) for i in range(200)]
     docs += [(300, "the Kingfisher sings"), (300, None), (None, "harbour kingfisher")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
@@ -259,7 +259,7 @@ def test_terms_that_give_an_entity_away(spark):
     assert all(spans == "" for i, spans, _ in rows if i is not None and 100 <= i < 300)
     clean = sorted(r["text"] for r in pii.sanitise(df).collect())
     assert len(clean) == len(docs) and not any(x in t.lower() for t in clean for x in ("kingfisher", "harbour", "jane", "bob"))
-    assert "the sings" in clean and "[email term]" in clean and sum("[email]" in t for t in clean) == 10
+    assert "the sings" in clean and "[email term]" in clean and sum("[email]" in t for t in clean) == 18
 
 
 def test_pii_spans_of_hard_texts():

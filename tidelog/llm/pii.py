@@ -8,8 +8,8 @@ what naming e would tell: 1 + log p(e | t) / IC(e), with p(e | t) and IC(e) from
 all documents. Few observations prove little, so this share is discounted by
 both / (both + 1) times m / (m + 1), where ``both`` documents hold t beside e
 and m is the smaller of all holders of e and all of t. There is no other floor:
-entities are left out only where the discount alone keeps every term below the
-threshold. Terms at or above ``GENERALISE`` are generalised, at or above
+entities and pairs are left out only where no count of t's documents could bring
+them to the threshold. Terms at or above ``GENERALISE`` are generalised, at or above
 ``REMOVE`` removed, wherever they stand in any document.
 
 Contexts are linear in the values, never a product of a document's terms and
@@ -36,7 +36,7 @@ from tidelog.llm.common import ready, scope, stash, text_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
 REACH = 50
-GENERALISE = 0.4
+GENERALISE = 0.44
 REMOVE = 0.7
 FLUSH = 400_000
 FILTER_BITS = 24
@@ -277,12 +277,16 @@ def disclosing(texts: DataFrame, scanned: DataFrame, reach: int = REACH, general
     found = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("holders"))
     # both and m are at most the holders: below this many, no term can reach the threshold
     found = stash(found.where((F.col("holders") / (F.col("holders") + 1)) ** 2 >= generalise))
-    joint = stash(_pairs(texts, _filter(found.select("entity")), reach).groupBy("entity", "term").agg(
-        F.sum("both").alias("both")).where(F.col("both") / (F.col("both") + 1) >= generalise).join(found, "entity"))
+    pairs = _pairs(texts, _filter(found.select("entity")), reach).groupBy("entity", "term").agg(F.sum("both").alias("both"))
+    # the most a pair can reach, whatever the documents of its term: past IC more than both, more of them only lower it
+    content = F.log(F.lit(total) / F.col("holders"))
+    docs = F.sequence(F.col("both"), F.greatest(F.col("both"), F.least(F.col("holders"), F.col("both") + 60)))
+    most = F.array_max(F.transform(docs, lambda d: d / (d + 1) * (1 - F.log(d / F.col("both")) / content)))
+    bound = F.when(content > 0, F.col("both") / (F.col("both") + 1) * most)
+    joint = stash(pairs.join(found, "entity").where(bound >= generalise - 1e-12))
     docs = _term_docs(texts, _filter(joint.select("term").distinct())).groupBy("term").agg(F.sum("n").alias("docs"))
     least = F.least("holders", "docs")
     trust = F.col("both") / (F.col("both") + 1) * least / (least + 1)
-    content = F.log(F.lit(total) / F.col("holders"))
     share = F.when(content > 0, trust * (1 + F.log(F.col("both") / F.col("docs")) / content))
     return stash(joint.join(docs, "term").select("entity", "term", share.alias("disclosure")).where(
         F.col("disclosure") >= generalise).withColumn(
