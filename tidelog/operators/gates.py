@@ -431,43 +431,52 @@ def fit_simplex(tally: DataFrame, experts: list[str], by: str, max_iter: int = 3
     """Constant simplex weights of each group ``by``, fitted by exponentiated gradient.
 
     ``tally``: (by, n, clicks, one column per expert). Weights are the softmax of
-    accumulated steps. One job reads the distinct rows once for all groups that
-    still move; a group rests when its loss moves by less than ``tol``.
+    accumulated steps; a group rests when its loss moves by less than ``tol``.
+    The step's direction sum(p * (n * p.w - k)) is linear in the weights, so one
+    job sums p p' and p k for all groups and the whole path follows from these
+    on the driver. A second job has the loss of every weight on the path, which
+    tells where each group rests.
     """
-    k = len(experts)
     rows = settle(tally.groupBy(by, *experts).agg(
-        F.sum("n").cast("double").alias("n"), F.sum("clicks").cast("double").alias("clicks"))).persist()
-    scores = {r[by]: np.zeros(k) for r in rows.where("n > 0").select(by).distinct().collect()}
-    moving, losses = dict.fromkeys(scores, True), dict.fromkeys(scores, np.inf)
-    for step in range(1, max_iter + 1):
-        weights = {g: _softmax(z[None, :])[0] for g, z in scores.items() if moving[g]}
-        if not weights:
-            break
-        told = rows.mapInPandas(_simplex_task(weights, experts, by), "grp long, sums array<double>").groupBy("grp").agg(
-            F.array(*[F.sum(F.col("sums")[i]) for i in range(k + 2)]).alias("sums")).collect()
-        for row in told:
-            weight, loss, *slopes = row["sums"]
-            scores[row["grp"]] = scores[row["grp"]] - rate / np.sqrt(step) * np.array(slopes) / weight
-            moving[row["grp"]] = abs(losses[row["grp"]] - loss / weight) >= tol
-            losses[row["grp"]] = loss / weight
-    rows.unpersist()
-    return {g: _softmax(z[None, :])[0] for g, z in scores.items()}
-
-
-def _simplex_sums(pdf: pd.DataFrame, w: np.ndarray, experts: list[str]) -> np.ndarray:
-    """Weight, loss, and the gradient surrogate per expert."""
-    p, n, k = pdf[experts].to_numpy(), pdf["n"].to_numpy(), pdf["clicks"].to_numpy()
-    mixed = np.clip(p @ w, 1e-12, 1 - 1e-12)
-    loss = -(k * np.log(mixed) + (n - k) * np.log(1 - mixed)).sum()
-    return np.concatenate([[n.sum(), loss], p.T @ (n * mixed - k)])
+        F.sum("n").cast("double").alias("n"), F.sum("clicks").cast("double").alias("clicks")).where("n > 0"))
+    k = len(experts)
+    paths = {}
+    for r in _group_sums(rows, by, 1 + k * k + k, lambda group, part: _moments(part, experts)):
+        weight, square, cross = r["sums"][0], np.array(r["sums"][1:1 + k * k]).reshape(k, k), np.array(r["sums"][1 + k * k:])
+        scores, path = np.zeros(k), []
+        for step in range(1, max_iter + 1):
+            path.append(_softmax(scores[None, :])[0])
+            scores = scores - rate / np.sqrt(step) * (square @ path[-1] - cross) / weight
+        paths[r["grp"]] = (weight, np.array([*path, _softmax(scores[None, :])[0]]))
+    out = {}
+    for r in _group_sums(rows, by, max_iter, lambda group, part: _path_losses(part, experts, paths[group][1][:-1])):
+        weight, path = paths[r["grp"]]
+        still = np.abs(np.diff(np.array(r["sums"]) / weight)) < tol
+        out[r["grp"]] = path[int(still.argmax()) + 2] if still.any() else path[-1]
+    return out
 
 
-def _simplex_task(weights: dict[int, np.ndarray], experts: list[str], by: str):
+def _group_sums(rows: DataFrame, by: str, width: int, sums) -> list:
+    """(grp, sums) of every group: each task adds up its rows, Spark adds the tasks' sums."""
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
         for pdf in batches:
             for group, part in pdf.groupby(by):
-                if group in weights:
-                    total[group] = total.get(group, 0.0) + _simplex_sums(part, weights[group], experts)
+                total[int(group)] = total.get(int(group), 0.0) + sums(int(group), part)
         yield pd.DataFrame({"grp": list(total), "sums": [v.tolist() for v in total.values()]})
-    return task
+
+    return rows.mapInPandas(task, "grp long, sums array<double>").groupBy("grp").agg(
+        F.array(*[F.sum(F.col("sums")[i]) for i in range(width)]).alias("sums")).collect()
+
+
+def _moments(pdf: pd.DataFrame, experts: list[str]) -> np.ndarray:
+    """Weight, sum of n p p', sum of p k."""
+    p, n, k = pdf[experts].to_numpy(), pdf["n"].to_numpy(), pdf["clicks"].to_numpy()
+    return np.concatenate([[n.sum()], ((p * n[:, None]).T @ p).ravel(), p.T @ k])
+
+
+def _path_losses(pdf: pd.DataFrame, experts: list[str], path: np.ndarray) -> np.ndarray:
+    """Log loss of every weight on the path."""
+    n, k = pdf["n"].to_numpy()[:, None], pdf["clicks"].to_numpy()[:, None]
+    mixed = np.clip(pdf[experts].to_numpy() @ path.T, 1e-12, 1 - 1e-12)
+    return -(k * np.log(mixed) + (n - k) * np.log(1 - mixed)).sum(axis=0)
