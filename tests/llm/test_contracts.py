@@ -146,12 +146,36 @@ def test_decontamination_finds_edited_items_and_leaves_others(spark):
         text = f"{prose(15)} {''.join(copy)} {prose(15)}"
         want = brute.edit_within(plain, decontaminate.normal(text))
         assert decontaminate.Finder([(1, plain, budget)]).find(text) == ({1: want} if want <= budget else {})
-    items = spark.createDataFrame([(1, prose(20)), (2, None), (None, prose(20)), (3, "short"), (1, prose(2000))],
+    items = spark.createDataFrame([(1, prose(20)), (2, None), (None, prose(20)), (3, "Short one"), (1, prose(2000)), (4, "--")],
                                   "item_id long, text string")
     held = items.where("item_id = 1").orderBy(F.length("text")).collect()
-    docs = spark.createDataFrame([(1, held[0]["text"].upper(), 1), (2, None, 2), (3, "", 3), (4, prose(300), 4), (5, held[1]["text"], 5)],
-                                 "doc_id long, text string, leaks int")
-    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.op1(docs, items).collect()}
-    assert got == {1: [1], 2: [], 3: [], 4: [], 5: [1]}
+    half = held[1]["text"][:len(held[1]["text"]) // 2]
+    docs = spark.createDataFrame([(1, held[0]["text"].upper(), 1), (2, None, 2), (3, "", 3), (4, prose(300), 4), (5, held[1]["text"], 5), (5, half, 5),
+                                  (6, "a short, ONE here", 6), (7, "short ones", 7), (8, held[1]["text"], 8)], "doc_id long, text string, leaks int")
+    got = sorted((r["doc_id"], r["item_ids"]) for r in decontaminate.op1(docs, items).collect())
+    assert got == [(1, [1]), (2, []), (3, []), (4, []), (5, []), (5, [1]), (6, [3]), (7, []), (8, [1])]
     several = decontaminate.clean(docs, items, block_chars=100)
-    assert [r["doc_id"] for r in several.orderBy("doc_id").collect()] == [2, 3, 4] and several.columns == docs.columns
+    assert sorted(r["doc_id"] for r in several.collect()) == [2, 3, 4, 5, 7] and several.columns == docs.columns
+    whole, parts = (decontaminate.leaks(docs, items, block_chars=n, out="found") for n in (10**6, 100))
+    assert parts.columns == whole.columns and rows(whole.withColumn("found", F.col("found").cast("string")), *whole.columns) == rows(
+        parts.withColumn("found", F.col("found").cast("string")), *whole.columns)
+
+
+def test_decontamination_of_whole_items(spark, sf):
+    """All items in all documents against plain edit distances, long items and short ones among them."""
+    rng = random.Random(7)
+    docs = [r["text"] for r in table(spark, sf, "documents").where("length(text) between 300 and 1500").orderBy("doc_id").limit(8).collect()]
+    items = [r["text"] for r in table(spark, sf, "benchmark").limit(3).collect()]
+    items += [max(docs, key=len), "of the", docs[5][:120]]
+    docs += [f"{rng.choice(docs)} {i} end" for i in items]
+    units = [u for n, i in enumerate(items) for u in decontaminate.units(n, i)]
+    finder = decontaminate.Finder(units)
+    for text in docs:
+        plain, want = decontaminate.normal(text), {}
+        for n, unit, budget in units:
+            if len(unit) < decontaminate.LEAST_CHARS:
+                if f" {unit} " in f" {plain} ":
+                    want[n] = 0
+            elif len(unit) <= len(plain) + budget and (d := brute.edit_within(unit, plain)) <= budget:
+                want[n] = d
+        assert finder.find(text) == want

@@ -7,25 +7,28 @@ against it, and where a piece is found the window around its diagonal is
 verified with Myers' bit-parallel distance. The verification grows with the
 evidence: j neighbouring pieces may hold j - 1 edits, and in any copy some piece
 has ancestors that all keep to that, so pairs, fours, eights ... of pieces are
-checked before the whole item, and chance hits end after a few characters. Items
-come in blocks of bounded size, one pass over the documents each, so a large
-benchmark neither grows the broadcast nor joins with the documents.
+checked before the whole item, and chance hits end after a few characters. An
+item is verified whole, whatever its length; one too short for edits is searched
+as it is, between word ends. Items come in blocks of bounded size, one pass over
+the documents each, so a large benchmark does not grow what a task holds; what
+the passes find meets the documents by the hash of the text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import free_name, ready
+from tidelog.llm.common import free_name, ready, scope, stash, text_of
 
 RATE = 0.1
 LEAST_CHARS = 16
-UNIT_CHARS = 1024
 BLOCK_CHARS = 2_000_000
 WORDS = re.compile(r"[^\W_]+")
 
@@ -38,14 +41,11 @@ def normal(text: str | None) -> str:
 
 
 def units(item: int, text: str | None, rate: float = RATE) -> list[Unit]:
-    """(item, normalised text, error budget); an item beyond UNIT_CHARS is cut into even parts, any of which counts."""
+    """(item, normalised text, error budget), if the item has a letter or digit; below LEAST_CHARS the budget is zero."""
     plain = normal(text)
-    if len(plain) < LEAST_CHARS:
+    if not plain:
         return []
-    parts = -(-len(plain) // UNIT_CHARS)
-    size = -(-len(plain) // parts)
-    cut = [plain[at:at + size] for at in range(0, len(plain), size)]
-    return [(item, part, int(rate * len(part))) for part in cut]
+    return [(item, plain, int(rate * len(plain)) if len(plain) >= LEAST_CHARS else 0)]
 
 
 def budget_pieces(length: int, budget: int) -> list[tuple[int, int]]:
@@ -131,15 +131,19 @@ class Finder:
         return myers(masks, len(part), window, high - low - 1, first)
 
     def find(self, text: str | None) -> dict[int, int]:
-        """Item -> least distance of it (of its best part) in the document."""
+        """Item -> least distance of it to any part of the document, where that is within its budget."""
         plain = normal(text)
         found: dict[int, int] = {}
         tried: dict[int, list[tuple[int, int]]] = {}
         for last, (size, places) in self.automaton.iter(plain):
             for u, i in places:
-                item, _, budget = self.block[u]
+                item, unit, budget = self.block[u]
                 bounds = self.bounds[u]
                 start = last + 1 - size - bounds[i][0]
+                if len(unit) < LEAST_CHARS:  # as it is, between word ends
+                    if plain[start - 1:start] in ("", " ") and plain[last + 1:last + 2] in ("", " "):
+                        found[item] = 0
+                    continue
                 if found.get(item) == 0 or any(low <= start <= high for low, high in tried.get(u, ())):
                     continue
                 runs = self.above[len(bounds)][i]
@@ -168,19 +172,22 @@ def finder_of(shared) -> Finder:
 
 def blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", rate: float = RATE,
            block_chars: int = BLOCK_CHARS) -> Iterator[list[Unit]]:
-    """The items, in blocks of about ``block_chars`` characters, each small enough to broadcast."""
+    """The items, in blocks of about ``block_chars`` characters, each small enough to broadcast; one at a time is held."""
     items = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
     size = items.agg(F.sum(F.length("t"))).first()[0] or 0
     count = max(1, -(-int(size) // block_chars))
     for b in range(count):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == b).collect()
         block = [unit for row in sorted(rows, key=lambda r: (r["i"], r["t"])) for unit in units(row["i"], row["t"], rate)]
-        if block:
+        if block or count == 1:
             yield block
 
 
+LEAKS = "array<struct<item_id:bigint,distance:bigint>>"
+
+
 def _search(shared):
-    @F.pandas_udf("array<struct<item_id:bigint,distance:bigint>>")
+    @F.pandas_udf(LEAKS)
     def search(texts: pd.Series) -> pd.Series:
         finder = finder_of(shared)
         return pd.Series([[{"item_id": i, "distance": d} for i, d in sorted(finder.find(t).items())] for t in texts])
@@ -188,21 +195,52 @@ def _search(shared):
     return search
 
 
+def _pass(texts: DataFrame, block: list[Unit]) -> DataFrame:
+    """(print, item_id, distance), written: what one block of items finds, once for each different text."""
+    shared = texts.sparkSession.sparkContext.broadcast(block)
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = finder_of(shared)
+        for batch in batches:
+            rows = [(hashlib.md5(t.encode()).hexdigest(), i, d) for t in batch.column(0).to_pylist() for i, d in finder.find(t).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(
+                (pa.string(), pa.int64(), pa.int64()))], ["print", "item_id", "distance"])
+
+    out = stash(texts.mapInArrow(searched, "print string, item_id long, distance long").distinct())
+    shared.unpersist()
+    return out
+
+
 def leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
           item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS,
           out: str = "leaks") -> DataFrame:
     """``docs`` with the column ``out``: array of (item_id, distance), by item, of the items found in each text.
 
-    Null or empty texts hold no item. Items that are null, or shorter than
-    LEAST_CHARS once normalised, are not evidence and are not searched. Repeated
-    items and rows each give their own result. All columns of ``docs`` stay; a
-    column named like ``out`` is replaced.
+    Null or empty texts hold no item. Null items, and items without a letter or
+    digit, are no evidence. Items shorter than LEAST_CHARS once normalised must
+    stand as they are, between word ends. Repeated items and rows each give
+    their own result. All columns of ``docs`` stay; a column named like ``out``
+    is replaced. A benchmark of one block is searched where the documents lie;
+    several blocks take a pass each.
     """
-    found = F.array().cast("array<struct<item_id:bigint,distance:bigint>>")
-    context = docs.sparkSession.sparkContext
-    for block in blocks(items, item_id, item_text, rate, block_chars):
-        found = F.concat(found, _search(context.broadcast(block))(F.col(text_col)))
-    return ready(docs).withColumn(out, F.array_sort(found))
+    docs, parts = ready(docs), blocks(items, item_id, item_text, rate, block_chars)
+    block, more = next(parts, []), next(parts, None)
+    if more is None:
+        found = _search(docs.sparkSession.sparkContext.broadcast(block))(F.col(text_col))
+        return docs.withColumn(out, F.array_sort(found))
+    texts = docs.select(text_of(text_col).alias("text"))
+    with scope() as kept:
+        hits = _pass(texts, block).union(_pass(texts, more))
+        for block in parts:
+            hits = hits.union(_pass(texts, block))
+        hits = stash(hits.groupBy("print", "item_id").agg(F.min("distance").alias("distance")).groupBy("print").agg(
+            F.array_sort(F.collect_list(F.struct("item_id", "distance"))).alias("found")))
+        kept.append(hits)
+    name, found = free_name(docs, "print"), free_name(docs, "found")
+    hits = hits.select(F.col("print").alias(name), F.col("found").alias(found))
+    joined = docs.withColumn(name, F.md5(text_of(text_col))).join(hits, name, "left")
+    leaked = joined.withColumn(out, F.coalesce(F.col(found), F.array().cast(LEAKS)))
+    return leaked.select(*[F.col(f"`{c}`") for c in docs.withColumn(out, F.lit(0)).columns])
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
