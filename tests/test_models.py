@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.operators import adapter as ad
 from tidelog.operators import blocks as bl
 from tidelog.operators import checks as ck
 from tidelog.operators import online as on
@@ -248,3 +249,46 @@ def test_differing_sees_changes_and_missing_rows(spark):
     b = spark.createDataFrame([(1, 0.5), (2, 0.6), (3, None), (4, 0.1)], "k int, v double")
     got = {r["k"]: r["changed"] for r in ck.differing(a, b, ["k"], ["v"]).collect()}
     assert got == {1: False, 2: True, 3: False, 4: True}
+
+
+def test_rolling_adapter_follows_the_definition(spark, learner):
+    """Every fit is the optimum on the days before; selection by inner days and one standard error; losses of the day itself."""
+    settings = [ad.Setting(c, r) for c in (4, 6) for r in (0.5, 0.05)]
+    got = {r["day"]: r for r in ad.rolling_adapter(learner, settings, inner=2).collect()}
+    pdf = learner.toPandas()
+    days = sorted(pdf["day"].unique())
+
+    def loss(margin, y):
+        p = np.clip(1 / (1 + np.exp(-margin)), 1e-6, 1 - 1e-6)
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    def fit(past, setting):
+        phi, z, y = on._phi(past, setting.cross), past["z"].to_numpy(), past["click"].to_numpy()
+        w = np.zeros(phi.shape[1])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-(z + phi @ w)))
+            curve = (phi.T * (p * (1 - p))) @ phi / len(y) + setting.reg * np.eye(len(w))
+            w = w - np.linalg.solve(curve, phi.T @ (p - y) / len(y) + setting.reg * w)
+        return w
+
+    mean = np.full((len(days), len(settings)), np.nan)
+    blank = mean.copy()
+    for i, d in enumerate(days):
+        today = pdf[pdf["day"] == d]
+        y, z = today["click"].to_numpy(), today["z"].to_numpy()
+        empty = today.assign(s=[np.zeros(len(s)) for s in today["s"]])
+        for j, setting in enumerate(settings):
+            w = fit(pdf[pdf["day"] < d], setting) if i else np.zeros(on._phi(today, setting.cross).shape[1])
+            mean[i, j] = loss(z + on._phi(today, setting.cross) @ w, y)
+            blank[i, j] = loss(z + on._phi(empty, setting.cross) @ w, y)
+        assert abs(got[d]["loss_frozen"] - loss(z, y)) < 1e-9 and got[d]["n"] == len(y)
+        folds = mean[max(1, i - 2):i]
+        if not len(folds):
+            assert got[d]["cross"] is None and got[d]["loss"] is None
+            continue
+        score = folds.mean(axis=0)
+        best = score.argmin()
+        slack = folds[:, best].std(ddof=1) / np.sqrt(len(folds)) if len(folds) > 1 else 0
+        pick = min((j for j in range(len(settings)) if score[j] <= score[best] + slack), key=lambda j: (settings[j].cross, -settings[j].reg))
+        assert (got[d]["cross"], got[d]["reg"], got[d]["n_inner"]) == (settings[pick].cross, settings[pick].reg, len(folds))
+        assert abs(got[d]["loss"] - mean[i, pick]) < 1e-6 and abs(got[d]["loss_no_history"] - blank[i, pick]) < 1e-6

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 from pyspark.ml.feature import FeatureHasher
@@ -126,6 +126,7 @@ def hash_sign(side: str, i: int, j: int) -> float:
     return 1.0 if int(hashlib.md5(f"{side}:{i}:{j}".encode()).hexdigest()[0], 16) % 2 == 0 else -1.0
 
 
+@cache
 def sign_matrix(side: str, rows: int, cols: int) -> np.ndarray:
     return np.array([[hash_sign(side, i, j) for j in range(cols)] for i in range(rows)])
 

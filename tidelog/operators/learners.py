@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,10 +137,3 @@ def fit_forgetting(tallies: DataFrame, days: list[int], columns: list[str], val_
     table = lo.fit_table(spark, [(t, *found.get(t, (None, None))) for t in days], "t int, eta double, half_life double")
     names = lo.fit_table(spark, list(enumerate(able)), "fit int, t int")
     return table, lo.predictions(ex, params, able).join(F.broadcast(names), "fit").drop("fit")
-
-
-def fit_adapter(rows: DataFrame, reg: float):
-    """Offset logistic regression: logit(q) + w . phi, with phi in ``features`` and logit(q) in ``z``."""
-    glm = GeneralizedLinearRegression(family="binomial", link="logit", offsetCol="z", regParam=reg, maxIter=25,
-                                      featuresCol="features", labelCol="click", predictionCol="p")
-    return glm.fit(rows)

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import scoring as sc
 from tidelog.functions import timeaxis as ta
+from tidelog.operators import adapter as ad
 from tidelog.operators import calibrate as ca
 from tidelog.operators import online as on
 from tidelog.operators import history as hi
@@ -143,6 +143,7 @@ def calib_ablations(spark, d) -> DataFrame:
 
 
 LEARNER_M, LEARNER_CROSS = 4, 8
+ADAPTER_M = 4
 
 
 def _learner(spark, d) -> DataFrame:
@@ -161,27 +162,15 @@ def online_learner(spark, d) -> DataFrame:
     return loss.join(last.select("day", r6(norm, "norm")), "day")
 
 
+ADAPTER_GRID = [ad.Setting(c, r) for c in (16, 32, 64) for r in (0.3, 0.03)]
+
+
 @query("linear_adapter", "C15")
 def linear_adapter(spark, d) -> DataFrame:
-    """Offset regression on past days: penalty by the one-standard-error rule on inner days, scored on held-out days."""
-    rows = on.feature_vectors(_learner(spark, d), LEARNER_CROSS)
-    rows = settle(rows.select("row_id", "day", "click", "z", "phi")).withColumn("features", array_to_vector("phi"))
-    parts = sp.holdout(rows.select("day").distinct(), 0.7)
-    fit_days = sorted(r["day"] for r in parts.filter("part = 'fit'").collect())
-    folds = None
-    for v in fit_days[-2:]:
-        for i, reg in enumerate((0.3, 0.03)):
-            model = le.fit_adapter(rows.filter(F.col("day") < v), reg)
-            part = model.transform(rows.filter(F.col("day") == v)).agg(
-                F.avg(sc.log_loss(F.col("click"), F.col("p"))).alias("loss"))
-            part = part.select(F.lit(0).alias("k"), F.lit(reg).alias("reg"), F.lit(i).alias("ord"), "loss")
-            folds = part if folds is None else folds.unionByName(part)
-    reg = se.one_se(folds, ["k"], "reg", "ord").first()["reg"]
-    model = le.fit_adapter(rows.filter(F.col("day") <= fit_days[-1]), reg)
-    held = model.transform(rows.filter(F.col("day") > fit_days[-1]))
-    return held.groupBy("day").agg(F.count("*").alias("n"), r6(F.avg(sc.log_loss(F.col("click"), F.col("p"))), "loss"),
-                                   r6(F.avg(sc.log_loss(F.col("click"), sc.sigmoid(F.col("z")))), "loss_frozen"),
-                                   F.lit(float(reg)).alias("reg"))
+    """Rolling offset regression: every day deploys the setting chosen on its three latest inner days, fitted on all days before."""
+    rows = on.learner_rows(wq.token_rows(spark, d, m=ADAPTER_M), wq.BLOCK, wq.DELAY, ADAPTER_M)
+    out = ad.rolling_adapter(rows, ADAPTER_GRID)
+    return out.select("day", "n", "n_inner", "cross", "reg", *[r6(c) for c in ("inner_score", "loss", "loss_no_history", "loss_frozen")])
 
 
 NESTED_OPS = [ca.OpsConfig(f"e{e}_{'p' if p else 'i'}", eta0=e, platt=p) for e in (0.05, 0.2) for p in (False, True)]
