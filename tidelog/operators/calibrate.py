@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import hashing as hs
 from tidelog.functions import scoring as sc
 from tidelog.functions import timeaxis as ta
-from tidelog.session import attach, literal_rows, running_total, settle
+from tidelog.session import attach, literal_rows, running_total, settle, settle_by
 
 Z_DIGITS = 12
 
@@ -108,6 +108,9 @@ class _OpsState:
         self.db += resid.sum(axis=1)
         self.da += (resid * z).sum(axis=1)
 
+    def take(self, total: float, db: np.ndarray, da: np.ndarray) -> None:
+        self.total, self.db, self.da = float(total), db, da
+
     def rows(self, head: tuple, block: int) -> list[tuple]:
         return [(*head, c.name, int(block), float(self.a[i]), float(self.b[i]), self.step, self.total)
                 for i, c in enumerate(self.configs)]
@@ -124,19 +127,57 @@ class _OpsState:
 OPS_PATH = "cfg string, day int, block int, a double, b double, step int, n_matured double"
 
 
+def _waves(stats: DataFrame, configs: list[OpsConfig], keys: list[str]) -> DataFrame:
+    """Replay of independent days, all of them side by side: one grouped gradient job for each step of a day.
+
+    The driver holds one state for each (keys, day) and configuration. Step j of
+    a day reads the labels due at its j-th non-empty block, wherever they lie.
+    """
+    spark = stats.sparkSession
+    blocks = _calendar(stats, keys)
+    most = max((len(own) for own in blocks.values()), default=0)
+    types = dict(stats.dtypes)
+    head = [*keys, "day"]
+    names = ", ".join(f"{c} {types[c]}" for c in head)
+    listed = literal_rows(spark, [(*key, own) for key, own in blocks.items()], f"{names}, own array<int>")
+    due = F.size(F.filter("own", lambda b: b < F.col("upd")))  # labels due after the day's last block are never used
+    rows = stats.join(F.broadcast(listed), head).withColumn("at", due).where(F.col("at") < F.size("own"))
+    rows = settle_by(rows.groupBy(*head, "at", "z").agg(F.sum("n").alias("n"), F.sum("clicks").alias("clicks")), "at")
+    states = {key: _OpsState(configs, np.zeros(len(configs))) for key in blocks}
+    out: list[tuple] = []
+    for step in range(most):
+        open_ = [key for key, own in blocks.items() if step < len(own)]
+        sent = literal_rows(spark, [(*key, states[key].a.tolist(), states[key].b.tolist()) for key in open_],
+                            f"{names}, a array<double>, b array<double>")
+        z, n = F.col("z"), F.col("n")
+        resid = [n * sc.sigmoid(F.col("a")[i] * z + F.col("b")[i]) - F.col("clicks") for i in range(len(configs))]
+        sums = rows.where(F.col("at") == step).join(F.broadcast(sent), head).groupBy(*head).agg(
+            F.sum("n").alias("n"), F.array(*[F.sum(r) for r in resid]).alias("db"), F.array(*[F.sum(r * z) for r in resid]).alias("da"))
+        for r in sums.collect():
+            states[tuple(r[c] for c in head)].take(r["n"], np.array(r["db"]), np.array(r["da"]))
+        for key in open_:
+            out.extend(states[key].rows(key, blocks[key][step]))
+            states[key].move()
+    order = [*keys, "day", "cfg", "block", "a", "b", "step", "n_matured"]
+    kinds = dict(c.split() for c in OPS_PATH.split(", "))
+    made = literal_rows(spark, out, ", ".join(f"{c} {kinds.get(c, types.get(c))}" for c in order))
+    return made.select(*kinds, *keys)
+
+
 def ops_path(stats: DataFrame, configs: list[OpsConfig], keys: list[str] | None = None) -> DataFrame:
     """State used in every block: (cfg, day, block, a, b, step, n_matured), per string key if given.
 
     A label counts for the first non-empty block at or after its update block.
-    Without carry-over days are independent and stream side by side. With
-    carry-over the days are one chain by definition and stream in order through
-    one task, which holds one state and one batch.
+    Without carry-over days are independent: every step of a day is one job over
+    all days (``_waves``). With carry-over the days are one chain by definition
+    and stream in order through one task, which holds one state and one batch.
     """
     keys = keys or []
-    chained = any(c.carry for c in configs)
-    if chained and keys:
-        raise ValueError("carry-over replays one stream at a time")
     stats = settle(stats)
+    if not any(c.carry for c in configs):
+        return _waves(stats, configs, keys)
+    if keys:
+        raise ValueError("carry-over replays one stream at a time")
     blocks = _calendar(stats, keys)
     carry = np.array([c.carry for c in configs])
 
@@ -163,7 +204,7 @@ def ops_path(stats: DataFrame, configs: list[OpsConfig], keys: list[str] | None
                     yield _path_frame(out, keys)
                     out = []
                 day, at = key[:-1], 0
-                state = _OpsState(configs, carry * end if chained else np.zeros(len(configs)))
+                state = _OpsState(configs, carry * end)
             close(key[-1])
             if at < len(blocks[day]):  # labels due after the day's last block are never used
                 state.add(*(part[c].to_numpy() for c in ("z", "n", "clicks")))
@@ -172,7 +213,7 @@ def ops_path(stats: DataFrame, configs: list[OpsConfig], keys: list[str] | None
             yield _path_frame(out, keys)
 
     order = [*keys, "day", "upd", "block", "z"]
-    laid = stats.coalesce(1) if chained else stats.repartition(*[F.col(k) for k in [*keys, "day"]])
+    laid = stats.coalesce(1)
     schema = ", ".join([OPS_PATH, *[f"{k} string" for k in keys]])
     return laid.sortWithinPartitions(*order).select(*order, "n", "clicks").mapInPandas(replay, schema)
 

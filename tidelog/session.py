@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def build_session(app: str = "tidelog", master: str | None = None, **conf: str) -> SparkSession:
@@ -62,6 +64,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle_by(df: DataFrame, column: str) -> DataFrame:
+    """The rows written to the checkpoint folder by value of ``column``: a filter on it reads its own files only."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/by-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    written = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(written)
+    schema = T.StructType([*[f for f in df.schema.fields if f.name != column], df.schema[column]])
+    return spark.read.schema(schema).parquet(path)
+
+
 def attach(rows: DataFrame, state: DataFrame, on: list[str], how: str = "left",
            broadcast_rows: int = 500_000) -> DataFrame:
     """Join a large table with a derived state table.
