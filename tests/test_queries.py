@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -22,7 +23,7 @@ NAMES = list(ORACLES) if os.environ.get("TIDELOG_ALL") else SAMPLE
 def _plain(value):
     if hasattr(value, "tolist"):
         value = value.tolist()
-    if value is None or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return "null"
     if isinstance(value, float):
         return f"{value + 0.0:.6g}" if abs(value) > 1e-12 else "0"
