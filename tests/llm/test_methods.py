@@ -308,3 +308,16 @@ def test_pipeline_stages_take_effect(spark, sf):
     got = by["packing"].groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert {r["doc_id"]: r["n"] for r in got} == tokens
     assert queries.QUERIES["pipeline"] is corpus_pipeline.run and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_repeats_of_rows_that_share_an_id(spark):
+    """Many texts under one id and under none: every row loses its own bytes only."""
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdef ") for _ in range(500))
+    texts = ["".join(rng.choice("ghijkl ") for _ in range(rng.randint(0, 900))) for _ in range(60)]
+    rows = [(1, t + passage if i % 3 == 0 else t) for i, t in enumerate(texts)] + [(None, passage + t) for t in texts[:5]] + [(2, None), (1, texts[0])]
+    df = spark.createDataFrame(rows + rows[-1:], "doc_id long, text string")
+    got = Counter(tuple(r) for r in repeats.op10(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    assert got == Counter(brute.repeats(rows + rows[-1:]))
+    with pytest.raises(ValueError, match="length"):
+        repeats.find(df, length=600)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import ready, stash
+from tidelog.llm.common import drop, ready, scope, stash, text_of
 
 LENGTH = 400
 ANCHOR = 64
@@ -411,18 +411,25 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
 
     ``found`` is an array of (mark, start, stop), or null, and goes to
     ``cut_bytes`` or ``cut_digest`` with the text. Rows are documents of their own
-    even if they share an id. An empty table gives an empty one. Other columns
+    even if they share an id or have none; ``length`` is at most 575 bytes. An empty table gives an empty one. Other columns
     are not read.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("d"),
-                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    units = stash(ready(plain).where(F.octet_length("text") >= length).select("d", "text").mapInArrow(
-        lambda batches: _units(batches, length), UNIT))
-    # written first: a join of two plain shuffles is one that adaptive execution can split at a hot anchor
-    often = stash(units.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    candidates = stash(units.join(often, "h", "left_semi"))
-    spans = repeated_spans(plain.select("d", "text"), candidates, length, shard_units)
-    per_doc = spans.groupBy("d").agg(F.collect_list(F.struct("mark", "start", "stop")).alias("found"))
+    if not ANCHOR <= length <= ANCHOR + (1 << FIELD) - 1:
+        raise ValueError(f"length must be from {ANCHOR} to {ANCHOR + (1 << FIELD) - 1} bytes")
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    # a row's key: its id and text, so that ids may repeat or be null; with the mark 78 bits tell rows apart
+    plain = plain.select("id", F.xxhash64("id", "text").alias("d"), "text")
+    with scope() as kept:
+        units = stash(ready(plain).where(F.octet_length("text") >= length).select("d", "text").mapInArrow(
+            lambda batches: _units(batches, length), UNIT))
+        # written first: a join of two plain shuffles is one that adaptive execution can split at a hot anchor
+        often = stash(units.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+        candidates = stash(units.join(often, "h", "left_semi"))
+        drop(units, often)
+        spans = repeated_spans(plain.select("d", "text"), candidates, length, shard_units)
+        # rows that are equal in id and text have one key and the same spans
+        per_doc = stash(spans.groupBy("d").agg(F.collect_set(F.struct("mark", "start", "stop")).alias("found")))
+        kept.append(per_doc)
     return plain.join(per_doc, "d", "left").select("id", "text", "found")
 
 
