@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators import auction as au
 from tidelog.operators import daystats as ds
 from tidelog.operators import diagnostics as dg
 from tidelog.operators import history as hi
 from tidelog.operators import metrics as me
+from tidelog.plans import auction_queries as aq
 from tidelog.plans import fixtures as fx
 from tidelog.plans.registry import query, r6
-from tidelog.plans.sqlbase import METH, SEEDED, ll, sql
+from tidelog.plans.sqlbase import BASE, METH, REC, SEEDED, ll, sql
+from tidelog.session import settle
 
 BASELINE = "expanding"
 BOOTS = 1000
@@ -67,13 +70,39 @@ def moving_block_bootstrap(spark, d) -> DataFrame:
     return out.select("method", r6("mean"), r6("lo"), r6("hi"))
 
 
+SPEND_SHARE = 0.25
+DAY_CLICKS = [f"tg AS (SELECT day, {SPEND_SHARE}::DOUBLE * sum(cost) AS target FROM bid WHERE method = 'expanding' GROUP BY day)",
+              """pt AS (SELECT method, day, spend, clicks, lead(spend) OVER w AS ns, lead(clicks) OVER w AS nc, first(clicks) OVER w AS first_c
+  FROM fr WINDOW w AS (PARTITION BY method, day ORDER BY spend, step))""",
+              """cl AS (SELECT g.method, g.day, coalesce(CASE WHEN p.ns IS NULL THEN p.clicks
+    ELSE p.clicks + (p.nc - p.clicks) / (p.ns - p.spend) * (t.target - p.spend) END, g.first_c) AS clicks
+  FROM (SELECT method, day, min(first_c) AS first_c FROM pt GROUP BY method, day) g JOIN tg t ON t.day = g.day
+  LEFT JOIN pt p ON p.method = g.method AND p.day = g.day AND p.spend <= t.target AND (p.ns IS NULL OR p.ns > t.target)
+    AND (p.ns IS NULL OR p.ns > p.spend))""",
+              """dd AS (SELECT a.method, a.day, a.clicks, b.clicks AS base_clicks,
+    row_number() OVER (PARTITION BY a.method ORDER BY a.day) - 1 AS j, count(*) OVER (PARTITION BY a.method) AS m
+  FROM cl a JOIN cl b ON b.day = a.day AND b.method = 'expanding' WHERE a.method <> 'expanding')"""]
+
+
+def clicks_by_day(spark, d) -> DataFrame:
+    """(method, day, clicks, base_clicks): what each method and the long window win on a day at a quarter of the day's cost."""
+    rows = aq.bids(spark, d)
+    targets = rows.filter(F.col("method") == BASELINE).groupBy("day").agg((SPEND_SHARE * F.sum("cost")).alias("target"))
+    fr = au.linear_frontier(rows, ["method", "day"])
+    won = settle(au.value_at_spend(fr, ["method", "day"], targets, clamp_left=True).select("method", "day", F.col("clicks_at").alias("clicks")))
+    base = won.filter(F.col("method") == BASELINE).select("day", F.col("clicks").alias("base_clicks"))
+    return won.filter(F.col("method") != BASELINE).join(base, "day")
+
+
 @query("ratio_bootstrap", "T4", sql("""
-SELECT a.method, round(a.ratio, 6) AS ratio, round(c.lo, 6) AS lo, round(c.hi, 6) AS hi
-FROM (SELECT method, sum(log_loss) / sum(base_loss) AS ratio FROM dd GROUP BY method) a JOIN ci c ON c.method = a.method""",
-    *METH, DELTA, BOOT.format(stat="sum(x.log_loss) / sum(x.base_loss)"), CI))
+SELECT a.method, a.days, round(a.ratio, 6) AS ratio, round(c.lo, 6) AS lo, round(c.hi, 6) AS hi
+FROM (SELECT method, count(*) AS days, sum(clicks) / sum(base_clicks) AS ratio FROM dd GROUP BY method) a JOIN ci c ON c.method = a.method""",
+    *BASE, REC, aq.BID, *aq.frontier_ctes("bid", "method, day", "fr"), *DAY_CLICKS,
+    BOOT.format(stat="sum(x.clicks) / sum(x.base_clicks)"), CI))
 def ratio_bootstrap(spark, d) -> DataFrame:
-    out = ds.bootstrap_ratio(deltas(spark, d), ["method"], "log_loss", "base_loss", BOOTS)
-    return out.select("method", r6("ratio"), r6("lo"), r6("hi"))
+    """Clicks at matched spend against the long window's: ratio of the days' sums, whole days resampled."""
+    out = ds.bootstrap_ratio(clicks_by_day(spark, d), ["method"], "clicks", "base_clicks", BOOTS)
+    return out.select("method", F.col("days").cast("long").alias("days"), r6("ratio"), r6("lo"), r6("hi"))
 
 
 LOO = """loo AS (SELECT method, day, (sum(delta) OVER (PARTITION BY method) - delta) / (m - 1) AS loo FROM dd)"""
