@@ -169,11 +169,17 @@ def bidding_eval(spark, d) -> DataFrame:
     matched = au.value_at_spend(au.linear_frontier(rows, ["method"]), ["method"], targets, clamp_left=True)
     ranked = au.ranked_by_efficiency(rows, ["method"])
     days = rows.agg(F.countDistinct("day").alias("_days"))
-    goals = targets.crossJoin(days)
-    won = F.col("cum_cost") <= F.col("target") / F.col("_days")
-    paced = ranked.crossJoin(F.broadcast(goals)).groupBy("method", "fraction").agg(
-        F.sum("cost").alias("_total"), F.sum(F.when(won, F.col("cost"))).alias("_spend"),
-        F.sum(F.when(won, F.col("click"))).alias("paced_clicks"))
+    # a bid falls between two budgets; what a budget buys is summed over the brackets up to it
+    limits = targets.crossJoin(days).agg(F.sort_array(F.collect_list(F.struct(
+        (F.col("target") / F.col("_days")).alias("limit"), "fraction"))).alias("_limits"))  # one row
+    below = F.size(F.filter("_limits", lambda b: b["limit"] < F.col("cum_cost")))
+    brackets = ranked.crossJoin(F.broadcast(limits)).groupBy("method", below.alias("_at")).agg(
+        F.sum("cost").alias("_cost"), F.sum("click").alias("_click"))
+    budgets = limits.select(F.posexplode("_limits").alias("_i", "b")).select("_i", "b.fraction")
+    won = F.col("_at") <= F.col("_i")
+    paced = brackets.crossJoin(F.broadcast(budgets)).groupBy("method", "fraction").agg(
+        F.sum("_cost").alias("_total"), F.sum(F.when(won, F.col("_cost"))).alias("_spend"),
+        F.sum(F.when(won, F.col("_click"))).alias("paced_clicks"))
     return matched.join(paced, ["method", "fraction"]).select(
         "method", "fraction", r4("clicks_at", "clicks_matched"),
         ((F.col("lo") < F.col("target")) & (F.col("target") < F.col("hi"))).alias("in_bracket"),
