@@ -8,6 +8,7 @@ same features can come in as one tally row (n, clicks).
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -171,13 +172,15 @@ class Slice:
     early_only: bool = False
     tail_of: int | None = None
 
-    def condition(self) -> Column:
-        cond = F.col("day") == self.day
-        if self.early_only:
-            cond = cond & F.col("early")
-        if self.tail_of is not None:
-            cond = cond | ((F.col("day") == self.tail_of) & ~F.col("early"))
-        return cond
+    def mask(self, day: int, early: np.ndarray) -> np.ndarray | None:
+        """Which rows of a day's block belong to the slice, if any."""
+        if day == self.day:
+            at = early if self.early_only else np.ones(len(early), dtype=bool)
+        elif day == self.tail_of:
+            at = ~early
+        else:
+            return None
+        return at if at.any() else None
 
 
 def _accumulate(total: dict, work, specs, x, p, n, k, g) -> None:
@@ -195,28 +198,44 @@ def _collect(total: dict, specs) -> list[dict[str, np.ndarray]]:
     return out
 
 
-def _arrays(pdf: pd.DataFrame):
-    return (np.vstack(pdf["x"].to_numpy()), np.vstack(pdf["p"].to_numpy()), pdf["n"].to_numpy(),
-            pdf["clicks"].to_numpy(), pdf["grp01"].to_numpy())
+def _day_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(day, n, clicks, grp01, early, x, p) -> one row of arrays for each day of a batch."""
+    for pdf in batches:
+        out = []
+        for day, part in pdf.groupby("day"):
+            arrays = (np.vstack(part["x"].to_numpy()), np.vstack(part["p"].to_numpy()), part["n"].to_numpy(),
+                      part["clicks"].to_numpy(), part["grp01"].to_numpy(), part["early"].to_numpy(dtype=bool))
+            out.append((int(day), pickle.dumps(arrays, protocol=5)))
+        yield pd.DataFrame(out, columns=["day", "arrays"])
 
 
 def _job_runner(table: DataFrame):
-    """Sums over a slice as one job: every task sums its rows for all configurations, the driver adds the parts."""
+    """Sums over a slice as one job: every task sums its rows for all configurations, the driver adds the parts.
+
+    The jobs are many and alike, so the table is turned into day blocks once and
+    kept; a job is planned by hand, on the partitions that hold its days.
+    """
+    sc = table.sparkSession.sparkContext
+    blocks = table.select("day", "n", "clicks", "grp01", "early", "x", "p").mapInPandas(_day_blocks, "day int, arrays binary").rdd.map(
+        lambda r: (r["day"], pickle.loads(r["arrays"]))).persist(StorageLevel.MEMORY_AND_DISK)
+    where: dict[int, set[int]] = {}
+    for part, days in blocks.mapPartitionsWithIndex(lambda i, rows: [(i, sorted({day for day, _ in rows}))]).collect():
+        for day in days:
+            where.setdefault(day, set()).add(part)
+
     def run(rows: Slice, work, specs) -> list[dict[str, np.ndarray]]:
-        def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def task(held: Iterator[tuple[int, tuple]]) -> list[dict]:
             total: dict[tuple[int, str], np.ndarray] = {}
-            for pdf in batches:
-                if len(pdf):
-                    _accumulate(total, work, specs, *_arrays(pdf))
-            if total:
-                yield pd.DataFrame({"spec": [i for i, _ in total], "name": [s for _, s in total],
-                                    "sums": [v.tolist() for v in total.values()]})
-
-        needed = table.filter(rows.condition()).select("n", "clicks", "grp01", "x", "p")
+            for day, (x, p, n, k, g, early) in held:
+                at = rows.mask(day, early)
+                if at is not None:
+                    _accumulate(total, work, specs, *(a[at] for a in (x, p, n, k, g)))
+            return [total]
+
         total: dict[tuple[int, str], np.ndarray] = {}
-        for r in needed.mapInPandas(task, "spec int, name string, sums array<double>").collect():
-            key, value = (r["spec"], r["name"]), np.array(r["sums"])
-            total[key] = total[key] + value if key in total else value
+        for part in sc.runJob(blocks, task, sorted(where.get(rows.day, set()) | where.get(rows.tail_of, set()))):
+            for key, value in part.items():
+                total[key] = total[key] + value if key in total else value
         return _collect(total, specs)
     return run
 
