@@ -6,7 +6,7 @@ in, and the site the path belongs to. Site and path rates are Beta posteriors
 from grouped sums: a path shrinks toward its site and a site toward the whole,
 the more the fewer documents it has; how strongly is estimated from the spread
 of the rates themselves (method of moments). A document's own evidence is taken
-out of its path before the path speaks about it.
+out of its path and its site before they speak about it.
 """
 
 from __future__ import annotations
@@ -65,11 +65,12 @@ def fit(shaped: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         label_col: str = "quality") -> tuple[list[float], float, float]:
     """(weights, intercept, share of good labels) over all labelled rows of ``shaped`` (id, shape).
 
-    Null labels and labels without a document count for nothing. With no labels,
-    or with one kind only, the text gives no evidence: zero weights.
+    Null labels and labels without a document count for nothing. Where the labels
+    of one id contradict each other the more frequent holds, a tie counts as bad.
+    With no labels, or with one kind only, the text gives no evidence: zero weights.
     """
     told = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).where(
-        "id is not null and label is not null").dropDuplicates(["id"])
+        "id is not null and label is not null").groupBy("id").agg((F.avg("label") > 0.5).cast("double").alias("label"))
     rows = stash(shaped.select("id", "shape").join(told, "id").select("label", "shape"))
     n, good = rows.agg(F.count("*"), F.sum("label")).first()
     if not n or good in (0, n):
@@ -125,21 +126,22 @@ def learn(docs: DataFrame, labels: DataFrame, site: Column, path: Column, id_col
     total, good = sites.agg(F.sum("n"), F.sum("s")).first()
     overall = min(max(good / total, FLOOR), 1 - FLOOR) if total else 0.5
     weight = _strength(sites, F.lit(overall))
-    sites = sites.select("site", ((F.col("s") + weight * overall) / (F.col("n") + weight)).alias("site_rate"))
+    sites = sites.select("site", F.col("n").alias("site_n"), F.col("s").alias("site_s"))
     groups = stash(paths.join(sites, "site"))
-    inner = _strength(groups, F.col("site_rate"))
+    inner = _strength(groups, (F.col("site_s") + weight * overall) / (F.col("site_n") + weight))
 
     def judged(rows: DataFrame, prefix: str) -> DataFrame:
-        own, n, s = (F.col(f"{prefix}{c}") for c in ("evidence", "n", "s"))
-        rate = (s - own + inner * F.col(f"{prefix}site_rate")) / (n - 1 + inner)
+        own, n, s, site_n, site_s = (F.col(f"{prefix}{c}") for c in ("evidence", "n", "s", "site_n", "site_s"))
+        site_rate = (site_s - own + weight * overall) / (site_n - 1 + weight)
+        rate = (s - own + inner * site_rate) / (n - 1 + inner)
         bounded = F.least(F.greatest(rate, F.lit(FLOOR)), F.lit(1 - FLOOR))
         told = F.least(F.greatest(own, F.lit(1e-9)), F.lit(1 - 1e-9))
         posterior = _logit(told) - math.log(share / (1 - share)) + _logit(bounded)
         sums = groups.select(*[F.col(c).alias(f"{prefix}{c}") for c in groups.columns])
         return rows.withColumn(f"{prefix}evidence", evidence(f"{prefix}shape")).join(
             sums, [f"{prefix}site", f"{prefix}path"], "left").withColumns({
-                f"{prefix}path_rate": bounded, f"{prefix}quality": 1 / (1 + F.exp(-posterior))}).drop(
-            *[f"{prefix}{c}" for c in ("n", "s", "shape")])
+                f"{prefix}site_rate": site_rate, f"{prefix}path_rate": bounded, f"{prefix}quality": 1 / (1 + F.exp(-posterior))}).drop(
+            *[f"{prefix}{c}" for c in ("n", "s", "site_n", "site_s", "shape")])
 
     return shaped, judged
 
