@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import ready, scope, stash, text_of
@@ -40,6 +40,7 @@ GENERALISE = 0.44
 REMOVE = 0.7
 FLUSH = 400_000
 FILTER_BITS = 24
+ANY = "*"
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -198,7 +199,10 @@ class Held:
 
 
 def _pairs(texts: DataFrame, wanted: bytes, reach: int) -> DataFrame:
-    """(entity, term, both): in how many of a task's documents they co-occur, for entities the filter may hold."""
+    """(entity, term, both): in how many of a task's documents they co-occur, for entities the filter may hold.
+
+    The entity ANY counts the documents in which a term is near any of them.
+    """
     sent = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +217,9 @@ def _pairs(texts: DataFrame, wanted: bytes, reach: int) -> DataFrame:
             for text in rows.column(0).to_pylist():
                 spans = base_spans(text)
                 if any(held(e) for s in spans for e in entities(text, s)):
-                    sums.update(c for c in contexts(text, spans, reach) if held(c[0]))
+                    near = {c for c in contexts(text, spans, reach) if held(c[0])}
+                    sums.update(near)
+                    sums.update({(ANY, term) for _, term in near})
             if len(sums) > FLUSH:
                 yield told()
                 sums.clear()
@@ -278,12 +284,20 @@ def disclosing(texts: DataFrame, scanned: DataFrame, reach: int = REACH, general
     # both and m are at most the holders: below this many, no term can reach the threshold
     found = stash(found.where((F.col("holders") / (F.col("holders") + 1)) ** 2 >= generalise))
     pairs = _pairs(texts, _filter(found.select("entity")), reach).groupBy("entity", "term").agg(F.sum("both").alias("both"))
-    # the most a pair can reach, whatever the documents of its term: past IC more than both, more of them only lower it
+    pairs = stash(pairs)
     content = F.log(F.lit(total) / F.col("holders"))
-    docs = F.sequence(F.col("both"), F.greatest(F.col("both"), F.least(F.col("holders"), F.col("both") + 60)))
-    most = F.array_max(F.transform(docs, lambda d: d / (d + 1) * (1 - F.log(d / F.col("both")) / content)))
-    bound = F.when(content > 0, F.col("both") / (F.col("both") + 1) * most)
-    joint = stash(pairs.join(found, "entity").where(bound >= generalise - 1e-12))
+
+    def most(least_docs: Column) -> Column:
+        """The most a pair can reach with at least so many documents of its term: past IC more than that, more only lower it."""
+        docs = F.sequence(least_docs, F.greatest(least_docs, F.least(F.col("holders"), least_docs + 60)))
+        share = F.array_max(F.transform(docs, lambda d: F.least(d, F.col("holders")) / (F.least(d, F.col("holders")) + 1) * (
+            1 - F.log(d / F.col("both")) / content)))
+        return F.when(content > 0, F.col("both") / (F.col("both") + 1) * share)
+
+    near = pairs.where(F.col("entity") == ANY).select("term", F.col("both").alias("near"))
+    joint = stash(pairs.where(F.col("entity") != ANY).join(found, "entity").where(most(F.col("both")) >= generalise - 1e-12))
+    # a term has at least the documents in which it stands near any entity
+    joint = stash(joint.join(near, "term").where(most(F.greatest("both", "near")) >= generalise - 1e-12).drop("near"))
     docs = _term_docs(texts, _filter(joint.select("term").distinct())).groupBy("term").agg(F.sum("n").alias("docs"))
     least = F.least("holders", "docs")
     trust = F.col("both") / (F.col("both") + 1) * least / (least + 1)
@@ -330,7 +344,7 @@ def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         "doc_id", *[f"n_{k}" for k in KINDS[:4]], "base_sha256", "base", "print", every.alias("places"))
 
 
-def _listed(with_action: bool) -> F.Column:
+def _listed(with_action: bool) -> Column:
     """The places as text: kind:start:end, or the action and place of the terms alone."""
     kinds = F.array(*[F.lit(k) for k in KINDS])
     rows = F.filter("places", lambda s: s["action"].isNotNull()) if with_action else F.col("places")
