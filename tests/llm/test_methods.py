@@ -197,7 +197,7 @@ def brute_terms(docs, reach, generalise, remove):
             value = text[a:b].lower()
             digits = "".join(c for c in value if c in "0123456789")
             own = {"email": [value, "@" + value.split("@")[-1]], "ip": [value, value[:value.rindex(".") + 1] if "." in value else ""],
-                   "card": [digits, digits[:6] + "-"], "phone": [digits, digits[:5] + "-"]}[kind]
+                   "card": [digits, digits[:6] + "-"], "phone": [digits, digits[:4] + "-"]}[kind]
             names |= {f"{kind}:{x}" for x in own}
             left = sum(w[1] < a for w in words)
             right = sum(w[1] < b for w in words)

@@ -108,7 +108,7 @@ def entities(text: str, span: Span) -> list[str]:
     if kind == "ip":
         return [f"ip:{value}", f"ip:{value.rpartition('.')[0]}."]
     digits = _digits(value)
-    return [f"{kind}:{digits}", f"{kind}:{digits[:6 if kind == 'card' else 5]}-"]
+    return [f"{kind}:{digits}", f"{kind}:{digits[:6 if kind == 'card' else 4]}-"]
 
 
 def free_words(text: str, spans: list[Span]) -> list[tuple[str, int, int]]:
