@@ -63,3 +63,27 @@ def test_micro_batches_follow_the_clock(spark, sf):
     query.awaitTermination()
     spans = [s for s in seen if s[0] is not None]
     assert len(spans) >= 4 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+@pytest.mark.parametrize("job", ["stream_block_tokens", "stream_ops", "stream_ons", "stream_fixed_share", "stream_day_metrics"])
+def test_micro_batches_and_state_do_not_follow_the_shuffle_partitions(spark, sf, monkeypatch, job):
+    """Many shuffle partitions make neither a micro-batch each nor a state partition each, and no other result."""
+    reports, drain = [], jobs.drain
+
+    def watched(stream, mode, keys=None):
+        reports.append(jobs.Drained())
+        return drain(stream, mode, keys, reports[-1])
+
+    want = rows(QUERIES[job](spark, sf))
+    monkeypatch.setattr(jobs, "drain", watched)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        got = rows(QUERIES[job](spark, sf))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "20"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want and len(reports) == 1
+    assert jobs.BATCHES <= reports[0].batches <= jobs.BATCHES + 3
+    stores = 2 * spark.sparkContext.defaultParallelism if job in ("stream_ops", "stream_ons", "stream_fixed_share") else 0
+    assert reports[0].late == 0 and reports[0].partitions <= max(stores, spark.sparkContext.defaultParallelism)

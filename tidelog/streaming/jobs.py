@@ -31,6 +31,9 @@ from tidelog.operators import calibrate as ca
 from tidelog.session import ensure_checkpoint_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A micro-batch has a fixed cost in every state partition: their number follows the rows, from a few upwards.
+BATCHES = 4
+BATCH_ROWS = 1_000_000
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -56,15 +59,17 @@ def event_time(day: Column, sec: Column) -> Column:
     return F.timestamp_seconds(day.cast("long") * ta.SECONDS_PER_DAY + sec)
 
 
-def replay(log: DataFrame, slices: int | None = None, files_per_trigger: int = 1, lateness: str = "1 second",
+def replay(log: DataFrame, slices: int | None = None, files_per_trigger: int | None = None, lateness: str = "1 second",
            in_order: bool = True) -> DataFrame:
     """A finite log (row_id, day, sec, ...) as a stream with the event time ``at`` and its watermark.
 
     The log is written in slices by range of (day, sec, row_id); modification
     times follow the slices, so micro-batches come in event order however the
-    log was partitioned. A last file holds one row two days after the end: it
-    moves the watermark past all real rows, and its own block never closes.
-    With ``in_order`` false the slices arrive in reverse, as a late log would.
+    log was partitioned. A micro-batch reads ``files_per_trigger`` slices: one
+    where ``slices`` is given, else so many that there is a micro-batch for each
+    BATCH_ROWS rows, BATCHES at least. A last file holds one row two days after
+    the end: it moves the watermark past all real rows, and its own block never
+    closes. With ``in_order`` false the slices arrive in reverse, as a late log would.
     """
     spark = log.sparkSession
     folder = f"{_scratch(spark)}/log"
@@ -82,6 +87,8 @@ def replay(log: DataFrame, slices: int | None = None, files_per_trigger: int = 1
         beat.coalesce(1).write.mode("append").parquet(folder)
         known = {p.getName() for p in files}
         files += [f.getPath() for f in fs.listStatus(at) if f.getPath().getName().endswith(".parquet") and f.getPath().getName() not in known]
+    if files_per_trigger is None:
+        files_per_trigger = 1 if slices else max(1, len(files) // max(BATCHES, math.ceil(written.count() / BATCH_ROWS)))
     start = int(time.time() * 1000) - 1000 * (len(files) + 1)
     for i, path in enumerate(files):
         fs.setTimes(path, start + 1000 * i, -1)
@@ -91,18 +98,22 @@ def replay(log: DataFrame, slices: int | None = None, files_per_trigger: int = 1
 
 @dataclass
 class Drained:
-    """What a drained stream reports: its micro-batches, the rows dropped behind the watermark, the state rows left."""
+    """What a drained stream reports: its micro-batches, the rows dropped behind the watermark, the state rows left,
+    the partitions of a stateful operator."""
 
     batches: int = 0
     late: int = 0
     state_rows: int = 0
+    partitions: int = 0
 
 
 def drain(stream: DataFrame, mode: str, keys: list[str] | None = None, report: Drained | None = None) -> DataFrame:
     """Run a stream over all available input and return its result table; no input gives an empty one.
 
     Every micro-batch is written under its own id, so a retried batch overwrites
-    itself; with ``keys`` the newest row of each key counts.
+    itself; with ``keys`` the newest row of each key counts. State lies in at
+    most one partition a core, since each of them is opened and committed in
+    every micro-batch; the session's own setting stays as it was.
     """
     spark = stream.sparkSession
     base = _scratch(spark)
@@ -111,14 +122,21 @@ def drain(stream: DataFrame, mode: str, keys: list[str] | None = None, report: D
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
-    query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state")
-             .trigger(availableNow=True).foreachBatch(write).start())
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state")
+                 .trigger(availableNow=True).foreachBatch(write).start())
+    finally:
+        spark.conf.set(setting, before)
     query.awaitTermination()
     if report is not None:
         progress = query.recentProgress
         report.batches = len(progress)
         report.late = sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
         report.state_rows = sum(op["numRowsTotal"] for op in progress[-1]["stateOperators"]) if progress else 0
+        report.partitions = max((op["numStateStoreInstances"] for p in progress for op in p["stateOperators"]), default=0)
     fs, at = _file_system(spark, f"{base}/out")
     if not fs.exists(at):
         return spark.createDataFrame([], schema)
