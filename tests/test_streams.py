@@ -2,10 +2,14 @@
 
 import os
 import shutil
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.operators import calibrate as ca
 from tidelog.plans import stream_queries as sq
 from tidelog.plans.catalog import QUERIES
 from tidelog.streaming import jobs
@@ -87,3 +91,71 @@ def test_micro_batches_and_state_do_not_follow_the_shuffle_partitions(spark, sf,
     assert jobs.BATCHES <= reports[0].batches <= jobs.BATCHES + 3
     stores = 2 * spark.sparkContext.defaultParallelism if job in ("stream_ops", "stream_ons", "stream_fixed_share") else 0
     assert reports[0].late == 0 and reports[0].partitions <= max(stores, spark.sparkContext.defaultParallelism)
+
+
+class Kept:
+    """A state variable held in memory: what it holds and how often it was written."""
+
+    def __init__(self):
+        self.held, self.writes = [], 0
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return iter(self.held)
+
+    def put(self, held):
+        self.held, self.writes = list(held), self.writes + 1
+
+    def appendValue(self, value):
+        self.held, self.writes = [*self.held, value], self.writes + 1
+
+    def appendList(self, values):
+        for value in values:
+            self.appendValue(value)
+
+    def update(self, value):
+        self.put(value)
+
+    def clear(self):
+        self.held = []
+
+
+class Watch:
+    def __init__(self, sec):
+        self.sec = sec
+
+    def getCurrentWatermarkInMs(self):
+        return self.sec * 1000
+
+
+def test_waiting_rows_are_one_entry_a_batch():
+    """ops_impression: 3,000 rows in three batches make three state entries and the predictions of one update a label."""
+    rng, day, delay = np.random.default_rng(4), 2, 500
+    c = ca.OpsConfig("e", eta0=0.05, platt=True)
+    log = pd.DataFrame({"sec": np.sort(rng.integers(0, 80_000, 3000)), "row_id": np.arange(3000) + (1 << 60),
+                        "click": rng.integers(0, 2, 3000), "z": rng.normal(size=3000)})
+    states = {}
+    job = jobs._OpsEvents(c, delay)
+    handle = SimpleNamespace(registerTimer=lambda at: None, getValueState=lambda name, kind: states.setdefault(name, Kept()),
+                             getListState=lambda name, kind: states.setdefault(name, Kept()))
+    job.init(handle)
+    out = []
+    for i, part in enumerate(np.array_split(np.arange(3000), 3)):
+        own = log.iloc[part].sample(frac=1.0, random_state=i)
+        assert list(job.handleInputRows((day,), iter([own]), Watch(0))) == []
+        if i == 1:  # the watermark stands amid the second part
+            out += job.handleExpiredTimer((day,), Watch(day * 86_400 + int(own["sec"].median())), None)
+    assert states["rows"].writes <= 4
+    out += job.handleExpiredTimer((day,), Watch((day + 1) * 86_400), None)
+    got = pd.concat(out).set_index("row_id")["p"]
+    a, b, step, head = 1.0, 0.0, 0, 0
+    for i, r in enumerate(log.itertuples()):
+        while head < i and log["sec"][head] + delay <= r.sec:
+            z, step = log["z"][head], step + 1
+            e = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30))) - log["click"][head]
+            eta = c.eta0 / np.sqrt(step) if c.decay_steps else c.eta0
+            b, a, head = np.clip(b - eta * e, -c.radius, c.radius), np.clip(a - eta * e * z, c.slope_lo, c.slope_hi), head + 1
+        assert abs(got[r.row_id] - 1 / (1 + np.exp(-np.clip(a * r.z + b, -30, 30)))) < 1e-9
+    assert len(got) == 3000 and not any(s.held for s in states.values())

@@ -270,8 +270,15 @@ def ops_blocks(rows: DataFrame, config: ca.OpsConfig, block_sec: int, delay_sec:
                   "day int, block int, a double, b double, step int")
 
 
+WAITING_ROWS = np.dtype([("sec", "<i4"), ("row_id", "<i8"), ("click", "<i4"), ("z", "<f8")])
+WAITING_LABELS = np.dtype([("ready", "<i4"), ("z", "<f8"), ("click", "<i4")])
+
+
 class _OpsEvents(StatefulProcessor):
-    """Rows wait until the watermark has passed them, labels until they are mature."""
+    """Rows wait until the watermark has passed them, labels until they are mature.
+
+    What waits is kept as packed columns, one state entry for many rows.
+    """
 
     def __init__(self, config: ca.OpsConfig, delay_sec: int):
         self.config, self.delay = config, delay_sec
@@ -279,28 +286,41 @@ class _OpsEvents(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.params = handle.getValueState("params", "a double, b double, step int")
-        self.rows = handle.getListState("rows", "sec int, row_id long, click int, z double")
-        self.labels = handle.getListState("labels", "ready int, z double, click int")
+        self.rows = handle.getListState("rows", "packed binary")
+        self.labels = handle.getListState("labels", "packed binary")
+
+    @staticmethod
+    def _unpacked(state, kind: np.dtype) -> np.ndarray:
+        packed = [np.frombuffer(r[0], dtype=kind) for r in state.get()] if state.exists() else []
+        return np.concatenate(packed) if packed else np.zeros(0, dtype=kind)
 
     def handleInputRows(self, key, rows, timerValues):
         for pdf in rows:
             if len(pdf):
-                self.rows.appendList([(int(s), int(r), int(y), float(z)) for s, r, y, z in pdf[
-                    ["sec", "row_id", "click", "z"]].itertuples(index=False)])
+                packed = np.zeros(len(pdf), dtype=WAITING_ROWS)
+                for name in WAITING_ROWS.names:
+                    packed[name] = pdf[name].astype(WAITING_ROWS[name])  # a missing number is an error
+                self.rows.appendValue((packed.tobytes(),))
                 last = (int(key[0]) * ta.SECONDS_PER_DAY + int(pdf["sec"].max())) * 1000
                 self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs() + 1))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         c, passed = self.config, timerValues.getCurrentWatermarkInMs() / 1000 - int(key[0]) * ta.SECONDS_PER_DAY
-        every = sorted(tuple(r) for r in self.rows.get()) if self.rows.exists() else []
-        due = [r for r in every if r[0] <= passed]
+        every = np.sort(self._unpacked(self.rows, WAITING_ROWS), order=["sec", "row_id", "click", "z"])
+        ready = int(np.searchsorted(every["sec"], passed, side="right"))
+        due, left = every[:ready], every[ready:]
         a, b, step = self.params.get() if self.params.exists() else (1.0, 0.0, 0)
-        wait = [tuple(w) for w in self.labels.get()] if self.labels.exists() else []
-        out, head = [], 0
-        for sec, row, y, z in due:
-            while head < len(wait) and wait[head][0] <= sec:
-                _, wz, wy = wait[head]
+        wait = np.concatenate([self._unpacked(self.labels, WAITING_LABELS), np.zeros(len(due), dtype=WAITING_LABELS)])
+        for name, column in (("ready", due["sec"] + self.delay), ("z", due["z"]), ("click", due["click"])):
+            wait[name][len(wait) - len(due):] = column
+        labels, clicks, head, known = wait["z"].tolist(), wait["click"].tolist(), 0, len(wait) - len(due)
+        # how many labels are mature when a row comes; a row's own and later ones are not
+        mature = np.minimum(np.searchsorted(wait["ready"], due["sec"], side="right"), known + np.arange(len(due))).tolist()
+        out = []
+        for z, until in zip(due["z"].tolist(), mature, strict=True):
+            while head < until:
+                wz, wy = labels[head], clicks[head]
                 head += 1
                 step += 1
                 eta = c.eta0 / math.sqrt(step) if c.decay_steps else c.eta0
@@ -308,22 +328,21 @@ class _OpsEvents(StatefulProcessor):
                 b = min(c.radius, max(-c.radius, b - eta * resid))
                 if c.platt:
                     a = min(c.slope_hi, max(c.slope_lo, a - eta * resid * wz))
-            out.append((row, int(key[0]), 1.0 / (1.0 + math.exp(-min(30.0, max(-30.0, a * z + b))))))
-            wait.append((sec + self.delay, z, y))
+            out.append(1.0 / (1.0 + math.exp(-min(30.0, max(-30.0, a * z + b)))))
         over = passed >= ta.SECONDS_PER_DAY
-        for state, left in ((self.rows, every[len(due):]), (self.labels, wait[head:])):
-            if over or not left:
+        for state, rest in ((self.rows, left), (self.labels, wait[head:])):
+            if over or not len(rest):
                 state.clear()
             else:
-                state.put(left)
+                state.put([(rest.tobytes(),)])
         if over:
             self.params.clear()
         else:
             self.params.update((a, b, step))
-            if due and len(due) == len(every):  # nothing waits for another timer: the day's end is the next
+            if len(due) and not len(left):  # nothing waits for another timer: the day's end is the next
                 self.handle.registerTimer(max((int(key[0]) + 1) * ta.SECONDS_PER_DAY * 1000, timerValues.getCurrentWatermarkInMs() + 1))
         if out:
-            yield pd.DataFrame(out, columns=["row_id", "day", "p"])
+            yield pd.DataFrame({"row_id": due["row_id"], "day": int(key[0]), "p": out})
 
     def close(self) -> None:
         pass
