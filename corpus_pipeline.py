@@ -30,7 +30,10 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, Jaccard 0.8 or more): the one with the least id."""
+    """One document of each group of near copies (5-word shingles, Jaccard 0.8 or more): the one with the least id.
+
+    SimHash proposes pairs, a prefix join those beyond its radius; whole sets settle them.
+    """
     return nearsets.keep_one(docs)
 
 

@@ -116,3 +116,26 @@ def test_tables_of_a_stage_go_with_it(spark, tmp_path):
     assert gone.stash_path is None and stays.count() == 5
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(path).count()
+
+
+def test_the_stage_takes_simhash_pairs(spark, monkeypatch):
+    """SimHash of the stage's own shingles proposes near texts; its pairs are among those the stage settles."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(4000)}" for _ in range(2000)]
+    texts = [" ".join(base), " ".join([*base[:-1], "changed"]), " ".join(f"v{i}" for i in range(2000))]
+    width_3, width_5 = ([nearsets.simhash.fingerprint(t, w) for t in texts] for w in (3, 5))
+    assert (width_5[0] ^ width_5[1]).bit_count() <= 2 < (width_5[0] ^ width_5[2]).bit_count() and width_3 != width_5
+    seen, pairs = [], nearsets._simhash_pairs
+
+    def watched(*args):
+        out = pairs(*args)
+        seen.append((out.collect(), {r["cid"]: r["row"] for r in args[1].collect()}))
+        return out
+
+    monkeypatch.setattr(nearsets, "_simhash_pairs", watched)
+    docs = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = corpus_pipeline.one_of_each(spark, docs, "")
+    assert {r["doc_id"] for r in kept.collect()} == {1, 3}
+    (found, row_of), = seen
+    order = {r: i for i, r in enumerate(sorted(row_of.values()))}
+    assert [{order[row_of[r["a"]]], order[row_of[r["b"]]]} for r in found] == [{0, 1}]

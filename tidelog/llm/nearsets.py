@@ -1,4 +1,4 @@
-"""Near copies by exact set similarity: all pairs of texts whose word shingles reach a Jaccard of 0.8.
+"""Near copies by SimHash and exact set similarity: all pairs of texts whose word shingles reach a Jaccard of 0.8.
 
 A text is the set of its 64-bit shingle hashes; equal sets are one class. Under
 any one order of all shingles, two sets of Jaccard 0.8 share a shingle among the
@@ -8,10 +8,13 @@ all others, the more the farther, and only the prefixes that held them are built
 again. The first shingle that two sets share has a place in each that bounds
 their overlap (positional filter), so pairs are made where that bound allows 0.8.
 
-Classes that share a prefix shingle are first compared with the one of them, of
-like size, that has the fewest rarer shingles before it: around a text with many
-copies that is the copy with the fewest changes. What these links leave in
-different components is then compared pair by pair, each shingle's main
+SimHash over the same shingles proposes the first pairs: fingerprints that are
+equal or within two bits. That is a similarity well above 0.8, so it cannot
+propose all; classes that share a prefix shingle are compared as well, first
+with the one of them, of like size, that has the fewest rarer shingles before
+it: around a text with many copies that is the copy with the fewest changes.
+Every pair is settled by its whole sets. What these links leave in different
+components is then compared pair by pair, each shingle's main
 component only with the classes outside it. Counts of a set's hashes by their
 leading bits bound the overlap from above, so whole sets are read only for pairs
 within that bound.
@@ -28,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm import simhash
 from tidelog.llm.common import drop, free_name, join_counted, ready, scope, stash
 from tidelog.llm.components import connected_components
 
@@ -268,6 +272,22 @@ def _left_apart(held: DataFrame) -> DataFrame:
     return pairs
 
 
+def _simhash_pairs(texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """Pairs (a, b) of classes that SimHash of the same shingles links, written: a spanning forest of its links.
+
+    Links are equal fingerprints and those within two bits.
+    """
+    prints = simhash.fingerprints(texts, "row", "text", width).withColumnRenamed("doc_id", "row")
+    prints = stash(prints.join(classes.select("row", "cid"), "row").select("cid", "fp"))
+    least = stash(prints.groupBy("fp").agg(F.min("cid").alias("least")))
+    a, b = (least.select(F.col("fp").alias(s), F.col("least").alias(f"least_{s}")) for s in "ab")
+    near = simhash.near_links(least.select("fp")).join(a, "a").join(b, "b").select("least_a", "least_b")
+    met = prints.join(least, "fp").where("cid <> least").select("cid", "least").union(near).toDF("x", "y")
+    pairs = stash(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    drop(prints, least)
+    return pairs
+
+
 def near_sets(texts: DataFrame, width: int = SHINGLE, hot_rows: int = HOT_ROWS, crowd: int = CROWD) -> DataFrame:
     """(row, text) with unique rows, written -> (row, group), written: groups are the closure of Jaccard 0.8.
 
@@ -295,6 +315,7 @@ def near_sets(texts: DataFrame, width: int = SHINGLE, hot_rows: int = HOT_ROWS,
             F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct())
         if held is not classes:
             drop(held)
+        first = stash(first.union(_simhash_pairs(texts, classes, width)).distinct())
         links = _near(first, texts, classes, width)
         roots = stash(connected_components(links))
         rooted = stash(shared.join(roots, shared["cid"] == roots["node"], "left").select(
