@@ -321,3 +321,18 @@ def test_repeats_of_rows_that_share_an_id(spark):
     assert got == Counter(brute.repeats(rows + rows[-1:]))
     with pytest.raises(ValueError, match="length"):
         repeats.find(df, length=600)
+
+
+def test_term_counts_do_not_follow_the_wanted_terms(spark):
+    """A task tells of its own words once, whatever else the corpus holds: rows double with the texts, not with terms times tasks."""
+    def told(n):
+        texts = [(f"{' '.join(f'w{i * 5 + j}' for j in range(5))} common Common",) for i in range(n)]
+        rows = pii._term_docs(spark.createDataFrame(texts, "text string").repartition(max(1, n // 20))).collect()
+        sums = {}
+        for r in rows:
+            sums[r["term"]] = sums.get(r["term"], 0) + r["n"]
+        assert sums == {"common": n, **{f"w{i}": 1 for i in range(5 * n)}}
+        return len(rows)
+
+    few, many = told(40), told(80)
+    assert many == 2 * few
