@@ -122,6 +122,21 @@ def repeats(docs, length=400):
     return out
 
 
+def shared_words(docs, words=51):
+    rows, found = defaultdict(set), []
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in docs]
+    for row, own in enumerate(split):
+        for i in range(len(own) - words + 1):
+            rows[tuple(own[i:i + words])].add(row)
+    for (d, _), own in zip(docs, split, strict=True):
+        inside = set()
+        for i in range(len(own) - words + 1):
+            if len(rows[tuple(own[i:i + words])]) > 1:
+                inside.update(range(i, i + words))
+        found.append((d, len(inside)))
+    return found
+
+
 def token_pieces(docs, capacity=2048):
     """doc_id -> ids with the end id, by the library the contract names."""
     import public_tokenizers

@@ -45,6 +45,10 @@ def test_repeats(docs):
         brute.repeats(pairs(docs)))
 
 
+def test_shared_words(docs):
+    assert rows(repeats.op10(docs), "doc_id", "n_shared_words") == Counter(brute.shared_words(pairs(docs)))
+
+
 def test_base_pii(docs):
     want = Counter()
     for d, t in pairs(docs):

@@ -10,6 +10,7 @@ import brute
 import test_nearsets
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,50 @@ def test_repeats_by_either_path(spark):
     assert bytes(kept["kept"]) == b"" and [(s["start"], s["stop"]) for s in kept["spans"]] == [(0, 900)]
 
 
+def test_shared_passages_of_fewer_bytes(spark):
+    """Runs of 51 words that other rows have too, far below 400 bytes, at any place and in any surroundings."""
+    rng = random.Random(5)
+
+    def noise(n):
+        return " ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7))) for _ in range(n))
+
+    passage, short, own = noise(60), noise(50), noise(70)
+    docs = [(i, f"{noise(rng.randint(0, 40))}\n{passage}\t{noise(rng.randint(0, 40))}") for i in range(8)]
+    docs += [(10 + i, f"{noise(5)} {short} {noise(5)}") for i in range(3)]  # 50 words
+    docs += [(20, f"{own} {noise(3)} {own}"), (21, noise(200)), (22, None), (23, "")]  # twice in one document only
+    docs += [(30 + i, " ".join(["ab"] * n)) for i, n in enumerate((50, 51, 300))]
+    docs += [(40, noise(80))] * 2 + [(None, f"{noise(9)} {noise(1)}{passage}"), (41, passage[:200])]
+    docs += [(50, f"{(x := noise(75))} {noise(2)} {x[:-1]}"), (51, f"{noise(4)} {x}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = Counter(tuple(r) for r in repeats.op10(df).select("doc_id", "n_shared_words", "n_removed").collect())
+    want = Counter((d, n, r[2]) for (d, n), r in zip(brute.shared_words(docs), brute.repeats(docs), strict=True))
+    assert got == want
+    assert all(n >= 60 and not removed for d, n, removed in got if d in range(8))
+    assert got[20, 0, 0] == got[10, 0, 0] == got[21, 0, 0] == 1
+    for words in (8, 20):
+        found = repeats.shared(df, words=words).select("id", repeats.shared_words("text", "shared").alias("n"))
+        assert Counter(tuple(r) for r in found.collect()) == Counter(brute.shared_words(docs, words))
+    with pytest.raises(ValueError, match="words"):
+        repeats.shared(df, words=7)
+
+
+def test_words_of_long_texts(monkeypatch):
+    """Texts longer than a chunk give the same words and units as in one piece."""
+    raw = " ".join(f"w{i * i % 97}" for i in range(3000)).encode()
+    batch = pa.RecordBatch.from_pydict({"d": [1], "row": [0], "text": [raw.decode()]})
+    starts, numbers = repeats.word_numbers(raw)
+    monkeypatch.setattr(repeats, "CHUNK", 700)
+    cut = repeats.word_numbers(raw)
+    assert (cut[0] == starts).all() and (cut[1] == numbers).all() and len(starts) == 3000
+    covered = np.zeros(3000 - 50, dtype=int)
+    for found in repeats._word_units(iter([batch]), 51):
+        for place in found.column(2).to_pylist():
+            start, windows, _, mark = repeats.unpacked(place)
+            assert mark == repeats.check(raw)
+            covered[start:start + windows] += 1
+    assert (covered == 1).all()
+
+
 def test_maximal_repeats_by_definition():
     rng = random.Random(1)
     for _ in range(100):

@@ -19,11 +19,16 @@ sorted offset by offset, a bounded number at a time. An anchor with more than
 still make a shard too large; its windows are counted by hash over all tasks
 instead, with the same result. Hashes are 64 bits and compared only within one
 anchor.
+
+Passages that documents share are often shorter than ``length`` bytes. ``shared``
+finds every run of ``SHARED`` words that stands in another document too: the same
+units, of word numbers instead of bytes, with all windows of step 3 counted by hash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import groupby
@@ -31,18 +36,23 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import drop, ready, scope, stash, text_of
+from tidelog.llm.common import BLANKS, drop, ready, scope, stash, text_of
 
 LENGTH = 400
 ANCHOR = 64
 SHARD_UNITS = 4096
+SHARED = 51
+WORD_ANCHOR = 8
 SORTED_AT_ONCE = 1 << 14
 CHUNK = 1 << 21
 UNIT = "d long, place long, h long, u long"
 LOW = np.uint64(0xFFFFFFFF)
+BLANK = re.compile(f"[{BLANKS}]".encode())
+IS_BLANK = np.isin(np.arange(256), np.frombuffer(BLANKS.encode(), dtype=np.uint8))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -64,13 +74,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Prints:
-    """Hashes of any stretch of ``data``, from one running sum."""
+    """Hashes of any stretch of ``data`` (bytes, or 64-bit numbers), from one running sum."""
 
     def __init__(self, data: np.ndarray):
         size = max(2 * CHUNK, 1 << (len(data) + 1).bit_length())
         up, self.down, numbers = _powers(size)
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(numbers[data] * up[:len(data)], out=self.sums[1:])
+        values = numbers[data] if data.dtype == np.uint8 else data
+        np.cumsum(values * up[:len(data)], out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts])
@@ -137,17 +148,24 @@ def unpacked(place: int) -> tuple[int, int, int, int]:
     return place >> 32, place >> MARK_BITS + FIELD & ones, place >> MARK_BITS & ones, place & (1 << MARK_BITS) - 1
 
 
+def placed(data: np.ndarray, sizes: list[int], marks: np.ndarray, shift: np.ndarray, length: int, anchor: int
+           ) -> tuple[np.ndarray, ...]:
+    """(part, place, anchor hash, unit hash) of the units of parts laid end to end; ``shift``: where a part starts in its text."""
+    ends = np.cumsum(sizes)
+    first, windows, lead, h, u = unit_runs(data, ends, length, anchor)
+    own = np.searchsorted(ends, first, side="right")
+    begin = np.concatenate([[0], ends[:-1]])
+    place = (first - begin[own] + shift[own]) << 32 | windows << MARK_BITS + FIELD | lead << MARK_BITS | marks[own]
+    return own, place, h, u
+
+
 def _units(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """(d, text) -> units; texts are laid end to end, long ones cut into overlapping chunks."""
     def told(parts: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         """parts: (id, mark, where the part starts in its text, bytes)."""
-        data = np.frombuffer(b"".join(x[3] for x in parts), dtype=np.uint8)
-        ends = np.cumsum([len(x[3]) for x in parts])
-        first, windows, lead, h, u = unit_runs(data, ends, length)
-        own = np.searchsorted(ends, first, side="right")
-        begin = np.concatenate([[0], ends[:-1]])
         ids, marks, shift = (np.array([x[i] for x in parts], dtype=np.int64) for i in range(3))
-        place = (first - begin[own] + shift[own]) << 32 | windows << MARK_BITS + FIELD | lead << MARK_BITS | marks[own]
+        own, place, h, u = placed(np.frombuffer(b"".join(x[3] for x in parts), dtype=np.uint8),
+                                  [len(x[3]) for x in parts], marks, shift, length, ANCHOR)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[own], place, h, u)], ["d", "place", "h", "u"])
 
     parts, size = [], 0
@@ -168,6 +186,77 @@ def _units(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield told(parts)
 
 
+def word_numbers(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, 64-bit number) of each word, which ASCII white space bounds; about CHUNK bytes at a time."""
+    starts, numbers, at = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)], 0
+    while at < len(raw):
+        gap = BLANK.search(raw, at + CHUNK)
+        stop = gap.start() if gap else len(raw)
+        data = np.frombuffer(raw, dtype=np.uint8, count=stop - at, offset=at)
+        edges = np.flatnonzero(np.diff(IS_BLANK[data], prepend=True, append=True))
+        starts.append(edges[::2] + at)
+        numbers.append(Prints(data).of(edges[::2], edges[1::2]))
+        at = stop
+    return np.concatenate(starts), np.concatenate(numbers)
+
+
+def _word_units(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(d, row, text) -> units of words; a text of very many words is cut into overlapping parts."""
+    def told(parts: list[tuple[int, int, int, int, np.ndarray]]) -> pa.RecordBatch:
+        """parts: (id, row, mark, where the part starts in its text, word numbers)."""
+        ids, rows, marks, shift = (np.array([x[i] for x in parts], dtype=np.int64) for i in range(4))
+        own, place, h, u = placed(np.concatenate([x[4] for x in parts]), [len(x[4]) for x in parts],
+                                  marks, shift, words, WORD_ANCHOR)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[own], rows[own], place, h, u)],
+                                          ["d", "row", "place", "h", "u"])
+
+    parts, size = [], 0
+    for batch in batches:
+        for part in range(0, batch.num_rows, 256):
+            rows = batch.slice(part, 256)
+            raws = [text.encode() for text in rows.column(2).to_pylist()]
+            starts, numbers = word_numbers(b"\n".join(raws))
+            last = np.searchsorted(starts, np.cumsum([len(raw) + 1 for raw in raws])).tolist()
+            for d, row, raw, begin, end in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), raws,
+                                               [0, *last[:-1]], last, strict=True):
+                mark = check(raw) if end - begin >= words else 0
+                for at in range(0, end - begin - words + 1, CHUNK):
+                    cut = numbers[begin + at:min(end, begin + at + CHUNK + words - 1)]
+                    parts.append((d, row, mark, at, cut))
+                    size += len(cut)
+                    if size >= CHUNK // 8:
+                        yield told(parts)
+                        parts, size = [], 0
+    if parts:
+        yield told(parts)
+
+
+def _word_windows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(d, text, wanted units) -> their windows (h, w, d, mark, start, low, high, alone)."""
+    for batch in batches:
+        for part in range(0, batch.num_rows, 64):
+            rows = batch.slice(part, 64)
+            wanted = rows.column(2)
+            last = np.cumsum(pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
+            units = wanted.flatten()
+            place, h, low, high, alone = (units.field(x).to_numpy(zero_copy_only=False)
+                                          for x in ("place", "h", "low", "high", "alone"))
+            marks, first = place & (1 << MARK_BITS) - 1, place >> 32
+            windows = place >> MARK_BITS + FIELD & (1 << FIELD) - 1
+            found: list[tuple[np.ndarray, ...]] = []
+            for d, text, begin, end in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(),
+                                           [0, *last[:-1].tolist()], last.tolist(), strict=True):
+                raw = text.encode()
+                unit = begin + np.flatnonzero(marks[begin:end] == check(raw))
+                n = windows[unit]
+                at = np.repeat(first[unit] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                w = Prints(word_numbers(raw)[1]).of(at, at + words).view(np.int64)
+                unit = np.repeat(unit, n)
+                found.append((h[unit], w, np.full(len(at), d), marks[unit], at, low[unit], high[unit], alone[unit]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)],
+                                             ["h", "w", "d", "mark", "start", "low", "high", "alone"])
+
+
 def suffix_arrays(texts: list[bytes], windows: list[int], leads: list[int]) -> Iterator[list[tuple[bytes, int, int]]]:
     """Sorted suffixes (bytes, text, start) of the first windows of the texts.
 
@@ -351,6 +440,41 @@ def repeated_spans(texts: DataFrame, candidates: DataFrame, length: int = LENGTH
     return whole.union(sharded).union(counted)
 
 
+def shared_spans(texts: DataFrame, words: int = SHARED) -> DataFrame:
+    """(d, mark, start, stop), in words: spans whose union is every word of a run of ``words`` words that another row has too.
+
+    ``texts``: (d, text). Equal runs have equal 64-bit hashes.
+    """
+    mark, start = F.col("place").bitwiseAND(F.lit((1 << MARK_BITS) - 1)), F.shiftright("place", 32)
+    windows = F.shiftright("place", MARK_BITS + FIELD).bitwiseAND(F.lit((1 << FIELD) - 1))
+    span = [F.min("row").alias("low"), F.max("row").alias("high")]
+    # the number only tells rows apart, within this one pass: rows of one id and text are documents of their own too
+    units = stash(ready(texts).select("d", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(
+        lambda batches: _word_units(batches, words), "d long, row long, place long, h long, u long"))
+    often = stash(units.groupBy("h").agg(*span).where("low < high").select("h"))
+    candidates = stash(units.join(often, "h", "left_semi"))
+    drop(units, often)
+    classes = stash(candidates.groupBy("h", "u").agg(*span, F.min(F.struct("d", "place")).alias("one")))
+    whole = candidates.join(classes.where("low < high").select("h", "u"), ["h", "u"], "left_semi").select(
+        "d", mark.alias("mark"), start.alias("start"), (start + windows + words - 1).alias("stop"))
+
+    # units of one row alone, and of the other classes of their anchors one unit that stands for its rows
+    own = classes.where("low = high").select("h", "u")
+    alone = candidates.join(own, ["h", "u"], "left_semi").select(
+        "d", "place", "h", F.col("row").alias("low"), F.col("row").alias("high"), F.lit(True).alias("alone"))
+    others = classes.where("low < high").join(own.select("h").distinct(), "h", "left_semi").select(
+        "one.d", "one.place", "h", "low", "high", F.lit(False).alias("alone"))
+    per_doc = alone.union(others).groupBy("d").agg(
+        F.collect_list(F.struct("place", "h", "low", "high", "alone")).alias("wanted"))
+    windowed = stash(texts.join(per_doc, "d").select("d", "text", "wanted").mapInArrow(
+        lambda batches: _word_windows(batches, words),
+        "h long, w long, d long, mark long, start long, low long, high long, alone boolean"))
+    twice = stash(windowed.groupBy("h", "w").agg(F.min("low").alias("low"), F.max("high").alias("high")).where(
+        "low < high").select("h", "w"))
+    return whole.union(windowed.where("alone").join(twice, ["h", "w"], "left_semi").select(
+        "d", "mark", "start", (F.col("start") + words).alias("stop")))
+
+
 def merged(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
     """Overlapping and touching spans as one, in order, within ``size``."""
     out: list[tuple[int, int]] = []
@@ -405,6 +529,46 @@ def cut_bytes(text: str, found: str) -> Column:
         F.col(text), F.col(found))
 
 
+def _shared_words(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([sum(b - a for a, b in _own(text.encode(), found)) if found is not None else 0
+                      for text, found in zip(texts, spans, strict=True)], dtype="int64")
+
+
+def shared_words(text: str, found: str) -> Column:
+    """How many words the spans of ``shared`` cover."""
+    return F.pandas_udf(_shared_words, "long")(F.col(text), F.col(found))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    # a row's key: its id and text, so that ids may repeat or be null; with the mark 78 bits tell rows apart
+    return plain.select("id", F.xxhash64("id", "text").alias("d"), "text")
+
+
+def _by_row(spans: DataFrame, name: str) -> DataFrame:
+    # rows that are equal in id and text have one key and the same spans
+    return stash(spans.groupBy("d").agg(F.collect_set(F.struct("mark", "start", "stop")).alias(name)))
+
+
+def shared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHARED) -> DataFrame:
+    """(id, text, shared) for each row of ``docs``: like ``find``, the runs of ``words`` words that another row has too.
+
+    Words are bounded by ASCII white space; spans count words. ``words`` is from
+    WORD_ANCHOR to 518.
+    """
+    plain = _keyed(docs, id_col, text_col)
+    return plain.join(_shared(plain, words), "d", "left").select("id", "text", "shared")
+
+
+def _shared(plain: DataFrame, words: int) -> DataFrame:
+    if not WORD_ANCHOR <= words <= WORD_ANCHOR + (1 << FIELD) - 2:
+        raise ValueError(f"words must be from {WORD_ANCHOR} to {WORD_ANCHOR + (1 << FIELD) - 2}")
+    with scope() as kept:
+        per_doc = _by_row(shared_spans(plain.select("d", "text"), words), "shared")
+        kept.append(per_doc)
+    return per_doc
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
          shard_units: int = SHARD_UNITS) -> DataFrame:
     """(id, text, found) for each row of ``docs``; a null text is empty.
@@ -416,9 +580,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     """
     if not ANCHOR <= length <= ANCHOR + (1 << FIELD) - 1:
         raise ValueError(f"length must be from {ANCHOR} to {ANCHOR + (1 << FIELD) - 1} bytes")
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    # a row's key: its id and text, so that ids may repeat or be null; with the mark 78 bits tell rows apart
-    plain = plain.select("id", F.xxhash64("id", "text").alias("d"), "text")
+    plain = _keyed(docs, id_col, text_col)
+    return plain.join(_found(plain, length, shard_units), "d", "left").select("id", "text", "found")
+
+
+def _found(plain: DataFrame, length: int = LENGTH, shard_units: int = SHARD_UNITS) -> DataFrame:
     with scope() as kept:
         units = stash(ready(plain).where(F.octet_length("text") >= length).select("d", "text").mapInArrow(
             lambda batches: _units(batches, length), UNIT))
@@ -426,11 +592,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         often = stash(units.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
         candidates = stash(units.join(often, "h", "left_semi"))
         drop(units, often)
-        spans = repeated_spans(plain.select("d", "text"), candidates, length, shard_units)
-        # rows that are equal in id and text have one key and the same spans
-        per_doc = stash(spans.groupBy("d").agg(F.collect_set(F.struct("mark", "start", "stop")).alias("found")))
+        per_doc = _by_row(repeated_spans(plain.select("d", "text"), candidates, length, shard_units), "found")
         kept.append(per_doc)
-    return plain.join(per_doc, "d", "left").select("id", "text", "found")
+    return per_doc
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -440,5 +604,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 
 
 def op10(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
-    return find(docs).select(F.col("id").alias("doc_id"), cut_digest("text", "found").alias("c")).select("doc_id", "c.*")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row; n_shared_words: its words in runs of SHARED that another row has too."""
+    plain = _keyed(docs, "doc_id", "text")
+    both = plain.join(_found(plain), "d", "left").join(_shared(plain, SHARED), "d", "left")
+    return both.select(F.col("id").alias("doc_id"), cut_digest("text", "found").alias("c"),
+                       shared_words("text", "shared").alias("n_shared_words")).select("doc_id", "c.*", "n_shared_words")
