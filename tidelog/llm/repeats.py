@@ -48,7 +48,7 @@ SHARD_UNITS = 4096
 SHARED = 51
 WORD_ANCHOR = 8
 SORTED_AT_ONCE = 1 << 14
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 UNIT = "d long, place long, h long, u long"
 LOW = np.uint64(0xFFFFFFFF)
 BLANK = re.compile(f"[{BLANKS}]".encode())
@@ -462,7 +462,8 @@ def shared_spans(texts: DataFrame, words: int = SHARED) -> DataFrame:
     own = classes.where("low = high").select("h", "u")
     alone = candidates.join(own, ["h", "u"], "left_semi").select(
         "d", "place", "h", F.col("row").alias("low"), F.col("row").alias("high"), F.lit(True).alias("alone"))
-    others = classes.where("low < high").join(own.select("h").distinct(), "h", "left_semi").select(
+    mixed = stash(own.select("h").distinct())
+    others = classes.where("low < high").join(mixed, "h", "left_semi").select(
         "one.d", "one.place", "h", "low", "high", F.lit(False).alias("alone"))
     per_doc = alone.union(others).groupBy("d").agg(
         F.collect_list(F.struct("place", "h", "low", "high", "alone")).alias("wanted"))
